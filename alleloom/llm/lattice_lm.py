@@ -32,9 +32,9 @@ def vocabulary(path: str) -> dict[str, int]:
     return out
 
 
-def segment(word: str, pieces: dict[str, int]) -> list[int]:
+def segment(word: str, pieces: dict[str, int], longest: int) -> list[int]:
     """Longest pieces from the left; unknown characters as bytes."""
-    word, at, out, longest = START + word, 0, [], max(map(len, pieces), default=1)
+    word, at, out = START + word, 0, []
     while at < len(word):
         for n in range(min(longest, len(word) - at), 0, -1):
             if (k := pieces.get(word[at : at + n])) is not None:
@@ -162,10 +162,10 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(pieces_path)
-        n = np.zeros(max(pieces.values()) + 1, np.int64)
+        longest, n = max(map(len, pieces)), np.zeros(max(pieces.values()) + 1, np.int64)
         for batch in batches:
             for w in batch["word"].to_pylist():
-                for k in segment(w.decode("utf-8", "replace"), pieces):
+                for k in segment(w.decode("utf-8", "replace"), pieces, longest):
                     n[k] += 1
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["piece", "n"])
