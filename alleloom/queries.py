@@ -1,4 +1,428 @@
-"""Registered queries and their SQL."""
+"""Registered queries: the library's operators on genetics tables derived from the sales tables, with SQL for each.
 
-QUERIES = {}
-ORACLES = {}
+A part is a variant (its key the position on chromosome 1), a customer a sample, and a part in
+a customer's orders a carried allele. Some calls count as missing by a fixed rule. Account
+balances are a phenotype, brands are genes, and nations populations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import variants as V
+from .operators import genotype, ld, phenotypes, score, sumstats
+from .operators.listing import list_variants
+from .plans import paging, render
+from .sources.files import region_groups
+
+START, STOP = 0, 299
+#: The p-value expression of the SQL side, with t = 1 / (1 + x / 2) and x = |z| / sqrt(2).
+_T = "(1e0 / (1e0 + 0.5e0 * ({x})))"
+
+
+def _p_sql(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2e0))"
+    t = _T.format(x=x)
+    poly = f"{V.ERFC[-1]!r}::DOUBLE"
+    for c in reversed(V.ERFC[1:-1]):
+        poly = f"({c!r}::DOUBLE + {t} * {poly})"
+    return f"({t} * exp(-{x} * {x} + {V.ERFC[0]!r}::DOUBLE + {t} * {poly}))"
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def calls(spark: SparkSession, sf_dir: str, start: int | None = START, stop: int = STOP, missing: bool = True) -> DataFrame:
+    """Calls of a region; the bounds are pushed to the scan of lineitem."""
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    if start is not None:
+        lines = lines.where(F.col("l_partkey").between(start, stop))
+    rows = lines.join(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    dosage = F.least(F.count("*"), F.lit(2)).cast("double")
+    if missing:
+        dosage = F.when((F.max("l_linenumber") >= 4) & (F.min("l_quantity") < 4), None).otherwise(dosage)
+    out = rows.groupBy(F.col("l_partkey").alias("pos"), F.col("o_custkey").alias("sample")).agg(dosage.alias("dosage"))
+    return out.select(F.lit("1").alias("chrom"), "pos", V.epacts(F.lit("1"), F.col("pos"), F.lit("A"), F.lit("T")).alias("variant"), "sample", "dosage")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), "c_nationkey", "c_mktsegment", "c_acctbal")
+
+
+def phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).select("sample", F.when(F.col("sample") % 17 != 0, F.col("c_acctbal")).alias("y"))
+
+
+def europeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A population: customers of one region's nations."""
+    n = _read(spark, sf_dir, "nation").where("n_regionkey = 3").select("n_nationkey")
+    return samples(spark, sf_dir).join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("sample")
+
+
+def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part").where(F.col("p_partkey").between(START, STOP))
+    return p.select(F.col("p_brand").alias("group"), F.lit("1").alias("chrom"), F.col("p_partkey").alias("pos"), V.epacts(F.lit("1"), F.col("p_partkey"), F.lit("A"), F.lit("T")).alias("variant"))
+
+
+def _n(rows: DataFrame) -> int:
+    return rows.count()
+
+
+def _pairs(rows: DataFrame, digits: int = 8) -> DataFrame:
+    return rows.select("pos1", "pos2", F.round("value", digits).alias("value"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _calls_sql(start: int | None = START, stop: int = STOP, missing: bool = True, name: str = "c", subset: bool = False) -> str:
+    where = f"WHERE l_partkey BETWEEN {start} AND {stop}" if start is not None else ""
+    keep = "AND o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3)" if subset else ""
+    g = "least(count(*), 2)::DOUBLE"
+    g = f"CASE WHEN max(l_linenumber) >= 4 AND min(l_quantity) < 4 THEN NULL ELSE {g} END" if missing else g
+    return f"{name} AS (SELECT l_partkey AS pos, o_custkey AS sample, {g} AS dosage FROM lineitem JOIN orders ON l_orderkey = o_orderkey {keep} {where} GROUP BY 1, 2)"
+
+
+_ALL, _SUBSET = "SELECT count(*) FROM customer", "SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3"
+
+
+def _ld_sql(metric: str, start: int = START, stop: int = STOP, diagonal: bool = False, subset: bool = False) -> str:
+    """x, sums s and pairs p(pos1, pos2, s1, s2, s12), then the value."""
+    x = "SELECT pos, sample, coalesce(dosage, m) AS x FROM c JOIN k USING (pos)" if metric == "cov" else "SELECT pos, sample, 1e0 AS x FROM c JOIN k USING (pos)"
+    value = {
+        "r": "(n * s12 - s1 * s2) / nullif(sqrt(s1 * s2 * (n - s1) * (n - s2)), 0)",
+        "rsquare": "pow((n * s12 - s1 * s2) / nullif(sqrt(s1 * s2 * (n - s1) * (n - s2)), 0), 2)",
+        "rsquare_approx": "pow(s12 / n - s1 / n * s2 / n, 2) / nullif(s1 / n * (1 - s1 / n) * s2 / n * (1 - s2 / n), 0)",
+        "cov": "s12 / n - s1 * s2 / (n * n)",
+        "dprime": "(s12 / n - s1 / n * s2 / n) / nullif(CASE WHEN s12 / n - s1 / n * s2 / n < 0 THEN least(s1 / n * s2 / n, (1 - s1 / n) * (1 - s2 / n)) ELSE least(s1 / n * (1 - s2 / n), s2 / n * (1 - s1 / n)) END, 0)",
+    }[metric]
+    return f"""{_calls_sql(start, stop, subset=subset)},
+n AS (SELECT ({_SUBSET if subset else _ALL})::DOUBLE AS n),
+k AS (SELECT pos, sum(dosage) / (SELECT n FROM n) AS m FROM c GROUP BY pos HAVING sum(dosage) > 0),
+x AS ({x}), s AS (SELECT pos, sum(x) AS s FROM x GROUP BY pos),
+b AS (SELECT a.pos AS pos1, b.pos AS pos2, sum(a.x * b.x) AS s12 FROM x a JOIN x b USING (sample) GROUP BY 1, 2),
+p AS (SELECT a.pos AS pos1, z.pos AS pos2, a.s AS s1, z.s AS s2, coalesce(s12, 0) AS s12, n FROM s a JOIN s z ON a.pos {"<=" if diagonal else "<"} z.pos
+      LEFT JOIN b ON b.pos1 = a.pos AND b.pos2 = z.pos CROSS JOIN n),
+v AS (SELECT pos1, pos2, {value} AS value FROM p)"""
+
+
+def _region_query(name: str, metric: str, start: int = START, stop: int = STOP, diagonal: bool = False, subset: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        people = europeans(spark, sf_dir) if subset else samples(spark, sf_dir)
+        rows = genotype.of_samples(calls(spark, sf_dir, start, stop), people if subset else None)
+        return _pairs(ld.region(rows, _n(people), "1", start, stop, metric, diagonal))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH {_ld_sql(metric, start, stop, diagonal, subset)} SELECT pos1, pos2, round(value, 8) AS value FROM v"
+
+
+_region_query("ld_region_rsquare", "rsquare")
+_region_query("ld_region_r", "r")
+_region_query("ld_region_rsquare_approx", "rsquare_approx")
+_region_query("ld_region_cov_missing", "cov", 0, 99)
+_region_query("ld_region_dprime", "dprime", 0, 99)
+_region_query("ld_region_diagonal", "cov", 0, 79, True)
+_region_query("ld_subset_rsquare", "rsquare", 0, 149, False, True)
+
+
+def _index_query(name: str, metric: str, index: int, start: int, stop: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = calls(spark, sf_dir, min(index, start), max(index, stop))
+        return ld.variant(rows, _n(samples(spark, sf_dir)), f"1:{index}_A/T", "1", start, stop, metric).select("index_pos", "pos", F.round("value", 8).alias("value"))
+
+    QUERIES[name] = run
+    pairs = _ld_sql(metric, min(index, start), max(index, stop), True)
+    ORACLES[name] = f"WITH {pairs} SELECT {index}::BIGINT AS index_pos, CASE WHEN pos1 = {index} THEN pos2 ELSE pos1 END AS pos, round(value, 8) AS value FROM v WHERE {index} IN (pos1, pos2) AND CASE WHEN pos1 = {index} THEN pos2 ELSE pos1 END BETWEEN {start} AND {stop}"
+
+
+_index_query("ld_variant_rsquare", "rsquare", 50, 0, 199)
+_index_query("ld_variant_outside_region", "r", 150, 0, 99)
+_index_query("ld_variant_cov", "cov", 20, 0, 99)
+
+
+@query(f"WITH {_ld_sql('rsquare', 0, 149)} SELECT pos1, pos2, round(value, 8) AS value FROM v")
+def ld_region_dense(spark, sf_dir):
+    return _pairs(ld.dense_pairs(calls(spark, sf_dir, 0, 149), _n(samples(spark, sf_dir)), "rsquare", 64))
+
+
+@query(f"""WITH {_calls_sql(None)}, n AS (SELECT ({_ALL})::DOUBLE AS n)
+SELECT pos, sum(dosage) AS ac, round(sum(dosage) / n, 9) AS mean, round(sum(dosage) / (2 * n), 9) AS af, sum((dosage IS NULL)::INT)::BIGINT AS n_missing FROM c, n GROUP BY pos, n HAVING sum(dosage) > 0""")
+def variant_frequency(spark, sf_dir):
+    f = genotype.frequencies(calls(spark, sf_dir, None), _n(samples(spark, sf_dir)))
+    return f.select("pos", "ac", F.round("mean", 9).alias("mean"), F.round("af", 9).alias("af"), "n_missing")
+
+
+@query(f"WITH {_calls_sql(None, subset=True)} SELECT pos, count(*) AS n_calls FROM c WHERE pos IN (SELECT pos FROM c WHERE dosage > 0) GROUP BY pos")
+def monomorphic_drop(spark, sf_dir):
+    rows = genotype.of_samples(calls(spark, sf_dir, None), europeans(spark, sf_dir))
+    return genotype.polymorphic(rows).groupBy("pos").agg(F.count("*").alias("n_calls"))
+
+
+@query(f"WITH {_calls_sql(subset=True)} SELECT pos, sample, dosage FROM c")
+def sample_subset_semi_join(spark, sf_dir):
+    return genotype.of_samples(calls(spark, sf_dir), europeans(spark, sf_dir)).select("pos", "sample", "dosage")
+
+
+def _morton_sql(i: str, j: str) -> str:
+    def spread(x: str) -> str:
+        for shift, mask in V.SPREAD:
+            x = f"(({x} | ({x} << {shift})) & {mask})" if shift == 16 else f"(SELECT (q | (q << {shift})) & {mask} FROM (SELECT {x} AS q))"
+        return x
+
+    return f"({spread(f'({i})::BIGINT')} | ({spread(f'({j})::BIGINT')} << 1))"
+
+
+@query(f"SELECT p_partkey AS i, p_size AS j, {_morton_sql('p_partkey', 'p_size')} AS code FROM part")
+def morton_code(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("i"), F.col("p_size").alias("j"), V.morton(F.col("p_partkey"), F.col("p_size")).alias("code"))
+
+
+@query(f"SELECT i, j, {_morton_sql('i', 'j')} AS cell FROM (SELECT DISTINCT p_partkey // 10 AS i FROM part WHERE p_partkey < 300) a, (SELECT DISTINCT p_partkey // 10 AS j FROM part WHERE p_partkey < 300) b WHERE i <= j")
+def allowed_segment_pairs(spark, sf_dir):
+    return paging.allowed_cells(genes(spark, sf_dir).select("chrom", "pos"), 10).select("i", "j", "cell")
+
+
+def _page_sql(skip: int) -> str:
+    return f"WITH {_ld_sql('rsquare', 0, 99)}, q AS (SELECT pos1, pos2, round(value, 8) AS value, {_morton_sql('pos1 // 20', 'pos2 // 20')} AS cell FROM v) SELECT * FROM q ORDER BY cell, pos1, pos2 LIMIT 500 OFFSET {skip}"
+
+
+def _page(spark, sf_dir, after=None):
+    rows = ld.region(calls(spark, sf_dir, 0, 99), _n(samples(spark, sf_dir)), "1", 0, 99)
+    return paging.page(rows, 20, 500, after)
+
+
+@query(_page_sql(0))
+def ld_page_1(spark, sf_dir):
+    return _page(spark, sf_dir).select("pos1", "pos2", F.round("value", 8).alias("value"), "cell")
+
+
+@query(_page_sql(500))
+def ld_page_2(spark, sf_dir):
+    first = _page(spark, sf_dir).collect()  # a page is bounded by its limit
+    return _page(spark, sf_dir, paging.next_cursor(first, 500)).select("pos1", "pos2", F.round("value", 8).alias("value"), "cell")
+
+
+_Y = "y AS (SELECT c_custkey AS sample, c_acctbal AS y FROM customer WHERE c_custkey % 17 <> 0)"
+
+
+@query(f"WITH {_Y} SELECT count(*) AS nsamples, round(avg(y), 6) AS mean, round(var_pop(y), 4) AS sigma2 FROM y")
+def phenotype_sigma2(spark, sf_dir):
+    return score.moments(phenotype(spark, sf_dir)).select("nsamples", F.round("mean", 6).alias("mean"), F.round("sigma2", 4).alias("sigma2"))
+
+
+@query("SELECT c_custkey AS sample, c_acctbal AS y FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey IN (SELECT o_custkey FROM orders)")
+def complete_samples(spark, sf_dir):
+    have = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample"))
+    return score.complete(score.aligned(have, phenotype(spark, sf_dir)))
+
+
+@query("WITH f AS (SELECT c_mktsegment AS level, min(c_custkey) AS line FROM customer GROUP BY 1) SELECT level, row_number() OVER (ORDER BY line, level) - 1 AS code FROM f")
+def categorical_encode(spark, sf_dir):
+    return phenotypes.encode_by_appearance(samples(spark, sf_dir), "c_mktsegment", "sample")
+
+
+_SCORES = f"""{_calls_sql()}, {_Y},
+m AS (SELECT count(*)::DOUBLE AS n, avg(y) AS mean, var_pop(y) AS sigma2 FROM y),
+u AS (SELECT pos, n, sigma2, sum(dosage) AS s, sum(dosage * dosage) AS ss, sum((dosage IS NULL)::INT) AS missing, sum(dosage * (y - mean)) AS carried, coalesce(sum(CASE WHEN dosage IS NULL THEN y - mean END), 0) AS absent
+      FROM c JOIN y USING (sample) CROSS JOIN m GROUP BY pos, n, sigma2 HAVING sum(dosage) > 0),
+w AS (SELECT pos, s / (2 * n) AS alt_freq, sigma2, carried + s / n * absent AS u, (ss - 2 * (s / n) * s + (n - missing) * (s / n) * (s / n)) * sigma2 AS v FROM u),
+scores AS (SELECT pos, alt_freq, u / nullif(sigma2, 0) AS score_stat, {_p_sql("(u / nullif(sqrt(v), 0))")} AS pvalue FROM w)"""
+
+
+def _scores(spark, sf_dir):
+    return score.score_statistics(calls(spark, sf_dir), phenotype(spark, sf_dir))
+
+
+@query(f"WITH {_SCORES} SELECT pos, round(alt_freq, 9) AS alt_freq, round(score_stat, 8) AS score_stat, round(pvalue, 7) AS pvalue FROM scores")
+def score_stat(spark, sf_dir):
+    return _scores(spark, sf_dir).select("pos", F.round("alt_freq", 9).alias("alt_freq"), F.round("score_stat", 8).alias("score_stat"), F.round("pvalue", 7).alias("pvalue"))
+
+
+@query(f"""WITH {_calls_sql()}, {_Y}, m AS (SELECT count(*) AS n, sum(y) AS sum_y, var_pop(y) AS sigma2 FROM y),
+u AS (SELECT pos, sigma2, sum(dosage * y) - sum(dosage) / n * (sum_y - coalesce(sum(CASE WHEN dosage IS NULL THEN y END), 0)) AS u FROM c JOIN y USING (sample) CROSS JOIN m GROUP BY pos, n, sum_y, sigma2 HAVING sum(dosage) > 0)
+SELECT pos, round(u, 5) AS score_stat, round({_p_sql("(u / nullif(sqrt(sigma2), 0))")}, 7) AS pvalue FROM u""")
+def score_legacy(spark, sf_dir):
+    rows = score.legacy_score(calls(spark, sf_dir), phenotype(spark, sf_dir))
+    return rows.select("pos", F.round("score_stat", 5).alias("score_stat"), F.round("pvalue", 7).alias("pvalue"))
+
+
+_GENES = f"g AS (SELECT p_brand AS grp, p_partkey AS pos FROM part WHERE p_partkey BETWEEN {START} AND {STOP})"
+
+
+@query(f"""WITH {_ld_sql("cov", START, STOP, True)}, {_GENES}
+SELECT a.grp AS "group", pos1, pos2, round(value, 8) AS value FROM v JOIN g a ON a.pos = pos1 JOIN g b ON b.pos = pos2 AND a.grp = b.grp""")
+def group_covariance(spark, sf_dir):
+    return score.group_covariance(calls(spark, sf_dir), genes(spark, sf_dir), _n(samples(spark, sf_dir))).select("group", "pos1", "pos2", F.round("value", 8).alias("value"))
+
+
+@query(f'WITH {_SCORES}, {_GENES} SELECT grp AS "group", round(avg(least(alt_freq, 1 - alt_freq)), 9) AS mean_minor_freq, count(*) AS n_variants FROM scores JOIN g USING (pos) GROUP BY grp')
+def group_mean_minor_freq(spark, sf_dir):
+    return score.group_minor_frequency(_scores(spark, sf_dir), genes(spark, sf_dir)).select("group", F.round("mean_minor_freq", 9).alias("mean_minor_freq"), "n_variants")
+
+
+@query(f"WITH {_SCORES} SELECT pos, round(alt_freq, 9) AS alt_freq FROM scores WHERE least(alt_freq, 1 - alt_freq) <= 0.01 AND least(alt_freq, 1 - alt_freq) >= 0.002")
+def group_filter_maf(spark, sf_dir):
+    rows = score.filtered(_scores(spark, sf_dir), [{"field": "maf", "op": "lte", "value": 0.01}, {"field": "maf", "op": "gte", "value": 0.002}])
+    return rows.select("pos", F.round("alt_freq", 9).alias("alt_freq"))
+
+
+@query(f"""WITH {_ld_sql("cov", START, STOP, True)}, {_SCORES.replace(_calls_sql() + ",", "").replace("m AS (", "mm AS (").replace("CROSS JOIN m ", "CROSS JOIN mm ")}
+SELECT pos1, pos2, round(value, 8) AS value FROM v WHERE pos1 IN (SELECT pos FROM scores WHERE pvalue <= 0.2) AND pos2 IN (SELECT pos FROM scores WHERE pvalue <= 0.2)""")
+def group_filter_pvalue(spark, sf_dir):
+    kept = score.filtered(_scores(spark, sf_dir), [{"field": "pvalue", "op": "lte", "value": 0.2}])
+    pairs = ld.region(calls(spark, sf_dir), _n(samples(spark, sf_dir)), "1", START, STOP, "cov", True)
+    return _pairs(score.surviving_pairs(pairs, kept))
+
+
+@query(f"WITH {_SCORES}, {_GENES} SELECT pos, min(grp) AS first_group, round(any_value(alt_freq), 9) AS alt_freq FROM scores JOIN (SELECT * FROM g UNION ALL SELECT 'REGION', pos FROM g WHERE pos < 100) USING (pos) GROUP BY pos")
+def response_variants_dedup(spark, sf_dir):
+    g = genes(spark, sf_dir)
+    both = g.unionByName(g.where("pos < 100").withColumn("group", F.lit("REGION")))
+    return score.response_variants(_scores(spark, sf_dir), both).select("pos", "first_group", F.round("alt_freq", 9).alias("alt_freq"))
+
+
+def _region_group(spark, sf_dir):
+    bounds = spark.range(3).select(F.concat(F.lit("R"), F.col("id")).alias("group"), F.lit("1").alias("chrom"), (F.col("id") * 80).alias("start"), (F.col("id") * 80 + 99).alias("stop"))
+    return region_groups(bounds, genes(spark, sf_dir).drop("group"))
+
+
+@query(f"WITH r AS (SELECT 'R' || i AS grp, i * 80 AS a, i * 80 + 99 AS b FROM range(3) t(i)) SELECT grp AS \"group\", count(*) AS n_variants, min(p_partkey) AS first_pos FROM part JOIN r ON p_partkey BETWEEN a AND b WHERE p_partkey <= {STOP} GROUP BY grp")
+def region_group_members(spark, sf_dir):
+    return _region_group(spark, sf_dir).groupBy("group").agg(F.count("*").alias("n_variants"), F.min("pos").alias("first_pos"))
+
+
+def _cov_file(spark, sf_dir):
+    """A covariance file's rows: for each variant the positions after it and their covariances, as text."""
+    pairs = ld.region(calls(spark, sf_dir, 0, 79), _n(samples(spark, sf_dir)), "1", 0, 79, "cov", True)
+    rows = F.array_sort(F.collect_list(F.struct("pos2", F.round("value", 8).alias("value"))))
+    return pairs.groupBy("chrom", F.col("pos1").alias("pos")).agg(rows.alias("r")).select("chrom", "pos", F.array_join(F.transform("r.pos2", lambda p: p.cast("string")), ",").alias("positions"), F.array_join(F.transform("r.value", lambda v: F.concat(v.cast("string"), F.lit(":0"))), ",").alias("covs"))
+
+
+@query(f"WITH {_ld_sql('cov', 0, 79, True)} SELECT pos1, pos2, round(value, 8) AS value FROM v")
+def cov_row_explode(spark, sf_dir):
+    return _pairs(sumstats.covariance_rows(_cov_file(spark, sf_dir)))
+
+
+@query(f"""WITH {_ld_sql('cov', 0, 79, True)} SELECT pos1, pos2, round(CASE WHEN pos1 <> pos2 AND (pos1 % 3 = 0) <> (pos2 % 3 = 0) THEN -value ELSE value END, 8) AS value FROM v WHERE pos1 >= 10 AND pos2 <= 69""")
+def cov_sign_flip(spark, sf_dir):
+    # frequencies over one half for every third variant
+    scores = genes(spark, sf_dir).select("chrom", "pos", "variant", F.col("pos").alias("line"), F.when(F.col("pos") % 3 == 0, 0.9e0).otherwise(0.1e0).alias("alt_freq"))
+    return _pairs(sumstats.load_region(_cov_file(spark, sf_dir), scores, "1", 10, 69))
+
+
+@query("""SELECT p_partkey AS pos, round(CASE p_partkey % 3 WHEN 0 THEN p_size / 100e0 ELSE p_size / (2e0 * 1000) END, 9) AS alt_freq FROM part""")
+def af_fallback(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    af = F.when(F.col("p_partkey") % 3 == 0, F.concat((F.col("p_size") / 100).cast("string"), F.lit(":0.1:0.2"))).when(F.col("p_partkey") % 3 == 1, "NA").otherwise("")
+    return p.select(F.col("p_partkey").alias("pos"), F.round(V.alt_frequency(af, F.concat(F.col("p_size").cast("string"), F.lit(":1:2")), F.lit("1000:500:500")), 9).alias("alt_freq"))
+
+
+def _block_inputs(spark, sf_dir):
+    """Blocks of 40 variants; covariate sums are embeddings, and GtG the sums of products of calls."""
+    n = _n(samples(spark, sf_dir))
+    f = genotype.frequencies(calls(spark, sf_dir, 0, 119), n)
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("gtu"))
+    rows = f.join(e, "pos").select(F.floor(F.col("pos") / 40).cast("int").alias("block"), "chrom", "pos", "variant", F.lit("A").alias("ref"), F.lit("T").alias("alt"), F.col("af").alias("maf"), F.lit(n).alias("n"), "gtu", F.lit(0.008e0).alias("cutoff"), F.col("ac").alias("alt_ac"), (F.col("ac") - 20).alias("u"), F.col("ss").alias("v"))
+    v = sumstats.cutoff_variants(rows)
+    c = calls(spark, sf_dir, 0, 119).where("dosage > 0").join(v.select("pos", "block", "local", "idx", "offset"), "pos")
+    a, b = c.select("block", F.col("idx").alias("idx1"), F.col("local").alias("row"), "offset", "sample", F.col("dosage").alias("d1")), c.select(F.col("block").alias("block2"), F.col("idx").alias("idx2"), "sample", F.col("dosage").alias("d2"))
+    both = a.join(b, "sample").where("idx1 <= idx2 and block2 - block <= 1")
+    return v, both.groupBy("block", "row", (F.col("idx2") - F.col("offset")).alias("col")).agg(F.sum(F.col("d1") * F.col("d2")).alias("gtg"))
+
+
+_BLOCKS = f"""{_calls_sql(0, 119)}, n AS (SELECT ({_ALL})::DOUBLE AS n),
+f AS (SELECT pos, pos // 40 AS block, sum(dosage) AS ac, sum(dosage) / (2 * n) AS af, n, sum(dosage * dosage) AS ss FROM c, n GROUP BY pos, n HAVING sum(dosage) > 0),
+v AS (SELECT pos, block, ac, ss, n, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS gtu, row_number() OVER (ORDER BY pos) - 1 AS idx FROM f JOIN embeddings ON vec_id = pos WHERE af < 0.008),
+gg AS (SELECT a.pos AS p1, b.pos AS p2, sum(a.dosage * b.dosage) AS gtg FROM c a JOIN c b USING (sample) WHERE a.pos <= b.pos GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_BLOCKS} SELECT a.idx AS idx1, b.idx AS idx2, round((coalesce(gtg, 0) - list_inner_product(a.gtu, b.gtu)) / a.n, 8) AS value
+FROM v a JOIN v b ON a.idx <= b.idx AND b.block - a.block <= 1 LEFT JOIN gg ON p1 = a.pos AND p2 = b.pos""")
+def metastaar_cov(spark, sf_dir):
+    return sumstats.block_covariance(*_block_inputs(spark, sf_dir)).select("idx1", "idx2", F.round("value", 8).alias("value"))
+
+
+@query(f"WITH {_BLOCKS} SELECT pos, block::INT AS block, idx, idx - min(idx) OVER (PARTITION BY block) AS local FROM v")
+def metastaar_block_offsets(spark, sf_dir):
+    return _block_inputs(spark, sf_dir)[0].select("pos", "block", "idx", "local")
+
+
+@query(f"""WITH {_BLOCKS}, z AS (SELECT pos, ac, n, (ac - 20) / nullif(sqrt(ss), 0) AS z FROM v) SELECT pos, round(z, 8) AS z, round({_p_sql("z")}, 7) AS pvalue, round(ac / (2 * n), 9) AS alt_freq FROM z""")
+def metastaar_scores(spark, sf_dir):
+    return sumstats.block_scores(_block_inputs(spark, sf_dir)[0]).select("pos", F.round("z", 8).alias("z"), F.round("pvalue", 7).alias("pvalue"), F.round("alt_freq", 9).alias("alt_freq"))
+
+
+@query("SELECT 'f' || i AS path, i * 100 AS region_start FROM range(20) t(i) WHERE i * 100 <= 750 AND i * 100 + 149 >= 320")
+def interval_overlap_files(spark, sf_dir):
+    m = spark.range(20).select(F.concat(F.lit("f"), F.col("id")).alias("path"), F.lit("1").alias("chrom"), (F.col("id") * 100).alias("region_start"), (F.col("id") * 100 + 149).alias("region_mid"))
+    return sumstats.files_overlapping(m, "1", 320, 750).select("path", "region_start")
+
+
+@query("SELECT DISTINCT l_partkey AS pos, '1:' || l_partkey || '_A/T' AS variant FROM lineitem WHERE l_partkey BETWEEN 40 AND 160")
+def variant_list(spark, sf_dir):
+    return list_variants(calls(spark, sf_dir), "genotype", "1", 40, 160).select("pos", "variant")
+
+
+_IDS = "'chr' || (p_partkey % 22) || ':' || p_partkey || '_' || substr(p_brand, 1, 1) || '/' || p_size || '_x'"
+
+
+@query(f"SELECT p_partkey AS id, (p_partkey % 22)::VARCHAR AS chrom, p_partkey AS pos, substr(p_brand, 1, 1) AS ref, p_size::VARCHAR AS alt, 'x' AS extra FROM part")
+def variant_parse(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), V.parse(F.expr(_IDS)).alias("v")).select("id", "v.*")
+
+
+@query("SELECT p_partkey AS pos, '1:' || p_partkey || ':A:T' AS colons, '1:' || p_partkey || '_A/T' AS epacts FROM part")
+def variant_format_colons(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), V.colons(F.lit("1"), F.col("p_partkey"), F.lit("A"), F.lit("T")).alias("colons"))
+    return p.withColumn("epacts", V.colons_to_epacts(F.col("colons")))
+
+
+@query("SELECT * FROM (VALUES ('c_acctbal', 'FLOAT'), ('c_custkey', 'INTEGER'), ('c_name', 'TEXT')) t(\"column\", kind)")
+def type_inference(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer")
+    return phenotypes.infer_kinds(c.withColumn("line", F.col("c_custkey")), ["c_name", "c_custkey", "c_acctbal"], "line")
+
+
+@query("SELECT p_partkey AS pos, round(p_retailprice / 7, 3) AS value FROM part")
+def precision_round(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), V.rounded(F.col("p_retailprice") / 7, 3).alias("value"))
+
+
+@query(f"""WITH {_ld_sql('rsquare', 0, 39)}, d AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS idx FROM s),
+q AS (SELECT a.idx AS i, b.idx AS j, round(value, 6) AS value FROM v JOIN d a ON a.pos = pos1 JOIN d b ON b.pos = pos2)
+SELECT idx::INT AS idx, pos, coalesce(min(j), 2147483647)::INT AS "offset", count(j) AS n_values, round(coalesce(sum(value), 0), 5) AS total FROM d LEFT JOIN q ON i = idx GROUP BY idx, pos""")
+def compact_matrix(spark, sf_dir):
+    rows = render.matrix_rows(ld.region(calls(spark, sf_dir, 0, 39), _n(samples(spark, sf_dir)), "1", 0, 39), 6)
+    total = F.aggregate("correlations", F.lit(0e0), lambda s, x: s + F.coalesce(x, F.lit(0e0)))
+    return rows.select("idx", "pos", "offset", F.size("correlations").cast("long").alias("n_values"), F.round(total, 5).alias("total"))
+
+
+@query(f"WITH {_ld_sql('rsquare', 0, 39)} SELECT count(*) AS n_pairs, round(sum(round(value, 4)), 3) AS total FROM v")
+def classic_arrays(spark, sf_dir):
+    rows = render.classic(ld.region(calls(spark, sf_dir, 0, 39), _n(samples(spark, sf_dir)), "1", 0, 39), 4)
+    return rows.select(F.size("correlation").cast("long").alias("n_pairs"), F.round(F.aggregate("correlation", F.lit(0e0), lambda s, x: s + x), 3).alias("total"))
+
+
+@query("SELECT r_name AS subset, count(*) AS n_samples FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'ALL', count(*) FROM customer")
+def catalog_populations(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    named = s.join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    both = named.select(F.col("r_name").alias("subset"), "sample").unionByName(s.select(F.lit("ALL").alias("subset"), "sample"))
+    return both.groupBy("subset").agg(F.count("*").alias("n_samples"))

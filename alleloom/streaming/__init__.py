@@ -1,0 +1 @@
+"""No query of this library is a stream: its inputs are static files, and every request is answered once."""
