@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from .common import arrow_map, cut, documents
 
 #: Anchors are the least hashes of GRAM bytes within a window.
 GRAM = 32
@@ -244,7 +244,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = documents(docs, id_col, text_col).withColumn("tag", F.hash("text"))
     found = texts.where(F.octet_length("text") >= size).mapInArrow(_run_batches(size), "h long, region long, doc_id long, tag int, start long, n short")
     dup = found.groupBy("h").agg(F.count("*").alias("times"), F.min("region").alias("lo"), F.max("region").alias("hi")).where("times > 1")
-    met = found.join(dup.select("h", (F.col("lo") == F.col("hi")).alias("same")), "h")
+    met = cut(found.join(dup.select("h", (F.col("lo") == F.col("hi")).alias("same")), "h"), "repeat-runs")
     end = (F.col("start") + F.col("n") + F.lit(size - 1)).alias("end")
     same = met.where("same").select("doc_id", "tag", F.col("start").alias("begin"), end)
 
@@ -252,8 +252,9 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = other.groupBy("h", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "end")).alias("one"))
     twice = other.join(classes.where("n > 1").select("h", "region"), ["h", "region"], "left_semi").select("doc_id", "tag", F.col("start").alias("begin"), "end")
     sized = classes.join(classes.groupBy("h").agg(F.count("*").alias("k")), "h").select("h", "k", "n", "one.*")
-    wanted = sized.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "k", "n", "start", "end")).alias("found"))
+    wanted = cut(sized.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "k", "n", "start", "end")).alias("found")), "repeat-strings")
     same_doc = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["tag"] == wanted["tag"])
+    # repeated rows would cut the same strings again: one of them is enough
     picked = texts.join(wanted, same_doc).select(texts["doc_id"], texts["tag"], "text", "found").dropDuplicates(["doc_id", "tag"])
     strings = picked.mapInArrow(_cut_out, "h long, k long, n long, doc_id long, tag int, start long, bytes binary")
     few = strings.where(F.col("k") <= group_limit)
