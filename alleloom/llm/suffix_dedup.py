@@ -229,7 +229,7 @@ def _each_window(size: int):
     return make
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group_limit: int = 128) -> DataFrame:
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group_limit: int = 1024) -> DataFrame:
     """``doc_id, text (binary), spans``: the byte ranges that repeated strings of ``size`` bytes cover.
 
     1. Every text is dealt into runs of window starts with a common anchor (a least gram hash);
@@ -239,17 +239,20 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     3. Different texts under one hash are compared: their distinct runs, cut from the texts,
        fill bundles, and ``long_repeats`` finds the common strings on each bundle's transform.
     4. Hashes with over ``group_limit`` different runs (the rims of very common passages) are not
-       brought together: their windows are counted by hash, one row for each.
+       brought together, since a bundle's rank table has its bytes times its alphabet (some 70 MB
+       for 1,024 runs): their windows are counted by hash, one row for each.
     """
     texts = documents(docs, id_col, text_col).withColumn("tag", F.hash("text"))
     found = texts.where(F.octet_length("text") >= size).mapInArrow(_run_batches(size), "h long, region long, doc_id long, tag int, start long, n short")
     dup = found.groupBy("h").agg(F.count("*").alias("times"), F.min("region").alias("lo"), F.max("region").alias("hi")).where("times > 1")
-    met = cut(found.join(dup.select("h", (F.col("lo") == F.col("hi")).alias("same")), "h"), "repeat-runs")
+    # kept apart, so that the join has plain exchanges on both sides and Spark can split a common hash
+    dup = cut(dup.select("h", (F.col("lo") == F.col("hi")).alias("same")), "repeat-hashes")
+    met = cut(found.join(dup, "h"), "repeat-runs")
     end = (F.col("start") + F.col("n") + F.lit(size - 1)).alias("end")
     same = met.where("same").select("doc_id", "tag", F.col("start").alias("begin"), end)
 
     other = met.where("not same").select("h", "region", "doc_id", "tag", "start", end)
-    classes = other.groupBy("h", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "end")).alias("one"))
+    classes = cut(other.groupBy("h", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "end")).alias("one")), "repeat-classes")
     twice = other.join(classes.where("n > 1").select("h", "region"), ["h", "region"], "left_semi").select("doc_id", "tag", F.col("start").alias("begin"), "end")
     sized = classes.join(classes.groupBy("h").agg(F.count("*").alias("k")), "h").select("h", "k", "n", "one.*")
     wanted = cut(sized.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "k", "n", "start", "end")).alias("found")), "repeat-strings")
