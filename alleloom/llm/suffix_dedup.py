@@ -140,16 +140,26 @@ def long_repeats(texts: list[bytes], size: int) -> list[np.ndarray]:
         depth *= 2
     order = np.argsort(rank, kind="stable")
     bwt = codes[order - 1]  # the text is taken as a ring
+    back = np.empty(n, np.int64)  # the place of each suffix with the byte before it in front
+    back[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
     seen = np.zeros((sigma, n + 1), np.int32)
-    np.cumsum(bwt[None, :] == np.arange(sigma)[:, None], axis=1, out=seen[:, 1:])
+    seen[bwt, np.arange(1, n + 1)] = 1
+    np.cumsum(seen, axis=1, out=seen)
     before = np.concatenate(([0], np.cumsum(seen[:, -1])[:-1])).astype(np.int32)[:, None]
     lcp = np.full(n + 1, -1, np.int16)
     lcp[[0, n]] = 0
     left, right = np.array([0]), np.array([n])
     for level in range(size):
-        lo, hi = seen[:, left] + before, seen[:, right] + before
-        new = (hi > lo) & (lcp[hi] < 0)
-        left, right = lo[new], hi[new]
+        # intervals of one or two suffixes have one or two extensions, so only wider ones try every byte
+        wide, one, two = right - left > 2, left[right - left == 1], left[right - left == 2]
+        first, second, same = back[two], back[two + 1], bwt[two] == bwt[two + 1]
+        lo, hi = seen[:, left[wide]] + before, seen[:, right[wide]] + before
+        some = hi > lo
+        ends = second[~same]
+        left = np.concatenate((lo[some], back[one], first, ends))
+        right = np.concatenate((hi[some], back[one] + 1, np.where(same, second, first) + 1, ends + 1))
+        new = lcp[right] < 0
+        left, right = left[new], right[new]
         if not len(right):
             break
         lcp[right] = level
@@ -177,7 +187,7 @@ SPANS = "doc_id long, tag int, begin long, end long"
 _SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
-def _bundled(size: int, limit: int = 48 << 10):
+def _bundled(size: int, limit: int = 24 << 10):
     """Groups of equal ``h`` come sorted; whole groups fill bundles of about ``limit`` bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
