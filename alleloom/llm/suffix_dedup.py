@@ -244,8 +244,9 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Every text is dealt into runs of window starts with a common anchor (a least gram hash);
        equal strings share the anchor's hash. Hashes that occur once end there.
-    2. Where all runs of a hash cover the same bytes, every window repeats. So do those of any
-       run that occurs twice. Copies thus collapse before anything is compared.
+    2. All windows of a run that occurs twice repeat. A hash's most common run is known from the
+       counts that find the hash, the other ones by a join. Copies thus collapse before
+       anything is compared.
     3. Different texts under one hash are compared: their distinct runs, cut from the texts,
        fill bundles, and ``long_repeats`` finds the common strings on each bundle's transform.
     4. Hashes with over ``group_limit`` different runs (the rims of very common passages) are not
@@ -254,16 +255,18 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = documents(docs, id_col, text_col).withColumn("tag", F.hash("text"))
     found = texts.where(F.octet_length("text") >= size).mapInArrow(_run_batches(size), "h long, region long, doc_id long, tag int, start long, n short")
-    dup = found.groupBy("h").agg(F.count("*").alias("times"), F.min("region").alias("lo"), F.max("region").alias("hi")).where("times > 1")
+    regions = found.groupBy("h", "region").agg(F.count("*").alias("n"))
+    dup = regions.groupBy("h").agg(F.sum("n").alias("times"), F.count("*").alias("kinds"), F.max("n").alias("most"), F.max_by("region", "n").alias("top")).where("times > 1")
     # kept apart, so that the join has plain exchanges on both sides and Spark can split a common hash
-    dup = cut(dup.select("h", (F.col("lo") == F.col("hi")).alias("same")), "repeat-hashes")
+    dup = cut(dup.select("h", (F.col("kinds") == 1).alias("same"), F.when(F.col("most") > 1, F.col("top")).alias("top")), "repeat-hashes")
     met = cut(found.join(dup, "h"), "repeat-runs")
     end = (F.col("start") + F.col("n") + F.lit(size - 1)).alias("end")
-    same = met.where("same").select("doc_id", "tag", F.col("start").alias("begin"), end)
+    common = met.where("region = top").select("doc_id", "tag", F.col("start").alias("begin"), end)
 
-    other = met.where("not same").select("h", "region", "doc_id", "tag", "start", end)
+    other = met.where("not same").select("h", "region", "top", "doc_id", "tag", "start", end)
     classes = cut(other.groupBy("h", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "end")).alias("one")), "repeat-classes")
-    twice = other.join(classes.where("n > 1").select("h", "region"), ["h", "region"], "left_semi").select("doc_id", "tag", F.col("start").alias("begin"), "end")
+    rarer = other.where(~F.coalesce(F.col("region") == F.col("top"), F.lit(False)))
+    twice = rarer.join(classes.where("n > 1").select("h", "region"), ["h", "region"], "left_semi").select("doc_id", "tag", F.col("start").alias("begin"), "end")
     sized = classes.join(classes.groupBy("h").agg(F.count("*").alias("k")), "h").select("h", "k", "n", "one.*")
     wanted = cut(sized.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "k", "n", "start", "end")).alias("found")), "repeat-strings")
     same_doc = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["tag"] == wanted["tag"])
@@ -276,7 +279,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = windows.groupBy("h", "w").agg(F.count("*").alias("times")).where("times > 1").select("h", "w")
     counted = windows.where("n = 1").join(often, ["h", "w"], "left_semi").select("doc_id", "tag", F.col("start").alias("begin"), (F.col("start") + size).alias("end"))
 
-    spans = same.unionByName(twice).unionByName(compared).unionByName(counted)
+    spans = common.unionByName(twice).unionByName(compared).unionByName(counted)
     spans = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     here = texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["tag"] == spans["tag"])
     return texts.join(spans, here, "left").select(texts["doc_id"], "text", "spans")
