@@ -51,8 +51,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     null ids keep their rows; repeated rows give a row each. No documents: no rows.
     """
     spark = docs.sparkSession
-    listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("wording")) for k, v in templates.items()])
-    wanted = spark.range(1).select(F.inline(listed)).withColumn("words", words_of(F.col("wording"))).where(F.size("words") >= SHINGLE)
+    wanted = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("wording")) for k, v in templates.items()]).cast("array<struct<license: string, wording: string>>")))
+    wanted = wanted.withColumn("words", words_of(F.col("wording"))).where(F.size("words") >= SHINGLE)
     wanted = wanted.select("license", "words", F.array_distinct(shingles(F.col("words"))).alias("shingles"))
     vocabulary = sorted({w for r in wanted.select("words").collect() for w in r["words"]})
     if not vocabulary:

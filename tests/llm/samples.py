@@ -1,0 +1,108 @@
+"""Small tables that hold the awkward cases, and brute-force versions of the operators."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, tag string, region string, word string, fp long, key string"
+
+
+def lower(text: str) -> str:
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+
+
+def words(text) -> list[str]:
+    return WORD.findall(text or "")
+
+
+def awkward(seed: int = 7, n: int = 60) -> list[tuple]:
+    """Null ids, nulls and empty texts, copies, near copies, repeated rows, one long text, columns with clashing names."""
+    r = random.Random(seed)
+    stock = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    prose = lambda k: " ".join(r.choice(stock) for _ in range(k))
+    passage = prose(70)
+    texts = [None, "", "  \n\t ", "x", "Word", "Ünïcode Straße 東京 слово " + prose(30), prose(4000) + "\n" + prose(50)]
+    texts += [prose(r.randint(5, 120)) for _ in range(n)]
+    texts += [texts[-1], texts[-1], texts[-2] + " end", texts[-3].replace(" ", "  ", 3), prose(20) + " " + passage + " " + prose(15), passage + prose(9), (prose(6) + "\n") * 12]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [rows[10], rows[10], (None, texts[12]), (None, None), (None, prose(40))]
+    return [(i, t, "en", "s", len(t or ""), 1, "t", "r", "w", 2, "k") for i, t in rows]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def rows_of(df, *cols) -> Counter:
+    return Counter(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
+
+
+def crc(doc_id, mod: int):
+    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % mod
+
+
+def simhash(text, k: int = 3) -> int:
+    import xxhash
+
+    ws = words(lower(text or ""))
+    if not ws:
+        return 0
+    grams = [" ".join(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))]
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def linked(fps: list[int], max_diff: int = 2) -> list[int]:
+    """For each fingerprint the number of its component."""
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= max_diff:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+def cut_repeats(texts: list, size: int = 200) -> list[tuple]:
+    data = [(t or "").encode() for t in texts]
+    count = Counter(d[i : i + size] for d in data for i in range(len(d) - size + 1))
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - size + 1):
+            if count[d[i : i + size]] > 1:
+                gone[i : i + size] = b"\x01" * size
+        spans = sum(1 for i in range(len(d)) if gone[i] and not (i and gone[i - 1]))
+        kept = bytes(c for c, g in zip(d, gone, strict=True) if not g)
+        out.append((len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept))
+    return out
+
+
+def unigram(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score) of each row."""
+    END = None
+    toks = [(i, [*words(lower(t or "")), END]) for i, t in rows]
+    count = Counter(w for i, ws in toks if crc(i, 10) != 0 for w in ws)
+    total, kinds = sum(count.values()), len(count)
+    return [(i, crc(i, 10) == 0, len(ws), sum(count[w] > 0 for w in ws), total, sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws)) for i, ws in toks]
+
+
+def contains(text, part: str, k: int) -> int:
+    """Least edits between ``part`` and any substring of the text, over k + 1 all the same."""
+    t = " ".join(words(lower(text or "")))
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(part, 1):
+        new = [i] + [0] * len(t)
+        for j, d in enumerate(t, 1):
+            new[j] = min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1)
+        row = new
+    return min(min(row), k + 1)
