@@ -31,7 +31,7 @@ def _tokenizer(path: str):
 PUNCTUATION = b".,!?;:*$%&#|<>"
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words, as little-endian 32-bit bytes. The tokenizer splits at white space, so a text's ids are those of its words.
 
     A new word of letters with punctuation behind it is two pieces to the tokenizer, in lower
@@ -40,36 +40,46 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str, limit: int = 700_000):
-        super().__init__()
-        self.path, self.limit, self.runs = path, limit, {}
+        self.path, self.limit = path, limit
+        # plain dicts: a set's difference with one looks up its own few members only
+        self.ids: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
         vocab = _tokenizer(path).get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[bytes]) -> None:
-        for memo in (self, self.runs):
+    def of(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """Ids of just these texts' words: looked up once each, then from a small table."""
+        known, distinct = self.ids, set().union(*texts)
+        for memo in (known, self.runs):
             if len(memo) > self.limit:
                 memo.clear()
-        simple, odd = {}, []
-        for w in set(words).difference(self):
+        plain, marked, odd = {}, [], []
+        for w in distinct.difference(known):
+            if w.isalpha():
+                plain[w] = w if w.islower() else w.lower()
+                continue
             run = w.rstrip(PUNCTUATION)
             if run.isalpha():
-                simple[w] = run.lower()
+                marked.append((w, run.lower(), w[len(run) :]))
             elif run and not run.isascii() and (text := run.decode("utf-8", "replace")).isalpha() and max(text) < "\u0100":
-                simple[w] = text.lower().encode()
+                marked.append((w, text.lower().encode(), w[len(run) :]))
             else:
                 odd.append(w)
-        tails = {w[len(run) :] for w, run in simple.items() if len(w) > len(run)} - self.keys()
-        self._encode(odd + list(tails.difference(odd)))
-        self._encode_runs(list(set(simple.values()).difference(self.runs)))
-        for w, run in simple.items():
-            self[w] = self.runs[run] + (self[w[len(run) :]] if len(w) > len(run) else b"")
+        tails = {tail for _, _, tail in marked if tail}.difference(known, odd)
+        self._encode(odd + list(tails))
+        runs = self.runs
+        self._encode_runs(list(set(plain.values()).union(m[1] for m in marked).difference(runs)))
+        known.update(zip(plain, map(runs.__getitem__, plain.values()), strict=True))
+        for w, run, tail in marked:
+            known[w] = runs[run] + known[tail] if tail else runs[run]
+        return dict(zip(distinct, map(known.__getitem__, distinct), strict=True))
 
     def _encode(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
             for w, e in zip(part, _tokenizer(self.path).encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                self.ids[w] = np.array(e.ids, "<u4").tobytes()
 
     def _encode_runs(self, words: list[bytes], together: int = 400) -> None:
         for at in range(0, len(words), together):
@@ -108,7 +118,10 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, max_rounds: int = 6, le
         if len(seq) < 2 or made >= limit:
             break
         a, b = seq[:-1], seq[1:]
-        bucket = (a * np.uint32((2654435761 + 362437 * 2 * turn) & 0xFFFFFFFF) + b * np.uint32(2246822519)) >> np.uint32(14)
+        bucket = a * np.uint32((2654435761 + 362437 * 2 * turn) & 0xFFFFFFFF)
+        bucket += b * np.uint32(2246822519)
+        bucket >>= np.uint32(14)
+        bucket = bucket.astype(np.int64)  # counted and looked up by
         bucket[last[:-1]] = 1 << 18
         count = np.bincount(bucket, minlength=(1 << 18) + 1)
         count[-1] = 0
@@ -163,8 +176,11 @@ def expanded(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule stands for; a rule only names earlier ones."""
     length = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        length[i] = (1 if a < base else length[a - base]) + (1 if b < base else length[b - base])
+    while len(rules):  # as often as rules are nested
+        part = np.where(rules < base, 1, length[np.maximum(rules - base, 0)]).sum(axis=1)
+        if (part == length).all():
+            break
+        length = part
     return length
 
 
@@ -239,9 +255,9 @@ def _encode(path: str, end_id: int, shard_tokens: int):
         for batch in batches:
             for piece in pieces(batch, 2 << 20):
                 words = [(t or b"").split() for t in piece["text"].to_pylist()]
-                memo.learn([w for ws in words for w in ws])
+                ids_of = memo.of(words)
                 for doc, ws in zip(piece["doc_id"].to_pylist(), words, strict=True):
-                    own = b"".join(map(memo.__getitem__, ws)) + end
+                    own = b"".join(map(ids_of.__getitem__, ws)) + end
                     ids.append(own)
                     held += len(own) // 4
                     ends.append(held)
