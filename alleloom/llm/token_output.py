@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,22 +29,30 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-PUNCTUATION = b".,!?;:*$%&#|<>"
+#: A punctuation mark behind an ASCII letter or a letter of U+00C0 to U+00FF. The tokenizer ends a run of letters there.
+MARK = re.compile(rb"[.,!?;:*$%&#](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+#: Beginnings of special tokens, which have capitals of their own, and lead bytes of combining marks, which may join with a small letter only.
+APART = (b"<|", b"\xcc", b"\xcd")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The text's words, in small letters and without punctuation behind them where that leaves the ids alone."""
+    if any(x in text for x in APART):
+        return text.split()
+    return MARK.sub(rb" \g<0>", text.lower()).split()
 
 
 class WordIds:
     """Ids of words, as little-endian 32-bit bytes. The tokenizer splits at white space, so a text's ids are those of its words.
 
-    A new word of letters with punctuation behind it is two pieces to the tokenizer, in lower
-    case; each is encoded once. Many such letter runs are encoded as one text and told apart by
-    their last tokens, which alone carry the word-end mark.
+    Words of letters are the tokenizer's own pieces. Many new ones are encoded as one text and told
+    apart by their last tokens, which alone carry the word-end mark.
     """
 
     def __init__(self, path: str, limit: int = 700_000):
         self.path, self.limit = path, limit
-        # plain dicts: a set's difference with one looks up its own few members only
+        # a plain dict: a set's difference with one looks up its own few members only
         self.ids: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
         vocab = _tokenizer(path).get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -51,28 +60,13 @@ class WordIds:
     def of(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """Ids of just these texts' words: looked up once each, then from a small table."""
         known, distinct = self.ids, set().union(*texts)
-        for memo in (known, self.runs):
-            if len(memo) > self.limit:
-                memo.clear()
-        plain, marked, odd = {}, [], []
+        if len(known) > self.limit:
+            known.clear()
+        letters, odd = [], []
         for w in distinct.difference(known):
-            if w.isalpha():
-                plain[w] = w if w.islower() else w.lower()
-                continue
-            run = w.rstrip(PUNCTUATION)
-            if run.isalpha():
-                marked.append((w, run.lower(), w[len(run) :]))
-            elif run and not run.isascii() and (text := run.decode("utf-8", "replace")).isalpha() and max(text) < "\u0100":
-                marked.append((w, text.lower().encode(), w[len(run) :]))
-            else:
-                odd.append(w)
-        tails = {tail for _, _, tail in marked if tail}.difference(known, odd)
-        self._encode(odd + list(tails))
-        runs = self.runs
-        self._encode_runs(list(set(plain.values()).union(m[1] for m in marked).difference(runs)))
-        known.update(zip(plain, map(runs.__getitem__, plain.values()), strict=True))
-        for w, run, tail in marked:
-            known[w] = runs[run] + known[tail] if tail else runs[run]
+            (letters if w.isalpha() or not w.isascii() and (t := w.decode("utf-8", "replace")).isalpha() and max(t) < "\u0100" else odd).append(w)
+        self._encode(odd)
+        self._encode_runs(letters)
         return dict(zip(distinct, map(known.__getitem__, distinct), strict=True))
 
     def _encode(self, words: list[bytes]) -> None:
@@ -89,7 +83,7 @@ class WordIds:
             if len(stops) != len(part):
                 raise ValueError("the tokenizer doesn't end every word by a marked token")
             raw = ids.tobytes()
-            self.runs.update(zip(part, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+            self.ids.update(zip(part, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
 
 
 @lru_cache(1)
@@ -253,8 +247,8 @@ def _encode(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "n_tokens": [held], "data": [data]}, schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_tokens", pa.int64()), ("data", pa.binary())]))
 
         for batch in batches:
-            for piece in pieces(batch, 2 << 20):
-                words = [(t or b"").split() for t in piece["text"].to_pylist()]
+            for piece in pieces(batch, 6 << 20):
+                words = [words_of(t or b"") for t in piece["text"].to_pylist()]
                 ids_of = memo.of(words)
                 for doc, ws in zip(piece["doc_id"].to_pylist(), words, strict=True):
                     own = b"".join(map(ids_of.__getitem__, ws)) + end
