@@ -103,8 +103,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, max_rounds: int = 6, le
     bucket is full enough or the 16-bit symbols are used up.
     """
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[ends[ends > 0] - 1] = True
+    filled = np.diff(ends, prepend=0) > 0
+    last = np.asarray(ends, np.int64)[filled] - 1
     rules: list[np.ndarray] = []
     made = 0
     limit = max(0, SYMBOLS - base) if base < SYMBOLS else 1 << 20
@@ -116,7 +116,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, max_rounds: int = 6, le
         bucket += b * np.uint32(2246822519)
         bucket >>= np.uint32(14)
         bucket = bucket.astype(np.int64)  # counted and looked up by
-        bucket[last[:-1]] = 1 << 18
+        bucket[last[:-1]] = 1 << 18  # the sequence's own last id begins no pair
         count = np.bincount(bucket, minlength=(1 << 18) + 1)
         count[-1] = 0
         size = min(at_once, limit - made)
@@ -124,10 +124,10 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, max_rounds: int = 6, le
         full = full[count[full] >= least]
         if not len(full):
             break
-        weight = np.zeros(len(count), np.int32)
+        weight = np.zeros(len(count), np.int16 if size < 1 << 15 else np.int32)
         weight[full[np.argsort(count[full], kind="stable")]] = np.arange(1, len(full) + 1)
         which = weight[bucket]
-        at = np.flatnonzero(which)
+        at = np.flatnonzero(which != 0)
         which = which[at]
         code = a[at].astype(np.int64) << 32 | b[at]
         pair = np.zeros(len(full) + 1, np.int64)
@@ -146,13 +146,13 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, max_rounds: int = 6, le
         rules.append(np.stack((new >> 32, new & 0xFFFFFFFF), axis=1))
         seq[at] = (base + made + np.cumsum(used) - 1)[which]
         made += len(new)
-        last[at] = last[at + 1]
+        last -= np.searchsorted(at + 1, last, side="right")
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        seq = seq[stay]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     stops = np.zeros(len(ends), np.int64)
-    stops[np.diff(ends, prepend=0) > 0] = np.flatnonzero(last) + 1
+    stops[filled] = last + 1
     return seq, table, np.maximum.accumulate(stops) if len(stops) else stops
 
 
