@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.variants import rounded
 
 #: Fixed value: the offset of a row without pairs.
-NO_OFFSET = 2**31 - 1
+NO_OFFSET = -(2**31)
 
 
 def classic(pairs: DataFrame, precision: int = 0) -> DataFrame:

@@ -407,7 +407,7 @@ def precision_round(spark, sf_dir):
 
 @query(f"""WITH {_ld_sql('rsquare', 0, 39)}, d AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS idx FROM s),
 q AS (SELECT a.idx AS i, b.idx AS j, round(value, 6) AS value FROM v JOIN d a ON a.pos = pos1 JOIN d b ON b.pos = pos2)
-SELECT idx::INT AS idx, pos, coalesce(min(j), 2147483647)::INT AS "offset", count(j) AS n_values, round(coalesce(sum(value), 0), 6) AS total FROM d LEFT JOIN q ON i = idx GROUP BY idx, pos""")
+SELECT idx::INT AS idx, pos, coalesce(min(j), -2147483648)::INT AS "offset", count(j) AS n_values, round(coalesce(sum(value), 0), 6) AS total FROM d LEFT JOIN q ON i = idx GROUP BY idx, pos""")
 def compact_matrix(spark, sf_dir):
     rows = render.matrix_rows(ld.region(calls(spark, sf_dir, 0, 39), _n(samples(spark, sf_dir)), "1", 0, 39), 6)
     total = F.aggregate("correlations", F.lit(0e0), lambda s, x: s + F.coalesce(x, F.lit(0e0)))

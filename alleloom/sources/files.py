@@ -64,8 +64,9 @@ def read_scores(spark: SparkSession, path: str | list[str], kind: str | None = N
     )
 
 
-def read_covariances(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
+def read_covariances(spark: SparkSession, path: str | list[str], kind: str | None = None) -> DataFrame:
     """``(chrom, pos, positions, covs)``, lists still as text."""
+    kind = kind or sniff_format(spark, path if isinstance(path, str) else path[0])
     return _fields(spark, path).select(*_pick(COV_COLUMNS[kind])).where(F.col("chrom") != "CHROM").withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -91,8 +92,8 @@ def region_groups(groups: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def read_tab(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A phenotype table with a header: its columns as text and ``line``, in the order of the file."""
-    rows = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    """A phenotype table with a header: its columns as text and ``line``, in the order of the file; ``#`` and blank lines are skipped."""
+    rows = spark.read.csv(path, sep="\t", header=True, inferSchema=False, comment="#", quote="")
     return rows.withColumn("line", F.monotonically_increasing_id())
 
 
