@@ -61,6 +61,20 @@ def test_tokens_come_back_from_the_shards(docs, none):
     assert token_output.token_table(none, tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_word_table_gives_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    path, r = tokenizer_path("word_bpe_49k.json"), random.Random(5)
+    t, memo = Tokenizer.from_file(path), token_output.WordIds(path, limit=500)
+    bits = ["a", "B", "é", "É", "ß", "'s", "'T", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", ",", ".", "!", "*", "$", "%", "#", "&", "\u0300", "\u0331", "H", "İ", "Σ", "1", "²", "ª", "×", "—", "’", "日本", " ", " ", "\n", "\u00a0", "\x85", "foo", "\u212a", "😀"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(5000)]
+    for at in range(0, len(texts), 250):
+        part = [token_output.words_of(x.encode()) for x in texts[at : at + 250]]
+        ids = memo.of(part)
+        for text, ws in zip(texts[at:], part, strict=False):
+            assert np.frombuffer(b"".join(ids[w] for w in ws), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_shard_random_access():
     r = np.random.default_rng(3)
     phrase = r.integers(0, 900, 40)

@@ -35,6 +35,15 @@ def test_one_document_of_each_near_duplicate_group_stays(steps):
     assert Counter(r["doc_id"] for r in steps[2].collect()) == Counter(least.values())
 
 
+def test_near_duplicates_without_ids(spark):
+    from alleloom.llm.pipeline_stages import keep_one_of_each
+
+    one, two = " ".join(f"one{i}" for i in range(50)), " ".join(f"two{i}" for i in range(50))
+    rows = [(None, one), (None, one), (None, two), (7, "some other words"), (7, "some other words"), (9, None), (8, None)]
+    got = keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert Counter(map(tuple, got.collect())) == Counter([(None, one), (None, two), (7, "some other words"), (8, None)])
+
+
 def test_repeats_are_cut_from_what_was_kept(steps):
     rows = {r["doc_id"]: r["text"] for r in steps[2].collect()}
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in steps[3].collect()}
