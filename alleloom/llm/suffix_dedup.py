@@ -114,6 +114,16 @@ def _run_batches(size: int):
     return make
 
 
+def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places in ascending order, the dense rank of each place, and the number of ranks."""
+    order = np.argsort(key)
+    up = key[order]
+    dense = np.concatenate(([0], np.cumsum(up[1:] != up[:-1])))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = dense
+    return order, rank, int(dense[-1]) + 1
+
+
 def long_repeats(texts: list[bytes], size: int) -> list[np.ndarray]:
     """For each text, flags of the window starts whose ``size`` bytes start elsewhere in the texts too.
 
@@ -134,11 +144,10 @@ def long_repeats(texts: list[bytes], size: int) -> list[np.ndarray]:
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key = key * sigma + np.roll(codes, -k)
-    rank = np.unique(key, return_inverse=True)[1]
-    while depth < size and (most := int(rank.max()) + 1) < n:
-        rank = np.unique(rank * most + np.roll(rank, -depth), return_inverse=True)[1]
+    order, rank, most = ordered(key)
+    while depth < size and most < n:
+        order, rank, most = ordered(rank * most + np.roll(rank, -depth))
         depth *= 2
-    order = np.argsort(rank, kind="stable")
     bwt = codes[order - 1]  # the text is taken as a ring
     back = np.empty(n, np.int64)  # the place of each suffix with the byte before it in front
     back[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
