@@ -1,0 +1,66 @@
+"""Stages judge texts, not ids: null and repeated ids with different texts."""
+
+from collections import Counter
+
+import pytest
+from conftest import DATA
+from samples import cut_repeats as brute
+
+from alleloom.llm import classifier
+from alleloom.llm import pipeline_stages as stages
+from alleloom.llm.common import table
+
+SCHEMA = "doc_id long, text string, n_chars int"
+
+
+def prose(name: str, n: int = 60) -> str:
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], SCHEMA)
+
+
+def got(df) -> Counter:
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("one", [None, 5])
+def test_only_the_changed_texts_are_cut(spark, one):
+    shared = prose("shared")
+    rows = [(one, prose("first") + " " + shared), (one, prose("second") + " " + shared), (one, prose("clean")), (one, shared[:250])]
+    want = [w[4].decode() for w in brute([t for _, t in rows])]
+    df = stages.cut_repeats(spark, frame(spark, rows), DATA)
+    assert want[2] == prose("clean") and not want[3]
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in df.collect()) == Counter((one, t, len(t)) for t in want[:3])
+
+
+@pytest.mark.parametrize("one", [None, 5])
+def test_only_the_contaminated_text_goes(spark, one):
+    item = table(spark, DATA, "benchmark").where("length(text) > 100").first()["text"]
+    df = stages.drop_benchmark(spark, frame(spark, [(one, prose("a") + " " + item), (one, prose("b")), (one, None)]), DATA)
+    assert got(df) == Counter([(one, prose("b")), (one, None)])
+
+
+@pytest.mark.parametrize("one", [None, 5])
+def test_only_the_bad_text_goes(spark, monkeypatch, one):
+    def score(docs, trees, id_col="doc_id"):
+        return docs.selectExpr(f"{id_col} as doc_id", "if(text like 'bad%', 0, 1) as predicted")
+
+    monkeypatch.setattr(classifier, "train", lambda *a: None)
+    monkeypatch.setattr(classifier, "score", score)
+    df = stages.keep_quality(spark, frame(spark, [(one, "bad text"), (one, "good text"), (one, "other text")]), DATA)
+    assert got(df) == Counter([(one, "good text"), (one, "other text")])
+
+
+def test_a_near_copy_without_an_id_goes(spark):
+    near = prose("x").replace("x59", "y")
+    rows = [(None, prose("x")), (None, prose("y")), (3, near), (4, prose("z")), (4, prose("w")), (None, "alone")]
+    df = stages.keep_one_of_each(spark, frame(spark, rows), DATA)
+    assert got(df) == Counter([(3, near), (None, prose("y")), (4, prose("z")), (4, prose("w")), (None, "alone")])
+
+
+def test_every_row_is_packed(spark):
+    rows = [(None, "one two"), (None, "three"), (4, "four five six"), (4, "seven")]
+    df = stages.pack(spark, frame(spark, rows), DATA)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in df.collect()) == Counter([(None, 3), (None, 2), (4, 4), (4, 2)])
