@@ -87,7 +87,7 @@ def _run_batches(size: int):
             part = np.searchsorted(begins, found["start"], side="right") - 1
             offset = np.array([p[3] for p in parts])
             valid = np.array([p[1] is not None for p in parts])
-            ids, tags = np.array([p[1] or 0 for p in parts], np.int64), np.array([p[2] for p in parts], np.int32)
+            ids, tags = np.array([p[1] or 0 for p in parts], np.int64), np.array([p[2] for p in parts], np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array(found["h"].view(np.int64)), pa.array(found["region"].view(np.int64)), pa.array(ids[part], mask=~valid[part]), pa.array(tags[part]),
                  pa.array((found["start"] - begins[part] + offset[part]).astype(np.int64)), pa.array(found["n"].astype(np.int16))],
@@ -192,8 +192,8 @@ def _texts_of(bundle: list[dict], size: int) -> dict[str, list]:
     return out
 
 
-SPANS = "doc_id long, tag int, begin long, end long"
-_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
+SPANS = "doc_id long, tag long, begin long, end long"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
 def _bundled(size: int, limit: int = 24 << 10):
@@ -214,56 +214,94 @@ def _bundled(size: int, limit: int = 24 << 10):
     return make
 
 
+STRINGS = "h long, n long, doc_id long, tag long, start long, bytes binary"
+_KINDS = {"h": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "tag": pa.int64(), "start": pa.int64(), "bytes": pa.binary()}
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each listed run with the bytes that its windows cover."""
-    names = ["h", "k", "n", "doc_id", "tag", "start", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def flush(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS.values(), strict=True)], names=list(_KINDS))
+
     for batch in batches:
         rows = []
         for text, doc, tag, found in zip(batch["text"], batch["doc_id"], batch["tag"], batch["found"], strict=True):
             data = text.as_py()
-            rows += [(f["h"], f["k"], f["n"], doc.as_py(), tag.as_py(), f["start"], data[f["start"] : f["end"]]) for f in found.as_py()]
+            rows += [(f["h"], f["n"], doc.as_py(), tag.as_py(), f["start"], data[f["start"] : f["end"]]) for f in found.as_py()]
             if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield flush(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield flush(rows)
+
+
+def anchor_of(data: bytes, size: int) -> int:
+    """Offset of the anchor of a run's first window, which is that of all its windows."""
+    x = np.frombuffer(data[:size], np.uint8).astype(np.uint64) + np.uint64(1)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * INVERSES[: len(x)], dtype=np.uint64)))
+    h = mixed((prefix[GRAM:] - prefix[:-GRAM]) * POWERS[: len(x) - GRAM + 1])
+    return int(np.argmin(h >> np.uint64(BLOCK_BITS)))
 
 
-def _each_window(size: int):
-    """A row for each window of a run, with a second hash of its bytes beside the run's."""
+def _parts(size: int, step: int):
+    """Runs split by how many bytes their windows have left of the anchor, ``step`` counts to a part.
+
+    All windows of a part share the bytes from its least to its greatest reach, so those bytes
+    are its key: equal windows lie in equal parts of their runs and meet under one key. At
+    ``step`` 1 the key is the window itself.
+    """
+    import xxhash
 
     def make(batch: pa.RecordBatch) -> dict:
-        cols: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[] for _ in range(7)]
         with np.errstate(over="ignore"):
-            for h, n, doc, tag, start, data in zip(*(batch[c].to_pylist() for c in ("h", "n", "doc_id", "tag", "start", "bytes")), strict=True):
-                x = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-                prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * INVERSES[: len(x)], dtype=np.uint64)))
-                at = np.arange(len(x) - size + 1)
-                for c, v in zip(cols, ([h] * len(at), mixed((prefix[size:] - prefix[:-size]) * POWERS[at]).view(np.int64).tolist(), [n] * len(at), [doc] * len(at), [tag] * len(at), (at + start).tolist()), strict=True):
-                    c.extend(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        return {k: pa.array(c, t) for k, c, t in zip(("h", "w", "n", "doc_id", "tag", "start"), cols, kinds, strict=True)}
+            for h, n, doc, tag, start, data in zip(*(batch[c].to_pylist() for c in _KINDS), strict=True):
+                at = anchor_of(data, size)
+                least = at - (len(data) - size)
+                for part in range(least // step, at // step + 1):
+                    low, high = part * step, min(part * step + step - 1, size - GRAM)
+                    a, b = max(low, least), min(high, at)
+                    own = data[at - b : at - a + size]
+                    key = xxhash.xxh64_intdigest(data[at - low : at - high + size], (h ^ part) & 0xFFFFFFFFFFFFFFFF)
+                    for c, v in zip(out, (key, xxhash.xxh64_intdigest(own, b), n, doc, tag, start + at - b, own), strict=True):
+                        c.append(v)
+        keys = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:2]]
+        return dict(zip(("h", "region", *list(_KINDS)[1:]), [*keys, *(pa.array(c, t) for c, t in zip(out[2:], list(_KINDS.values())[1:], strict=True))], strict=True))
 
     return make
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group_limit: int = 1024) -> DataFrame:
+def _split(strings: DataFrame, size: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """``(spans, strings)``: what parts that occur twice cover, and one string for each different part of a key, with their number ``k``."""
+    parts = cut(arrow_map(strings, _parts(size, step), "h long, region long, n long, doc_id long, tag long, start long, bytes binary"), "repeat-parts")
+    classes = parts.groupBy("h", "region").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "tag", "start", "bytes")).alias("one"))
+    again = parts.where("n = 1").join(classes.where("n > 1").select("h", "region"), ["h", "region"], "left_semi")
+    spans = again.select("doc_id", "tag", F.col("start").alias("begin"), (F.col("start") + F.octet_length("bytes")).alias("end"))
+    kinds = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    return spans, classes.join(kinds, "h").select("h", "n", "one.*", "k")
+
+
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, group_limit: int = 256) -> DataFrame:
     """``doc_id, text (binary), spans``: the byte ranges that repeated strings of ``size`` bytes cover.
 
     1. Every text is dealt into runs of window starts with a common anchor (a least gram hash);
        equal strings share the anchor's hash. Hashes that occur once end there.
-    2. All windows of a run that occurs twice repeat. A hash's most common run is known from the
-       counts that find the hash, the other ones by a join. Copies thus collapse before
-       anything is compared.
+    2. All windows of a run that occurs twice repeat (its anchor's and its own 64-bit hash are
+       equal). A hash's most common run is known from the counts that find the hash, the other
+       ones by a join. Copies thus collapse before anything is compared.
     3. Different texts under one hash are compared: their distinct runs, cut from the texts,
        fill bundles, and ``long_repeats`` finds the common strings on each bundle's transform.
-    4. Hashes with over ``group_limit`` different runs (the rims of very common passages) are not
-       brought together, since a bundle's rank table has its bytes times its alphabet (some 70 MB
-       for 1,024 runs): their windows are counted by hash, one row for each.
+    4. Where over ``group_limit`` different runs meet under one hash (the rims of very common
+       passages), each run is first split by its windows' reach to the left of the anchor, into
+       13 parts at most, keyed by the bytes that all windows of a part have. Inside the passage
+       all parts of a key are equal, beyond it no key is met twice, and what is left goes through
+       3 under its narrower key. Only a part that holds the rim itself can stay crowded; it
+       splits once more, into its windows, which are equal or not. So a crowded hash costs a
+       bounded number of rows for each of its runs, and no bundle exceeds ``group_limit`` strings.
     """
-    texts = documents(docs, id_col, text_col).withColumn("tag", F.hash("text"))
-    found = texts.where(F.octet_length("text") >= size).mapInArrow(_run_batches(size), "h long, region long, doc_id long, tag int, start long, n short")
+    texts = documents(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
+    found = texts.where(F.octet_length("text") >= size).mapInArrow(_run_batches(size), "h long, region long, doc_id long, tag long, start long, n short")
     regions = found.groupBy("h", "region").agg(F.count("*").alias("n"))
     dup = regions.groupBy("h").agg(F.sum("n").alias("times"), F.count("*").alias("kinds"), F.max("n").alias("most"), F.max_by("region", "n").alias("top")).where("times > 1")
     # kept apart, so that the join has plain exchanges on both sides and Spark can split a common hash
@@ -281,15 +319,19 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same_doc = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["tag"] == wanted["tag"])
     # repeated rows would cut the same strings again: one of them is enough
     picked = texts.join(wanted, same_doc).select(texts["doc_id"], texts["tag"], "text", "found").dropDuplicates(["doc_id", "tag"])
-    strings = picked.mapInArrow(_cut_out, "h long, k long, n long, doc_id long, tag int, start long, bytes binary")
-    few = strings.where(F.col("k") <= group_limit)
+
+    def strings(those) -> DataFrame:
+        return picked.withColumn("found", F.filter("found", those)).where(F.size("found") > 0).mapInArrow(_cut_out, STRINGS)
+
+    few = strings(lambda f: f["k"] <= group_limit)
+    # a part for every 13 of the 169 reaches, then one for each
+    parted, narrower = _split(strings(lambda f: f["k"] > group_limit), size, int((size - GRAM + 1) ** 0.5))
+    equal, _ = _split(narrower.where(F.col("k") > group_limit).drop("k"), size, 1)
+    few = few.unionByName(narrower.where(F.col("k") <= group_limit).drop("k"))
     compared = few.repartition("h").sortWithinPartitions("h").mapInArrow(_bundled(size), SPANS)
-    windows = arrow_map(strings.where(F.col("k") > group_limit), _each_window(size), "h long, w long, n long, doc_id long, tag int, start long")
-    often = windows.groupBy("h", "w").agg(F.count("*").alias("times")).where("times > 1").select("h", "w")
-    counted = windows.where("n = 1").join(often, ["h", "w"], "left_semi").select("doc_id", "tag", F.col("start").alias("begin"), (F.col("start") + size).alias("end"))
 
-    spans = common.unionByName(twice).unionByName(compared).unionByName(counted)
-    spans = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = common.unionByName(twice).unionByName(compared).unionByName(parted).unionByName(equal)
+    spans = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     here = texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["tag"] == spans["tag"])
     return texts.join(spans, here, "left").select(texts["doc_id"], "text", "spans")
 

@@ -285,6 +285,27 @@ def test_repeats_of_random_texts(spark, limit):
         assert got[i] == (w[4], w[1], w[2]), i
 
 
+@pytest.mark.parametrize("limit", [1, 8, 256])
+def test_repeats_around_a_common_passage(spark, limit):
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = noise(260)
+    texts = [noise(r.randint(0, 90)) + passage[r.choice([0, 0, 0, 9, 70]) : r.choice([260, 260, 260, 230])] + noise(r.randint(0, 90)) for _ in range(60)]
+    texts += [noise(50) + passage + noise(50) + passage[:210]] + [texts[0]] * 2
+    rows = [(i, t, *ROWS[0][2:]) for i, t in enumerate(texts)]
+    spans = suffix_dedup.with_spans(frame(spark, rows), group_limit=limit).collect()
+    got = {x["doc_id"]: suffix_dedup.remaining(bytes(x["text"]), x["spans"]) for x in spans}
+    for i, w in enumerate(cut_repeats(texts)):
+        assert got[i] == (w[4], w[1], w[2]), i
+
+
+def test_equal_rows_gather_their_spans_once(spark):
+    text = " ".join(f"word{i * i}" for i in range(300))
+    spans = suffix_dedup.with_spans(frame(spark, [(5, text, *ROWS[0][2:])] * 300 + [(None, text, *ROWS[0][2:])] * 20)).collect()
+    assert len(spans) == 320 and max(len(x["spans"]) for x in spans) <= len(text)
+    assert {suffix_dedup.remaining(bytes(x["text"]), x["spans"])[:2] for x in spans} == {(b"", len(text))}
+
+
 def test_held_out_parts(docs):
     got = {x["doc_id"]: x["p"] for x in docs.select("doc_id", classifier.training_part(docs["doc_id"]).alias("p")).collect()}
     assert got == {i: crc(i, 5) for i, _ in IDS_TEXTS}
