@@ -30,6 +30,11 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = [0, *ends[:-shingle].tolist()]
         values = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+    return majority(values)
+
+
+def majority(values: np.ndarray) -> int:
+    """A bit is 1 where over half of the unsigned 64-bit values have it; as a signed integer, zero of none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(values), 1 << 16):
         ones += np.unpackbits(values[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

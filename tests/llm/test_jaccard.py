@@ -70,6 +70,26 @@ def test_edited_copies_go_as_by_brute_force(spark, size, copies):
     assert kept(spark, rows) == want
 
 
+@pytest.mark.parametrize("pivots", [1, 2])
+def test_copies_of_several_templates_with_different_edits(spark, monkeypatch, pivots):
+    """Copies that differ from the pivot by more than a link allows, and templates that share buckets."""
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    r = random.Random(pivots)
+    base = " ".join(f"b{i}" for i in range(150))
+    templates = [base, edited(r, base, 3), edited(r, base, 4)]
+    rows = []
+    for k, t in enumerate(templates):
+        for i in range(70):
+            text = edited(r, t, r.choice([0, 1, 1, 2, 2, 3, 4, 5, 6]))
+            if r.random() < 0.2:  # some share an edit
+                text = text.replace(f"b{r.choice([40, 41])}", f"same{r.choice([1, 2])}")
+            rows.append((100 * k + i, text if r.random() < 0.8 else text + " " + " ".join(f"tail{r.random()}" for _ in range(r.randint(1, 20)))))
+    rows = [x for x in rows if x[1] != base]
+    want = expected(rows)
+    assert 20 < len(want) < len(rows) - 50
+    assert kept(spark, rows) == want
+
+
 def test_documents_of_the_tables(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").select("doc_id", "text").collect()]
     assert kept(spark, rows) == expected(rows)
