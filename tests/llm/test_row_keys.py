@@ -64,3 +64,37 @@ def test_every_row_is_packed(spark):
     rows = [(None, "one two"), (None, "three"), (4, "four five six"), (4, "seven")]
     df = stages.pack(spark, frame(spark, rows), DATA)
     assert Counter((r["doc_id"], r["n_tokens"]) for r in df.collect()) == Counter([(None, 3), (None, 2), (4, 4), (4, 2)])
+
+
+ALL = [stages.keep_quality, stages.keep_one_of_each, stages.cut_repeats, stages.drop_benchmark, stages.pack]
+CLASHING = "doc_id long, text string, n_chars long, row long, cut string, spans string, found string, component string, tag int"
+
+
+@pytest.mark.parametrize("stage", ALL)
+def test_columns_of_any_name_and_awkward_rows(spark, stage):
+    docs = table(spark, DATA, "documents").where("doc_id < 150").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(None, None), (None, ""), (3, "x"), (3, "x"), (None, prose("long", 30_000))]
+    df = spark.createDataFrame([(i, t, len(t or ""), 1, "c", "s", "f", "k", 2) for i, t in rows], CLASHING)
+    out = stage(spark, df, DATA)
+    if stage is not stages.pack:
+        assert out.columns == df.columns
+        assert {tuple(r)[3:] for r in out.collect()} == {(1, "c", "s", "f", "k", 2)}
+        kept = {r["text"] for r in out.collect()}
+        if stage is not stages.keep_quality:
+            assert {prose("long", 30_000)} < kept
+    else:
+        assert out.count() == len(rows)
+
+
+@pytest.mark.parametrize("stage", ALL)
+def test_no_documents_give_no_rows(spark, stage):
+    labelled = table(spark, DATA, "documents").schema
+    empty = spark.createDataFrame([], labelled)
+    assert stage(spark, empty, DATA).count() == 0
+
+
+def test_stages_keep_repeated_rows_apart(spark):
+    item = table(spark, DATA, "benchmark").where("length(text) > 100").first()["text"]
+    rows = [(5, prose("a")), (5, prose("a")), (5, prose("b") + " " + item), (None, prose("c"))]
+    assert got(stages.drop_benchmark(spark, frame(spark, rows), DATA)) == Counter([(5, prose("a")), (5, prose("a")), (None, prose("c"))])
+    assert got(stages.cut_repeats(spark, frame(spark, [(5, prose("a")), (5, prose("a")), (6, prose("b"))]), DATA)) == Counter([(6, prose("b"))])
