@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import QueryError
+
 #: Fixed value: chromosome (an optional "chr" is dropped), position, alleles, anything more.
 VARIANT = r"^(?:chr)?([^:]+):(\d+)[_:]([^/:_]+)[/:]([^_:]+)(?:[_:](.*))?$"
 #: Coefficients of a Chebyshev fit of erfc, by power of t.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 #: Fixed values: (shift, mask) steps that spread 32 bits over 64.
-SPREAD = ((16, 281470681808895), (8, 71777214294589695), (4, 1085102592571150095), (2, 3689348814741910323), (1, 6148914691236517205))
+SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
 def parse(variant: Column) -> Column:
@@ -19,6 +23,19 @@ def parse(variant: Column) -> Column:
     return F.when(variant.rlike(VARIANT), F.struct(part[0].alias("chrom"), part[1].cast("bigint").alias("pos"), part[2].alias("ref"), part[3].alias("alt"), F.nullif(part[4], F.lit("")).alias("extra")))
 
 
+def identifier(variant: str) -> tuple[str, int, str, str]:
+    """Chromosome, position and alleles of a variant that a caller names, in either notation; anything else is an error."""
+    found = re.match(VARIANT, variant or "")
+    if not found:
+        raise QueryError("not a variant", variant)
+    return found[1], int(found[2]), found[3], found[4]
+
+
+def identifier_parts(variant: Column) -> list[Column]:
+    """Chromosome, position and alleles of a name in either notation."""
+    return [F.regexp_extract(variant, VARIANT, i) for i in range(1, 5)]
+
+
 def strict_parts(variant: Column) -> Column:
     """The four tokens between ``:``, ``_`` and ``/``; null unless there are four."""
     parts = F.split(variant, "[:_/]")

@@ -1,8 +1,10 @@
 """Correlation of variants: all pairs of a region, or one variant against a region.
 
-A pair's sums come from an equi-join on the sample, so only shared carriers are ever paired;
-pairs that share nobody come from the variants alone. For regions where most samples carry most
-variants, ``dense_pairs`` multiplies blocks instead.
+Calls are first gathered into one row per variant, as a sparse column: who carries it, who misses.
+Everything else reads that one aggregate, so its exchange is reused. A pair's sums come from an
+equi-join on the haplotype (or sample), so only shared carriers are ever paired; pairs that
+share nobody come from the variants alone. For regions where many samples carry most variants,
+``dense_pairs`` multiplies blocks instead.
 """
 
 from __future__ import annotations
@@ -12,18 +14,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .genotype import in_region, polymorphic
+from ..errors import QueryError
+from ..functions.variants import identifier, segment
+from .genotype import in_region, unit
 
 METRICS = ("r", "rsquare", "rsquare_approx", "cov", "dprime")
+VARIANT = ("chrom", "pos", "variant")
+#: Variants are spread over so many blocks where pairs are formed from variants alone.
+BLOCKS = 16
+#: From this mean share of carriers on, multiplying blocks takes less than joining carriers.
+DENSE = 0.05
 
 
-def _coded(calls: DataFrame, metric: str, n: int) -> DataFrame:
-    """``x`` per row: 1 for carried or missing; for covariances the count, missing ones the mean over all samples."""
-    calls = polymorphic(calls)
-    if metric != "cov":
-        return calls.select("chrom", "pos", "variant", "sample", F.lit(1e0).alias("x"))
-    means = calls.groupBy("chrom", "pos", "variant").agg((F.sum("dosage") / F.lit(float(n))).alias("mean"))
-    return calls.join(means, ["chrom", "pos", "variant"]).select("chrom", "pos", "variant", "sample", F.coalesce("dosage", "mean").cast("double").alias("x"))
+def columns(calls: DataFrame, n: int, metric: str) -> DataFrame:
+    """One row per variant that someone carries: ``chrom, pos, variant, s, fill, g``.
+
+    ``calls``: haplotypes (``sample, hap``) for r, r squared and D', samples with counts for covariances.
+    A carried or missing haplotype counts 1; a sample's missing count is the mean over all ``n``. ``s``
+    is the sum of these values, ``fill`` what stands for a missing one, ``g`` the entries.
+    """
+    if metric not in METRICS:
+        raise QueryError(f"unknown metric {metric}")
+    key = unit(calls)
+    found = calls.groupBy(*VARIANT).agg(F.sum("dosage").cast("double").alias("ac"), F.count_if(F.col("dosage").isNull()).alias("missing"), F.collect_list(F.struct(*key, "dosage")).alias("g"))
+    # the size keeps the entries in the aggregate of every reader, so that all read the same exchange
+    found = found.where((F.col("ac") > 0) & (F.size("g") > 0))
+    fill = F.col("ac") / F.lit(float(n)) if metric == "cov" else F.lit(1e0)
+    s = F.col("ac") + F.col("missing") * fill if metric == "cov" else F.size("g").cast("double")
+    return found.select(*VARIANT, s.alias("s"), fill.alias("fill"), "g")
+
+
+def entries(cols: DataFrame, metric: str, *keys: str) -> DataFrame:
+    """``(keys, chrom, pos, variant, sample[, hap], x)``."""
+    x = F.coalesce("e.dosage", "fill") if metric == "cov" else F.lit(1e0)
+    inner = [f.name for f in cols.schema["g"].dataType.elementType.fields[:-1]]
+    rows = cols.select(*keys, *VARIANT, "fill", F.explode("g").alias("e"))
+    return rows.select(*keys, *VARIANT, *[f"e.{c}" for c in inner], x.cast("double").alias("x"))
 
 
 def value(metric: str, n: int, s1: Column, s2: Column, s12: Column) -> Column:
@@ -43,93 +69,145 @@ def value(metric: str, n: int, s1: Column, s2: Column, s12: Column) -> Column:
     return r if metric == "r" else r * r
 
 
-def _sides(sums: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    return tuple(sums.select(*keys, "chrom", *[F.col(c).alias(f"{c}{i}") for c in ("pos", "variant", "s")]) for i in (1, 2))
+def _order(diagonal: bool) -> Column:
+    first, second = F.struct("pos1", "variant1"), F.struct("pos2", "variant2")
+    return first <= second if diagonal else first < second
 
 
-def region_pairs(calls: DataFrame, n: int, metric: str = "rsquare", diagonal: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(keys, chrom, pos1, variant1, pos2, variant2, value)`` for all pairs in order of position, then name.
+def _side(rows: DataFrame, i: int, *keep: str) -> DataFrame:
+    return rows.select("chrom", *keep, *[F.col(c).alias(f"{c}{i}") for c in ("pos", "variant", "s", "x") if c in rows.columns])
 
-    ``n``: haplotypes (samples for covariances) of the chosen subset. With ``keys`` (a group), only
-    pairs within one. Both self-joins are on equal keys.
+
+def paired(sums: DataFrame, diagonal: bool, keys: tuple[str, ...] = (), cells: DataFrame | None = None, size: int = 1) -> DataFrame:
+    """``(keys, chrom, pos1, variant1, s1, pos2, variant2, s2)`` of variants alone, by equal keys.
+
+    Within groups the group is the key. Given cells (``chrom, i, j``), a variant meets those of the
+    segments that its own has a cell with. Else each variant goes to a row and a column of a square
+    of blocks, so every pair meets in one block of the square and no task holds them all.
     """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric}")
-    coded = _coded(calls.drop(*keys).distinct() if keys else calls, metric, n)
     if keys:
-        coded = coded.join(calls.select(*keys, "chrom", "pos", "variant").distinct(), ["chrom", "pos", "variant"])
-    sums = coded.groupBy(*keys, "chrom", "pos", "variant").agg(F.sum("x").alias("s"))
-    a, b = _sides(sums, keys)
-    order = F.struct("pos1", "variant1") <= F.struct("pos2", "variant2") if diagonal else F.struct("pos1", "variant1") < F.struct("pos2", "variant2")
-    pairs = a.join(b, [*keys, "chrom"]).where(order)
-    x1 = coded.select(*keys, "chrom", "sample", F.col("pos").alias("pos1"), F.col("variant").alias("variant1"), F.col("x").alias("x1"))
-    x2 = coded.select(*keys, "chrom", "sample", F.col("pos").alias("pos2"), F.col("variant").alias("variant2"), F.col("x").alias("x2"))
+        return _side(sums, 1, *keys).join(_side(sums, 2, *keys), [*keys, "chrom"]).where(_order(diagonal))
+    if cells is not None:
+        a = _side(sums, 1).withColumn("i", segment(F.col("pos1"), size)).join(cells.select("chrom", "i", "j"), ["chrom", "i"])
+        b = _side(sums, 2).withColumn("j", segment(F.col("pos2"), size))
+        return a.join(b, ["chrom", "j"]).where(_order(diagonal)).drop("i", "j")
+    own, every = F.pmod(F.xxhash64("variant"), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    a = _side(sums.withColumn("row", own).withColumn("column", every), 1, "row", "column")
+    b = _side(sums.withColumn("column", own).withColumn("row", every), 2, "row", "column")
+    return a.join(b, ["row", "column", "chrom"]).where(_order(diagonal)).drop("row", "column")
+
+
+def products(cols: DataFrame, metric: str, diagonal: bool, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of products of the pairs that share a haplotype or sample."""
+    rows = entries(cols, metric, *keys)
+    on = [*keys, *unit(rows)]
+    both = _side(rows, 1, *on).join(_side(rows, 2, *on), [*on, "chrom"]).where(_order(diagonal))
+    return both.groupBy(*keys, "chrom", "pos1", "variant1", "pos2", "variant2").agg(F.sum(F.col("x1") * F.col("x2")).alias("s12"))
+
+
+def _valued(pairs: DataFrame, both: DataFrame, metric: str, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
     names = [*keys, "chrom", "pos1", "variant1", "pos2", "variant2"]
-    both = x1.join(x2, [*keys, "chrom", "sample"]).where(order).groupBy(*names).agg(F.sum(F.col("x1") * F.col("x2")).alias("s12"))
-    s12 = F.coalesce("s12", F.lit(0e0))
-    return pairs.join(both, names, "left").select(*names, value(metric, n, F.col("s1"), F.col("s2"), s12).alias("value"))
+    return pairs.join(both, names, "left").select(*names, value(metric, n, F.col("s1"), F.col("s2"), F.coalesce("s12", F.lit(0e0))).alias("value"))
+
+
+def region_pairs(calls: DataFrame, n: int, metric: str = "rsquare", diagonal: bool = False, groups: DataFrame | None = None, cells: DataFrame | None = None, size: int = 1) -> DataFrame:
+    """``([group,] chrom, pos1, variant1, pos2, variant2, value)`` for all pairs in order of position, then name.
+
+    ``n``: haplotypes (samples for covariances) of the chosen subset. With ``groups(group, chrom, pos, variant)``
+    only pairs within one; with ``cells(chrom, i, j)`` only pairs of segments of ``size`` that have a cell.
+    """
+    cols, keys = columns(calls, n, metric), ()
+    if groups is not None:
+        keys = ("group",)
+        cols = cols.join(groups.select("group", *VARIANT).distinct(), list(VARIANT))
+    sums = cols.select(*keys, *VARIANT, "s")
+    return _valued(paired(sums, diagonal, keys, cells, size), products(cols, metric, diagonal, keys), metric, n, keys)
 
 
 def index_pairs(calls: DataFrame, index: DataFrame, n: int, metric: str = "rsquare") -> DataFrame:
     """One variant against all of ``calls``, itself included if it is among them.
 
     ``index``: the calls of that variant alone, which may lie outside the region; on another chromosome
-    it gives no rows. Its carriers are matched on the sample; the region is read once.
+    it gives no rows.
     """
-    rows, own = _coded(calls, metric, n), _coded(index, metric, n)
-    sums = rows.groupBy("chrom", "pos", "variant").agg(F.sum("x").alias("s2"))
-    one = own.groupBy("chrom", F.col("pos").alias("index_pos"), F.col("variant").alias("index_variant")).agg(F.sum("x").alias("s1"))
-    both = rows.join(own.select("chrom", "sample", F.col("x").alias("x1")), ["chrom", "sample"]).groupBy("chrom", "pos", "variant").agg(F.sum(F.col("x") * F.col("x1")).alias("s12"))
+    cols, own = columns(calls, n, metric), columns(index, n, metric)
+    one = own.select("chrom", F.col("pos").alias("index_pos"), F.col("variant").alias("index_variant"), F.col("s").alias("s1"))
+    carriers = entries(own, metric)
+    on = ["chrom", *unit(carriers)]
+    both = entries(cols, metric).join(carriers.select(*on, F.col("x").alias("x1")), on).groupBy(*VARIANT).agg(F.sum(F.col("x") * F.col("x1")).alias("s12"))
     # one row, that of the index variant
-    out = sums.join(F.broadcast(one), "chrom").join(both, ["chrom", "pos", "variant"], "left")
-    return out.select("index_variant", "index_pos", "chrom", "pos", "variant", value(metric, n, F.col("s1"), F.col("s2"), F.coalesce("s12", F.lit(0e0))).alias("value"))
+    out = cols.select(*VARIANT, F.col("s").alias("s2")).join(F.broadcast(one), "chrom").join(both, list(VARIANT), "left")
+    return out.select("index_variant", "index_pos", *VARIANT, value(metric, n, F.col("s1"), F.col("s2"), F.coalesce("s12", F.lit(0e0))).alias("value"))
+
 
+def _multiply(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """Products of the columns of two blocks over one part of the samples."""
+    chrom, i, j, _ = key
+    left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+    who, place = np.unique(np.concatenate([*left["units"], *right["units"]]), return_inverse=True)
 
-def dense_pairs(calls: DataFrame, n: int, metric: str = "rsquare", size: int = 256) -> DataFrame:
-    """The same rows as ``region_pairs``, by matrix products of blocks of ``size`` variants.
+    def matrix(part: pd.DataFrame, at: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(part), len(who)))
+        m[np.repeat(np.arange(len(part)), part["units"].map(len)), at] = np.concatenate(part["xs"].to_numpy())
+        return m
 
-    Each pair of blocks is one group of two blocks' calls, multiplied by numpy in chunks of samples.
+    split = int(left["units"].map(len).sum())
+    out = matrix(left, place[:split]) @ matrix(right, place[split:]).T
+    p, q = np.nonzero(out)
+    names = {f"{c}{k}": side[c].to_numpy()[at] for k, side, at in ((1, left, p), (2, right, q)) for c in ("pos", "variant")}
+    return pd.DataFrame({"chrom": chrom, **names, "part": out[p, q]})
+
+
+def dense_pairs(calls: DataFrame, n: int, metric: str = "rsquare", blocks: int = 4, parts: int = 1, diagonal: bool = False) -> DataFrame:
+    """The same rows as ``region_pairs``, by matrix products of blocks of variants.
+
+    Variants are dealt into ``blocks`` and samples into ``parts`` by hash; a task multiplies two
+    blocks over one part, so it holds two matrices of (variants / blocks) x (samples / parts) numbers.
     """
-    from pyspark.sql import Window
+    cols = columns(calls, n, metric)
+    rows = entries(cols, metric)
+    who = F.xxhash64(*unit(rows))
+    dealt = rows.select(*VARIANT, who.alias("who"), F.pmod(who, F.lit(parts)).cast("int").alias("piece"), "x").groupBy(*VARIANT, "piece").agg(F.collect_list(F.struct("who", "x")).alias("e"))
+    blocked = dealt.select(*VARIANT, "piece", F.pmod(F.xxhash64("variant"), F.lit(blocks)).cast("int").alias("block"), F.col("e.who").alias("units"), F.col("e.x").alias("xs"))
+    cells = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def multiply(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        if not ((part["block"] == key[1]).any() and (part["block"] == key[2]).any()):
+            return pd.DataFrame(columns=["chrom", "pos1", "variant1", "pos2", "variant2", "part"])
+        return _multiply(key, part)
 
-    coded = _coded(calls, metric, n)
-    sums = coded.groupBy("chrom", "pos", "variant").agg(F.sum("x").alias("s"))
-    numbered = sums.withColumn("idx", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "variant")) - 1)
-    blocks = numbered.withColumn("block", F.floor(F.col("idx") / size).cast("int"))
-    last = blocks.groupBy("chrom").agg(F.max("block").alias("last"))
-    rows = coded.join(blocks.select("chrom", "pos", "variant", "idx", "block"), ["chrom", "pos", "variant"]).join(last, "chrom")
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).select("chrom", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "idx", "sample", "x")
+    made = cells.groupBy("chrom", "i", "j", "piece").applyInPandas(multiply, "chrom string, pos1 long, variant1 string, pos2 long, variant2 string, part double")
+    # blocks are unordered, so a product may come the other way round; a block with itself gives both ways
+    turned = made.unionByName(made.select("chrom", F.col("pos2").alias("pos1"), F.col("variant2").alias("variant1"), F.col("pos1").alias("pos2"), F.col("variant1").alias("variant2"), "part")).where(_order(diagonal))
+    block = [F.pmod(F.xxhash64(f"variant{k}"), F.lit(blocks)) for k in (1, 2)]
+    share = F.when(block[0] == block[1], F.col("part") / 2).otherwise(F.col("part"))
+    both = turned.groupBy("chrom", "pos1", "variant1", "pos2", "variant2").agg(F.sum(share).alias("s12"))
+    return _valued(paired(cols.select(*VARIANT, "s"), diagonal), both, metric, n)
 
-    def multiply(key, rows: pd.DataFrame) -> pd.DataFrame:
-        chrom, i, j = key
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        a, b = np.unique(left["idx"]), np.unique(right["idx"])
-        names, out = np.unique(rows["sample"]), np.zeros((len(a), len(b)))
-        for at in range(0, len(names), 4096):
-            some = names[at : at + 4096]
 
-            def block(part, idx, some=some):
-                part = part[(part["sample"] >= some[0]) & (part["sample"] <= some[-1])]
-                m = np.zeros((len(some), len(idx)))
-                m[np.searchsorted(some, part["sample"]), np.searchsorted(idx, part["idx"])] = part["x"]
-                return m
+def carried_share(calls: DataFrame, n: int) -> float:
+    """Mean share of haplotypes or samples that carry a variant or miss its call; one small job."""
+    row = calls.groupBy(*VARIANT).agg(F.count("*").alias("m")).agg(F.avg("m").alias("m")).first()
+    return (row["m"] or 0.0) / n if n else 0.0
 
-            out += block(left, a).T @ block(right, b)
-        p, q = np.nonzero((out != 0) & (a[:, None] < b[None, :]))
-        return pd.DataFrame({"chrom": chrom, "idx1": a[p], "idx2": b[q], "s12": out[p, q]})
 
-    product = cells.groupBy("chrom", "i", "j").applyInPandas(multiply, "chrom string, idx1 int, idx2 int, s12 double")
-    side = [numbered.select("chrom", F.col("idx").alias(f"idx{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("pos", "variant", "s")]) for k in (1, 2)]
-    pairs = side[0].join(side[1], "chrom").where("idx1 < idx2").join(product, ["chrom", "idx1", "idx2"], "left")
-    return pairs.select("chrom", "pos1", "variant1", "pos2", "variant2", value(metric, n, F.col("s1"), F.col("s2"), F.coalesce("s12", F.lit(0e0))).alias("value"))
+def region(calls: DataFrame, n: int, chrom: str, start: int, stop: int, metric: str = "rsquare", diagonal: bool = False, dense: bool | None = False) -> DataFrame:
+    """All pairs of a region. ``dense``: multiply blocks; null decides by the share of carriers."""
+    inside = in_region(calls, chrom, start, stop)
+    if dense is None:
+        dense = carried_share(inside, n) >= DENSE
+    return dense_pairs(inside, n, metric, diagonal=diagonal) if dense else region_pairs(inside, n, metric, diagonal)
 
 
-def region(calls: DataFrame, n: int, chrom: str, start: int, stop: int, metric: str = "rsquare", diagonal: bool = False) -> DataFrame:
-    return region_pairs(in_region(calls, chrom, start, stop), n, metric, diagonal)
+def index_calls(calls: DataFrame, index: str, chrom: str) -> tuple[DataFrame, str, int]:
+    """Calls of the index variant, its name and position; both notations are read, anything else is an error."""
+    at, pos, ref, alt = identifier(index)
+    name = f"{at}:{pos}_{ref}/{alt}"
+    own = calls.where((F.col("chrom") == at) & (F.col("chrom") == chrom) & (F.col("pos") == pos) & (F.col("variant") == name))
+    return own, name, pos
 
 
 def variant(calls: DataFrame, n: int, index: str, chrom: str, start: int, stop: int, metric: str = "rsquare") -> DataFrame:
-    """``index``: ``chrom:pos_ref/alt``."""
-    pos = int(index.split(":")[1].split("_")[0])
-    own = calls.where((F.col("chrom") == chrom) & (F.col("pos") == pos) & (F.col("variant") == index))
+    """``index``: ``chrom:pos_ref/alt`` or ``chrom:pos:ref:alt``; on another chromosome there are no rows."""
+    own, _, _ = index_calls(calls, index, chrom)
     return index_pairs(in_region(calls, chrom, start, stop), own, n, metric)

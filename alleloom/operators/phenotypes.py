@@ -21,12 +21,16 @@ def number(text: Column) -> Column:
 
 
 def encode_by_appearance(rows: DataFrame, column: str, line: str) -> DataFrame:
-    """``(level, code)``: 0, 1, 2, ... in the order that levels first appear in, by line number."""
+    """``(level, code)``: levels by their first line; an integer keeps its value, another text gets the largest code so far plus one (0 at first)."""
     from pyspark.sql import Window
 
     first = rows.select(value_or_null(F.col(column)).alias("level"), F.col(line).alias("line")).dropna().groupBy("level").agg(F.min("line").alias("line"))
-    # a row for each level
-    return first.select("level", (F.row_number().over(Window.orderBy("line", "level")) - 1).alias("code"))
+    # a row for each level; a text's code is its count among texts, plus what an integer before it was ahead of that count
+    so_far = Window.orderBy("line", "level").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.when(F.col("level").rlike("^[+-]?[0-9]+$"), F.col("level").try_cast("bigint"))
+    counted = first.select("level", number.alias("number"), F.sum(number.isNull().cast("bigint")).over(so_far).alias("texts"), "line")
+    ahead = F.max(F.col("number") - F.col("texts")).over(so_far)
+    return counted.select("level", F.coalesce("number", F.col("texts") + F.greatest(F.lit(-1), ahead)).alias("code"))
 
 
 def encode_pedigree(text: Column) -> Column:
@@ -36,9 +40,10 @@ def encode_pedigree(text: Column) -> Column:
 
 
 def kind(text: Column) -> Column:
-    """A value's kind: INTEGER, FLOAT or TEXT; null where missing."""
+    """A value's kind: INTEGER (3.0 as well), FLOAT or TEXT; null where missing."""
     v = value_or_null(text)
-    return F.when(v.isNull(), None).when(v.rlike(r"^[+-]?\d+$"), "INTEGER").when(v.try_cast("double").isNotNull(), "FLOAT").otherwise("TEXT")
+    x = v.try_cast("double")
+    return F.when(v.isNull(), None).when(x == F.floor(x), "INTEGER").when(x.isNotNull(), "FLOAT").otherwise("TEXT")
 
 
 def infer_kinds(rows: DataFrame, columns: list[str], line: str) -> DataFrame:

@@ -60,14 +60,12 @@ def legacy_score(calls: DataFrame, phenotype: DataFrame) -> DataFrame:
     return sums.join(total).select("chrom", "pos", "variant", u.alias("score_stat"), F.col("sigma2"), two_sided_p(F.try_divide(u, F.sqrt("sigma2"))).alias("pvalue"))
 
 
-def group_members(calls: DataFrame, groups: DataFrame) -> DataFrame:
-    """Calls of each group's variants; ``groups(group, chrom, pos, variant)``."""
-    return calls.join(groups.select("group", "chrom", "pos", "variant").distinct(), ["chrom", "pos", "variant"])
-
-
 def group_covariance(calls: DataFrame, groups: DataFrame, n: int, sigma2: float | None = None) -> DataFrame:
-    """Upper triangle with diagonal within each group; divided by the phenotype's variance if given."""
-    pairs = region_pairs(group_members(calls, groups), n, "cov", True, ("group",))
+    """Upper triangle with diagonal within each group; divided by the phenotype's variance if given.
+
+    ``groups(group, chrom, pos, variant)``; the calls are those of the samples that ``n`` counts.
+    """
+    pairs = region_pairs(calls, n, "cov", True, groups)
     return pairs if sigma2 is None else pairs.withColumn("value", F.try_divide(F.col("value"), F.lit(float(sigma2))))
 
 
@@ -87,13 +85,17 @@ def filtered(scores: DataFrame, filters: list[dict]) -> DataFrame:
 
 
 def surviving_pairs(pairs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Pairs of which both variants are among the scores."""
-    kept = scores.select("chrom", "pos", "variant").distinct()
+    """Pairs of which both variants are among the scores; within their group, where both have one."""
+    keys = [*(["group"] if "group" in pairs.columns and "group" in scores.columns else []), "chrom"]
+    kept = scores.select(*keys, "pos", "variant").distinct()
     for i in ("1", "2"):
-        pairs = pairs.join(kept.select("chrom", F.col("pos").alias(f"pos{i}"), F.col("variant").alias(f"variant{i}")), ["chrom", f"pos{i}", f"variant{i}"], "left_semi")
+        pairs = pairs.join(kept.select(*keys, F.col("pos").alias(f"pos{i}"), F.col("variant").alias(f"variant{i}")), [*keys, f"pos{i}", f"variant{i}"], "left_semi")
     return pairs
 
 
-def response_variants(scores: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each variant of a response once, with the first group (by name) that has it."""
-    return scores.join(groups, ["chrom", "pos", "variant"]).groupBy("chrom", "pos", "variant").agg(F.min("group").alias("first_group"), F.first("alt_freq").alias("alt_freq"), F.first("score_stat").alias("score_stat"))
+def response_variants(scores: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Each variant of a response once, with the first group that has it: by the mask's place if there is one, then by name."""
+    rows = scores if groups is None else scores.join(groups, ["chrom", "pos", "variant"])
+    order = F.struct(*[c for c in ("mask_place", "mask") if c in rows.columns], "group")
+    first = F.min(F.struct(order.alias("o"), "alt_freq", "score_stat", "pvalue"))
+    return rows.groupBy("chrom", "pos", "variant").agg(first.alias("f")).select("chrom", "pos", "variant", F.col("f.o.group").alias("first_group"), "f.alt_freq", "f.score_stat", "f.pvalue")

@@ -2,62 +2,135 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.variants import morton, segment
+from ..errors import QueryError
+from ..functions.variants import SPREAD, morton, segment
+from ..operators import ld
+from ..operators.genotype import in_region
+
+#: Cells of a region are listed where the page is planned, so a region has so many segments at most.
+SEGMENT_LIMIT = 10_000
+PAIR_ORDER = ("cell", "pos1", "variant1", "pos2", "variant2")
+VARIANT_ORDER = ("cell", "pos", "variant")
+SCORE_ORDER = ("segment", "pos", "variant")
 
 
 @dataclass(frozen=True)
 class Cursor:
-    """The last row given, by cell and place in it."""
+    """The place of the last row given, and the number of the next page."""
 
-    cell: int
-    pos1: int
-    variant1: str
-    pos2: int
-    variant2: str
+    place: tuple
     page: int = 1
 
     def __str__(self) -> str:
-        return "|".join(map(str, (self.cell, self.pos1, self.variant1, self.pos2, self.variant2, self.page)))
+        return json.dumps([*self.place, self.page], separators=(",", ":"))
 
     @classmethod
     def parse(cls, text: str) -> Cursor:
-        cell, p1, v1, p2, v2, page = text.split("|")
-        return cls(int(cell), int(p1), v1, int(p2), v2, int(page))
-
+        try:
+            *place, page = json.loads(text)
+            return cls(tuple(place), int(page))
+        except (ValueError, TypeError) as e:
+            raise QueryError("not a cursor", text) from e
 
-def celled(pairs: DataFrame, size: int) -> DataFrame:
-    """Adds the Morton code of the pair's segments."""
-    return pairs.withColumn("cell", morton(segment(F.col("pos1"), size), segment(F.col("pos2"), size)))
 
-
-ORDER = ("cell", "pos1", "variant1", "pos2", "variant2")
-
-
-def page(pairs: DataFrame, size: int, limit: int, after: Cursor | None = None) -> DataFrame:
-    """The next ``limit`` pairs; a top-k, so no full sort. Pages put together are the whole result."""
-    rows = celled(pairs, size)
+def keyset(rows: DataFrame, order: tuple[str, ...], limit: int, after: Cursor | None = None) -> DataFrame:
+    """The next ``limit`` rows after a place; a top-k, so no full sort. Pages put together are the whole result."""
     if after:
-        rows = rows.where(F.struct(*ORDER) > F.struct(F.lit(after.cell).cast("bigint"), F.lit(after.pos1).cast("bigint"), F.lit(after.variant1), F.lit(after.pos2).cast("bigint"), F.lit(after.variant2)))
-    return rows.orderBy(*ORDER).limit(limit)
+        kinds = {f.name: f.dataType for f in rows.schema}
+        if len(after.place) != len(order):
+            raise QueryError("the cursor is of another kind of page", str(after))
+        rows = rows.where(F.struct(*order) > F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, after.place, strict=True)]))
+    return rows.orderBy(*order).limit(limit)
 
 
-def next_cursor(rows: list, limit: int, after: Cursor | None = None) -> Cursor | None:
+def next_cursor(rows: list, order: tuple[str, ...], limit: int, after: Cursor | None = None) -> Cursor | None:
     """From a page's collected rows; none after the last."""
     if len(rows) < limit or not rows:
         return None
-    r = rows[-1]
-    return Cursor(*(r[c] for c in ORDER), page=(after.page if after else 0) + 1)
+    return Cursor(tuple(rows[-1][c] for c in order), (after.page if after else 0) + 1)
+
+
+def celled(pairs: DataFrame, size: int) -> DataFrame:
+    """Adds the Morton code of the pair's segments."""
+    return pairs.withColumn("cell", morton(segment(F.col("pos1"), size), segment(F.col("pos2"), size)))
+
+
+def page(pairs: DataFrame, size: int, limit: int, after: Cursor | None = None) -> DataFrame:
+    """A page of pairs that are there already."""
+    return keyset(celled(pairs, size), PAIR_ORDER, limit, after)
+
+
+def _morton(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def spread(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.int64)
+        for shift, mask in SPREAD:
+            x = (x | (x << shift)) & mask
+        return x
+
+    return spread(i) | (spread(j) << 1)
+
+
+def cells_of_page(counts: dict[int, int], limit: int, diagonal: bool = False, after: Cursor | None = None) -> list[tuple[int, int]]:
+    """The cells (i <= j) in Z-order whose pairs fill the next page, from the number of variants in each segment."""
+    seg = np.array(sorted(counts), np.int64)
+    if len(seg) > SEGMENT_LIMIT:
+        raise QueryError(f"the region has over {SEGMENT_LIMIT} segments")
+    m = np.array([counts[s] for s in seg.tolist()], np.int64)
+    a, b = np.triu_indices(len(seg))
+    pairs = np.where(a == b, m[a] * (m[a] - 1) // 2 + (m[a] if diagonal else 0), m[a] * m[b])
+    code = _morton(seg[a], seg[b])
+    order = np.argsort(code)
+    a, b, code, pairs = a[order], b[order], code[order], pairs[order]
+    first = np.searchsorted(code, after.place[0]) if after else 0
+    if after and first < len(code) and code[first] == after.place[0]:
+        pairs[first] = 0  # how many of the cell's pairs are left isn't known
+    last = first + np.searchsorted(np.cumsum(pairs[first:]), limit) + 1
+    return [(int(seg[x]), int(seg[y])) for x, y in zip(a[first:last], b[first:last], strict=True)]
+
+
+def region_page(calls: DataFrame, n: int, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None, diagonal: bool = False) -> DataFrame:
+    """A page of a region's pairs, of which only those in the page's cells are formed.
+
+    One small job counts the variants of each segment (a row for each segment of the region).
+    """
+    inside = in_region(calls, chrom, start, stop)
+    carried = inside.where("dosage > 0").select("pos", "variant").distinct()
+    counts = {r["segment"]: r["m"] for r in carried.groupBy(segment(F.col("pos"), size).alias("segment")).agg(F.count("*").alias("m")).limit(SEGMENT_LIMIT + 1).collect()}
+    chosen = cells_of_page(counts, limit, diagonal, after)
+    cells = calls.sparkSession.createDataFrame([(chrom, i, j) for i, j in chosen], "chrom string, i long, j long")
+    used = sorted({s for c in chosen for s in c})
+    if used:
+        inside = inside.where(F.col("pos").between(used[0] * size, used[-1] * size + size - 1))
+    if len(used) < 100:
+        inside = inside.where(segment(F.col("pos"), size).isin(used))
+    return page(ld.region_pairs(inside, n, metric, diagonal, cells=cells, size=size), size, limit, after)
+
+
+def variant_page(calls: DataFrame, n: int, index: str, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None) -> DataFrame:
+    """A page of one variant against a region, by cell, position and name."""
+    rows = ld.variant(calls, n, index, chrom, start, stop, metric)
+    own, other = segment(F.col("index_pos"), size), segment(F.col("pos"), size)
+    return keyset(rows.withColumn("cell", morton(F.least(own, other), F.greatest(own, other))), VARIANT_ORDER, limit, after)
+
+
+def score_page(scores: DataFrame, size: int, limit: int, after: Cursor | None = None) -> DataFrame:
+    """A page of score statistics, by segment, position and name."""
+    return keyset(scores.withColumn("segment", segment(F.col("pos"), size)), SCORE_ORDER, limit, after)
 
 
 def allowed_cells(positions: DataFrame, size: int) -> DataFrame:
     """Cells (i <= j) between segments that have listed positions; one row for each."""
     seg = positions.select("chrom", segment(F.col("pos"), size).alias("i")).distinct()
-    return seg.join(seg.withColumnRenamed("i", "j"), "chrom").where("i <= j").select("chrom", "i", "j", morton(F.col("i"), F.col("j")).alias("cell"))
+    every = seg.groupBy("chrom").agg(F.collect_set("i").alias("all"))  # a number for each segment
+    cells = seg.join(every, "chrom").select("chrom", "i", F.explode("all").alias("j")).where("i <= j")
+    return cells.withColumn("cell", morton(F.col("i"), F.col("j")))
 
 
 def bigmin(code: int, low: int, high: int, bits: int = 32) -> int:
@@ -66,9 +139,6 @@ def bigmin(code: int, low: int, high: int, bits: int = 32) -> int:
     def split(z: int) -> tuple[int, int]:
         return tuple(sum(((z >> 2 * b + o) & 1) << b for b in range(bits)) for o in (0, 1))
 
-    def join(i: int, j: int) -> int:
-        return sum(((i >> b) & 1) << 2 * b | ((j >> b) & 1) << 2 * b + 1 for b in range(bits))
-
     (i0, j0), (i1, j1) = split(low), split(high)
 
     def least(bit: int, prefix: int) -> int | None:
@@ -81,7 +151,8 @@ def bigmin(code: int, low: int, high: int, bits: int = 32) -> int:
             return a
         if not bit:
             return None
-        return least(bit - 1, prefix << 1) if (x := least(bit - 1, prefix << 1)) is not None else least(bit - 1, prefix << 1 | 1)
+        below = least(bit - 1, prefix << 1)
+        return below if below is not None else least(bit - 1, prefix << 1 | 1)
 
     found = least(high.bit_length(), 0)
     return -1 if found is None else found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..errors import QueryError
+from ..functions.variants import identifier
 from ..operators.ld import METRICS
 
 #: The service's limits.
@@ -25,6 +26,20 @@ def region_request(chrom: str, start: int, stop: int, correlation: str, limit: i
     return {"chrom": chrom, "start": start, "stop": stop, "correlation": correlation, "limit": min(limit, PAGE_LIMIT)}
 
 
+def variant_request(variant: str, chrom: str, start: int, stop: int, correlation: str, limit: int = PAGE_LIMIT, **unknown) -> dict:
+    """A request for one variant against a region; the name must be a variant's, in either notation."""
+    at, pos, ref, alt = identifier(variant)
+    return region_request(chrom, start, stop, correlation, limit, **unknown) | {"variant": f"{at}:{pos}_{ref}/{alt}"}
+
+
+def listing_request(chrom: str, start: int, stop: int, genotype: str | None = None, summary: str | None = None, **unknown) -> dict:
+    """A request for the variants of a region of exactly one dataset."""
+    if bool(genotype) == bool(summary):
+        raise QueryError("give either a genotype dataset or summary statistics")
+    checked = region_request(chrom, start, stop, "r", **unknown)
+    return {k: checked[k] for k in ("chrom", "start", "stop")} | {"kind": "genotype" if genotype else "scores", "dataset": genotype or summary}
+
+
 def aggregation_request(masks: list | None = None, mask_definitions: list | None = None, genotype: str | None = None, phenotype: str | None = None, summary: str | None = None, filters: list | None = None, groups: list | None = None) -> None:
     """Either masks or definitions, either genotypes with a phenotype or summary statistics; filters known; groups not too wide."""
     if bool(masks) == bool(mask_definitions):

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .functions import variants as V
 from .operators import genotype, ld, phenotypes, score, sumstats
 from .operators.listing import list_variants
-from .plans import paging, render
-from .sources.files import region_groups
+from .plans import paging, render, runner
+from .sources.catalog import Catalog
+from .sources.files import group_bounds, region_groups
 
+#: The region of the region queries; all others take every variant.
 START, STOP = 0, 299
 #: The p-value expression of the SQL side, with t = 1 / (1 + x / 2) and x = |z| / sqrt(2).
 _T = "(1e0 / (1e0 + 0.5e0 * ({x})))"
@@ -36,17 +38,24 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def calls(spark: SparkSession, sf_dir: str, start: int | None = START, stop: int = STOP, missing: bool = True) -> DataFrame:
-    """Calls of a region; the bounds are pushed to the scan of lineitem."""
+def _carried(spark: SparkSession, sf_dir: str, start: int | None, stop: int | None) -> DataFrame:
     lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     if start is not None:
         lines = lines.where(F.col("l_partkey").between(start, stop))
-    rows = lines.join(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    dosage = F.least(F.count("*"), F.lit(2)).cast("double")
-    if missing:
-        dosage = F.when((F.max("l_linenumber") >= 4) & (F.min("l_quantity") < 4), None).otherwise(dosage)
-    out = rows.groupBy(F.col("l_partkey").alias("pos"), F.col("o_custkey").alias("sample")).agg(dosage.alias("dosage"))
-    return out.select(F.lit("1").alias("chrom"), "pos", V.epacts(F.lit("1"), F.col("pos"), F.lit("A"), F.lit("T")).alias("variant"), "sample", "dosage")
+    return lines.join(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def calls(spark: SparkSession, sf_dir: str, start: int | None = None, stop: int | None = None, haplotypes: bool = False) -> DataFrame:
+    """All calls, or those of a region; the bounds are pushed to the scan of lineitem.
+
+    A line's number says which of a customer's two haplotypes carries the part.
+    """
+    hap = [(F.col("l_linenumber") % 2).alias("hap")] if haplotypes else []
+    count = F.lit(1) if haplotypes else F.least(F.count("*"), F.lit(2))
+    dosage = F.when((F.max("l_linenumber") >= 4) & (F.min("l_quantity") < 4), None).otherwise(count.cast("double"))
+    out = _carried(spark, sf_dir, start, stop).groupBy(F.col("l_partkey").alias("pos"), F.col("o_custkey").alias("sample"), *hap).agg(dosage.alias("dosage"))
+    name = V.epacts(F.lit("1"), F.col("pos"), F.lit("A"), F.lit("T"))
+    return out.select(F.lit("1").alias("chrom"), "pos", name.alias("variant"), "sample", *(["hap"] if haplotypes else []), "dosage")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +73,7 @@ def europeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part").where(F.col("p_partkey").between(START, STOP))
+    p = _read(spark, sf_dir, "part")
     return p.select(F.col("p_brand").alias("group"), F.lit("1").alias("chrom"), F.col("p_partkey").alias("pos"), V.epacts(F.lit("1"), F.col("p_partkey"), F.lit("A"), F.lit("T")).alias("variant"))
 
 
@@ -90,20 +99,21 @@ def query(sql: str | None = None):
     return add
 
 
-def _calls_sql(start: int | None = START, stop: int = STOP, missing: bool = True, name: str = "c", subset: bool = False) -> str:
+def _calls_sql(start: int | None = None, stop: int | None = None, subset: bool = False, haplotypes: bool = False) -> str:
     where = f"WHERE l_partkey BETWEEN {start} AND {stop}" if start is not None else ""
     keep = "AND o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3)" if subset else ""
-    g = "least(count(*), 2)::DOUBLE"
-    g = f"CASE WHEN max(l_linenumber) >= 4 AND min(l_quantity) < 4 THEN NULL ELSE {g} END" if missing else g
-    return f"{name} AS (SELECT l_partkey AS pos, o_custkey AS sample, {g} AS dosage FROM lineitem JOIN orders ON l_orderkey = o_orderkey {keep} {where} GROUP BY 1, 2)"
+    count, hap = ("1", ", l_linenumber % 2 AS hap") if haplotypes else ("least(count(*), 2)", "")
+    g = f"CASE WHEN max(l_linenumber) >= 4 AND min(l_quantity) < 4 THEN NULL ELSE {count}::DOUBLE END"
+    return f"c AS (SELECT l_partkey AS pos, o_custkey AS sample{hap}, {g} AS dosage FROM lineitem JOIN orders ON l_orderkey = o_orderkey {keep} {where} GROUP BY ALL)"
 
 
 _ALL, _SUBSET = "SELECT count(*) FROM customer", "SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 3"
 
 
-def _ld_sql(metric: str, start: int = START, stop: int = STOP, diagonal: bool = False, subset: bool = False) -> str:
-    """x, sums s and pairs p(pos1, pos2, s1, s2, s12), then the value."""
-    x = "SELECT pos, sample, coalesce(dosage, m) AS x FROM c JOIN k USING (pos)" if metric == "cov" else "SELECT pos, sample, 1e0 AS x FROM c JOIN k USING (pos)"
+def _ld_sql(metric: str, start: int | None = START, stop: int | None = STOP, diagonal: bool = False, subset: bool = False, haplotypes: bool = False, within: str = "") -> str:
+    """x, sums s and pairs p(pos1, pos2, s1, s2, s12), then the value; ``within``: which pairs only."""
+    key = "sample, hap" if haplotypes else "sample"
+    x = f"SELECT pos, {key}, {'coalesce(dosage, m)' if metric == 'cov' else '1e0'} AS x FROM c JOIN k USING (pos)"
     value = {
         "r": "(n * s12 - s1 * s2) / nullif(sqrt(s1 * s2 * (n - s1) * (n - s2)), 0)",
         "rsquare": "pow((n * s12 - s1 * s2) / nullif(sqrt(s1 * s2 * (n - s1) * (n - s2)), 0), 2)",
@@ -111,12 +121,12 @@ def _ld_sql(metric: str, start: int = START, stop: int = STOP, diagonal: bool =
         "cov": "s12 / n - s1 * s2 / (n * n)",
         "dprime": "(s12 / n - s1 / n * s2 / n) / nullif(CASE WHEN s12 / n - s1 / n * s2 / n < 0 THEN least(s1 / n * s2 / n, (1 - s1 / n) * (1 - s2 / n)) ELSE least(s1 / n * (1 - s2 / n), s2 / n * (1 - s1 / n)) END, 0)",
     }[metric]
-    return f"""{_calls_sql(start, stop, subset=subset)},
-n AS (SELECT ({_SUBSET if subset else _ALL})::DOUBLE AS n),
+    return f"""{_calls_sql(start, stop, subset, haplotypes)},
+n AS (SELECT {2 if haplotypes else 1} * ({_SUBSET if subset else _ALL})::DOUBLE AS n),
 k AS (SELECT pos, sum(dosage) / (SELECT n FROM n) AS m FROM c GROUP BY pos HAVING sum(dosage) > 0),
 x AS ({x}), s AS (SELECT pos, sum(x) AS s FROM x GROUP BY pos),
-b AS (SELECT a.pos AS pos1, b.pos AS pos2, sum(a.x * b.x) AS s12 FROM x a JOIN x b USING (sample) GROUP BY 1, 2),
-p AS (SELECT a.pos AS pos1, z.pos AS pos2, a.s AS s1, z.s AS s2, coalesce(s12, 0) AS s12, n FROM s a JOIN s z ON a.pos {"<=" if diagonal else "<"} z.pos
+b AS (SELECT a.pos AS pos1, b.pos AS pos2, sum(a.x * b.x) AS s12 FROM x a JOIN x b USING ({key}) GROUP BY 1, 2),
+p AS (SELECT a.pos AS pos1, z.pos AS pos2, a.s AS s1, z.s AS s2, coalesce(s12, 0) AS s12, n FROM s a JOIN s z ON a.pos {"<=" if diagonal else "<"} z.pos {within}
       LEFT JOIN b ON b.pos1 = a.pos AND b.pos2 = z.pos CROSS JOIN n),
 v AS (SELECT pos1, pos2, {value} AS value FROM p)"""
 
@@ -140,6 +150,21 @@ _region_query("ld_region_diagonal", "cov", 0, 79, True)
 _region_query("ld_subset_rsquare", "rsquare", 0, 149, False, True)
 
 
+def _haplotype_query(name: str, metric: str, start: int, stop: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = genotype.size(samples(spark, sf_dir), haplotypes=True)
+        return _pairs(ld.region(calls(spark, sf_dir, start, stop, haplotypes=True), n, "1", start, stop, metric))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH {_ld_sql(metric, start, stop, haplotypes=True)} SELECT pos1, pos2, round(value, 8) AS value FROM v"
+
+
+_haplotype_query("ld_haplotype_rsquare", "rsquare", 0, 299)
+_haplotype_query("ld_haplotype_r", "r", 0, 149)
+_haplotype_query("ld_haplotype_rsquare_approx", "rsquare_approx", 0, 149)
+_haplotype_query("ld_haplotype_dprime", "dprime", 0, 149)
+
+
 def _index_query(name: str, metric: str, index: int, start: int, stop: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = calls(spark, sf_dir, min(index, start), max(index, stop))
@@ -157,19 +182,19 @@ _index_query("ld_variant_cov", "cov", 20, 0, 99)
 
 @query(f"WITH {_ld_sql('rsquare', 0, 149)} SELECT pos1, pos2, round(value, 8) AS value FROM v")
 def ld_region_dense(spark, sf_dir):
-    return _pairs(ld.dense_pairs(calls(spark, sf_dir, 0, 149), _n(samples(spark, sf_dir)), "rsquare", 64))
+    return _pairs(ld.dense_pairs(calls(spark, sf_dir, 0, 149), _n(samples(spark, sf_dir)), "rsquare", blocks=2, parts=2))
 
 
-@query(f"""WITH {_calls_sql(None)}, n AS (SELECT ({_ALL})::DOUBLE AS n)
+@query(f"""WITH {_calls_sql()}, n AS (SELECT ({_ALL})::DOUBLE AS n)
 SELECT pos, sum(dosage) AS ac, round(sum(dosage) / n, 9) AS mean, round(sum(dosage) / (2 * n), 9) AS af, sum((dosage IS NULL)::INT)::BIGINT AS n_missing FROM c, n GROUP BY pos, n HAVING sum(dosage) > 0""")
 def variant_frequency(spark, sf_dir):
-    f = genotype.frequencies(calls(spark, sf_dir, None), _n(samples(spark, sf_dir)))
+    f = genotype.frequencies(calls(spark, sf_dir), _n(samples(spark, sf_dir)))
     return f.select("pos", "ac", F.round("mean", 9).alias("mean"), F.round("af", 9).alias("af"), "n_missing")
 
 
-@query(f"WITH {_calls_sql(None, subset=True)} SELECT pos, count(*) AS n_calls FROM c WHERE pos IN (SELECT pos FROM c WHERE dosage > 0) GROUP BY pos")
+@query(f"WITH {_calls_sql(subset=True)} SELECT pos, count(*) AS n_calls FROM c WHERE pos IN (SELECT pos FROM c WHERE dosage > 0) GROUP BY pos")
 def monomorphic_drop(spark, sf_dir):
-    rows = genotype.of_samples(calls(spark, sf_dir, None), europeans(spark, sf_dir))
+    rows = genotype.of_samples(calls(spark, sf_dir), europeans(spark, sf_dir))
     return genotype.polymorphic(rows).groupBy("pos").agg(F.count("*").alias("n_calls"))
 
 
@@ -193,9 +218,9 @@ def morton_code(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("i"), F.col("p_size").alias("j"), V.morton(F.col("p_partkey"), F.col("p_size")).alias("code"))
 
 
-@query(f"SELECT i, j, {_morton_sql('i', 'j')} AS cell FROM (SELECT DISTINCT p_partkey // 10 AS i FROM part WHERE p_partkey < 300) a, (SELECT DISTINCT p_partkey // 10 AS j FROM part WHERE p_partkey < 300) b WHERE i <= j")
+@query(f"SELECT i, j, {_morton_sql('i', 'j')} AS cell FROM (SELECT DISTINCT p_partkey // 50 AS i FROM part) a, (SELECT DISTINCT p_partkey // 50 AS j FROM part) b WHERE i <= j")
 def allowed_segment_pairs(spark, sf_dir):
-    return paging.allowed_cells(genes(spark, sf_dir).select("chrom", "pos"), 10).select("i", "j", "cell")
+    return paging.allowed_cells(genes(spark, sf_dir).select("chrom", "pos"), 50).select("i", "j", "cell")
 
 
 def _page_sql(skip: int) -> str:
@@ -203,8 +228,7 @@ def _page_sql(skip: int) -> str:
 
 
 def _page(spark, sf_dir, after=None):
-    rows = ld.region(calls(spark, sf_dir, 0, 99), _n(samples(spark, sf_dir)), "1", 0, 99)
-    return paging.page(rows, 20, 500, after)
+    return paging.region_page(calls(spark, sf_dir, 0, 99), _n(samples(spark, sf_dir)), "1", 0, 99, "rsquare", 20, 500, after)
 
 
 @query(_page_sql(0))
@@ -215,7 +239,17 @@ def ld_page_1(spark, sf_dir):
 @query(_page_sql(500))
 def ld_page_2(spark, sf_dir):
     first = _page(spark, sf_dir).collect()  # a page is bounded by its limit
-    return _page(spark, sf_dir, paging.next_cursor(first, 500)).select("pos1", "pos2", F.round("value", 8).alias("value"), "cell")
+    return _page(spark, sf_dir, paging.next_cursor(first, paging.PAIR_ORDER, 500)).select("pos1", "pos2", F.round("value", 8).alias("value"), "cell")
+
+
+@query(f"""WITH {_ld_sql('rsquare', 0, 299, True)}, q AS (SELECT CASE WHEN pos1 = 130 THEN pos2 ELSE pos1 END AS pos, round(value, 8) AS value, {_morton_sql('pos1 // 20', 'pos2 // 20')} AS cell FROM v WHERE 130 IN (pos1, pos2))
+SELECT pos, value, cell FROM q ORDER BY cell, pos LIMIT 50 OFFSET 50""")
+def ld_variant_page_2(spark, sf_dir):
+    def part(after=None):
+        return paging.variant_page(calls(spark, sf_dir, 0, 299), _n(samples(spark, sf_dir)), "1:130:A:T", "1", 0, 299, "rsquare", 20, 50, after)
+
+    first = part().collect()  # a page is bounded by its limit
+    return part(paging.next_cursor(first, paging.VARIANT_ORDER, 50)).select("pos", F.round("value", 8).alias("value"), "cell")
 
 
 _Y = "y AS (SELECT c_custkey AS sample, c_acctbal AS y FROM customer WHERE c_custkey % 17 <> 0)"
@@ -249,6 +283,13 @@ def _scores(spark, sf_dir):
     return score.score_statistics(calls(spark, sf_dir), phenotype(spark, sf_dir))
 
 
+@query(f"WITH {_SCORES} SELECT pos, round(score_stat, 8) AS score_stat, pos // 100 AS segment FROM scores ORDER BY segment, pos LIMIT 120 OFFSET 120")
+def score_page_2(spark, sf_dir):
+    first = paging.score_page(_scores(spark, sf_dir), 100, 120).collect()  # a page is bounded by its limit
+    rows = paging.score_page(_scores(spark, sf_dir), 100, 120, paging.next_cursor(first, paging.SCORE_ORDER, 120))
+    return rows.select("pos", F.round("score_stat", 8).alias("score_stat"), "segment")
+
+
 @query(f"WITH {_SCORES} SELECT pos, round(alt_freq, 9) AS alt_freq, round(score_stat, 8) AS score_stat, round(pvalue, 7) AS pvalue FROM scores")
 def score_stat(spark, sf_dir):
     return _scores(spark, sf_dir).select("pos", F.round("alt_freq", 9).alias("alt_freq"), F.round("score_stat", 8).alias("score_stat"), F.round("pvalue", 7).alias("pvalue"))
@@ -262,10 +303,12 @@ def score_legacy(spark, sf_dir):
     return rows.select("pos", F.round("score_stat", 5).alias("score_stat"), F.round("pvalue", 7).alias("pvalue"))
 
 
-_GENES = f"g AS (SELECT p_brand AS grp, p_partkey AS pos FROM part WHERE p_partkey BETWEEN {START} AND {STOP})"
+_GENES = "g AS (SELECT p_brand AS grp, p_partkey AS pos FROM part)"
+_SAME_GENE = "AND EXISTS (SELECT 1 FROM part p, part q WHERE p.p_partkey = a.pos AND q.p_partkey = z.pos AND p.p_brand = q.p_brand)"
+_SAME_BLOCK = "AND a.pos // 40 = z.pos // 40"
 
 
-@query(f"""WITH {_ld_sql("cov", START, STOP, True)}, {_GENES}
+@query(f"""WITH {_ld_sql("cov", None, None, True)}, {_GENES}
 SELECT a.grp AS "group", pos1, pos2, round(value, 8) AS value FROM v JOIN g a ON a.pos = pos1 JOIN g b ON b.pos = pos2 AND a.grp = b.grp""")
 def group_covariance(spark, sf_dir):
     return score.group_covariance(calls(spark, sf_dir), genes(spark, sf_dir), _n(samples(spark, sf_dir))).select("group", "pos1", "pos2", F.round("value", 8).alias("value"))
@@ -282,48 +325,128 @@ def group_filter_maf(spark, sf_dir):
     return rows.select("pos", F.round("alt_freq", 9).alias("alt_freq"))
 
 
-@query(f"""WITH {_ld_sql("cov", START, STOP, True)}, {_SCORES.replace(_calls_sql() + ",", "").replace("m AS (", "mm AS (").replace("CROSS JOIN m ", "CROSS JOIN mm ")}
-SELECT pos1, pos2, round(value, 8) AS value FROM v WHERE pos1 IN (SELECT pos FROM scores WHERE pvalue <= 0.2) AND pos2 IN (SELECT pos FROM scores WHERE pvalue <= 0.2)""")
+#: The scores beside the pairs of one statement: the calls are there already, and m has another meaning.
+_BOTH = f"{_ld_sql('cov', None, None, True)}, {_SCORES.replace(_calls_sql() + ',', '').replace('m AS (', 'mm AS (').replace('CROSS JOIN m ', 'CROSS JOIN mm ')}, {_GENES}"
+
+
+@query(f"""WITH {_BOTH}
+SELECT pos1, pos2, round(value, 8) AS value FROM v JOIN g a ON a.pos = pos1 JOIN g b ON b.pos = pos2 AND a.grp = b.grp
+WHERE pos1 IN (SELECT pos FROM scores WHERE pvalue <= 0.2) AND pos2 IN (SELECT pos FROM scores WHERE pvalue <= 0.2)""")
 def group_filter_pvalue(spark, sf_dir):
     kept = score.filtered(_scores(spark, sf_dir), [{"field": "pvalue", "op": "lte", "value": 0.2}])
-    pairs = ld.region(calls(spark, sf_dir), _n(samples(spark, sf_dir)), "1", START, STOP, "cov", True)
+    pairs = score.group_covariance(calls(spark, sf_dir), genes(spark, sf_dir), _n(samples(spark, sf_dir)))
     return _pairs(score.surviving_pairs(pairs, kept))
 
 
-@query(f"WITH {_SCORES}, {_GENES} SELECT pos, min(grp) AS first_group, round(any_value(alt_freq), 9) AS alt_freq FROM scores JOIN (SELECT * FROM g UNION ALL SELECT 'REGION', pos FROM g WHERE pos < 100) USING (pos) GROUP BY pos")
+def _masks(spark, sf_dir) -> DataFrame:
+    """Two masks: brands, then sizes."""
+    sizes = _read(spark, sf_dir, "part").select(F.concat(F.lit("size"), F.col("p_size")).alias("group"), F.col("p_partkey").alias("pos"))
+    sizes = genes(spark, sf_dir).drop("group").join(sizes, "pos")
+    return runner.masked([("brands", genes(spark, sf_dir)), ("sizes", sizes)])
+
+
+_MASKS = "mk AS (SELECT 0 AS place, 'brands' AS mask, p_brand AS grp, p_partkey AS pos FROM part UNION ALL SELECT 1, 'sizes', 'size' || p_size, p_partkey FROM part)"
+
+
+@query(f"WITH {_SCORES}, {_MASKS} SELECT pos, arg_min(grp, place || grp) AS first_group, round(any_value(alt_freq), 9) AS alt_freq, round(any_value(pvalue), 7) AS pvalue FROM scores JOIN mk USING (pos) GROUP BY pos")
 def response_variants_dedup(spark, sf_dir):
-    g = genes(spark, sf_dir)
-    both = g.unionByName(g.where("pos < 100").withColumn("group", F.lit("REGION")))
-    return score.response_variants(_scores(spark, sf_dir), both).select("pos", "first_group", F.round("alt_freq", 9).alias("alt_freq"))
+    rows = score.response_variants(_scores(spark, sf_dir), _masks(spark, sf_dir))
+    return rows.select("pos", "first_group", F.round("alt_freq", 9).alias("alt_freq"), F.round("pvalue", 7).alias("pvalue"))
+
+
+_FILTERS = [{"field": "pvalue", "op": "lte", "value": 0.1}, {"field": "maf", "op": "gte", "value": 0.002}]
+_PASSED = "scores WHERE pvalue <= 0.1 AND least(alt_freq, 1 - alt_freq) >= 0.002"
+#: Samples with a phenotype alone count, on both sides.
+_RUN = f"{_BOTH.replace('ON l_orderkey = o_orderkey', 'ON l_orderkey = o_orderkey AND o_custkey % 17 <> 0').replace(f'({_ALL})', f'({_ALL} WHERE c_custkey % 17 <> 0)')}, {_MASKS}"
+
+
+def _compute(spark, sf_dir) -> runner.Answer:
+    return runner.compute(calls(spark, sf_dir), samples(spark, sf_dir), phenotype(spark, sf_dir), _masks(spark, sf_dir), _FILTERS)
+
+
+@query(f"""WITH {_RUN}, q AS (SELECT * FROM {_PASSED}), s2 AS (SELECT sigma2 FROM mm)
+SELECT a.mask, a.grp AS "group", pos1, pos2, round(value / sigma2, 14) AS value FROM v JOIN mk a ON a.pos = pos1 JOIN mk b ON b.pos = pos2 AND a.grp = b.grp AND a.mask = b.mask CROSS JOIN s2
+WHERE pos1 IN (SELECT pos FROM q) AND pos2 IN (SELECT pos FROM q)""")
+def aggregation_pairs(spark, sf_dir):
+    return _compute(spark, sf_dir).pairs.select("mask", "group", "pos1", "pos2", F.round("value", 14).alias("value"))
+
+
+@query(f"""WITH {_RUN}, q AS (SELECT * FROM {_PASSED})
+SELECT mask, grp AS "group", count(*) AS n_variants, round(avg(least(alt_freq, 1 - alt_freq)), 9) AS mean_minor_freq, (SELECT n::BIGINT FROM mm) AS nsamples FROM q JOIN mk USING (pos) GROUP BY mask, grp""")
+def aggregation_groups(spark, sf_dir):
+    a = _compute(spark, sf_dir)
+    return a.groups.select("mask", "group", "n_variants", F.round("mean_minor_freq", 9).alias("mean_minor_freq"), F.lit(a.nsamples).cast("long").alias("nsamples"))
+
+
+@query(f"WITH {_RUN}, q AS (SELECT * FROM {_PASSED}) SELECT pos, round(alt_freq, 9) AS alt_freq, round(score_stat, 8) AS score_stat, round(pvalue, 7) AS pvalue FROM q")
+def aggregation_variants(spark, sf_dir):
+    rows = _compute(spark, sf_dir).variants
+    return rows.select("pos", F.round("alt_freq", 9).alias("alt_freq"), F.round("score_stat", 8).alias("score_stat"), F.round("pvalue", 7).alias("pvalue"))
 
 
 def _region_group(spark, sf_dir):
-    bounds = spark.range(3).select(F.concat(F.lit("R"), F.col("id")).alias("group"), F.lit("1").alias("chrom"), (F.col("id") * 80).alias("start"), (F.col("id") * 80 + 99).alias("stop"))
+    """A region of 100 positions from every 80th on."""
+    k = F.floor(F.col("p_partkey") / 80)
+    bounds = _read(spark, sf_dir, "part").select(k.alias("k")).distinct().select(F.concat(F.lit("R"), F.col("k")).alias("group"), F.lit("1").alias("chrom"), (F.col("k") * 80).alias("start"), (F.col("k") * 80 + 99).alias("stop"))
     return region_groups(bounds, genes(spark, sf_dir).drop("group"))
 
 
-@query(f"WITH r AS (SELECT 'R' || i AS grp, i * 80 AS a, i * 80 + 99 AS b FROM range(3) t(i)) SELECT grp AS \"group\", count(*) AS n_variants, min(p_partkey) AS first_pos FROM part JOIN r ON p_partkey BETWEEN a AND b WHERE p_partkey <= {STOP} GROUP BY grp")
+@query("WITH r AS (SELECT DISTINCT 'R' || (p_partkey // 80) AS grp, p_partkey // 80 * 80 AS a, p_partkey // 80 * 80 + 99 AS b FROM part) SELECT grp AS \"group\", count(*) AS n_variants, min(p_partkey) AS first_pos FROM part JOIN r ON p_partkey BETWEEN a AND b GROUP BY grp")
 def region_group_members(spark, sf_dir):
     return _region_group(spark, sf_dir).groupBy("group").agg(F.count("*").alias("n_variants"), F.min("pos").alias("first_pos"))
 
 
+@query('SELECT p_brand AS "group", min(p_partkey) AS start, max(p_partkey) AS stop FROM part GROUP BY p_brand')
+def mask_bounds(spark, sf_dir):
+    return group_bounds(genes(spark, sf_dir)).select("group", "start", "stop").distinct()
+
+
+def _blocks_of_40(spark, sf_dir) -> DataFrame:
+    return genes(spark, sf_dir).withColumn("group", F.floor(F.col("pos") / 40).cast("string"))
+
+
 def _cov_file(spark, sf_dir):
-    """A covariance file's rows: for each variant the positions after it and their covariances, as text."""
-    pairs = ld.region(calls(spark, sf_dir, 0, 79), _n(samples(spark, sf_dir)), "1", 0, 79, "cov", True)
+    """A covariance file's rows: for each variant the positions after it in its block of 40 and their covariances, as text."""
+    pairs = score.group_covariance(calls(spark, sf_dir), _blocks_of_40(spark, sf_dir), _n(samples(spark, sf_dir)))
     rows = F.array_sort(F.collect_list(F.struct("pos2", F.round("value", 8).alias("value"))))
     return pairs.groupBy("chrom", F.col("pos1").alias("pos")).agg(rows.alias("r")).select("chrom", "pos", F.array_join(F.transform("r.pos2", lambda p: p.cast("string")), ",").alias("positions"), F.array_join(F.transform("r.value", lambda v: F.concat(v.cast("string"), F.lit(":0"))), ",").alias("covs"))
 
 
-@query(f"WITH {_ld_sql('cov', 0, 79, True)} SELECT pos1, pos2, round(value, 8) AS value FROM v")
+@query(f"WITH {_ld_sql('cov', None, None, True, within=_SAME_BLOCK)} SELECT pos1, pos2, round(value, 8) AS value FROM v")
 def cov_row_explode(spark, sf_dir):
     return _pairs(sumstats.covariance_rows(_cov_file(spark, sf_dir)))
 
 
-@query(f"""WITH {_ld_sql('cov', 0, 79, True)} SELECT pos1, pos2, round(CASE WHEN pos1 <> pos2 AND (pos1 % 3 = 0) <> (pos2 % 3 = 0) THEN -value ELSE value END, 8) AS value FROM v WHERE pos1 >= 10 AND pos2 <= 69""")
+_FLIPPED = f"""WITH {_ld_sql('cov', None, None, True, within=_SAME_BLOCK)}, o AS (SELECT pos1, pos2, round(CASE WHEN pos1 <> pos2 AND (pos1 % 3 = 0) <> (pos2 % 3 = 0) THEN -value ELSE value END, 8) AS value FROM v)"""
+
+
+def _stated_scores(spark, sf_dir) -> DataFrame:
+    """A score file's rows, with frequencies over one half for every third variant."""
+    return genes(spark, sf_dir).select("chrom", "pos", "variant", F.col("pos").alias("line"), F.when(F.col("pos") % 3 == 0, 0.9e0).otherwise(0.1e0).alias("alt_freq"), F.col("pos").cast("double").alias("score_stat"), F.lit(0.5e0).alias("pvalue"))
+
+
+@query(f"{_FLIPPED} SELECT * FROM o")
 def cov_sign_flip(spark, sf_dir):
-    # frequencies over one half for every third variant
-    scores = genes(spark, sf_dir).select("chrom", "pos", "variant", F.col("pos").alias("line"), F.when(F.col("pos") % 3 == 0, 0.9e0).otherwise(0.1e0).alias("alt_freq"))
-    return _pairs(sumstats.load_region(_cov_file(spark, sf_dir), scores, "1", 10, 69))
+    return _pairs(sumstats.lookup(sumstats.covariance_rows(_cov_file(spark, sf_dir)), _stated_scores(spark, sf_dir)))
+
+
+@query(f"{_FLIPPED} SELECT * FROM o WHERE pos1 >= 10 AND pos2 <= 69")
+def cov_load_region(spark, sf_dir):
+    return _pairs(sumstats.load_region(_cov_file(spark, sf_dir), _stated_scores(spark, sf_dir), "1", 10, 69))
+
+
+@query(f"{_FLIPPED} SELECT pos1 // 40 AS block, pos1, pos2, value FROM o")
+def aggregation_precomputed(spark, sf_dir):
+    masks = runner.masked([("blocks", _blocks_of_40(spark, sf_dir))])
+    rows = runner.precomputed(_stated_scores(spark, sf_dir), _cov_file(spark, sf_dir), masks).pairs
+    return rows.select(F.col("group").cast("long").alias("block"), "pos1", "pos2", F.round("value", 8).alias("value"))
+
+
+@query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
+def cov_positions(spark, sf_dir):
+    from .sources.files import covariance_positions
+
+    return spark.createDataFrame([(covariance_positions(_cov_file(spark, sf_dir)),)], "n long")
 
 
 @query("""SELECT p_partkey AS pos, round(CASE p_partkey % 3 WHEN 0 THEN p_size / 100e0 ELSE p_size / (2e0 * 1000) END, 9) AS alt_freq FROM part""")
@@ -336,19 +459,19 @@ def af_fallback(spark, sf_dir):
 def _block_inputs(spark, sf_dir):
     """Blocks of 40 variants; covariate sums are embeddings, and GtG the sums of products of calls."""
     n = _n(samples(spark, sf_dir))
-    f = genotype.frequencies(calls(spark, sf_dir, 0, 119), n)
-    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("gtu"))
+    f = genotype.frequencies(calls(spark, sf_dir), n)
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.transform("embedding", lambda x: x.cast("double")).alias("gtu"))
     rows = f.join(e, "pos").select(F.floor(F.col("pos") / 40).cast("int").alias("block"), "chrom", "pos", "variant", F.lit("A").alias("ref"), F.lit("T").alias("alt"), F.col("af").alias("maf"), F.lit(n).alias("n"), "gtu", F.lit(0.008e0).alias("cutoff"), F.col("ac").alias("alt_ac"), (F.col("ac") - 20).alias("u"), F.col("ss").alias("v"))
     v = sumstats.cutoff_variants(rows)
-    c = calls(spark, sf_dir, 0, 119).where("dosage > 0").join(v.select("pos", "block", "local", "idx", "offset"), "pos")
+    c = calls(spark, sf_dir).where("dosage > 0").join(v.select("pos", "block", "local", "idx", "offset"), "pos")
     a, b = c.select("block", F.col("idx").alias("idx1"), F.col("local").alias("row"), "offset", "sample", F.col("dosage").alias("d1")), c.select(F.col("block").alias("block2"), F.col("idx").alias("idx2"), "sample", F.col("dosage").alias("d2"))
     both = a.join(b, "sample").where("idx1 <= idx2 and block2 - block <= 1")
     return v, both.groupBy("block", "row", (F.col("idx2") - F.col("offset")).alias("col")).agg(F.sum(F.col("d1") * F.col("d2")).alias("gtg"))
 
 
-_BLOCKS = f"""{_calls_sql(0, 119)}, n AS (SELECT ({_ALL})::DOUBLE AS n),
+_BLOCKS = f"""{_calls_sql()}, n AS (SELECT ({_ALL})::DOUBLE AS n),
 f AS (SELECT pos, pos // 40 AS block, sum(dosage) AS ac, sum(dosage) / (2 * n) AS af, n, sum(dosage * dosage) AS ss FROM c, n GROUP BY pos, n HAVING sum(dosage) > 0),
-v AS (SELECT pos, block, ac, ss, n, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS gtu, row_number() OVER (ORDER BY pos) - 1 AS idx FROM f JOIN embeddings ON vec_id = pos WHERE af < 0.008),
+v AS (SELECT pos, block, ac, ss, n, list_transform(embedding, lambda x: x::DOUBLE) AS gtu, row_number() OVER (ORDER BY pos) - 1 AS idx FROM f JOIN embeddings ON vec_id = pos WHERE af < 0.008),
 gg AS (SELECT a.pos AS p1, b.pos AS p2, sum(a.dosage * b.dosage) AS gtg FROM c a JOIN c b USING (sample) WHERE a.pos <= b.pos GROUP BY 1, 2)"""
 
 
@@ -376,7 +499,7 @@ def interval_overlap_files(spark, sf_dir):
 
 @query("SELECT DISTINCT l_partkey AS pos, '1:' || l_partkey || '_A/T' AS variant FROM lineitem WHERE l_partkey BETWEEN 40 AND 160")
 def variant_list(spark, sf_dir):
-    return list_variants(calls(spark, sf_dir), "genotype", "1", 40, 160).select("pos", "variant")
+    return list_variants(calls(spark, sf_dir, 40, 160), "genotype", "1", 40, 160).select("pos", "variant")
 
 
 _IDS = "'chr' || (p_partkey % 22) || ':' || p_partkey || '_' || substr(p_brand, 1, 1) || '/' || p_size || '_x'"
@@ -394,10 +517,14 @@ def variant_format_colons(spark, sf_dir):
     return p.withColumn("epacts", V.colons_to_epacts(F.col("colons")))
 
 
-@query("SELECT * FROM (VALUES ('c_acctbal', 'FLOAT'), ('c_custkey', 'INTEGER'), ('c_name', 'TEXT')) t(\"column\", kind)")
+@query("""WITH l AS (SELECT c_custkey AS line, unnest([{'c': 'c_name', 'v': c_name}, {'c': 'c_custkey', 'v': c_custkey::VARCHAR}, {'c': 'c_acctbal', 'v': c_acctbal::VARCHAR}, {'c': 'mixed', 'v': CASE c_custkey % 3 WHEN 0 THEN 'NA' WHEN 1 THEN c_nationkey::VARCHAR || '.0' ELSE c_mktsegment END}]) AS s FROM customer),
+k AS (SELECT s.c AS "column", line, CASE WHEN s.v IN ('NA', '.', '') THEN NULL WHEN TRY_CAST(s.v AS DOUBLE) = floor(TRY_CAST(s.v AS DOUBLE)) THEN 'INTEGER' WHEN TRY_CAST(s.v AS DOUBLE) IS NOT NULL THEN 'FLOAT' ELSE 'TEXT' END AS kind FROM l),
+n AS (SELECT "column", kind, count(*) AS n, min(line) AS first FROM k WHERE kind IS NOT NULL GROUP BY ALL)
+SELECT "column", kind FROM n QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, first) = 1""")
 def type_inference(spark, sf_dir):
     c = _read(spark, sf_dir, "customer")
-    return phenotypes.infer_kinds(c.withColumn("line", F.col("c_custkey")), ["c_name", "c_custkey", "c_acctbal"], "line")
+    mixed = F.when(F.col("c_custkey") % 3 == 0, "NA").when(F.col("c_custkey") % 3 == 1, F.concat("c_nationkey", F.lit(".0"))).otherwise(F.col("c_mktsegment"))
+    return phenotypes.infer_kinds(c.withColumn("line", F.col("c_custkey")).withColumn("mixed", mixed), ["c_name", "c_custkey", "c_acctbal", "mixed"], "line")
 
 
 @query("SELECT p_partkey AS pos, round(p_retailprice / 7, 3) AS value FROM part")
@@ -406,23 +533,52 @@ def precision_round(spark, sf_dir):
 
 
 @query(f"""WITH {_ld_sql('rsquare', 0, 39)}, d AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS idx FROM s),
-q AS (SELECT a.idx AS i, b.idx AS j, round(value, 6) AS value FROM v JOIN d a ON a.pos = pos1 JOIN d b ON b.pos = pos2)
-SELECT idx::INT AS idx, pos, coalesce(min(j), -2147483648)::INT AS "offset", count(j) AS n_values, round(coalesce(sum(value), 0), 6) AS total FROM d LEFT JOIN q ON i = idx GROUP BY idx, pos""")
+q AS (SELECT a.idx AS i, b.idx AS j, round(value, 6) AS value FROM v JOIN d a ON a.pos = pos1 JOIN d b ON b.pos = pos2),
+o AS (SELECT idx, pos, coalesce(min(j), -2147483648) AS "offset" FROM d LEFT JOIN q ON i = idx GROUP BY idx, pos)
+SELECT idx::INT AS idx, pos, "offset"::INT AS "offset", (j - "offset")::INT AS place, value FROM o LEFT JOIN q ON i = idx""")
 def compact_matrix(spark, sf_dir):
-    rows = render.matrix_rows(ld.region(calls(spark, sf_dir, 0, 39), _n(samples(spark, sf_dir)), "1", 0, 39), 6)
-    total = F.aggregate("correlations", F.lit(0e0), lambda s, x: s + F.coalesce(x, F.lit(0e0)))
-    return rows.select("idx", "pos", "offset", F.size("correlations").cast("long").alias("n_values"), F.round(total, 6).alias("total"))
+    """Every value of the matrix with its row's offset and its place in the row."""
+    out = render.compact(ld.region(calls(spark, sf_dir, 0, 39), _n(samples(spark, sf_dir)), "1", 0, 39), 6)
+    rows = out.select(F.posexplode(F.arrays_zip("positions", "offsets", "correlations")).alias("idx", "v"))
+    return rows.select("idx", F.col("v.positions").alias("pos"), F.col("v.offsets").alias("offset"), F.posexplode_outer("v.correlations").alias("place", "value"))
 
 
-@query(f"WITH {_ld_sql('rsquare', 0, 39)} SELECT count(*) AS n_pairs, round(sum(round(value, 4)), 4) AS total FROM v")
+@query(f"WITH {_ld_sql('rsquare', 0, 39)} SELECT (row_number() OVER (ORDER BY pos1, pos2) - 1)::INT AS place, '1:' || pos1 || '_A/T' AS variant1, '1' AS chromosome1, pos1 AS position1, '1:' || pos2 || '_A/T' AS variant2, '1' AS chromosome2, pos2 AS position2, round(value, 4) AS correlation FROM v")
 def classic_arrays(spark, sf_dir):
-    rows = render.classic(ld.region(calls(spark, sf_dir, 0, 39), _n(samples(spark, sf_dir)), "1", 0, 39), 4)
-    return rows.select(F.size("correlation").cast("long").alias("n_pairs"), F.round(F.aggregate("correlation", F.lit(0e0), lambda s, x: s + x), 4).alias("total"))
+    """Every place of the seven arrays."""
+    out = render.classic(ld.region(calls(spark, sf_dir, 0, 39), _n(samples(spark, sf_dir)), "1", 0, 39), 4)
+    return out.select(F.posexplode(F.arrays_zip(*out.columns)).alias("place", "v")).select("place", "v.*")
 
 
 @query("SELECT r_name AS subset, count(*) AS n_samples FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'ALL', count(*) FROM customer")
 def catalog_populations(spark, sf_dir):
     s = samples(spark, sf_dir)
     named = s.join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    both = named.select(F.col("r_name").alias("subset"), "sample").unionByName(s.select(F.lit("ALL").alias("subset"), "sample"))
-    return both.groupBy("subset").agg(F.count("*").alias("n_samples"))
+    catalog = Catalog(spark)
+    catalog.add("genotypes", {"id": "sales", "name": "parts that customers carry", "genome_build": "none"})
+    catalog.add_subsets("sales", s.select(F.lit("ALL").alias("subset"), "sample"))
+    catalog.add_subsets("sales", named.select(F.col("r_name").alias("subset"), "sample"))
+    return catalog.populations("sales")
+
+
+@query("SELECT DISTINCT (p_partkey % 22 + 1)::VARCHAR AS chrom FROM part JOIN lineitem ON l_partkey = p_partkey")
+def chromosome_list(spark, sf_dir):
+    return genotype.chromosomes(calls(spark, sf_dir).withColumn("chrom", (F.col("pos") % 22 + 1).cast("string")))
+
+
+@query("SELECT p_partkey AS id, '1' AS chrom, p_partkey::VARCHAR AS pos, 'A' AS ref, 'T' AS alt FROM part WHERE p_partkey % 2 = 0")
+def variant_parse_strict(spark, sf_dir):
+    """Names of four tokens; with a fifth there is no variant."""
+    name = F.concat(F.lit("1:"), F.col("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, F.lit("_A/T")).otherwise(F.lit("_A/T_more")))
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), V.strict_parts(name).alias("v")).where("v is not null")
+    return rows.select("id", *[F.col("v")[i].alias(c) for i, c in enumerate(("chrom", "pos", "ref", "alt"))])
+
+
+@query(f"WITH {_BLOCKS} SELECT pos, '1:' || pos || '_A/T' AS variant FROM v WHERE pos BETWEEN 40 AND 160")
+def variant_list_blocks(spark, sf_dir):
+    return list_variants(_block_inputs(spark, sf_dir)[0], "blocks", "1", 40, 160).select("pos", "variant")
+
+
+@query("SELECT p_partkey AS pos, '1:' || p_partkey || '_A/T' AS variant FROM part WHERE p_partkey BETWEEN 40 AND 160")
+def variant_list_scores(spark, sf_dir):
+    return list_variants(_stated_scores(spark, sf_dir), "scores", "1", 40, 160).select("pos", "variant")

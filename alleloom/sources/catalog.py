@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from glob import glob
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
+from . import files
 
 CORRELATIONS = (("r", "Pearson correlation", "LD"), ("rsquare", "squared correlation", "LD"), ("rsquare_approx", "squared correlation from bit counts", "LD"), ("cov", "covariance", "LD"))
 KINDS = ("genotypes", "phenotypes", "summary_stats", "masks")
@@ -16,13 +18,15 @@ KINDS = ("genotypes", "phenotypes", "summary_stats", "masks")
 
 @dataclass
 class Catalog:
-    """Datasets by kind and id; subsets of samples by dataset and name."""
+    """Datasets by kind and id; subsets of samples and files of chromosomes as tables."""
 
     spark: SparkSession
     datasets: dict[tuple[str, str], dict] = field(default_factory=dict)
-    samples: dict[tuple[str, str], list[str]] = field(default_factory=dict)
+    subsets: list[tuple[str, DataFrame]] = field(default_factory=list)
+    blocks: dict[str, DataFrame] = field(default_factory=dict)
 
-    def add(self, kind: str, entry: dict) -> None:
+    def add(self, kind: str, entry: dict) -> str:
+        """Registers a dataset; ids are unique within a kind, and what it names must be there already."""
         if kind not in KINDS:
             raise QueryError(f"unknown dataset kind {kind}")
         key = (kind, str(entry.get("id", entry.get("name"))))
@@ -32,13 +36,49 @@ class Catalog:
             for other in entry.get(link) or [] if kind != link else []:
                 if (link, str(other)) not in self.datasets:
                     raise QueryError(f"{kind} {key[1]} names unknown {link} {other}")
-        files = entry.get("filepath") or entry.get("files") or []
-        self.datasets[key] = entry | {"paths": [p for f in ([files] if isinstance(files, str) else files) for p in (sorted(glob(f)) or [f])]}
+        named = entry.get("filepath") or entry.get("files") or []
+        self.datasets[key] = entry | {"paths": [p for f in ([named] if isinstance(named, str) else named) for p in (sorted(glob(f)) or [f])]}
+        return key[1]
+
+    def add_genotypes(self, entry: dict, samples: DataFrame | None = None) -> None:
+        """Genotype files with their samples as the subset ALL: those given, else those that all of the files name alike."""
+        key = self.add("genotypes", entry)
+        try:
+            everyone = samples if samples is not None else files.same_samples(self.spark, self.datasets["genotypes", key]["paths"])
+            if not everyone.take(1):
+                raise QueryError("a genotype dataset has no samples", str(self.datasets["genotypes", key]["paths"]))
+        except QueryError:
+            del self.datasets["genotypes", key]
+            raise
+        self.add_subsets(key, everyone.select(F.lit("ALL").alias("subset"), "sample"))
+
+    def add_blocks(self, entry: dict, scores: list[str], covariances: list[str]) -> None:
+        """A summary statistic dataset of block files, with the manifest that finds a region's blocks."""
+        from ..operators.sumstats import block_pairs
+
+        key = self.add("summary_stats", entry | {"files": [*scores, *covariances]})
+        self.blocks[key] = block_pairs(files.block_manifest(self.spark, scores), files.block_manifest(self.spark, covariances))
+
+    def blocks_of(self, dataset: str, chrom: str, start: int, stop: int) -> DataFrame:
+        """The blocks of a dataset that a region needs."""
+        from ..operators.sumstats import blocks_of_region
+
+        return blocks_of_region(self.blocks[self.known("summary_stats", dataset)], chrom, start, stop)
+
+    def known(self, kind: str, dataset: str) -> str:
+        if (kind, str(dataset)) not in self.datasets:
+            raise QueryError(f"no {kind} dataset {dataset}")
+        return str(dataset)
+
+    def add_subsets(self, dataset: str, rows: DataFrame) -> None:
+        """Appends ``(subset, sample)`` rows."""
+        self.subsets.append((dataset, rows.select("subset", F.col("sample").cast("string").alias("sample"))))
 
     def add_samples(self, dataset: str, subset: str, names: list[str], replace: bool = False) -> None:
         """Appends to a subset, or replaces it."""
-        key = (dataset, subset)
-        self.samples[key] = [*([] if replace else self.samples.get(key, [])), *names]
+        if replace:
+            self.subsets = [(d, rows.where(F.col("subset") != subset) if d == dataset else rows) for d, rows in self.subsets]
+        self.add_subsets(dataset, self.spark.createDataFrame([(subset, n) for n in names], "subset string, sample string"))
 
     def load_yaml(self, path: str) -> None:
         """Blocks in the order in which they may name each other."""
@@ -54,10 +94,30 @@ class Catalog:
         rows = [(k, i, e.get("name"), e.get("description"), e.get("genome_build"), e["paths"]) for (k, i), e in self.datasets.items()]
         return self.spark.createDataFrame(rows, "kind string, id string, name string, description string, genome_build string, paths array<string>")
 
+    def references(self, genome_build: str | None = None) -> DataFrame:
+        """``(id, name, description, genome_build)`` of the genotype datasets, or of those of a build."""
+        rows = self.frame().where("kind = 'genotypes'").select("id", "name", "description", "genome_build")
+        return rows if genome_build is None else rows.where(F.col("genome_build") == genome_build)
+
+    def files(self, kind: str, dataset: str) -> DataFrame:
+        return self.frame().where((F.col("kind") == kind) & (F.col("id") == self.known(kind, dataset))).select(F.explode("paths").alias("path"))
+
+    def chromosomes(self, dataset: str) -> DataFrame:
+        """``(chrom)`` of a genotype dataset's files."""
+        paths = self.datasets["genotypes", self.known("genotypes", dataset)]["paths"]
+        rows = files.vcf_variants(self.spark, paths) if paths[0].endswith((".vcf", ".vcf.gz")) else files.read_calls(self.spark, paths)
+        return rows.select("chrom").distinct()
+
+    def samples(self, dataset: str, subset: str = "ALL") -> DataFrame:
+        """``(sample)``; an unknown subset has none."""
+        own = [rows.where(F.col("subset") == subset).select("sample") for d, rows in self.subsets if d == dataset]
+        return reduce(DataFrame.unionByName, own, self.spark.createDataFrame([], "sample string")).distinct()
+
     def populations(self, dataset: str) -> DataFrame:
         """``(subset, n_samples)``."""
-        rows = [(s, n) for (d, s), names in self.samples.items() if d == dataset for n in names]
-        return self.spark.createDataFrame(rows, "subset string, sample string").groupBy("subset").agg(F.countDistinct("sample").alias("n_samples"))
+        own = [rows for d, rows in self.subsets if d == dataset]
+        rows = reduce(DataFrame.unionByName, own, self.spark.createDataFrame([], "subset string, sample string"))
+        return rows.groupBy("subset").agg(F.countDistinct("sample").alias("n_samples"))
 
     def genome_builds(self) -> DataFrame:
         return self.frame().where("genome_build is not null").select("genome_build").distinct()

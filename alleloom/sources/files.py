@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..functions.variants import alt_frequency, epacts, leading_number, parse
+from ..functions.variants import alt_frequency, colons_to_epacts, epacts, leading_number, parse, segment
+from ..operators.genotype import STORED
 
 #: 0-based columns of the two score file formats.
 SCORE_COLUMNS = {
     "RVTEST": {"chrom": 0, "pos": 1, "ref": 2, "alt": 3, "n": 4, "af": 5, "ac": 6, "u": 12, "sqrt_v": 13, "pvalue": 15},
-    "RAREMETAL": {"chrom": 0, "pos": 1, "ref": 2, "alt": 3, "n": 4, "af": 6, "ac": 7, "u": 13, "sqrt_v": 14, "pvalue": 16},
+    "RAREMETAL": {"chrom": 0, "pos": 1, "ref": 2, "alt": 3, "n": 4, "af": 5, "ac": 7, "u": 13, "sqrt_v": 14, "pvalue": 16},
 }
 #: 0-based columns of the two covariance file formats.
 COV_COLUMNS = {"RVTEST": {"chrom": 0, "pos": 1, "positions": 4, "covs": 5}, "RAREMETAL": {"chrom": 0, "pos": 1, "positions": 2, "covs": 3}}
@@ -27,16 +28,26 @@ def _pick(columns: dict[str, int]) -> list[Column]:
 
 
 def sniff_format(spark: SparkSession, path: str) -> str:
-    """RVTEST or RAREMETAL: by the program named in the header, else by the header's column names."""
-    head = [r["value"] for r in spark.read.text(path).limit(200).collect()]
-    for line in head:
-        if line.startswith("##ProgramName="):
-            return "RVTEST" if "rvtest" in line.lower() else "RAREMETAL"
-    names = next((x for x in head if x.lstrip("#").upper().startswith("CHROM")), "").upper()
-    if "FOUNDER_AF" in names or "MARKERS_IN_WINDOW" in names or "CURRENT_POS" in names:
-        return "RAREMETAL"
-    if "N_INFORMATIVE" in names or "START_POS" in names:
-        return "RVTEST"
+    """RVTEST or RAREMETAL: by the program named in the header, else by the header's column names.
+
+    One pass keeps the lines that can tell; another program, or none and unknown columns, is an error.
+    """
+    text = spark.read.text(path)
+    program = F.regexp_extract("value", r"^##ProgramName=(\w+)", 1)
+    upper = F.upper(F.col("value"))
+    head = text.where(F.col("value").startswith("#") | F.upper(F.col("value")).startswith("CHROM"))
+    seen = head.agg(
+        F.max(F.nullif(program, F.lit(""))).alias("program"),
+        F.max(upper.rlike("FOUNDER_AF|MARKERS_IN_WINDOW|CURRENT_POS")).alias("raremetal"),
+        F.max(upper.rlike("N_INFORMATIVE|START_POS")).alias("rvtest"),
+    ).first()
+    if seen["program"]:
+        kinds = {"Rvtests": "RVTEST", "RareMetalWorker": "RAREMETAL"}
+        if seen["program"] not in kinds:
+            raise QueryError(f"unknown program {seen['program']} in the header of a score file", path)
+        return kinds[seen["program"]]
+    if seen["raremetal"] or seen["rvtest"]:
+        return "RAREMETAL" if seen["raremetal"] else "RVTEST"
     raise QueryError("unknown summary statistics format", path)
 
 
@@ -78,12 +89,16 @@ def read_mask(spark: SparkSession, path: str | list[str], chrom: str | None = No
     return rows.select("group", "chrom", "start", "stop", F.explode("members").alias("variant")).where("variant <> ''").withColumn("pos", parse(F.col("variant"))["pos"])
 
 
+def group_bounds(members: DataFrame) -> DataFrame:
+    """Members with their group's bounds, the least and greatest position."""
+    bounds = members.groupBy("group", "chrom").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
+    return members.join(bounds, ["group", "chrom"]).select("group", "chrom", "start", "stop", "variant", "pos")
+
+
 def mask_of(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
-    """The same from a request; a group's bounds are its members'."""
+    """The same from a request, names in either notation; a group's bounds are its members'."""
     rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "group string, variant string")
-    rows = rows.select("group", "variant", parse(F.col("variant")).alias("p")).select("group", "p.chrom", "p.pos", "variant")
-    bounds = rows.groupBy("group").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
-    return rows.join(bounds, "group").select("group", "chrom", "start", "stop", "variant", "pos")
+    return group_bounds(rows.select("group", colons_to_epacts(F.col("variant")).alias("variant")).select("group", "variant", parse(F.col("variant")).alias("p")).select("group", "p.chrom", "p.pos", "variant"))
 
 
 def region_groups(groups: DataFrame, variants: DataFrame) -> DataFrame:
@@ -91,82 +106,177 @@ def region_groups(groups: DataFrame, variants: DataFrame) -> DataFrame:
     return groups.join(variants, "chrom").where(F.col("pos").between(F.col("start"), F.col("stop"))).select("group", "chrom", "start", "stop", "variant", "pos")
 
 
+def covariance_positions(cov: DataFrame) -> int:
+    """How many different positions covariances name."""
+    listed = cov.select("chrom", F.explode(F.split("positions", ",")).alias("pos")).withColumn("pos", F.col("pos").try_cast("bigint"))
+    both = listed.unionByName(cov.select("chrom", "pos"))
+    return both.dropna().distinct().count()
+
+
 def read_tab(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A phenotype table with a header: its columns as text and ``line``, in the order of the file; ``#`` and blank lines are skipped."""
     rows = spark.read.csv(path, sep="\t", header=True, inferSchema=False, comment="#", quote="")
     return rows.withColumn("line", F.monotonically_increasing_id())
 
 
+#: Kinds of columns in a pedigree's ``.dat`` file; markers are no phenotypes.
+DAT_KINDS = {"A": "CATEGORICAL", "T": "FLOAT", "M": None}
+PEDIGREE = ("fid", "iid", "pid", "mid", "sex")
+
+
+def dat_columns(spark: SparkSession, dat: str) -> list[tuple[str, str | None]]:
+    """``(name, kind)`` of a pedigree's further columns; an unknown letter is an error."""
+    lines = [r["value"].split() for r in spark.read.text(dat).where(F.trim("value") != "").collect()]
+    for line in lines:
+        if len(line) != 2 or line[0] not in DAT_KINDS:
+            raise QueryError("a line of a .dat file is no column", f"{dat}: {' '.join(line)}")
+    return [(name, DAT_KINDS[kind]) for kind, name in lines]
+
+
 def read_ped(spark: SparkSession, path: str, dat: str) -> DataFrame:
-    """A pedigree file with the columns that its ``.dat`` file names (A: category, T: number, M: skipped)."""
-    names = [x for x in (r["value"].split() for r in spark.read.text(dat).collect()) if len(x) == 2]
-    columns = ["fid", "iid", "pid", "mid", "sex", *[n for _, n in names]]
+    """A pedigree file with the columns that its ``.dat`` file names, as text; columns of markers take a place but are left out."""
+    columns = [*[(c, "TEXT") for c in PEDIGREE], *dat_columns(spark, dat)]
     rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.split("value", r"\s+").alias("f"), F.monotonically_increasing_id().alias("line"))
-    return rows.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(columns)], "line")
+    return rows.select(*[F.get("f", F.lit(i)).alias(c) for i, (c, kind) in enumerate(columns) if kind], "line")
 
 
 def read_sample_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("sample")).where("sample <> ''")
 
 
-def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
-    """``(idx, sample)`` from the header line."""
-    head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).limit(1)
-    return head.select(F.posexplode(F.expr("slice(split(value, '\\t'), 10, greatest(size(split(value, '\\t')) - 9, 0))")).alias("idx", "sample"))
+def vcf_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, idx, sample)`` from each file's header line."""
+    head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).select(F.input_file_name().alias("path"), F.split("value", "\t").alias("f"))
+    return head.select("path", F.posexplode(F.expr("slice(f, 10, greatest(size(f) - 9, 0))")).alias("idx", "sample"))
 
 
-def read_vcf(spark: SparkSession, path: str | list[str], chrom: str | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
-    """Calls of a text VCF (plain or block-gzipped): a row for each carried or missing count, one for each alternate allele.
+def same_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The samples of a dataset of many files; files with others than the rest are an error."""
+    named = vcf_samples(spark, paths)
+    files = named.select("path").distinct().count()
+    partial = named.groupBy("sample").agg(F.countDistinct("path").alias("m")).where(F.col("m") != files).limit(1).collect()
+    if partial or files != len(set(paths)):
+        raise QueryError("the genotype files differ in their samples", ", ".join(paths))
+    return named.select("sample").distinct()
 
-    Read it once and write it with ``write_calls``: a compressed file can't be split.
-    """
-    lines = _fields(spark, path)
+
+def _records(spark: SparkSession, path: str | list[str], chrom: str | None, start: int | None, stop: int | None) -> DataFrame:
+    """A row for each alternate allele of a record, with the genotypes still as text."""
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.input_file_name().alias("path"), F.split("value", "\t").alias("f"))
     if chrom is not None:
         lines = lines.where((F.col("f")[0] == chrom) & F.col("f")[1].cast("bigint").between(start, stop))
-    first = path if isinstance(path, str) else path[0]
-    rows = lines.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("bigint").alias("pos"), F.col("f")[3].alias("ref"), F.posexplode(F.split(F.col("f")[4], ",")).alias("k", "alt"), F.expr("slice(f, 10, greatest(size(f) - 9, 0))").alias("g"))
-    calls = rows.select("chrom", "pos", epacts(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant"), "k", F.posexplode("g").alias("idx", "g"))
+    rows = lines.select("path", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("bigint").alias("pos"), F.col("f")[3].alias("ref"), F.posexplode(F.split(F.col("f")[4], ",")).alias("k", "alt"), F.expr("slice(f, 10, greatest(size(f) - 9, 0))").alias("g"))
+    return rows.withColumn("variant", epacts(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
+
+
+def vcf_variants(spark: SparkSession, path: str | list[str], chrom: str | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """``(chrom, pos, variant)`` of all records, those included that nobody carries."""
+    return _records(spark, path, chrom, start, stop).select("chrom", "pos", "variant")
+
+
+def read_vcf(spark: SparkSession, path: str | list[str], chrom: str | None = None, start: int | None = None, stop: int | None = None, haplotypes: bool = False) -> DataFrame:
+    """Calls of text VCFs (plain or block-gzipped): a row for each carried or missing count, one for each alternate allele.
+
+    With ``haplotypes`` a row for each carried or missing allele, with ``hap`` its place in the genotype: correlations
+    other than covariances are over these. Each file's own header names its samples. Read it once and
+    write it with ``write_calls``: a compressed file can't be split.
+    """
+    rows = _records(spark, path, chrom, start, stop).select("path", "chrom", "pos", "variant", "k", F.posexplode("g").alias("idx", "g"))
     alleles = F.split(F.split("g", ":")[0], r"[/|]")
-    count = F.size(F.filter(alleles, lambda a: a == (F.col("k") + 1).cast("string"))).cast("double")
-    called = calls.select("chrom", "pos", "variant", "idx", F.when(~F.exists(alleles, lambda a: a == "."), count).alias("dosage")).where("dosage is null or dosage > 0")
-    # one row for each sample
-    return called.join(vcf_samples(spark, first), "idx").select("chrom", "pos", "variant", "sample", "dosage")
+    own = (F.col("k") + 1).cast("string")
+    if haplotypes:
+        each = rows.select("path", "chrom", "pos", "variant", "k", "idx", F.posexplode(alleles).alias("hap", "a"))
+        called = each.where((F.col("a") == (F.col("k") + 1).cast("string")) | (F.col("a") == ".")).withColumn("dosage", F.when(F.col("a") != ".", 1e0))
+    else:
+        count = F.size(F.filter(alleles, lambda a: a == own)).cast("double")
+        called = rows.withColumn("dosage", F.when(~F.exists(alleles, lambda a: a == "."), count)).where("dosage is null or dosage > 0")
+    named = called.join(vcf_samples(spark, path), ["path", "idx"])
+    return named.select("chrom", "pos", "variant", "sample", *(["hap"] if haplotypes else []), "dosage")
+
 
+CALLS = "pos long, variant string, sample string, {hap}dosage double, chrom string, segment long"
 
-def open_genotypes(spark: SparkSession, path: str) -> DataFrame:
-    """By the file's ending: text VCF, or calls kept as Parquet. Binary formats must be converted first."""
+
+def open_genotypes(spark: SparkSession, path: str, haplotypes: bool = False) -> DataFrame:
+    """By the file's ending: text VCF, or calls stored by ``write_calls``. Binary formats must be converted first."""
     if path.endswith((".vcf", ".vcf.gz")):
-        return read_vcf(spark, path)
+        return read_vcf(spark, path, haplotypes=haplotypes)
     if path.endswith(".parquet"):
-        return spark.read.parquet(path)
+        return read_calls(spark, path, haplotypes)
     raise QueryError("unsupported genotype file", path)
 
 
-def write_calls(calls: DataFrame, path: str, size: int = 1_000_000) -> None:
-    """Parquet by chromosome and segment, so a region's scan prunes to its folders."""
-    calls.withColumn("segment", F.floor(F.col("pos") / size)).repartition("chrom", "segment").sortWithinPartitions("pos", "variant").write.partitionBy("chrom", "segment").parquet(path)
+def write_calls(calls: DataFrame, path: str) -> None:
+    """Parquet by chromosome and segment, so a region's scan prunes to its folders and, within, by position."""
+    stored = calls.withColumn("segment", segment(F.col("pos"), STORED))
+    stored.repartition("chrom", "segment").sortWithinPartitions("pos", "variant").write.partitionBy("chrom", "segment").parquet(path)
+
+
+def read_calls(spark: SparkSession, path: str, haplotypes: bool = False) -> DataFrame:
+    """Calls stored by ``write_calls``; with the schema given, chromosomes stay text. ``in_region`` prunes to their folders."""
+    return spark.read.schema(CALLS.format(hap="hap int, " if haplotypes else "")).parquet(path)
 
 
 def block_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per block file from the key-value metadata in its footer, which Spark's reader doesn't show.
 
-    The footers are read where the driver can reach the files, when a dataset is registered.
+    The footers are read in tasks, over Spark's own reader of binary files, so any store that Spark
+    reads will do. ``nrows`` and ``ncols`` come from the metadata, else from the footer.
     """
-    import pyarrow.parquet as pq
+    import io
+
+    def footers(batches):
+        import pandas as pd
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                file = pq.ParquetFile(io.BytesIO(content))
+                meta = {k.decode(): v.decode() for k, v in (file.schema_arrow.metadata or {}).items()}
+                number = {k: int(meta[k]) if meta.get(k, "").lstrip("-").isdigit() else None for k in ("pos_start", "pos_mid", "pos_end", "region_start", "region_mid", "region_end", "nrows", "ncols")}
+                sizes = {"nrows": number.pop("nrows") or file.metadata.num_rows, "ncols": number.pop("ncols") or file.metadata.num_columns}
+                cutoff = meta.get("cov_maf_cutoff", "")
+                rows.append({"path": path, "chrom": meta.get("chrom"), **number, **sizes, "cutoff": float(cutoff) if cutoff else None})
+            yield pd.DataFrame(rows, columns=MANIFEST_COLUMNS)
+
+    found = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(footers, MANIFEST)
+    needed = ("chrom", "pos_start", "pos_end", "region_start", "region_mid", "region_end")
+    lacking = found.where(" or ".join(f"{c} is null" for c in needed)).select("path").limit(1).collect()
+    if lacking:
+        raise QueryError("a block file lacks metadata", lacking[0]["path"])
+    return found
 
-    rows = []
-    for p in paths:
-        meta = {k.decode(): v.decode() for k, v in (pq.read_schema(p).metadata or {}).items()}
-        try:
-            rows.append((p, meta["chrom"], *(int(meta[k]) for k in ("pos_start", "pos_end", "region_start", "region_mid", "region_end")), float(meta.get("cov_maf_cutoff", "nan"))))
-        except (KeyError, ValueError) as e:
-            raise QueryError("a block file lacks metadata", f"{p}: {e}") from e
-    return spark.createDataFrame(rows, "path string, chrom string, pos_start long, pos_end long, region_start long, region_mid long, region_end long, cutoff double")
 
+MANIFEST_COLUMNS = ["path", "chrom", "pos_start", "pos_mid", "pos_end", "region_start", "region_mid", "region_end", "nrows", "ncols", "cutoff"]
+MANIFEST = ", ".join(f"{c} {'string' if c in ('path', 'chrom') else 'double' if c == 'cutoff' else 'long'}" for c in MANIFEST_COLUMNS)
+#: The first columns of a score block, in order; covariate sums follow.
+BLOCK_COLUMNS = ("chrom", "pos", "ref", "alt", "alt_ac", "mac", "maf", "n", "u", "v")
 
-def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Score blocks with their covariate sums as one array, however many columns there are."""
+
+def read_blocks(spark: SparkSession, paths: list[str], manifest: DataFrame | None = None) -> DataFrame:
+    """Score blocks with their covariate sums as one array, however many columns there are.
+
+    With a manifest of blocks (``sumstats.block_pairs``) each row has its block's number and cutoff and its variant.
+    """
     rows = spark.read.parquet(*paths)
     fixed = rows.columns[:10]
-    names = ("chrom", "pos", "ref", "alt", "alt_ac", "mac", "maf", "n", "u", "v")
-    return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(fixed, names, strict=True)], F.array(*[F.col(f"`{c}`").cast("double") for c in rows.columns[10:]]).alias("gtu"), F.input_file_name().alias("path"))
+    out = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(fixed, BLOCK_COLUMNS, strict=True)], F.array(*[F.col(f"`{c}`").cast("double") for c in rows.columns[10:]]).alias("gtu"), F.input_file_name().alias("path"))
+    out = out.withColumn("chrom", F.col("chrom").cast("string")).withColumn("pos", F.col("pos").cast("long"))
+    if manifest is None:
+        return out
+    own = manifest.select(_plain("path").alias("path"), "block", "cutoff")
+    return out.withColumn("path", _plain("path")).join(own, "path").withColumn("variant", epacts(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
+
+
+def read_block_covariances(spark: SparkSession, paths: list[str], manifest: DataFrame) -> DataFrame:
+    """``(block, row, col, gtg)``: sparse products of genotypes, by places from the block's start."""
+    rows = spark.read.parquet(*paths)
+    names = dict(zip(("row", "col", "gtg"), rows.columns[:3], strict=True))
+    out = rows.select(*[F.col(f"`{c}`").cast("double" if k == "gtg" else "long").alias(k) for k, c in names.items()], _plain(F.input_file_name()).alias("path"))
+    return out.join(manifest.select(_plain("cov_path").alias("path"), "block"), "path").select("block", "row", "col", "gtg")
+
+
+def _plain(path: str | Column) -> Column:
+    """A path without the slashes by which readers differ after the scheme."""
+    return F.regexp_replace(F.col(path) if isinstance(path, str) else path, "^(\\w+:)/+", "$1/")
