@@ -70,8 +70,7 @@ p{k} AS (SELECT q.j, min(b.cost + q.top * (q.c - a.c) - (q.s - a.s)) AS cost,
     union = " UNION ".join(f"SELECT j FROM c{k}" for k in range(1, buckets + 1))
     return f"""
 WITH n AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{W}'))::BIGINT + 1 AS n_tokens FROM documents),
-e AS (SELECT n_tokens, greatest(floor(log2(n_tokens))::INT - 6, 0) AS p FROM n),
-h AS (SELECT max(n_tokens)::DOUBLE AS top, count(*)::DOUBLE AS n, sum(n_tokens)::DOUBLE AS total FROM e GROUP BY p * 64 + (n_tokens >> p)),
+h AS (SELECT n_tokens::DOUBLE AS top, count(*)::DOUBLE AS n, sum(n_tokens)::DOUBLE AS total FROM n GROUP BY n_tokens),
 q AS (SELECT row_number() OVER (ORDER BY top) AS j, top, sum(n) OVER (ORDER BY top) AS c, sum(total) OVER (ORDER BY top) AS s FROM h),
 {",".join(steps)},
 {", ".join(cuts)},

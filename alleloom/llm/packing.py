@@ -4,49 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD
-from .ranking import ranked, ring_key
+from .ranking import each_copy, ranked, ring_key
 
 
-def bin_of(length):
-    """Lengths up to 64 have bins of their own; above, 64 bins for each power of two, so a few thousand at most."""
-    power = F.greatest(F.floor(F.log2(length.cast("double"))).cast("int") - 6, F.lit(0))
-    return (power * 64 + F.call_function("shiftright", length, power)).cast("long")
+def boundaries(histogram: Sequence[tuple[int, int]], buckets: int) -> list[int]:
+    """Upper bounds that minimise padding; ``histogram``: (length, count), ascending.
 
-
-def boundaries(bins: Sequence[tuple[int, int, int]], buckets: int) -> list[int]:
-    """Upper bounds that minimise padding; ``bins``: (greatest length, count, sum of lengths), ascending.
-
-    cost(i, j) = greatest length in bin j times the count of bins i to j, less their sum. The best
-    cost for k buckets up to bin j is the least over i of that for k - 1 up to i - 1, plus cost.
-    Ties take the earliest i. Fewer bins than buckets: each has its own.
+    cost(i, j) = length j times the count of lengths i to j, less the sum of them. The best cost for k
+    buckets up to length j is the least over i of that for k - 1 before i, plus cost(i, j). For a
+    fixed i that is a line in the length j, and slopes fall with i, so the least is read from the lines'
+    lower envelope as j grows: k passes over the histogram, in whole numbers. Ties take the earliest i.
+    Fewer lengths than buckets: each has its own.
     """
-    if not bins:
+    if not histogram:
         return []
-    top, count, total = (np.array(c, np.float64) for c in zip(*bins, strict=True))
-    n, k = len(top), min(buckets, len(bins))
-    c, s = np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(total)))
-    best = top * c[1:] - s[1:]
+    top = [length for length, _ in histogram]
+    count, total = [0], [0]
+    for length, n in histogram:
+        count.append(count[-1] + n)
+        total.append(total[-1] + length * n)
+    every = range(len(top))
+    best = [top[j] * count[j + 1] - total[j + 1] for j in every]
     came = []
-    for _ in range(1, k):
-        new, step = np.full(n, np.inf), np.zeros(n, np.int64)
-        for j in range(n):
-            cost = np.concatenate(([0], best[:j])) + top[j] * (c[j + 1] - c[: j + 1]) - (s[j + 1] - s[: j + 1])
-            step[j] = int(cost.argmin())
-            new[j] = cost[step[j]]
-        best = new
+    for _ in range(1, min(buckets, len(top))):
+        before = [0, *best[:-1]]
+        lines: list[tuple[int, int, int]] = []  # slope, height, i
+        at, best, step = 0, [], []
+        for j in every:
+            slope, height = -count[j], before[j] + total[j]
+            while len(lines) > 1:
+                (m1, b1, _), (m2, b2, _) = lines[-2:]
+                if (height - b1) * (m1 - m2) > (b2 - b1) * (m1 - slope):
+                    break
+                lines.pop()
+            lines.append((slope, height, j))
+            at = min(at, len(lines) - 1)
+            x = top[j]
+            while at + 1 < len(lines) and lines[at + 1][0] * x + lines[at + 1][1] < lines[at][0] * x + lines[at][1]:
+                at += 1
+            best.append(lines[at][0] * x + lines[at][1] + x * count[j + 1] - total[j + 1])
+            step.append(lines[at][2])
         came.append(step)
-    cuts, j = [n - 1], n - 1
+    cuts, j = [len(top) - 1], len(top) - 1
     for step in reversed(came):
-        j = int(step[j]) - 1
+        j = step[j] - 1
         if j < 0:
             break
         cuts.append(j)
-    return [int(top[j]) for j in reversed(cuts)]
+    return [top[j] for j in reversed(cuts)]
 
 
 def word_count(text):
@@ -57,25 +66,25 @@ def word_count(text):
 def pack(rows: DataFrame, buckets: int = 8, batch_tokens: int = 65_536, id_col: str = "doc_id", length_col: str = "n_tokens") -> DataFrame:
     """``doc_id, n_tokens, bucket, boundary, batch, place, padding``: one row per input row.
 
-    The histogram of all lengths (a few thousand bins at most) decides the boundaries on the
-    driver. In a bucket, texts come in the order of the MD5 of their ids; a batch has as many as
+    The histogram of all lengths decides the boundaries on the driver: a row for each different
+    length, as many as the longest text has tokens at most. In a bucket, texts come in the order of the MD5 of their ids; a batch has as many as
     the budget holds at the bucket's boundary, one at least. Nothing is dropped: a text
     longer than the budget is a batch of its own bucket's width. Null lengths count as 0 and
-    null ids are kept. No rows give no rows.
+    null ids are kept. Repeated rows count each, and are ranked as one row with a number. No rows give no rows.
     """
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.greatest(F.col(f"`{length_col}`").cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
-    binned = rows.groupBy(bin_of(F.greatest("n_tokens", F.lit(1))).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("total"))
-    found = sorted((r["top"], r["n"], r["total"]) for r in binned.collect())
-    tops = boundaries(found, buckets) or [0]
+    counted = rows.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    tops = boundaries(sorted((r["n_tokens"], r["n"]) for r in counted.collect()), buckets) or [0]
     bucket = F.lit(len(tops) - 1)
     bound = F.lit(tops[-1])
     for i in range(len(tops) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= tops[i], F.lit(i)).otherwise(bucket)
         bound = F.when(F.col("n_tokens") <= tops[i], F.lit(tops[i])).otherwise(bound)
     digest, place = ring_key("doc_id")
-    keyed = rows.select("*", bucket.cast("int").alias("bucket"), bound.cast("long").alias("boundary"), digest.alias("digest"), place.alias("ring"))
+    different = rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies"))
+    keyed = different.select("*", bucket.cast("int").alias("bucket"), bound.cast("long").alias("boundary"), digest.alias("digest"), place.alias("ring"))
     size = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest("boundary", F.lit(1))), F.lit(1)).cast("long")
-    return ranked(keyed, ["bucket"], ["digest", "doc_id", "n_tokens"]).select(
+    return each_copy(ranked(keyed, ["bucket"], ["ring"], ["digest", "doc_id", "n_tokens"])).select(
         "doc_id", "n_tokens", "bucket", "boundary", F.floor(F.col("rank") / size).cast("long").alias("batch"), (F.col("rank") % size).cast("long").alias("place"), (F.col("boundary") - F.col("n_tokens")).alias("padding")
     )
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Places on the circle of hashes: three hex digits of an id's MD5.
 SLOTS = 4096
+#: Copies of one row are handed out in chunks of so many.
+CHUNK = 1 << 16
 
 
 def ring_key(id_col: str = "doc_id"):
@@ -15,14 +19,24 @@ def ring_key(id_col: str = "doc_id"):
     return digest, F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
 
 
-def ranked(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """Adds ``rank`` (from 0) within ``groups`` by ``ring``, then ``order``.
+def ranked(rows: DataFrame, groups: Sequence[str], parts: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``rank`` (from 0) within ``groups`` by ``parts``, then ``order``; a row stands for its ``copies``, whose first rank it gets.
 
-    Each group is ranked in ``SLOTS`` parts; counts of the parts (bounded by groups times
-    SLOTS) are summed up and added. ``rows`` must have ``ring`` from ``ring_key``.
+    A group is ranked part by part; the parts' sums are added up, so a task holds one part, or a number for each part of
+    a group. Parts must be bounded in number.
     """
-    keys = [*groups, "ring"]
-    before = Window.partitionBy(*groups).orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = rows.withColumn("own", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return own.join(counts, keys).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before")
+    keys = [*groups, *parts]
+    before = Window.partitionBy(*groups).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.sum("copies").alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("own", F.coalesce(F.sum("copies").over(within), F.lit(0)))
+    return own.join(sums, keys).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before")
+
+
+def each_copy(rows: DataFrame) -> DataFrame:
+    """A row for each of the ``copies``, with its own rank. Many copies of one row are dealt over the cluster before they become rows."""
+    few, many = rows.where(F.col("copies") <= CHUNK), rows.where(F.col("copies") > CHUNK)
+    chunks = many.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(CHUNK).cast("bigint"))))
+    chunks = chunks.withColumn("rank", F.col("rank") + F.col("first")).withColumn("copies", F.least(F.lit(CHUNK).cast("bigint"), F.col("copies") - F.col("first"))).drop("first")
+    every = few.unionByName(chunks.repartition("rank"))
+    return every.withColumn("rank", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("copies") - 1))).drop("copies")

@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import SLOTS, ring_key
+from .ranking import SLOTS, each_copy, ranked, ring_key
+
+#: A place is ranked in so many parts.
+PARTS = 256
 
 
 def ring(shards: int, nodes: int = 64) -> list[int]:
-    """For each place the shard whose virtual node comes next, going clockwise."""
+    """For each place the shard whose virtual node comes next, going clockwise; of nodes at one place the least shard's counts."""
     at = sorted((int(hashlib.md5(f"{s}/{v}".encode()).hexdigest()[:3], 16), s) for s in range(shards) for v in range(nodes))
     owner, j = [], 0
     for place in range(SLOTS):
@@ -60,15 +63,18 @@ def shard(docs: DataFrame, shards: int = 16, nodes: int = 64, id_col: str = "doc
     places by MD5, each shard has ``nodes`` virtual nodes, and what overflows a full shard goes
     on clockwise. Only the number of keys at each place (``SLOTS`` numbers) comes to the driver;
     rows are ranked by place and pick their shard by rank. Slots are gapless from 0 in every
-    shard. Null ids share a place, repeated rows count each; null texts have size 1 and the crc32
+    shard. Null ids share a place, which is ranked in ``PARTS`` parts by a hash of the whole row; equal
+    rows count each, and are ranked as one row with a number. Null texts have size 1 and the crc32
     of the empty text. ``grown_shard`` is null: with bounded loads one more shard moves a few
     other keys too. No documents: no rows.
     """
     digest, place = ring_key("doc_id")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    keyed = rows.select("*", digest.alias("digest"), place.alias("ring"))
-    counts = {r["ring"]: r["n"] for r in keyed.select("ring").groupBy("ring").agg(F.count("*").alias("n")).collect()}
+    different = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    mixed = F.xxhash64("doc_id", "size", "text_crc32")
+    keyed = different.select("*", place.alias("ring"), F.pmod(mixed, F.lit(PARTS)).cast("int").alias("part"), digest.alias("digest"))
+    counts = {r["ring"]: r["n"] for r in rows.select(place.alias("ring")).groupBy("ring").agg(F.count("*").alias("n")).collect()}
     parts: dict[int, list[str]] = {}
     for p, first, s, slot in allot(counts, shards, nodes):
         parts.setdefault(p, []).append(f"{first},{s},{slot}")
@@ -76,9 +82,9 @@ def shard(docs: DataFrame, shards: int = 16, nodes: int = 64, id_col: str = "doc
     one = F.split(F.col("x"), ":")
     moves = F.transform(F.split(one[1], ";"), lambda m: F.struct(F.split(m, ",")[0].cast("long").alias("first"), F.split(m, ",")[1].cast("int").alias("shard"), F.split(m, ",")[2].cast("long").alias("slot")))
     table = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(plan), r"\|")).alias("x")).where("x <> ''").select(one[0].cast("int").alias("ring"), moves.alias("moves"))
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("ring").orderBy("digest", "doc_id", "text_crc32", "size")) - 1)
+    placed = each_copy(ranked(keyed, ["ring"], ["part"], ["digest", "doc_id", "text_crc32", "size"]))
     # SLOTS rows at most
-    placed = ranked.join(F.broadcast(table), "ring").withColumn("move", F.element_at(F.filter("moves", lambda m: m["first"] <= F.col("rank")), -1))
+    placed = placed.join(F.broadcast(table), "ring").withColumn("move", F.element_at(F.filter("moves", lambda m: m["first"] <= F.col("rank")), -1))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("move.shard").alias("shard"),
         (F.col("move.slot") + F.col("rank") - F.col("move.first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -1,7 +1,9 @@
 """Operators against brute force on a table with nulls, empty and long texts, copies, repeated rows and clashing names."""
 
+import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from conftest import DATA
 from samples import SCHEMA, awkward, contains, crc, cut_repeats, frame, linked, rows_of, simhash, unigram, words
 
-from alleloom.llm import classifier, decontamination, lattice_lm, licenses, packing, quality_rules, sharding, simhash as sh, suffix_dedup, token_output
+from alleloom.llm import classifier, decontamination, lattice_lm, licenses, packing, quality_rules, ranking, sharding, simhash as sh, suffix_dedup, token_output
 from alleloom.llm.components import components
 from alleloom.llm.queries import QUERIES, tokenizer_path
 
@@ -216,6 +218,50 @@ def test_bounded_ring(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def walked(places: list[int], shards: int, nodes: int) -> Counter:
+    """(place, shard) counts by walking the ring key by key: own shards first, then clockwise to one with room."""
+    at = sorted((int(hashlib.md5(f"{s}/{v}".encode()).hexdigest()[:3], 16), s) for s in range(shards) for v in range(nodes))
+    at = [x for i, x in enumerate(at) if not i or at[i - 1][0] != x[0]]  # of nodes at one place the least shard's counts
+    room = {s: len(places) // shards + (s < len(places) % shards) for s in range(shards)}
+    out, left = Counter(), []
+    for p in sorted(places):
+        s = next((x for q, x in at if q >= p), at[0][1])
+        if room[s]:
+            room[s] -= 1
+            out[p, s] += 1
+        else:
+            left.append(p)
+    for p in left:
+        s = next(x for q, x in [y for y in at if y[0] >= p] + at if room[x])
+        room[s] -= 1
+        out[p, s] += 1
+    return out
+
+
+def test_bounded_ring_is_that_of_single_steps(spark):
+    r = random.Random(2)
+    rows = [(None, f"text {k % 40}") for k in range(150)] + [(7, "same")] * 60 + [(i, "a" * r.randint(0, 9)) for i in range(300)] + [(9, None)]
+    got = sharding.shard(frame(spark, [(i, t, *ROWS[0][2:]) for i, t in rows])).collect()
+    place = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:3], 16)
+    assert Counter((place(x["doc_id"]), x["shard"]) for x in got) == walked([place(i) for i, _ in rows], 16, 64)
+    assert Counter((x["doc_id"], x["size"], x["text_crc32"]) for x in got) == Counter((i, len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert {(x["law"], x["grown_shard"]) for x in got} == {("rows", None)}
+    for s in range(16):
+        slots = sorted(x["slot"] for x in got if x["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_copies_beyond_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CHUNK", 7)
+    rows = [(None, "x")] * 100 + [(5, "y")] * 7 + [(i, "z") for i in range(10)]
+    df = frame(spark, [(i, t, *ROWS[0][2:]) for i, t in rows])
+    got = sharding.shard(df).collect()
+    assert Counter(x["doc_id"] for x in got) == Counter(i for i, _ in rows)
+    assert all(sorted(x["slot"] for x in got if x["shard"] == s) == list(range(n)) for s, n in Counter(x["shard"] for x in got).items())
+    packed = packing.pack_documents(df, batch_tokens=10).collect()
+    assert len({(x["bucket"], x["batch"], x["place"]) for x in packed}) == len(rows)
+
+
 def test_ring_moves_few_keys():
     counts = {p: 3 for p in range(0, 4096, 3)}
 
@@ -235,14 +281,25 @@ def test_bucket_boundaries_are_optimal():
     from itertools import combinations
 
     r = random.Random(1)
-    for _ in range(25):
-        tops = sorted(r.sample(range(1, 90), 9))
-        bins = [(t, r.randint(1, 30), 0) for t in tops]
-        bins = [(t, n, t * n - r.randint(0, n - 1)) for t, n, _ in bins]
-        for k in (1, 2, 3, 12):
-            cost = lambda cuts: sum(min(c for c in cuts if c >= t) * n - s for t, n, s in bins)
+    for _ in range(60):
+        tops = sorted(r.sample(range(1, r.choice([14, 90])), 9))
+        histogram = [(t, r.randint(1, r.choice([1, 30]))) for t in tops]
+        for k in (1, 2, 3, 4, 12):
+            cost = lambda cuts: sum((min(c for c in cuts if c >= t) - t) * n for t, n in histogram)
             best = min(cost([*c, tops[-1]]) for c in combinations(tops[:-1], min(k, 9) - 1))
-            assert cost(packing.boundaries(bins, k)) == best
+            assert cost(packing.boundaries(histogram, k)) == best
+
+
+def test_boundaries_of_a_long_histogram():
+    r = random.Random(5)
+    histogram = [(t, r.randint(1, 10**6)) for t in range(1, 3000)]
+    top, count = np.array(histogram, np.int64).T
+    c, s = np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(top * count)))
+    best = top * c[1:] - s[1:]
+    for _ in range(4):
+        best = np.array([(np.concatenate(([0], best[:j])) + top[j] * (c[j + 1] - c[: j + 1]) - (s[j + 1] - s[: j + 1])).min() for j in range(len(top))])
+    cuts = packing.boundaries(histogram, 5)
+    assert len(cuts) == 5 and ((np.array(cuts)[np.searchsorted(cuts, top)] - top) * count).sum() == best[-1]
 
 
 def test_packing(docs, none):
