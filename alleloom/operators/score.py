@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions.variants import minor, two_sided_p
-from .genotype import polymorphic
 from .ld import region_pairs
 
 
@@ -35,7 +34,6 @@ def score_statistics(calls: DataFrame, phenotype: DataFrame) -> DataFrame:
     u / variance the reported score. A constant phenotype gives null.
     """
     have = complete(phenotype)
-    calls = polymorphic(calls.join(have.select("sample"), "sample", "left_semi"))
     m = F.broadcast(moments(have))  # one row
     rows = calls.join(have.select("sample", "y"), "sample").join(m)
     d = F.col("y") - F.col("mean")
@@ -43,6 +41,7 @@ def score_statistics(calls: DataFrame, phenotype: DataFrame) -> DataFrame:
     sums = rows.groupBy("chrom", "pos", "variant", "nsamples", "sigma2").agg(
         F.sum(g).alias("s"), F.sum(g * g).alias("ss"), F.sum(g.isNull().cast("double")).alias("missing"), F.sum(g * d).alias("carried"), F.coalesce(F.sum(F.when(g.isNull(), d)), F.lit(0e0)).alias("absent")
     )
+    sums = sums.where("s > 0")  # someone with a phenotype carries it
     n, s = F.col("nsamples").cast("double"), F.col("s").cast("double")
     u = F.col("carried") + s / n * F.col("absent")
     v = (F.col("ss") - 2 * (s / n) * s + (n - F.col("missing")) * (s / n) * (s / n)) * F.col("sigma2")
@@ -52,10 +51,9 @@ def score_statistics(calls: DataFrame, phenotype: DataFrame) -> DataFrame:
 def legacy_score(calls: DataFrame, phenotype: DataFrame) -> DataFrame:
     """Older form: u sums centred counts times raw phenotypes, and the test divides by the phenotype's deviation only."""
     have = complete(phenotype)
-    calls = polymorphic(calls.join(have.select("sample"), "sample", "left_semi"))
     total = F.broadcast(have.agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.var_pop("y").alias("sigma2")))  # one row
     # a missing call counts as the mean, so its centred value is zero
-    sums = calls.join(have.select("sample", "y"), "sample").groupBy("chrom", "pos", "variant").agg(F.sum("dosage").alias("s"), F.sum(F.col("dosage") * F.col("y")).alias("gy"), F.coalesce(F.sum(F.when(F.col("dosage").isNull(), F.col("y"))), F.lit(0e0)).alias("absent_y"))
+    sums = calls.join(have.select("sample", "y"), "sample").groupBy("chrom", "pos", "variant").agg(F.sum("dosage").alias("s"), F.sum(F.col("dosage") * F.col("y")).alias("gy"), F.coalesce(F.sum(F.when(F.col("dosage").isNull(), F.col("y"))), F.lit(0e0)).alias("absent_y")).where("s > 0")
     u = F.col("gy") - F.col("s") / F.col("n") * (F.col("sum_y") - F.col("absent_y"))
     return sums.join(total).select("chrom", "pos", "variant", u.alias("score_stat"), F.col("sigma2"), two_sided_p(F.try_divide(u, F.sqrt("sigma2"))).alias("pvalue"))
 
