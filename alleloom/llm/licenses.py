@@ -19,8 +19,9 @@ TEMPLATES: dict[str, str] = {
 }
 SHINGLE = 5
 WINDOW, STEP = 16, 8
-#: A window of 16 words has 12 shingles. A template of one shingle within it then has a similarity
-#: of 1/12, and 96 bands of one row collide with probability 1 - (11/12)^96 > 0.9997.
+#: A window of 16 words has 12 shingles at most. A template of one shingle within it then has a similarity
+#: of 1/12 or more, and 96 bands of one row collide with probability 1 - (11/12)^96 > 0.9997. Where four of the
+#: window's shingles are of template words, which is more than most have, 96 bands miss one in 10^12.
 BANDS = 96
 
 
@@ -40,37 +41,40 @@ def minhash(hashes: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
 
 
+def flagged(hashes: str, flags: str, first: Column) -> Column:
+    """Of the window's shingles from place ``first`` those of template words only."""
+    last = F.least(first + WINDOW - SHINGLE, F.size(hashes) - 1)
+    return F.transform(F.filter(F.sequence(first, last), lambda j: F.substring(flags, j + 1, F.lit(SHINGLE)) == "1" * SHINGLE), lambda j: F.get(hashes, j))
+
+
+def band_keys(hashes: Column) -> Column:
+    return F.transform(minhash(hashes), lambda m, b: F.xxhash64(b, m))
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, license, n_found, n_shingles, containment``: templates of whose five-word shingles a text has ``least`` or more.
 
     Texts are read whole. Windows of 16 words, each half over the next, hold any passage of nine
-    words whole. Only windows with five words in a row that all occur in templates can share a
-    shingle, so the others are not hashed. Window and template meet where a band's least hash is
+    words whole. Only runs of five words that all occur in templates can be a template's
+    shingle, so a window's set has no others, and a window without them is not hashed. Window and template meet where a band's least hash is
     equal; then the text's own shingles decide, exactly. Templates (of five words or more) are a parameter and
-    broadcast: they are at most what the caller lists. Null, empty and short texts match nothing;
+    go along as literals: they are at most what the caller lists. Each row is judged where it is read, without a shuffle. Null, empty and short texts match nothing;
     null ids keep their rows; repeated rows give a row each. No documents: no rows.
     """
     spark = docs.sparkSession
     wanted = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("wording")) for k, v in templates.items()]).cast("array<struct<license: string, wording: string>>")))
     wanted = wanted.withColumn("words", words_of(F.col("wording"))).where(F.size("words") >= SHINGLE)
-    wanted = wanted.select("license", "words", F.array_distinct(shingles(F.col("words"))).alias("shingles"))
-    vocabulary = sorted({w for r in wanted.select("words").collect() for w in r["words"]})
+    listed = wanted.select("license", "words", F.array_distinct(shingles(F.col("words"))).alias("shingles")).select("*", band_keys(F.col("shingles")).alias("keys")).collect()
+    doc_id = F.col(f"`{id_col}`").cast("long").alias("doc_id")
+    vocabulary = sorted({w for r in listed for w in r["words"]})
     if not vocabulary:
-        return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("license", "string"), ("n_found", "int"), ("n_shingles", "int"), ("containment", "double"))]).where("false")
+        return docs.select(doc_id, *[F.lit(None).cast(t).alias(c) for c, t in (("license", "string"), ("n_found", "int"), ("n_shingles", "int"), ("containment", "double"))]).where("false")
     flags = F.array_join(F.transform("words", lambda w: F.when(w.isin(vocabulary), "1").otherwise("0")), "")
     run = "1" * SHINGLE
-    texts = (
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), words_of(F.col(f"`{text_col}`").cast("string")).alias("words"))
-        .withColumn("flags", flags)
-        .where(F.instr("flags", run) > 0)
-        .withColumn("hashes", shingles(F.col("words")))
-        .withColumn("row", F.struct("doc_id", F.array_distinct("hashes").alias("all")))
-    )
+    texts = docs.select(doc_id, words_of(F.col(f"`{text_col}`").cast("string")).alias("words")).withColumn("flags", flags).where(F.instr("flags", run) > 0).withColumn("hashes", shingles(F.col("words")))
     starts = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(STEP)), lambda i: F.substring("flags", i + 1, F.lit(WINDOW)).contains(run))
-    bands = F.flatten(F.transform(starts, lambda i: F.transform(minhash(F.slice("hashes", i + 1, WINDOW - SHINGLE + 1)), lambda m, b: F.struct(b.alias("band"), m.alias("least")))))
-    probes = texts.select("row", F.explode(F.array_distinct(bands)).alias("probe")).select("row", "probe.*")
-    keys = wanted.select("license", "shingles", F.posexplode(minhash(F.col("shingles"))).alias("band", "least"))
-    met = probes.join(F.broadcast(keys), ["band", "least"])
-    found = met.withColumn("n_found", F.size(F.array_intersect("row.all", "shingles"))).withColumn("n_shingles", F.size("shingles"))
-    kept = found.where(F.col("n_found") >= least * F.col("n_shingles")).select("row.doc_id", F.hash("row.all").alias("same"), "license", "n_found", "n_shingles")
-    return kept.distinct().select("doc_id", "license", "n_found", "n_shingles", F.round(F.col("n_found") / F.col("n_shingles"), 6).alias("containment"))
+    keyed = texts.select("doc_id", F.array_distinct("hashes").alias("all"), F.flatten(F.transform(starts, lambda i: band_keys(flagged("hashes", "flags", i)))).alias("keys"))
+    known = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["shingles"]).alias("shingles"), F.lit(r["keys"]).alias("keys")) for r in listed])
+    met = keyed.select("doc_id", "all", F.explode(F.filter(known, lambda t: F.arrays_overlap("keys", t["keys"]))).alias("t"))
+    found = met.select("doc_id", F.col("t.license").alias("license"), F.size(F.array_intersect("all", "t.shingles")).alias("n_found"), F.size("t.shingles").alias("n_shingles"))
+    return found.where(F.col("n_found") >= least * F.col("n_shingles")).withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 6))
