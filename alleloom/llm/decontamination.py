@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, pieces
+from .common import cut, documents, pieces
 
 Q = 10
 TABLE_BITS = 22
@@ -42,14 +43,16 @@ class Index:
 
     Items are cut into segments of ``size`` bytes, half overlapping, so that a copied part of
     1.5 ``size`` bytes holds a whole one; a shorter item is one segment. A segment of m bytes may
-    have ``rate`` m edits.
+    have ``rate`` m edits; one of under two q-grams' bytes none, and it must stand between white space.
     """
 
     def __init__(self, items: list[tuple[int, bytes]], size: int = 80, rate: float = 0.075):
+        if not Q <= size < Q + 128:
+            raise ValueError(f"segments have {Q} to {Q + 127} bytes")  # a q-gram's offset has seven bits
         parts = []
         for item, text in items:
             text = normal(text)
-            if len(text) < 2 * Q:
+            if len(text) < Q:
                 continue
             last = max(0, len(text) - size)
             parts += [(item, text[a : a + size]) for a in sorted({*range(0, last, size // 2), last})]
@@ -132,6 +135,26 @@ def edits(data: np.ndarray, segments: np.ndarray, diagonals: np.ndarray, k: np.n
     return cost.min(axis=1)
 
 
+def _stands(raw: bytes, short: bytes, diagonal: int) -> bool:
+    """Whether the text has these bytes at the band's two diagonals, between white space."""
+    for at in (diagonal, diagonal + 1):
+        stop = at + len(short)
+        if at >= 0 and raw[at:stop] == short and raw[at - 1 : at] in (b"", b" ") and raw[stop : stop + 1] in (b"", b" "):
+            return True
+    return False
+
+
+#: The index that this worker used last, by the block's name: tasks of one block share it.
+_KEPT: dict[str, Index] = {}
+
+
+def kept_index(name: str, *block) -> Index:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Index(*block)
+    return _KEPT[name]
+
+
 def matches(text: bytes | None, index: Index) -> dict[int, tuple[int, int]]:
     """For each item found: segments matched and the least edits of one."""
     raw = normal(text)
@@ -140,7 +163,10 @@ def matches(text: bytes | None, index: Index) -> dict[int, tuple[int, int]]:
     left: dict[int, list[tuple[int, int]]] = {}
     for seg, diagonal in candidates(data, index):
         k, m = int(index.k[seg]), int(index.m[seg])
-        if raw.find(index.text[seg].tobytes(), max(0, diagonal - k), max(0, diagonal + 3 * k + m)) >= 0:
+        if m < 2 * Q:
+            if _stands(raw, index.text[seg].tobytes(), diagonal):
+                best[seg] = 0
+        elif raw.find(index.text[seg].tobytes(), max(0, diagonal - k), max(0, diagonal + 3 * k + m)) >= 0:
             best[seg] = 0  # an alignment without edits lies in the band
         else:
             left.setdefault(m, []).append((seg, diagonal))
@@ -177,17 +203,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``doc_id, item_id, n_segments, n_edits``: a row for each text that has a segment of an item, and the item.
 
     The benchmark is the stated set that all texts are searched for: it goes through in blocks of
-    ``block_bytes``, each broadcast as an index (so what is broadcast is bounded whatever the
-    benchmark's size), and texts are read whole. Null texts and items match nothing; items under
-    16 bytes are too short to search for; null ids keep their rows; repeated rows give rows
-    each. An item whose id has several texts counts under that id.
+    ``block_bytes``, each broadcast by itself. If there are several, each is searched for and its result
+    written before the next is broadcast. Texts are read whole. Null texts and items match nothing; items under
+    10 bytes are too short to tell a copy from chance and are not searched for, those under 20 match whole words without edits;
+    null ids keep their rows; repeated rows give rows each. An item whose id has several texts counts under that id.
     """
     spark, texts, out = docs.sparkSession, documents(docs, id_col, text_col), None
-    for items in blocks(benchmark, item_col, item_text, block_bytes):
-        index = spark.sparkContext.broadcast((items, size, rate))
+    following = blocks(benchmark, item_col, item_text, block_bytes)
+    items = next(following, None)
+    while items is not None:
+        index, name = spark.sparkContext.broadcast((items, size, rate)), uuid.uuid4().hex
 
-        def make(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = Index(*index.value)
+        def make(batches: Iterator[pa.RecordBatch], index=index, name=name) -> Iterator[pa.RecordBatch]:
+            own = kept_index(name, *index.value)
             for batch in batches:
                 for piece in pieces(batch):
                     rows = [(d, i, n, e) for d, t in zip(piece["doc_id"].to_pylist(), piece["text"].to_pylist(), strict=True) for i, (n, e) in matches(t, own).items()]
@@ -195,6 +223,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["doc_id", "item_id", "n_segments", "n_edits"])
 
         part = texts.mapInArrow(make, "doc_id long, item_id long, n_segments long, n_edits long")
+        items = next(following, None)
+        if out is not None or items is not None:
+            part = cut(part, "benchmark-block")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     empty = texts.where("false").select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("item_id", "n_segments", "n_edits")])
     return empty if out is None else out
