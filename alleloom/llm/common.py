@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,44 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder only where none is named (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; only a local session, where all share one machine, gets a folder of its own."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="alleloom-"))
 
 
+#: Lists that note the tables written while they are open, innermost last.
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that are written within."""
+    made: list[str] = []
+    _NOTED.append(made)
+    try:
+        yield made
+    finally:
+        _NOTED.remove(made)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    for made in _NOTED:
+        made.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder; only when no DataFrame that reads them is still to be run."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from .common import arrow_map, documents, shared_path
 
 SPACE = b" \t\n\x0b\x0c\r"
 CONTINUED = bytes(range(0x80, 0xC0))
@@ -103,6 +103,16 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("failed_bits", bits)
 
 
+def stored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a Parquet table (in the shared folder unless ``path`` is given): texts are measured once, and
+    any policy or ablation, of this version or a later one, reads the stored bits and measurements.
+    """
+    rows = ledger(docs, id_col, text_col)
+    path = path or shared_path(docs.sparkSession, "rule-ledger")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def fails(policy: int | str, bits: Column | None = None) -> Column:
     """Whether a ledger row fails a policy (a name of ``POLICIES`` or a mask)."""
     mask = POLICIES[policy] if isinstance(policy, str) else policy

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, decontamination, lattice_lm, licenses, packing, quality_rules, sharding, simhash, suffix_dedup, token_output
-from .common import table
+from .common import shared_path, table
 from .oracles import ORACLES
 
 
@@ -18,13 +19,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The folder of the stored ledger that was written last, for each application and folder of tables.
+_LEDGERS: dict[tuple[str, str], str] = {}
+
+
+def _ledger(spark: SparkSession, sf_dir: str, again: bool) -> DataFrame:
+    """The stored ledger; measured and written if ``again``, or if none is there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    if not again and key in _LEDGERS:
+        try:
+            return spark.read.schema(quality_rules.ledger(docs).schema).parquet(_LEDGERS[key])
+        except AnalysisException:  # the folder was cleared
+            pass
+    _LEDGERS[key] = shared_path(spark, "rule-ledger")
+    return quality_rules.stored(docs, _LEDGERS[key])
+
+
 def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    rows = _ledger(spark, sf_dir, True)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.fails("base").alias("base_failed"), (~quality_rules.fails("base") & ~quality_rules.fails("v1")).alias("kept"), "failed_bits")
 
 
 def op1_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
+    """Counted from the stored ledger; texts are not read again."""
+    return quality_rules.ablations(_ledger(spark, sf_dir, False), "v1")
 
 
 def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

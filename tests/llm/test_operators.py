@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from conftest import DATA
 from samples import SCHEMA, awkward, contains, crc, cut_repeats, frame, linked, rows_of, simhash, unigram, words
 
@@ -43,8 +44,21 @@ def test_ledger_counts_words_and_repeats(docs, none):
     assert quality_rules.ledger(none).count() == 0
     kept = quality_rules.apply_policies(quality_rules.ledger(docs))
     assert {"kept_base", "kept_v1", "kept_v2"} < set(kept.columns) and kept.where("kept_v2 and not kept_v1").count() == 0
-    rows = {r["rule"]: r for r in quality_rules.ablations(quality_rules.ledger(docs), "v1").collect()}
+    stored = quality_rules.stored(docs)
+    rows = {r["rule"]: r for r in quality_rules.ablations(stored, "v1").collect()}
     assert rows["few_words"]["n_failed"] == sum(len(words(t)) < 10 for _, t in IDS_TEXTS)
+    assert "MapInArrow" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_policies_and_ablations_count_what_single_rows_say(docs):
+    rows = [r.asDict() for r in quality_rules.apply_policies(quality_rules.stored(docs)).collect()]
+    checks = {"few_words": lambda r: r["n_words"] < 10, "repeated_words": lambda r: 100 * r["n_repeat_words"] > 20 * r["n_words"], "symbols": lambda r: 10 * r["n_symbols"] > r["n_words"], "repeated_lines": lambda r: 100 * r["n_dup_lines"] > 30 * r["n_lines"], "short_words": lambda r: r["word_chars"] < 2 * r["n_words"], "long_words": lambda r: r["word_chars"] > 14 * r["n_words"], "shouting": lambda r: 2 * r["n_upper"] > r["n_upper"] + r["n_lower"], "no_letters": lambda r: 100 * r["n_wordless"] > 40 * r["n_words"]}
+    for policy, mask in quality_rules.POLICIES.items():
+        rules = [k for k in checks if quality_rules.BIT[k] & mask]
+        failed = [{k for k in rules if checks[k](r)} for r in rows]
+        assert [r[f"kept_{policy}"] for r in rows] == [not f for f in failed]
+        got = {r["rule"]: (r["n_failed"], r["n_only"], r["n_kept_without"]) for r in quality_rules.ablations(quality_rules.stored(docs), policy).collect()}
+        assert got == {k: (sum(k in f for f in failed), sum(f == {k} for f in failed), sum(not f - {k} for f in failed)) for k in rules}
 
 
 def test_tokens_come_back_from_the_shards(docs, none):
@@ -149,12 +163,43 @@ def test_contaminated_texts(spark, docs, none):
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0
     many = decontamination.contaminated(frame(spark, all_rows), bench, block_bytes=100)
     assert {(x["doc_id"], x["item_id"]) for x in many.collect()} == want
+    with pytest.raises(ValueError):
+        decontamination.Index([], size=138)
+
+
+def test_short_items_match_whole_words_and_rows_repeat(spark):
+    bench = spark.createDataFrame([(1, "forty two!"), (2, "a tiny one"), (3, "yes"), (4, "exactly nineteen ab")], "item_id long, text string")
+    texts = [(1, "it is Forty  Two! indeed"), (1, "it is Forty  Two! indeed"), (2, "forty two!x"), (3, "xforty two!"), (4, "forty two!"), (5, "a tiny\none"), (6, "a tiny ones"), (7, "yes"), (8, "so exactly nineteen ab"), (9, "exactly ninteen ab"), (None, "a tiny one"), (None, "a tiny one"), (10, "forty two! forty two!")]
+    got = Counter((x["doc_id"], x["item_id"]) for x in decontamination.contaminated(frame(spark, [(i, t, *ROWS[0][2:]) for i, t in texts]), bench).collect())
+    assert got == Counter({(1, 1): 2, (4, 1): 1, (5, 2): 1, (8, 4): 1, (None, 2): 2, (10, 1): 1})
+
+
+def test_repeated_rows_are_found_each(spark):
+    item = "a passage of some length that is part of the benchmark and was copied"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.contaminated(frame(spark, [(5, "x " + item, *ROWS[0][2:])] * 3 + [(6, None, *ROWS[0][2:])]), bench).collect()
+    assert [(x["doc_id"], x["item_id"]) for x in got] == [(5, 1)] * 3
+
+
+def licensed(text) -> Counter:
+    """Templates of whose five-word shingles a text has four fifths, with the shingles found."""
+    def grams(t):
+        ws = regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+    own = grams(text)
+    return Counter((k, n, len(grams(v))) for k, v in licenses.TEMPLATES.items() if (n := len(own & grams(v))) >= 0.8 * len(grams(v)))
 
 
 def test_license_scan(spark, none):
-    texts = [(1, "x " * 50 + licenses.TEMPLATES["mit-permission"].upper() + " y" * 9), (2, "released under the mit license"), (3, "released under the license"), (4, None), (5, ""), (6, " ".join(licenses.TEMPLATES["bsd-redistribution"].split()[:9])), (None, licenses.TEMPLATES["gpl-3.0"]), (2, "released under the mit license")]
-    got = rows_of(licenses.scan(frame(spark, [(i, t, *ROWS[0][2:]) for i, t in texts])), "doc_id", "license")
-    assert {(1, "mit-permission"), (2, "mit"), (None, "gpl-3.0")} <= set(got) and not {3, 4, 5, 6} & {k[0] for k in got}
+    t = licenses.TEMPLATES
+    texts = [(1, "x " * 50 + t["mit-permission"].upper() + " y" * 9), (2, "released under the mit license"), (3, "released under the license"), (4, None), (5, ""), (6, " ".join(t["bsd-redistribution"].split()[:9])), (None, t["gpl-3.0"]), (2, "released under the mit license")]
+    texts += [(7, t["mit"] + ". " + t["no-warranty"].title() + " " + " ".join(t["apache-2.0"].split()[1:])), (8, " ".join(t["mit-permission"].split()[k] for k in range(19) if k != 9)), (9, "word " * 20_000 + t["cc-by-nc-4.0"]), (2, "other"), (10, "the license and the software under the mit license version is granted " + t["mit"])] * 2
+    got = rows_of(licenses.scan(frame(spark, [(i, t, *ROWS[0][2:]) for i, t in texts])), "doc_id", "license", "n_found", "n_shingles")
+    want = Counter()
+    for i, x in texts:
+        want.update({(i, *k): n for k, n in licensed(x).items()})
+    assert got == want and {(1, "mit-permission"), (2, "mit"), (None, "gpl-3.0")} <= {k[:2] for k in got} and got[2, "mit", 1, 1] == 2
     assert licenses.scan(none).count() == 0 and licenses.scan(frame(spark, ROWS), {}).count() == 0
 
 
