@@ -32,38 +32,169 @@ def vocabulary(path: str) -> dict[str, int]:
     return out
 
 
-def segment(word: str, pieces: dict[str, int], longest: int) -> list[int]:
-    """Longest pieces from the left; unknown characters as bytes."""
-    word, at, out = START + word, 0, []
-    while at < len(word):
-        for n in range(min(longest, len(word) - at), 0, -1):
-            if (k := pieces.get(word[at : at + n])) is not None:
-                out.append(k)
-                break
-        else:
-            n = 1
-            out += [pieces[f"<0x{b:02X}>"] for b in word[at].encode("utf-8", "replace")]
-        at += n
-    return out
+def _odd_powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n + 1, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    steps[0] = 1
+    with np.errstate(over="ignore"):
+        return steps.cumprod(dtype=np.uint64)
+
 
+_BASE = 0x9E3779B97F4A7C15
 
-def lattice(word: str, score: dict[str, float], longest: int) -> float:
-    """Natural log of the summed probability of all ways to write the word in pieces.
 
-    Forward recursion in log space: what reaches a place is the log-sum-exp over the pieces that
-    end there. A character that is no piece is written in byte pieces.
+class Lattice:
+    """All ways to write words in pieces, for many words of one length at a time.
+
+    Substrings of up to the longest piece's length are looked up by 64-bit polynomial hash. A
+    character that is no piece is written in byte pieces.
     """
-    text = START + word
-    reach = [-math.inf] * (len(text) + 1)
-    reach[0] = 0.0
-    get = score.get
-    for j in range(1, len(text) + 1):
-        terms = [reach[i] + s for i in range(max(0, j - longest), j) if (s := get(text[i:j])) is not None]
-        if text[j - 1] not in score:
-            terms.append(reach[j - 1] + sum(score[f"<0x{b:02X}>"] for b in text[j - 1].encode("utf-8", "replace")))
-        most = max(terms)
-        reach[j] = most + math.log(sum([math.exp(t - most) for t in terms])) if len(terms) > 1 and most > -math.inf else most
-    return reach[-1]
+
+    def __init__(self, pieces: dict[str, int]):
+        self.pieces, self.size = pieces, max(pieces.values()) + 1
+        self.longest = max(map(len, pieces))
+        self.bytes = np.array([pieces[f"<0x{b:02X}>"] for b in range(256)])
+        self._grow(256)
+        by_length: dict[int, list[str]] = {}
+        for p in pieces:
+            if not (len(p) == 6 and p.startswith("<0x")):
+                by_length.setdefault(len(p), []).append(p)
+        keys, ids = [], []
+        for n, some in by_length.items():
+            keys.append(self._hashes(self._codes(some, n), n)[:, 0])
+            ids.append([pieces[p] for p in some])
+        flat, own = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(flat)
+        self.keys, self.ids = flat[order], own[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def _grow(self, n: int) -> None:
+        self.powers, self.inverses = _odd_powers(_BASE, n), _odd_powers(pow(_BASE, -1, 1 << 64), n)
+
+    @staticmethod
+    def _codes(texts: list[str], n: int) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), n)
+
+    def _hashes(self, codes: np.ndarray, k: int) -> np.ndarray:
+        """Of all substrings of k characters."""
+        n = codes.shape[1]
+        if n >= len(self.powers):
+            self._grow(2 * n)
+        with np.errstate(over="ignore"):
+            prefix = np.zeros((len(codes), n + 1), np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.powers[:n], axis=1, out=prefix[:, 1:])
+            x = (prefix[:, k:] - prefix[:, : n + 1 - k]) * self.inverses[: n + 1 - k]
+            x = (x ^ (x >> np.uint64(31)) ^ np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+    def edges(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each length the piece that starts at each place; ``size`` where there is none."""
+        out = []
+        for k in range(1, min(self.longest, codes.shape[1]) + 1):
+            h = self._hashes(codes, k)
+            found = np.full(h.shape, self.size, np.int32)
+            at = np.nonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            place = np.searchsorted(self.keys, h[at])
+            place[place == len(self.keys)] = 0
+            true = self.keys[place] == h[at]
+            found[at[0][true], at[1][true]] = self.ids[place[true]]
+            out.append(found)
+        return out
+
+    def spelled(self, codes: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For each character a number: 0 for pieces, else that of its byte pieces, which are listed."""
+        missing = single == self.size
+        chars, inverse = np.unique(codes[missing], return_inverse=True)
+        which = np.zeros(codes.shape, np.int64)
+        which[missing] = inverse + 1
+        return which, [self.bytes[list(chr(c).encode("utf-8", "replace"))] for c in chars.tolist()]
+
+    def _forward(self, steps: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
+        """Log of what reaches each place: the log-sum-exp over the edges that end there."""
+        rows, n = byte.shape
+        reach = np.full((rows, n + 1), -np.inf)
+        reach[:, 0] = 0.0
+        for j in range(1, n + 1):
+            terms = [reach[:, j - k] + steps[k - 1][:, j - k] for k in range(1, min(len(steps), j) + 1)]
+            terms = np.stack([*terms, reach[:, j - 1] + byte[:, j - 1]])
+            most = terms.max(axis=0)
+            with np.errstate(invalid="ignore"):
+                reach[:, j] = np.where(most > -np.inf, most + np.log(np.exp(terms - most).sum(axis=0)), -np.inf)
+        return reach
+
+    def _scored(self, codes: np.ndarray, logs: np.ndarray):
+        found = self.edges(codes)
+        padded = np.append(logs, -np.inf)
+        which, spellings = self.spelled(codes, found[0])
+        byte = np.array([-np.inf, *[logs[s].sum() for s in spellings]])[which]
+        return found, [padded[e] for e in found], which, spellings, byte
+
+    @staticmethod
+    def _by_length(words: list[str]):
+        texts = [START + w for w in words]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+        for part in np.split(order, cuts):
+            if len(part):
+                n = int(sizes[part[0]])
+                room = max(1, (1 << 18) // n)
+                for at in range(0, len(part), room):
+                    own = part[at : at + room]
+                    yield own, Lattice._codes([texts[i] for i in own.tolist()], n)
+
+    def marginal(self, words: list[str], logs: np.ndarray) -> np.ndarray:
+        """Natural log of each word's summed probability over all its segmentations, given the pieces' logs."""
+        out = np.zeros(len(words))
+        for own, codes in self._by_length(words):
+            _, steps, _, _, byte = self._scored(codes, logs)
+            out[own] = self._forward(steps, byte)[:, -1]
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """How often each piece is used, over all segmentations by their probability and all words by their counts."""
+        used = np.zeros(self.size + 1)
+        for own, codes in self._by_length(words):
+            found, steps, which, spellings, byte = self._scored(codes, logs)
+            n, c = codes.shape[1], counts[own][:, None]
+            ahead = self._forward(steps, byte)
+            # what leads from a place to the end: the same recursion on the turned lattice
+            turned = [s[:, ::-1] for s in steps]
+            back = self._forward(turned, byte[:, ::-1])[:, ::-1]
+            total = ahead[:, -1:]
+            for k, (e, s) in enumerate(zip(found, steps, strict=True), 1):
+                at = e < self.size
+                share = np.where(at, c * np.exp(np.where(at, ahead[:, : n + 1 - k] + s + back[:, k:] - total, -np.inf)), 0)
+                used += np.bincount(e[at], weights=share[at], minlength=self.size + 1)
+            if spellings:
+                share = (c * np.exp(ahead[:, :-1] + byte + back[:, 1:] - total))[which > 0]
+                chars = np.bincount(which[which > 0], weights=share, minlength=len(spellings) + 1)
+                for spelling, x in zip(spellings, chars[1:].tolist(), strict=True):
+                    np.add.at(used, spelling, x)
+        return used[:-1]
+
+
+@lru_cache(1)
+def lattice_of(path: str) -> Lattice:
+    """A worker keeps it from task to task."""
+    return Lattice(vocabulary(path))
+
+
+def prior(pieces: dict[str, int]) -> np.ndarray:
+    """Logs of first probabilities of the pieces: a vocabulary lists frequent ones first, so they fall with the place as in Zipf's law."""
+    logs = np.full(max(pieces.values()) + 1, -np.inf)
+    ids = np.array(sorted(pieces.values()))
+    weights = 1 / (np.arange(len(ids)) + 2.7)
+    logs[ids] = np.log(weights / weights.sum())
+    return logs
+
+
+def maximised(used: np.ndarray, pieces: dict[str, int], smooth: float) -> np.ndarray:
+    """Logs of the pieces' probabilities from how often they are used, ``smooth`` added to each."""
+    logs = np.full(len(used), -np.inf)
+    ids = np.array(sorted(pieces.values()))
+    logs[ids] = np.log((used[ids] + smooth) / (used[ids].sum() + smooth * len(ids)))
+    return logs
 
 
 def held_out(doc_id) -> F.Column:
@@ -135,16 +266,44 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block()
 
 
-def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", smooth: float = 0.1) -> DataFrame:
+def piece_logs(counts: DataFrame, pieces_path: str, rounds: int, smooth: float) -> np.ndarray:
+    """Logs of the pieces' probabilities after ``rounds`` of expectation and maximisation over ``counts(word, c)``.
+
+    A round reads the counted words once; a number for each piece of the vocabulary comes to the driver.
+    """
+    pieces = vocabulary(pieces_path)
+    logs = prior(pieces)
+    for _ in range(rounds):
+        model = counts.sparkSession.sparkContext.broadcast(logs)
+
+        def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            own = lattice_of(pieces_path)
+            used = np.zeros(own.size)
+            for batch in batches:
+                words = [w.decode("utf-8", "replace") for w in batch["word"].to_pylist()]
+                used += own.expected(words, batch["c"].to_numpy().astype(np.float64), model.value)
+            some = np.flatnonzero(used)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(used[some])], names=["piece", "n"])
+
+        rows = counts.where("c > 0").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        used = np.zeros(len(logs))
+        used[[r["piece"] for r in rows]] = [r["n"] for r in rows]
+        logs = maximised(used, pieces, smooth)
+        model.destroy()
+    return logs
+
+
+def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", smooth: float = 0.1, rounds: int = 2) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score``.
 
     Tokens are A-Z-lower-cased words and one end per text; ids whose crc32 is 0 modulo 10 are held
     out and the rest is learned from (a null id is learned from). ``base_score``: log10 of the
     add-``smooth`` unigram. ``lattice_score``: log10 of the marginal probability over all
-    segmentations of the words into pieces of an existing vocabulary, whose unigram scores are
-    estimated on the distinct training words. ``score``: the same lattices with one edge more for
-    each training word, as a whole: its relative frequency, discounted; the discount (the
-    share of words seen once) is what enters the subword part. Null and empty texts have only
+    segmentations of the words into pieces of an existing vocabulary. Its pieces are weighed by
+    ``rounds`` of expectation and maximisation on the lattices of the training words, each word by its count.
+    ``score``: the same marginal over a vocabulary that grows with the corpus, since each
+    training word is a piece too: one edge more in its lattice, its relative frequency, discounted by
+    the share of words seen once, which is the weight of the other edges together. Null and empty texts have only
     the end. Repeated rows each count. No documents: no rows.
 
     Texts are read once and never shuffled: blocks of them become distinct words with counts,
@@ -159,33 +318,15 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
     seen = counts.agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("kinds"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
     trained = texts.where(~F.col("held_out")).count()  # one end each
     total, kinds, once = (seen["tokens"] or 0) + trained, (seen["kinds"] or 0) + (trained > 0), seen["once"] or 0
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(pieces_path)
-        longest, n = max(map(len, pieces)), np.zeros(max(pieces.values()) + 1, np.int64)
-        for batch in batches:
-            for w in batch["word"].to_pylist():
-                for k in segment(w.decode("utf-8", "replace"), pieces, longest):
-                    n[k] += 1
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["piece", "n"])
-
-    # as many rows as the vocabulary has pieces, at most
-    tallied = counts.where("c > 0").select("word").mapInArrow(tally, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    times = {r["piece"]: r["n"] for r in tallied}
-    model = docs.sparkSession.sparkContext.broadcast((times, sum(times.values())))
+    model = docs.sparkSession.sparkContext.broadcast(piece_logs(counts, pieces_path, rounds, smooth))
     below = math.log(total + smooth * (kinds + 1)) if total else 0.0
     spare = min(0.5, max(1e-6, (once + 1) / (total + 1)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(pieces_path)
-        n, all_ = model.value
-        # a word's last piece is followed by its end, which counts as a piece for each word
-        logs = {p: math.log((n.get(k, 0) + smooth) / (all_ + smooth * len(pieces))) for p, k in pieces.items()}
-        longest = max(map(len, pieces))
+        own, logs = lattice_of(pieces_path), model.value
         for batch in batches:
-            c = np.array(batch["c"].to_pylist(), np.float64)
-            sub = np.array([lattice(w.decode("utf-8", "replace"), logs, longest) for w in batch["word"].to_pylist()], np.float64)
+            c = batch["c"].to_numpy().astype(np.float64)
+            sub = own.marginal([w.decode("utf-8", "replace") for w in batch["word"].to_pylist()], logs)
             whole = np.log(np.maximum(c, 1e-300) / max(total, 1)) + math.log1p(-spare)
             both = np.where(c > 0, np.logaddexp(whole, sub + math.log(spare)), sub + math.log(spare))
             yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(sub), pa.array(both)], names=["word", "c", "sub", "both"])
@@ -225,4 +366,6 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3), strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    return cells.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(gather, schema)
+    # a partition for each block, where there are more blocks than partitions
+    parts = max(cells.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cells.repartition(parts, "block").groupBy("block").cogroup(back.repartition(parts, "of").groupBy("of")).applyInArrow(gather, schema)

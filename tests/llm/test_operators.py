@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import regex
 from conftest import DATA
-from samples import SCHEMA, awkward, contains, crc, cut_repeats, frame, linked, rows_of, simhash, unigram, words
+from samples import SCHEMA, awkward, contains, crc, cut_repeats, frame, linked, lower, rows_of, simhash, unigram, words
 
 from alleloom.llm import classifier, decontamination, lattice_lm, licenses, packing, quality_rules, ranking, sharding, simhash as sh, suffix_dedup, token_output
 from alleloom.llm.components import components
@@ -233,24 +233,68 @@ def test_flattened_trees_follow_their_splits():
 
 
 def test_lattice_scores(docs, none):
-    got = lattice_lm.score(docs, tokenizer_path("piece_bpe_32k.model")).collect()
+    """The words' marginals are those of the next test; here every text's sums, from counts of the whole table."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    got = lattice_lm.score(docs, path).collect()
     key = lambda x: (str(x[0]), *x[1:5], round(x[5], 6))
     assert Counter(map(key, got)) == Counter(map(key, unigram(IDS_TEXTS)))
-    assert all(x["score"] < 0 and math.isfinite(x["score"]) for x in got)
-    assert lattice_lm.score(none, tokenizer_path("piece_bpe_32k.model")).count() == 0
+    toks = [(i, words(lower(t or ""))) for i, t in IDS_TEXTS]
+    train = [ws for i, ws in toks if crc(i, 10) != 0]
+    c = Counter(w for ws in train for w in ws)
+    pieces, everyone = lattice_lm.vocabulary(path), sorted({w for _, ws in toks for w in ws})
+    own, logs, kinds = lattice_lm.Lattice(lattice_lm.vocabulary(path)), lattice_lm.prior(pieces), sorted(c)
+    for _ in range(2):
+        logs = lattice_lm.maximised(own.expected(kinds, np.array([c[w] for w in kinds], float), logs), pieces, 0.1)
+    assert math.isclose(np.exp(logs[sorted(pieces.values())]).sum(), 1)
+    sub = dict(zip(everyone, own.marginal(everyone, logs).tolist(), strict=True))
+    total = sum(c.values()) + len(train)
+    spare = (sum(n == 1 for n in c.values()) + 1) / (total + 1)
+    whole = {w: math.log((1 - spare) * c[w] / total + spare * math.exp(s)) if c[w] else s + math.log(spare) for w, s in sub.items()}
+    end = len(train) / total
+    want = Counter((str(i), round((sum(sub[w] for w in ws) + math.log(end)) / math.log(10), 5), round((sum(whole[w] for w in ws) + math.log((1 - spare) * end)) / math.log(10), 5)) for i, ws in toks)
+    assert Counter((str(x["doc_id"]), round(x["lattice_score"], 5), round(x["score"], 5)) for x in got) == want
+    assert lattice_lm.score(none, path).count() == 0
 
 
 def test_lattice_sums_all_segmentations():
-    score = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -1.5, "▁a": -2.2, "ba": -4.0, **{f"<0x{b:02X}>": -9.0 for b in range(256)}}
+    score = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -1.5, "▁a": -2.2, "ba": -4.0, "éa": -3.5, **{f"<0x{b:02X}>": -9.0 - b / 1000 for b in range(256)}}
+    pieces = {p: i for i, p in enumerate(score)}
+    logs = np.array(list(score.values()))
 
-    def brute(text):
+    def ways(text):
+        """(log probability, pieces) of every way to write the text."""
         if not text:
-            return 1.0
-        whole = sum(math.exp(score[text[:n]]) * brute(text[n:]) for n in range(1, len(text) + 1) if text[:n] in score)
-        return whole or math.exp(-9.0 * len(text[0].encode())) * brute(text[1:])
-
-    for w in ("ab", "abab", "ba", "aéb"):
-        assert lattice_lm.lattice(w, score, 2) == pytest.approx(math.log(brute("▁" + w)))
+            return [(0.0, ())]
+        first = [(score[text[:n]], (text[:n],), text[n:]) for n in range(1, len(text) + 1) if text[:n] in score]
+        if text[0] not in score:
+            own = tuple(f"<0x{b:02X}>" for b in text[0].encode())
+            first.append((sum(score[b] for b in own), own, text[1:]))
+        return [(x + y, p + q) for x, p, rest in first for y, q in ways(rest)]
+
+    own = lattice_lm.Lattice(pieces)
+    some = ["ab", "abab", "ba", "aéb", "éa", "", "東a", "abéabbaab", "zé"]
+    found = [ways("▁" + w) for w in some]
+    sums = [sum(math.exp(x) for x, _ in f) for f in found]
+    assert own.marginal(some, logs) == pytest.approx([math.log(x) for x in sums])
+    counts = np.arange(1.0, len(some) + 1)
+    used = np.zeros(len(pieces))
+    for f, whole, n in zip(found, sums, counts, strict=True):
+        for x, parts in f:
+            for part in parts:
+                used[pieces[part]] += n * math.exp(x) / whole
+    assert own.expected(some, counts, logs) == pytest.approx(used)
+
+
+def test_expectation_and_maximisation_raise_the_likelihood(docs):
+    path = tokenizer_path("piece_bpe_32k.model")
+    c = Counter(w for _, t in IDS_TEXTS for w in words(lower(t or "")))
+    kinds, n = list(c), np.array(list(c.values()), float)
+    own, pieces = lattice_lm.Lattice(lattice_lm.vocabulary(path)), lattice_lm.vocabulary(path)
+    logs, before = lattice_lm.prior(pieces), -math.inf
+    for _ in range(4):
+        now = float(own.marginal(kinds, logs) @ n)
+        assert now > before
+        logs, before = lattice_lm.maximised(own.expected(kinds, n, logs), pieces, 1e-9), now
 
 
 def test_bounded_ring(docs, none):
