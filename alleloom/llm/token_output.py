@@ -19,6 +19,8 @@ MAGIC = b"RPG1"
 HEADER = np.dtype([("magic", "S4"), ("base", "<u4"), ("rules", "<u4"), ("docs", "<u4"), ("symbols", "<u8"), ("tokens", "<u8")])
 #: Symbols must fit 16 bits where the vocabulary does, so rules are limited to what is left.
 SYMBOLS = 1 << 16
+#: A rule takes 12 bytes of a shard, and a use of it saves 2.
+LEAST = 7
 
 
 @lru_cache(1)
@@ -42,9 +44,15 @@ def words_of(text: bytes) -> list[bytes]:
     return MARK.sub(rb" \g<0>", text.lower()).split()
 
 
+#: Texts that tell whether a tokenizer is of the kind that ``WordIds`` needs.
+PROBES = ("Two words, and MORE: 3 or 4?", "  a\tb\n\nc  ", "it's the 'quoted' end.", "Éa é, ß; Ünder*score_ #1 $5 50%", "x.y.z a.b. !?!", "日本語 текст 😀")
+
+
 class WordIds:
     """Ids of words, as little-endian 32-bit bytes. The tokenizer splits at white space, so a text's ids are those of its words.
 
+    This holds for tokenizers that lower-case, split at white space and mark a word's last token; others are refused, by ``PROBES``.
+
     Words of letters are the tokenizer's own pieces. Many new ones are encoded as one text and told
     apart by their last tokens, which alone carry the word-end mark.
     """
@@ -56,6 +64,10 @@ class WordIds:
         vocab = _tokenizer(path).get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        for text in PROBES:
+            words = words_of(text.encode())
+            if b"".join(map(self.of([words]).__getitem__, words)) != np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes():
+                raise ValueError(f"the tokenizer {path} doesn't encode a text as its words")
 
     def of(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """Ids of just these texts' words: looked up once each, then from a small table."""
@@ -92,15 +104,15 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, max_rounds: int = 6, least: int = 16, at_once: int = 4000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: frequent neighbouring pairs become nonterminals, round after round.
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, factor: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: the most frequent neighbouring pairs become nonterminals, again and again.
 
     ``ids``: one sequence; ``ends``: the number of ids up to each document's end, over which no
-    pair reaches. A round counts all pairs by bucket, takes one pair for each of the fullest
-    buckets (``least`` pairs or more), replaces its occurrences where they beat both neighbours,
-    and keeps the rule when it was used twice. Buckets are dealt anew each round. Returns
-    symbols, rules (pairs, by number) and the documents' ends in symbols. Stops early once no
-    bucket is full enough or the 16-bit symbols are used up.
+    pair reaches. A step counts all pairs exactly and takes those that are at least a ``factor``th as frequent as
+    the most frequent one; of overlapping occurrences the more frequent pair's is replaced, and in a run of one id every
+    other. Rules that were used twice are kept. It ends when no pair occurs ``least`` times, below
+    which a rule takes more room than it saves, or when the 16-bit symbols are used up. Returns
+    symbols, rules (pairs, by number) and the documents' ends in symbols.
     """
     seq = ids.astype(np.uint32)
     filled = np.diff(ends, prepend=0) > 0
@@ -108,52 +120,55 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, max_rounds: int = 6, le
     rules: list[np.ndarray] = []
     made = 0
     limit = max(0, SYMBOLS - base) if base < SYMBOLS else 1 << 20
-    for turn in range(max_rounds):
-        if len(seq) < 2 or made >= limit:
+    low, none = np.uint64(32), np.uint64(0xFFFFFFFFFFFFFFFF)
+    while len(seq) > 1 and made < limit:
+        code = seq[:-1].astype(np.uint64) << low | seq[1:]
+        code[last[:-1]] = none  # a document's last id begins no pair
+        up = np.sort(code)
+        up = up[: np.searchsorted(up, none)]
+        if not len(up):
             break
-        a, b = seq[:-1], seq[1:]
-        bucket = a * np.uint32((2654435761 + 362437 * 2 * turn) & 0xFFFFFFFF)
-        bucket += b * np.uint32(2246822519)
-        bucket >>= np.uint32(14)
-        bucket = bucket.astype(np.int64)  # counted and looked up by
-        bucket[last[:-1]] = 1 << 18  # the sequence's own last id begins no pair
-        count = np.bincount(bucket, minlength=(1 << 18) + 1)
-        count[-1] = 0
-        size = min(at_once, limit - made)
-        full = np.argpartition(-count, size - 1)[:size]
-        full = full[count[full] >= least]
-        if not len(full):
+        begin = np.flatnonzero(np.concatenate(([True], up[1:] != up[:-1])))
+        times = np.diff(begin, append=len(up))
+        if (most := int(times.max())) < least:
             break
-        weight = np.zeros(len(count), np.int16 if size < 1 << 15 else np.int32)
-        weight[full[np.argsort(count[full], kind="stable")]] = np.arange(1, len(full) + 1)
-        which = weight[bucket]
-        at = np.flatnonzero(which != 0)
+        some = np.flatnonzero(times >= max(least, most // factor))
+        pair = up[begin[some[np.argsort(-times[some], kind="stable")[: limit - made]]]]
+        # where they occur: by a table of slots, in which the more frequent pair stays; the other one's turn comes later
+        table = np.zeros(1 << 20, np.int32)
+        table[_slot(pair)[::-1]] = np.arange(len(pair), 0, -1)
+        which = table[_slot(code)]
+        at = np.flatnonzero(which)
+        at = at[code[at] == pair[which[at] - 1]]
         which = which[at]
-        code = a[at].astype(np.int64) << 32 | b[at]
-        pair = np.zeros(len(full) + 1, np.int64)
-        pair[which] = code
-        same = pair[which] == code
-        at, which = at[same], which[same]
+        start = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (which[1:] != which[:-1]))))
+        even = (np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))) % 2 == 0
+        at, which = at[even], which[even]
         apart = np.diff(at) > 1
-        chosen = np.concatenate(([True], apart | (which[1:] > which[:-1]))) & np.concatenate((apart | (which[:-1] >= which[1:]), [True]))
+        chosen = np.concatenate(([True], apart | (which[1:] < which[:-1]))) & np.concatenate((apart | (which[:-1] < which[1:]), [True]))
         at, which = at[chosen], which[chosen]
-        used = np.bincount(which, minlength=len(pair)) > 1
+        used = np.bincount(which, minlength=len(pair) + 1) > 1
         good = used[which]
         at, which = at[good], which[good]
         if not len(at):
             break
-        new = pair[used]
-        rules.append(np.stack((new >> 32, new & 0xFFFFFFFF), axis=1))
+        new = pair[used[1:]]
+        rules.append(np.stack((new >> low, new & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64))
         seq[at] = (base + made + np.cumsum(used) - 1)[which]
         made += len(new)
         last -= np.searchsorted(at + 1, last, side="right")
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    rows = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     stops = np.zeros(len(ends), np.int64)
     stops[filled] = last + 1
-    return seq, table, np.maximum.accumulate(stops) if len(stops) else stops
+    return seq, rows, np.maximum.accumulate(stops) if len(stops) else stops
+
+
+def _slot(code: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
 def expanded(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -272,7 +287,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     document that takes it to ``shard_tokens``, so a very long text fills its own. Spark's
     committer writes the rows, so lost or repeated tasks leave no halves. No documents: no shards.
     """
-    texts = documents(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or of none, are told apart by how their texts begin
+    texts = documents(docs, id_col, text_col).repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     texts.mapInArrow(_encode(tokenizer, end_id, shard_tokens), "part int, number int, n_tokens long, data binary").write.mode("overwrite").option("compression", "none").parquet(path)
     return path
 

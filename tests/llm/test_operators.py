@@ -91,6 +91,38 @@ def test_word_table_gives_the_ids_of_whole_texts():
             assert np.frombuffer(b"".join(ids[w] for w in ws), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "<unk>": 3}, [], unk_token="<unk>"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        token_output.WordIds(str(tmp_path / "t.json"))
+
+
+def test_grammar_replaces_every_pair_that_pays():
+    """No pair within a document is left that occurs often, runs of one id included; the most frequent go first."""
+    r = np.random.default_rng(1)
+    words = [r.integers(0, 500, int(n)) for n in r.integers(2, 9, 60)]
+    parts = [np.concatenate([words[i] for i in np.minimum(r.geometric(0.05, 40), 60) - 1] + [np.full(30, 7)]) for _ in range(50)]
+    ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    symbols, rules, stops = token_output.repair(ids, ends, 1000, least=4)
+    assert (token_output.expanded(symbols, rules, 1000) == ids).all()
+    lengths = np.append(np.ones(1000, int), token_output.rule_lengths(rules, 1000))[symbols]
+    assert (np.cumsum(lengths)[stops - 1] == ends).all()
+    inner = np.ones(len(symbols), bool)
+    inner[stops - 1] = False
+    pairs = Counter(zip(symbols[:-1][inner[:-1]].tolist(), symbols[1:][inner[:-1]].tolist(), strict=True))
+    assert max(pairs.values()) < 4 and len(symbols) < len(ids) / 5
+    first = Counter()
+    for p in parts:
+        first.update(zip(p[:-1].tolist(), p[1:].tolist(), strict=True))
+    assert first[tuple(rules[0].tolist())] == max(first.values())
+    few, limited, _ = token_output.repair(ids, ends, token_output.SYMBOLS - 5, least=2)
+    assert len(limited) == 5
+
+
 def test_shard_random_access():
     r = np.random.default_rng(3)
     phrase = r.integers(0, 900, 40)
