@@ -76,7 +76,7 @@ class Trees:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, smooth: float = 1.0, least: int = 20) -> Trees:
-    """Boosting on the logistic loss; splits are sought on histograms of at most ``bins`` quantile bins."""
+    """Boosting on the logistic loss; splits are sought on histograms of at most ``bins`` quantile bins. Of equal gains the first feature's lowest edge is taken."""
     n, m = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) if n else np.zeros(1) for j in range(m)]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1) if n else np.zeros((0, m), np.int64)
@@ -151,7 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 
 def score(docs: DataFrame, trees: Trees, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` for every input row; texts alone decide, null ones like empty ones."""
+    """``doc_id, score, predicted`` for every input row; texts alone decide, null ones like empty ones.
+
+    Texts are read whole, however long; rows with equal texts score alike, null ids and repeated rows keep theirs. No documents: no rows.
+    """
 
     def make(batch: pa.RecordBatch) -> dict:
         x = np.stack([statistics(t) for t in batch["text"].to_pylist()]) if batch.num_rows else np.zeros((0, len(FEATURES)))

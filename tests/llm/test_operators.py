@@ -264,6 +264,38 @@ def test_flattened_trees_follow_their_splits():
     assert np.allclose(t.score(x), [walk(v) for v in x]) and ((t.score(x) > 0.5) == y).mean() > 0.95
 
 
+def test_splits_are_the_best_of_all():
+    """Of every node's splits at the bins' edges the one with the greatest gain is taken, the first of equals; leaves have none that pays."""
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(300, 5)), 1)
+    y = (x[:, 1] * x[:, 3] + 0.2 * r.normal(size=300) > 0).astype(float)
+    bins, least, smooth = 16, 12, 1.0
+    t = classifier.fit(x, y, trees=1, depth=3, bins=bins, least=least, smooth=smooth, rate=0.3)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(5)]
+    p = 1 / (1 + math.exp(-t.start))
+    g, h = y - p, np.full(300, p * (1 - p))
+    part = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + smooth)
+    todo, seen = [(0, np.arange(300), 0)], 0
+    while todo:
+        k, rows, deep = todo.pop()
+        assert math.isclose(t.value[k], 0.3 * g[rows].sum() / (h[rows].sum() + smooth))
+        gains = {}
+        for f in range(5):
+            for e in edges[f]:
+                go = x[rows, f] <= e
+                if least <= go.sum() <= len(rows) - least:
+                    gains[f, e] = part(rows[go]) + part(rows[~go]) - part(rows)
+        if t.left[k] == k:
+            assert deep == 3 or not gains or max(gains.values()) <= 1e-6 or len(rows) < 2 * least
+            continue
+        seen += 1
+        chosen = t.feature[k], t.threshold[k]
+        assert math.isclose(gains[chosen], max(gains.values()))
+        go = x[rows, chosen[0]] <= chosen[1]
+        todo += [(t.left[k], rows[go], deep + 1), (t.right[k], rows[~go], deep + 1)]
+    assert seen >= 4
+
+
 def test_lattice_scores(docs, none):
     """The words' marginals are those of the next test; here every text's sums, from counts of the whole table."""
     path = tokenizer_path("piece_bpe_32k.model")
