@@ -9,7 +9,7 @@ import pytest
 from alleloom.errors import QueryError
 from alleloom.functions import variants as V
 from alleloom.operators import genotype, ld, phenotypes, sumstats
-from alleloom.plans import paging, render, requests
+from alleloom.plans import cache, paging, render, requests, service
 from alleloom.sources import catalog, files
 
 
@@ -272,3 +272,50 @@ def test_requests():
     for bad in ({"masks": None}, {"genotype": "g", "phenotype": "p"}, {"filters": [{"field": "maf", "op": "eq", "value": 1}]}, {"groups": [(0, 10**7)]}):
         with pytest.raises(QueryError):
             requests.aggregation_request(**({"masks": [1], "summary": "s"} | bad))
+
+
+def test_requests_of_a_genotype_dataset(spark, tmp_path):
+    path, h = haplotype_file(tmp_path)
+    g = service.Genotypes.open(spark, [path])
+    assert g.n_samples == 40 and values(g.chromosomes(), "chrom") == [("1",)]
+    some = [f"s{i}" for i in range(0, 40, 3)]
+    own = g.of(spark.createDataFrame([(s,) for s in [*some, "unknown"]], "sample string"))
+    assert own.n_samples == len(some)
+    flat = h[:, ::3].reshape(len(h), -1)
+    varied = [i for i in range(len(h)) if flat[i].any()]
+    rows = own.region_ld("1", 0, 200, "r").collect()
+    assert {(r["pos1"], r["pos2"]) for r in rows} == {(10 * i, 10 * j) for i in varied for j in varied if i < j}
+    assert all(abs(r["value"] - np.corrcoef(flat[r["pos1"] // 10], flat[r["pos2"] // 10])[0, 1]) < 1e-9 for r in rows if r["value"] is not None)
+    dosage = h[:, ::3].sum(axis=2)
+    one = own.variant_ld("1:40:A:C", "1", 0, 200, "cov").collect()
+    assert all(abs(r["value"] - np.cov(dosage[4], dosage[r["pos"] // 10], bias=True)[0, 1]) < 1e-9 for r in one) and len(one) == len(varied)
+    y = spark.createDataFrame([(s, float(i * i % 7)) for i, s in enumerate(some[:-2])], "sample string, y double")
+    assert own.scores(y, "1", 0, 200).count() == len([i for i in varied if dosage[i][:-2].any()])
+    af = {r["pos"]: r["af"] for r in own.frequencies("1", 0, 200).collect()}
+    assert all(abs(v - dosage[p // 10].mean() / 2) < 1e-12 for p, v in af.items())
+    listing = [spark.createDataFrame([("1", 10 * i, f"1:{10 * i}_A/C") for i in part], "chrom string, pos long, variant string") for part in ([0, 1, 4], [1, 2, 5])]
+    assert {(r["pos1"], r["pos2"]) for r in g.pairs(*listing, "rsquare").collect()} == {(0, 10), (0, 20), (0, 50), (10, 10), (10, 20), (10, 40), (10, 50), (20, 40), (40, 50)}
+    assert g.region_ld("2", 0, 200, "r").count() == 0 and g.of(listing[0].select(V.F.lit("none").alias("sample"))).region_ld("1", 0, 200, "r").count() == 0
+    with pytest.raises(QueryError):
+        g.region_ld("1", 5, 5, "r")
+
+
+def test_kept_results(spark, tmp_path):
+    rows = [("1", i, f"1:{i}_A/C", j, f"1:{j}_A/C", i * j / 100) for i in range(6) for j in range(i + 1, 6)]
+    made = []
+
+    def compute():
+        made.append(1)
+        return spark.createDataFrame(rows, "chrom string, pos1 long, variant1 string, pos2 long, variant2 string, value double")
+
+    asked = {"dataset": "d/1", "subset": "ALL", "metric": "r", "chrom": "1", "start": 0, "stop": 5}
+    for _ in range(2):
+        got = cache.kept_cells(spark, str(tmp_path / "kept"), 2, compute, **asked)
+        assert {tuple(r)[:-1] for r in got.collect()} == set(rows)
+    assert len(made) == 1 and {r["cell"] for r in got.where("pos1 = 4").collect()} == {12}
+    cache.kept_cells(spark, str(tmp_path / "kept"), 2, compute, **(asked | {"subset": "EUR"}))
+    assert len(made) == 2
+    names = [cache.key(cache.SCORES, dataset="d", subset=s, chrom="1", start=1, stop=2, phenotypes="p", phenotype="y") for s in ("a/b", "a_b", "a%b")]
+    assert len(set(names)) == 3 and all(n.count("/") == 6 for n in names)
+    with pytest.raises(ValueError):
+        cache.key(cache.CELLS, dataset="d")
