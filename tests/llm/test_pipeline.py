@@ -4,9 +4,11 @@ from collections import Counter
 
 import pytest
 from conftest import DATA
-from samples import cut_repeats, linked, simhash, words
+from samples import cut_repeats, words
+from test_jaccard import expected
 
 import corpus_pipeline
+from alleloom.llm import classifier
 from alleloom.llm.common import cut, table
 
 
@@ -26,13 +28,18 @@ def test_stages_keep_the_columns_of_documents(steps):
     assert [d.count() > 0 for d in steps] == [True] * 6
 
 
+def test_only_texts_that_are_predicted_bad_go(steps):
+    spark = steps[0].sparkSession
+    scored = classifier.score(steps[0], classifier.train(steps[0], table(spark, DATA, "labels"))).collect()
+    assert Counter(r["doc_id"] for r in steps[1].collect()) == Counter(r["doc_id"] for r in scored if r["score"] >= 0.3)
+    good = table(spark, DATA, "labels").where("quality = 1").join(steps[0], "doc_id")
+    assert good.join(steps[1], "doc_id", "left_semi").count() >= 0.95 * good.count()
+
+
 def test_one_document_of_each_near_duplicate_group_stays(steps):
+    """Groups link at Jaccard similarity 0.8 of five-word shingles, by comparing all texts with all."""
     rows = [(r["doc_id"], r["text"]) for r in steps[1].collect()]
-    roots = linked([simhash(t, 5) for _, t in rows])
-    least = {}
-    for (i, _), k in zip(rows, roots, strict=True):
-        least[k] = min(i, least.get(k, i))
-    assert Counter(r["doc_id"] for r in steps[2].collect()) == Counter(least.values())
+    assert Counter(r["doc_id"] for r in steps[2].collect()) == expected(rows)
 
 
 def test_near_duplicates_without_ids(spark):
