@@ -214,7 +214,7 @@ def _bundled(size: int, limit: int = 24 << 10):
     return make
 
 
-STRINGS = "h long, n long, doc_id long, tag long, start long, bytes binary"
+STRINGS = "h long, n long, doc_id long, tag long, start long, bytes binary, k long"
 _KINDS = {"h": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "tag": pa.int64(), "start": pa.int64(), "bytes": pa.binary()}
 
 
@@ -222,13 +222,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each listed run with the bytes that its windows cover."""
 
     def flush(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS.values(), strict=True)], names=list(_KINDS))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*_KINDS.values(), pa.int64()], strict=True)], names=[*_KINDS, "k"])
 
     for batch in batches:
         rows = []
         for text, doc, tag, found in zip(batch["text"], batch["doc_id"], batch["tag"], batch["found"], strict=True):
             data = text.as_py()
-            rows += [(f["h"], f["n"], doc.as_py(), tag.as_py(), f["start"], data[f["start"] : f["end"]]) for f in found.as_py()]
+            rows += [(f["h"], f["n"], doc.as_py(), tag.as_py(), f["start"], data[f["start"] : f["end"]], f["k"]) for f in found.as_py()]
             if len(rows) > 20_000:
                 yield flush(rows)
                 rows = []
@@ -320,14 +320,13 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # repeated rows would cut the same strings again: one of them is enough
     picked = texts.join(wanted, same_doc).select(texts["doc_id"], texts["tag"], "text", "found").dropDuplicates(["doc_id", "tag"])
 
-    def strings(those) -> DataFrame:
-        return picked.withColumn("found", F.filter("found", those)).where(F.size("found") > 0).mapInArrow(_cut_out, STRINGS)
-
-    few = strings(lambda f: f["k"] <= group_limit)
+    # written once: crowded hashes and the others are read from it
+    strings = cut(picked.mapInArrow(_cut_out, STRINGS), "repeat-texts")
+    crowded = F.col("k") > group_limit
     # a part for every 13 of the 169 reaches, then one for each
-    parted, narrower = _split(strings(lambda f: f["k"] > group_limit), size, int((size - GRAM + 1) ** 0.5))
-    equal, _ = _split(narrower.where(F.col("k") > group_limit).drop("k"), size, 1)
-    few = few.unionByName(narrower.where(F.col("k") <= group_limit).drop("k"))
+    parted, narrower = _split(strings.where(crowded), size, int((size - GRAM + 1) ** 0.5))
+    equal, _ = _split(narrower.where(crowded), size, 1)
+    few = strings.where(~crowded).unionByName(narrower.where(~crowded)).drop("k")
     compared = few.repartition("h").sortWithinPartitions("h").mapInArrow(_bundled(size), SPANS)
 
     spans = common.unionByName(twice).unionByName(compared).unionByName(parted).unionByName(equal)
