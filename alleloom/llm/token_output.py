@@ -21,6 +21,8 @@ HEADER = np.dtype([("magic", "S4"), ("base", "<u4"), ("rules", "<u4"), ("docs",
 SYMBOLS = 1 << 16
 #: A rule takes 12 bytes of a shard, and a use of it saves 2.
 LEAST = 7
+#: Pairs that are replaced in one step are looked up in a table of so many bits.
+SLOT_BITS = 16
 
 
 @lru_cache(1)
@@ -104,46 +106,52 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, factor: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, factor: int = 16, at_once: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: the most frequent neighbouring pairs become nonterminals, again and again.
 
     ``ids``: one sequence; ``ends``: the number of ids up to each document's end, over which no
     pair reaches. A step counts all pairs exactly and takes those that are at least a ``factor``th as frequent as
-    the most frequent one; of overlapping occurrences the more frequent pair's is replaced, and in a run of one id every
+    the most frequent one, the ``at_once`` first of them; of overlapping occurrences the more frequent pair's is replaced, and in a run of one id every
     other. Rules that were used twice are kept. It ends when no pair occurs ``least`` times, below
     which a rule takes more room than it saves, or when the 16-bit symbols are used up. Returns
     symbols, rules (pairs, by number) and the documents' ends in symbols.
     """
-    seq = ids.astype(np.uint32)
+    # a pair of 16-bit symbols is one 32-bit number; wider vocabularies take twice that
+    narrow = base < SYMBOLS
+    one, both, half, mix = (np.uint16, np.uint32, np.uint32(16), np.uint32(2654435769)) if narrow else (np.uint32, np.uint64, np.uint64(32), np.uint64(0x9E3779B97F4A7C15))
+    shift, none = both(2 * int(half) - SLOT_BITS), np.iinfo(both).max
+    seq = ids.astype(one)
     filled = np.diff(ends, prepend=0) > 0
     last = np.asarray(ends, np.int64)[filled] - 1
     rules: list[np.ndarray] = []
-    made = 0
-    limit = max(0, SYMBOLS - base) if base < SYMBOLS else 1 << 20
-    low, none = np.uint64(32), np.uint64(0xFFFFFFFFFFFFFFFF)
+    made, limit = 0, max(0, SYMBOLS - 1 - base) if narrow else 1 << 20
     while len(seq) > 1 and made < limit:
-        code = seq[:-1].astype(np.uint64) << low | seq[1:]
+        code = seq[:-1].astype(both)
+        code <<= half
+        code |= seq[1:]
         code[last[:-1]] = none  # a document's last id begins no pair
         up = np.sort(code)
         up = up[: np.searchsorted(up, none)]
         if not len(up):
             break
-        begin = np.flatnonzero(np.concatenate(([True], up[1:] != up[:-1])))
+        begin = np.concatenate(([0], np.flatnonzero(up[1:] != up[:-1]) + 1))
         times = np.diff(begin, append=len(up))
         if (most := int(times.max())) < least:
             break
         some = np.flatnonzero(times >= max(least, most // factor))
-        pair = up[begin[some[np.argsort(-times[some], kind="stable")[: limit - made]]]]
+        pair = up[begin[some[np.argsort(-times[some], kind="stable")[: min(at_once, limit - made)]]]]
         # where they occur: by a table of slots, in which the more frequent pair stays; the other one's turn comes later
-        table = np.zeros(1 << 20, np.int32)
-        table[_slot(pair)[::-1]] = np.arange(len(pair), 0, -1)
-        which = table[_slot(code)]
+        table = np.zeros(1 << SLOT_BITS, np.int16 if at_once < 1 << 15 else np.int32)
+        with np.errstate(over="ignore"):
+            table[(pair * mix >> shift)[::-1]] = np.arange(len(pair), 0, -1)
+            which = table[code * mix >> shift]
         at = np.flatnonzero(which)
         at = at[code[at] == pair[which[at] - 1]]
         which = which[at]
         start = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (which[1:] != which[:-1]))))
-        even = (np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))) % 2 == 0
-        at, which = at[even], which[even]
+        if len(start) < len(at):  # runs of one id
+            even = (np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))) % 2 == 0
+            at, which = at[even], which[even]
         apart = np.diff(at) > 1
         chosen = np.concatenate(([True], apart | (which[1:] < which[:-1]))) & np.concatenate((apart | (which[:-1] < which[1:]), [True]))
         at, which = at[chosen], which[chosen]
@@ -153,7 +161,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, fac
         if not len(at):
             break
         new = pair[used[1:]]
-        rules.append(np.stack((new >> low, new & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64))
+        rules.append(np.stack((new >> half, new & both((1 << int(half)) - 1)), axis=1).astype(np.int64))
         seq[at] = (base + made + np.cumsum(used) - 1)[which]
         made += len(new)
         last -= np.searchsorted(at + 1, last, side="right")
@@ -166,11 +174,6 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, fac
     return seq, rows, np.maximum.accumulate(stops) if len(stops) else stops
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-
-
 def expanded(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for."""
     out = symbols.astype(np.int64)

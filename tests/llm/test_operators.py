@@ -120,7 +120,9 @@ def test_grammar_replaces_every_pair_that_pays():
         first.update(zip(p[:-1].tolist(), p[1:].tolist(), strict=True))
     assert first[tuple(rules[0].tolist())] == max(first.values())
     few, limited, _ = token_output.repair(ids, ends, token_output.SYMBOLS - 5, least=2)
-    assert len(limited) == 5
+    assert len(limited) == 4  # the last 16-bit number stands for no symbol
+    wide, rules, _ = token_output.repair(ids, ends, token_output.SYMBOLS + 9, least=4)
+    assert len(rules) > 4 and (token_output.expanded(wide, rules, token_output.SYMBOLS + 9) == ids).all()
 
 
 def test_shard_random_access():
