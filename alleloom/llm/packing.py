@@ -84,7 +84,7 @@ def pack(rows: DataFrame, buckets: int = 8, batch_tokens: int = 65_536, id_col:
     different = rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies"))
     keyed = different.select("*", bucket.cast("int").alias("bucket"), bound.cast("long").alias("boundary"), digest.alias("digest"), place.alias("ring"))
     size = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest("boundary", F.lit(1))), F.lit(1)).cast("long")
-    return each_copy(ranked(keyed, ["bucket"], ["ring"], ["digest", "doc_id", "n_tokens"])).select(
+    return each_copy(ranked(keyed, ["bucket"], "ring", ["digest", "doc_id", "n_tokens"])).select(
         "doc_id", "n_tokens", "bucket", "boundary", F.floor(F.col("rank") / size).cast("long").alias("batch"), (F.col("rank") % size).cast("long").alias("place"), (F.col("boundary") - F.col("n_tokens")).alias("padding")
     )
 

@@ -19,17 +19,22 @@ def ring_key(id_col: str = "doc_id"):
     return digest, F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
 
 
-def ranked(rows: DataFrame, groups: Sequence[str], parts: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds ``rank`` (from 0) within ``groups`` by ``parts``, then ``order``; a row stands for its ``copies``, whose first rank it gets.
+def ranked(rows: DataFrame, groups: Sequence[str], part: str, order: Sequence[str], step: int = 64) -> DataFrame:
+    """Adds ``rank`` (from 0) within ``groups`` by ``part``, then ``order``; a row stands for its ``copies``, whose first rank it gets.
 
-    A group is ranked part by part; the parts' sums are added up, so a task holds one part, or a number for each part of
-    a group. Parts must be bounded in number.
+    ``part`` numbers a group's parts from 0. Each is ranked by itself, and the parts' sums are added up in runs of
+    ``step`` parts, then the runs' sums: a task holds one part, or ``step`` numbers, or one for each run of a group.
     """
-    keys = [*groups, *parts]
-    before = Window.partitionBy(*groups).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys).agg(F.sum("copies").alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("own", F.coalesce(F.sum("copies").over(within), F.lit(0)))
+    keys, run = [*groups, part], F.floor(F.col(part) / F.lit(step)).alias("run")
+
+    def before(by: list[str], order: list[str], n: str):
+        return F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    sums = rows.groupBy(*keys).agg(F.sum("copies").alias("n")).select(*keys, "n", run)
+    runs = sums.groupBy(*groups, "run").agg(F.sum("n").alias("n")).select(*groups, "run", before([*groups], ["run"], "n").alias("earlier"))
+    sums = sums.withColumn("before", before([*groups, "run"], [part], "n")).join(runs, [*groups, "run"])
+    sums = sums.select(*keys, (F.col("before") + F.col("earlier")).alias("before"))
+    own = rows.withColumn("own", before(keys, [*order], "copies"))
     return own.join(sums, keys).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before")
 
 

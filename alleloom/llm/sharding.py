@@ -82,7 +82,7 @@ def shard(docs: DataFrame, shards: int = 16, nodes: int = 64, id_col: str = "doc
     one = F.split(F.col("x"), ":")
     moves = F.transform(F.split(one[1], ";"), lambda m: F.struct(F.split(m, ",")[0].cast("long").alias("first"), F.split(m, ",")[1].cast("int").alias("shard"), F.split(m, ",")[2].cast("long").alias("slot")))
     table = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(plan), r"\|")).alias("x")).where("x <> ''").select(one[0].cast("int").alias("ring"), moves.alias("moves"))
-    placed = each_copy(ranked(keyed, ["ring"], ["part"], ["digest", "doc_id", "text_crc32", "size"]))
+    placed = each_copy(ranked(keyed, ["ring"], "part", ["digest", "doc_id", "text_crc32", "size"]))
     # SLOTS rows at most
     placed = placed.join(F.broadcast(table), "ring").withColumn("move", F.element_at(F.filter("moves", lambda m: m["first"] <= F.col("rank")), -1))
     return placed.select(
