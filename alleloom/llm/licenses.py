@@ -73,7 +73,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     run = "1" * SHINGLE
     texts = docs.select(doc_id, words_of(F.col(f"`{text_col}`").cast("string")).alias("words")).withColumn("flags", flags).where(F.instr("flags", run) > 0).withColumn("hashes", shingles(F.col("words")))
     starts = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(STEP)), lambda i: F.substring("flags", i + 1, F.lit(WINDOW)).contains(run))
-    keyed = texts.select("doc_id", F.array_distinct("hashes").alias("all"), F.flatten(F.transform(starts, lambda i: band_keys(flagged("hashes", "flags", i)))).alias("keys"))
+    # a window's set is a value of its own, so that it is filtered once and not for every band
+    windows = F.transform(starts, lambda i: flagged("hashes", "flags", i))
+    keyed = texts.select("doc_id", F.array_distinct("hashes").alias("all"), F.flatten(F.transform(windows, band_keys)).alias("keys"))
     known = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["shingles"]).alias("shingles"), F.lit(r["keys"]).alias("keys")) for r in listed])
     met = keyed.select("doc_id", "all", F.explode(F.filter(known, lambda t: F.arrays_overlap("keys", t["keys"]))).alias("t"))
     found = met.select("doc_id", F.col("t.license").alias("license"), F.size(F.array_intersect("all", "t.shingles")).alias("n_found"), F.size("t.shingles").alias("n_shingles"))
