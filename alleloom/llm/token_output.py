@@ -119,7 +119,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, fac
     # a pair of 16-bit symbols is one 32-bit number; wider vocabularies take twice that
     narrow = base < SYMBOLS
     one, both, half, mix = (np.uint16, np.uint32, np.uint32(16), np.uint32(2654435769)) if narrow else (np.uint32, np.uint64, np.uint64(32), np.uint64(0x9E3779B97F4A7C15))
-    shift, none = both(2 * int(half) - SLOT_BITS), np.iinfo(both).max
+    shift, low, none = both(2 * int(half) - SLOT_BITS), both((1 << int(half)) - 1), np.iinfo(both).max
     seq = ids.astype(one)
     filled = np.diff(ends, prepend=0) > 0
     last = np.asarray(ends, np.int64)[filled] - 1
@@ -132,12 +132,14 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, fac
         code[last[:-1]] = none  # a document's last id begins no pair
         up = np.sort(code)
         up = up[: np.searchsorted(up, none)]
-        if not len(up):
-            break
-        begin = np.concatenate(([0], np.flatnonzero(up[1:] != up[:-1]) + 1))
-        times = np.diff(begin, append=len(up))
-        if (most := int(times.max())) < least:
+        # where a pair begins that occurs ``least`` times
+        often = up[least - 1 :] == up[: max(0, len(up) - least + 1)]
+        often[1:] &= up[1 : len(often)] != up[: max(0, len(often) - 1)]
+        begin = np.flatnonzero(often)
+        if not len(begin):
             break
+        times = np.searchsorted(up, up[begin], side="right") - begin
+        most = int(times.max())
         some = np.flatnonzero(times >= max(least, most // factor))
         pair = up[begin[some[np.argsort(-times[some], kind="stable")[: min(at_once, limit - made)]]]]
         # where they occur: by a table of slots, in which the more frequent pair stays; the other one's turn comes later
@@ -145,15 +147,19 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, fac
         with np.errstate(over="ignore"):
             table[(pair * mix >> shift)[::-1]] = np.arange(len(pair), 0, -1)
             which = table[code * mix >> shift]
-        at = np.flatnonzero(which)
-        at = at[code[at] == pair[which[at] - 1]]
+        at = np.flatnonzero(which != 0)
         which = which[at]
-        start = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (which[1:] != which[:-1]))))
-        if len(start) < len(at):  # runs of one id
+        met = code[at] == pair[which - 1]
+        at, which = at[met], which[met]
+        if (pair >> half == pair & low).any():  # runs of one id
+            start = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (which[1:] != which[:-1]))))
             even = (np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))) % 2 == 0
             at, which = at[even], which[even]
-        apart = np.diff(at) > 1
-        chosen = np.concatenate(([True], apart | (which[1:] < which[:-1]))) & np.concatenate((apart | (which[:-1] < which[1:]), [True]))
+        # neighbours overlap: the one whose pair is more frequent, the lower number, stays
+        first = np.flatnonzero(at[1:] - at[:-1] == 1)
+        lost = np.where(which[first] < which[first + 1], first + 1, first)
+        chosen = np.ones(len(at), bool)
+        chosen[lost] = False
         at, which = at[chosen], which[chosen]
         used = np.bincount(which, minlength=len(pair) + 1) > 1
         good = used[which]
@@ -161,7 +167,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, fac
         if not len(at):
             break
         new = pair[used[1:]]
-        rules.append(np.stack((new >> half, new & both((1 << int(half)) - 1)), axis=1).astype(np.int64))
+        rules.append(np.stack((new >> half, new & low), axis=1).astype(np.int64))
         seq[at] = (base + made + np.cumsum(used) - 1)[which]
         made += len(new)
         last -= np.searchsorted(at + 1, last, side="right")
