@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut
 from .ranking import each_copy, ranked, ring_key
 
 
@@ -73,7 +73,9 @@ def pack(rows: DataFrame, buckets: int = 8, batch_tokens: int = 65_536, id_col:
     null ids are kept. Repeated rows count each, and are ranked as one row with a number. No rows give no rows.
     """
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.greatest(F.col(f"`{length_col}`").cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
-    counted = rows.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    # written once, so that texts are read once
+    different = cut(rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies")), "lengths")
+    counted = different.groupBy("n_tokens").agg(F.sum("copies").alias("n"))
     tops = boundaries(sorted((r["n_tokens"], r["n"]) for r in counted.collect()), buckets) or [0]
     bucket = F.lit(len(tops) - 1)
     bound = F.lit(tops[-1])
@@ -81,7 +83,6 @@ def pack(rows: DataFrame, buckets: int = 8, batch_tokens: int = 65_536, id_col:
         bucket = F.when(F.col("n_tokens") <= tops[i], F.lit(i)).otherwise(bucket)
         bound = F.when(F.col("n_tokens") <= tops[i], F.lit(tops[i])).otherwise(bound)
     digest, place = ring_key("doc_id")
-    different = rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies"))
     keyed = different.select("*", bucket.cast("int").alias("bucket"), bound.cast("long").alias("boundary"), digest.alias("digest"), place.alias("ring"))
     size = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest("boundary", F.lit(1))), F.lit(1)).cast("long")
     return each_copy(ranked(keyed, ["bucket"], "ring", ["digest", "doc_id", "n_tokens"])).select(

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .ranking import SLOTS, each_copy, ranked, ring_key
 
 #: A place is ranked in so many parts.
@@ -71,10 +72,11 @@ def shard(docs: DataFrame, shards: int = 16, nodes: int = 64, id_col: str = "doc
     digest, place = ring_key("doc_id")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    different = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    # written once, so that texts are read once
+    different = cut(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")), "shard-rows")
     mixed = F.xxhash64("doc_id", "size", "text_crc32")
     keyed = different.select("*", place.alias("ring"), F.pmod(mixed, F.lit(PARTS)).cast("int").alias("part"), digest.alias("digest"))
-    counts = {r["ring"]: r["n"] for r in rows.select(place.alias("ring")).groupBy("ring").agg(F.count("*").alias("n")).collect()}
+    counts = {r["ring"]: r["n"] for r in different.select(place.alias("ring"), "copies").groupBy("ring").agg(F.sum("copies").alias("n")).collect()}
     parts: dict[int, list[str]] = {}
     for p, first, s, slot in allot(counts, shards, nodes):
         parts.setdefault(p, []).append(f"{first},{s},{slot}")
