@@ -6,6 +6,7 @@ from .licenses import SHINGLE, TEMPLATES
 from .quality_rules import POLICIES, RULES
 
 W = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _LEDGER = rf"""
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -51,6 +52,36 @@ n AS (SELECT license, count(*) AS n_shingles FROM ts GROUP BY license)
 SELECT doc_id, license, count(*)::INT AS n_found, any_value(n_shingles)::INT AS n_shingles, round(count(*) / any_value(n_shingles), 6) AS containment
 FROM ds JOIN ts USING (s) JOIN n USING (license) GROUP BY r, doc_id, license HAVING count(*) >= 0.8 * any_value(n_shingles)""",
     "op9_length_buckets": "",
+    "op11_maxscore_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS ts FROM documents WHERE text IS NOT NULL),
+e AS (SELECT r, unnest(ts) AS term FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM e GROUP BY r, term),
+s AS (SELECT count(*) AS n, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT item_id, term, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM q JOIN f USING (term), s),
+m AS (SELECT r, doc_id, 50 + (50 * len(ts) * s.n) // s.l AS m FROM d, s WHERE len(ts) > 0),
+x AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM w JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, r),
+y AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 50""",
+    "op12_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '{W}') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+i(i, letter) AS (VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step, o FROM o),
+x AS (SELECT part, filter_order, step, o[step] AS own, n, good, toxic, fails[o[step]] AS fails,
+             len(list_filter(o[1:step - 1], lambda k: fails[k])) AS before, len(list_filter([1, 2, 3, 4, 5], lambda k: fails[k])) AS times FROM c, s),
+y AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE before = 0 AND NOT fails), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (WHERE before = 0 AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE before > 0 AND fails), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (WHERE times = 1 AND fails), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE before = 0 AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE before = 0 AND fails), 0)::BIGINT AS toxic_lost
+      FROM x GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM y""",
 }
 
 

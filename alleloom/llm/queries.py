@@ -8,8 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, lattice_lm, licenses, packing, quality_rules, sharding, simhash, suffix_dedup, token_output
-from .common import shared_path, table
+from . import classifier, decontamination, filter_audit, lattice_lm, licenses, packing, quality_rules, ranked_search, sharding, simhash, suffix_dedup, token_output
+from .common import cut, shared_path, table
 from .oracles import ORACLES
 
 
@@ -85,6 +85,15 @@ def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = cut(ranked_search.index(table(spark, sf_dir, "documents")), "shards")
+    return ranked_search.search(shards, table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +102,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_rule_ledger, op1_rule_ablations, op2_repair_tokens, op3_simhash_pigeonring, op4_qgram_decontamination, op5_license_minhash, op6_boosted_trees, op7_lattice_likelihood, op8_bounded_ring, op9_length_buckets, op10_bwt_repeats, pipeline)
+    for f in (op1_rule_ledger, op1_rule_ablations, op2_repair_tokens, op3_simhash_pigeonring, op4_qgram_decontamination, op5_license_minhash, op6_boosted_trees, op7_lattice_likelihood, op8_bounded_ring, op9_length_buckets, op10_bwt_repeats, op11_maxscore_search, op12_filter_audit, pipeline)
 }
 ORACLE_SQL = ORACLES
