@@ -194,7 +194,9 @@ def search(shards: DataFrame, queries: DataFrame, item_col: str = "item_id", tex
     spark, out = shards.sparkSession, None
     sums = shards.where("term is null").agg(F.sum("n"), F.sum("tokens")).first()
     n_documents, n_tokens = sums[0] or 0, sums[1] or 0
-    following = blocks(queries, item_col, text_col, block_bytes) if n_documents else iter(())
+    # an item is one row, so that it is in one block
+    items = queries.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).dropna().groupBy("item_id").agg(F.concat_ws(" ", F.collect_set("text")).alias("text"))
+    following = blocks(items, "item_id", "text", block_bytes) if n_documents else iter(())
     block = next(following, None)
     while block is not None:
         asked: dict[int, set[bytes]] = {}
