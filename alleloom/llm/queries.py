@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, filter_audit, lattice_lm, licenses, packing, quality_rules, ranked_search, sharding, simhash, suffix_dedup, token_output
-from .common import cut, shared_path, table
+from . import classifier, decontamination, filter_audit, lattice_lm, licenses, metric_join, packing, quality_rules, ranked_search, sharding, simhash, suffix_dedup, token_output
+from .common import cut, table
 from .oracles import ORACLES
 
 
@@ -19,31 +18,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: The folder of the stored ledger that was written last, for each application and folder of tables.
-_LEDGERS: dict[tuple[str, str], str] = {}
-
-
-def _ledger(spark: SparkSession, sf_dir: str, again: bool) -> DataFrame:
-    """The stored ledger; measured and written if ``again``, or if none is there."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    docs = table(spark, sf_dir, "documents")
-    if not again and key in _LEDGERS:
-        try:
-            return spark.read.schema(quality_rules.ledger(docs).schema).parquet(_LEDGERS[key])
-        except AnalysisException:  # the folder was cleared
-            pass
-    _LEDGERS[key] = shared_path(spark, "rule-ledger")
-    return quality_rules.stored(docs, _LEDGERS[key])
-
-
 def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ledger(spark, sf_dir, True)
+    rows = quality_rules.stored(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.fails("base").alias("base_failed"), (~quality_rules.fails("base") & ~quality_rules.fails("v1")).alias("kept"), "failed_bits")
 
 
 def op1_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted from the stored ledger; texts are not read again."""
-    return quality_rules.ablations(_ledger(spark, sf_dir, False), "v1")
+    """Counted from a ledger of the table as it is now, whatever other queries have stored."""
+    return quality_rules.ablations(quality_rules.stored(table(spark, sf_dir, "documents")), "v1")
 
 
 def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +76,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +88,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_rule_ledger, op1_rule_ablations, op2_repair_tokens, op3_simhash_pigeonring, op4_qgram_decontamination, op5_license_minhash, op6_boosted_trees, op7_lattice_likelihood, op8_bounded_ring, op9_length_buckets, op10_bwt_repeats, op11_maxscore_search, op12_filter_audit, pipeline)
+    for f in (op1_rule_ledger, op1_rule_ablations, op2_repair_tokens, op3_simhash_pigeonring, op4_qgram_decontamination, op5_license_minhash, op6_boosted_trees, op7_lattice_likelihood, op8_bounded_ring, op9_length_buckets, op10_bwt_repeats, op11_maxscore_search, op12_filter_audit, op13_jaccard_metric_join, pipeline)
 }
 ORACLE_SQL = ORACLES
