@@ -189,14 +189,19 @@ def prior(pieces: dict[str, int]) -> np.ndarray:
     return logs
 
 
-def maximised(used: np.ndarray, pieces: dict[str, int], smooth: float) -> np.ndarray:
-    """Logs of the pieces' probabilities from how often they are used, ``smooth`` added to each."""
+def maximised(used: np.ndarray, pieces: dict[str, int], smooth: float, ends: float = 0.0) -> np.ndarray:
+    """Logs of the pieces' probabilities from how often they are used, ``smooth`` added to each; beside them texts end ``ends`` times."""
     logs = np.full(len(used), -np.inf)
     ids = np.array(sorted(pieces.values()))
-    logs[ids] = np.log((used[ids] + smooth) / (used[ids].sum() + smooth * len(ids)))
+    logs[ids] = np.log((used[ids] + smooth) / (used[ids].sum() + smooth * len(ids) + (ends + smooth if ends else 0)))
     return logs
 
 
+def end_log(logs: np.ndarray) -> float:
+    """Log of the probability that a text ends, which is what the pieces leave."""
+    return math.log(max(1e-12, 1 - float(np.exp(logs).sum())))
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
@@ -266,10 +271,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block()
 
 
-def piece_logs(counts: DataFrame, pieces_path: str, rounds: int, smooth: float) -> np.ndarray:
-    """Logs of the pieces' probabilities after ``rounds`` of expectation and maximisation over ``counts(word, c)``.
+def piece_logs(counts: DataFrame, pieces_path: str, rounds: int, smooth: float, ends: float) -> np.ndarray:
+    """Logs of the pieces' probabilities after ``rounds`` of expectation and maximisation over ``counts(word, c)`` of ``ends`` texts.
 
-    A round reads the counted words once; a number for each piece of the vocabulary comes to the driver.
+    Pieces and the end together have probability 1. A round reads the counted words once; a number for each piece of the vocabulary comes to the driver.
     """
     pieces = vocabulary(pieces_path)
     logs = prior(pieces)
@@ -288,21 +293,22 @@ def piece_logs(counts: DataFrame, pieces_path: str, rounds: int, smooth: float)
         rows = counts.where("c > 0").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         used = np.zeros(len(logs))
         used[[r["piece"] for r in rows]] = [r["n"] for r in rows]
-        logs = maximised(used, pieces, smooth)
+        logs = maximised(used, pieces, smooth, max(ends, smooth))
         model.destroy()
     return logs
 
 
 def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", smooth: float = 0.1, rounds: int = 2) -> DataFrame:
-    """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score``.
+    """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score``.
 
     Tokens are A-Z-lower-cased words and one end per text; ids whose crc32 is 0 modulo 10 are held
     out and the rest is learned from (a null id is learned from). ``base_score``: log10 of the
-    add-``smooth`` unigram. ``lattice_score``: log10 of the marginal probability over all
-    segmentations of the words into pieces of an existing vocabulary. Its pieces are weighed by
-    ``rounds`` of expectation and maximisation on the lattices of the training words, each word by its count.
-    ``score``: the same marginal over a vocabulary that grows with the corpus, since each
-    training word is a piece too: one edge more in its lattice, its relative frequency, discounted by
+    add-``smooth`` unigram. ``score``: log10 of the marginal probability over all
+    segmentations of the words into pieces of an existing vocabulary, then the end: pieces and end are drawn from one
+    distribution, so the probabilities of all texts sum to 1 at most. Pieces are weighed by
+    ``rounds`` of expectation and maximisation on the lattices of the training words, each word by its count; of no training
+    texts, first weights that fall with the place in the vocabulary are smoothed.
+    ``word_score``: the same with each training word as a piece too, one edge more in its lattice, by its relative frequency, discounted by
     the share of words seen once, which is the weight of the other edges together. Null and empty texts have only
     the end. Repeated rows each count. No documents: no rows.
 
@@ -318,8 +324,8 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
     seen = counts.agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("kinds"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
     trained = texts.where(~F.col("held_out")).count()  # one end each
     total, kinds, once = (seen["tokens"] or 0) + trained, (seen["kinds"] or 0) + (trained > 0), seen["once"] or 0
-    model = docs.sparkSession.sparkContext.broadcast(piece_logs(counts, pieces_path, rounds, smooth))
-    below = math.log(total + smooth * (kinds + 1)) if total else 0.0
+    model = docs.sparkSession.sparkContext.broadcast(piece_logs(counts, pieces_path, rounds, smooth, trained))
+    below = math.log(total + smooth * (kinds + 1))
     spare = min(0.5, max(1e-6, (once + 1) / (total + 1)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +340,7 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
     weighed = counts.mapInArrow(weigh, "word binary, c long, sub double, both double")
     back = words.select("of", "place", "word").join(weighed, "word").select("of", "place", "c", "sub", "both")
     end = math.log(trained / total) + math.log1p(-spare) if trained else math.log(spare)
-    end_sub = math.log(trained / total) if trained else math.log(spare)
+    end_sub = end_log(model.value)
 
     def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
         import pickle
@@ -354,8 +360,8 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
             at = np.cumsum(step) % max(1, len(place))
             owner = np.repeat(np.arange(len(ids)), each)
             known = np.bincount(owner, weights=times * (c[at] > 0), minlength=len(ids)).astype(np.int64) + (trained > 0)
-            sums = [np.bincount(owner, weights=times * v[at], minlength=len(ids)) for v in (base, both, sub)]
-            ends = (math.log(trained + smooth) - below, end, end_sub)
+            sums = [np.bincount(owner, weights=times * v[at], minlength=len(ids)) for v in (base, sub, both)]
+            ends = (math.log(trained + smooth) - below, end_sub, end)
             out[0] += ids
             out[1] += apart
             out[2] += [n + 1 for n in sizes]
@@ -363,9 +369,9 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
             out[4] += [total] * len(ids)
             for o, s, e in zip(out[5:], sums, ends, strict=True):
                 o += ((s + e) / math.log(10)).tolist()
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3), strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3), strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"
     # a partition for each block, where there are more blocks than partitions
     parts = max(cells.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return cells.repartition(parts, "block").groupBy("block").cogroup(back.repartition(parts, "of").groupBy("of")).applyInArrow(gather, schema)
