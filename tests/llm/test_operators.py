@@ -186,7 +186,7 @@ def test_contaminated_texts(spark, docs, none):
     got = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(frame(spark, all_rows), bench).collect()}
     want = set()
     for item, text in items:
-        if item is None or not text or len(text) < 20:
+        if item is None or not text or len(text) < 20:  # shorter ones are in the next test
             continue
         parts = [text[a : a + 80] for a in {*range(0, max(0, len(text) - 80), 40), max(0, len(text) - 80)}]
         for i, t in [*texts, *[x for x in IDS_TEXTS if len(x[1] or "") < 400]]:
@@ -198,14 +198,56 @@ def test_contaminated_texts(spark, docs, none):
     many = decontamination.contaminated(frame(spark, all_rows), bench, block_bytes=100)
     assert {(x["doc_id"], x["item_id"]) for x in many.collect()} == want
     with pytest.raises(ValueError):
-        decontamination.Index([], size=138)
+        decontamination.Searched([], size=138)
 
 
 def test_short_items_match_whole_words_and_rows_repeat(spark):
     bench = spark.createDataFrame([(1, "forty two!"), (2, "a tiny one"), (3, "yes"), (4, "exactly nineteen ab")], "item_id long, text string")
     texts = [(1, "it is Forty  Two! indeed"), (1, "it is Forty  Two! indeed"), (2, "forty two!x"), (3, "xforty two!"), (4, "forty two!"), (5, "a tiny\none"), (6, "a tiny ones"), (7, "yes"), (8, "so exactly nineteen ab"), (9, "exactly ninteen ab"), (None, "a tiny one"), (None, "a tiny one"), (10, "forty two! forty two!")]
+    texts += [(11, "exactly nineteen  abc"), (12, "exactly ninetee ab"), (13, "oh yes"), (14, "yesterday"), (15, "exactly nineteen abcd"), (16, "forty twx!")]
     got = Counter((x["doc_id"], x["item_id"]) for x in decontamination.contaminated(frame(spark, [(i, t, *ROWS[0][2:]) for i, t in texts]), bench).collect())
-    assert got == Counter({(1, 1): 2, (4, 1): 1, (5, 2): 1, (8, 4): 1, (None, 2): 2, (10, 1): 1})
+    assert got == Counter({(1, 1): 2, (4, 1): 1, (5, 2): 1, (7, 3): 1, (8, 4): 1, (9, 4): 1, (11, 4): 1, (12, 4): 1, (13, 3): 1, (None, 2): 2, (10, 1): 1})
+
+
+def sellers(text: str, item: str) -> int:
+    return contains(text, item, len(item))
+
+
+def test_parts_of_items_against_all_alignments():
+    """Without the operator's segments: every copy of 120 bytes or of a whole shorter item is found, and what is found aligns well somewhere."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((2, 3, 4, 5, 6, 8, 12, 20, 40, 60))]
+    searched = decontamination.Searched([(k, t.encode()) for k, t in items])
+    for item, text in items:
+        for turn in range(6):
+            at = r.randint(0, max(0, len(text) - 120))
+            part = text[at : at + 120] if turn % 2 else text
+            m = min(len(part), 80)
+            edited = list(part)
+            for place in r.sample(range(len(part)), int(0.075 * m) if len(part) <= 80 else int(0.05 * 40)):
+                edited[place] = r.choice(["", "z", edited[place] + "z"]) if edited[place] != " " else " "
+            found = decontamination.matches(f"{word()} {word()} {''.join(edited)} {word()}".encode(), searched)
+            assert item in found, (text, "".join(edited))
+        clean = " ".join(word() for _ in range(60))
+        for k in decontamination.matches(clean.encode(), searched):
+            own = dict(items)[k]
+            parts = [own] if len(own) <= 80 else [own[a : a + 80] for a in range(len(own) - 79)]
+            assert min(sellers(clean, p) for p in parts) <= 0.075 * len(parts[0])
+
+
+@pytest.mark.parametrize("letters,items,times", [("a", 300, 20_000), ("ab", 300, 20_000), ("a", 1, 5_000_000), ("abc ", 40, 400_000)])
+def test_repetitive_texts_take_bounded_memory(letters, items, times):
+    import tracemalloc
+
+    stock = [(k, ((letters * 80)[: 70 + k % 10] + ("z" if k % 3 else "")).encode()) for k in range(items)]
+    searched = decontamination.Searched(stock)
+    text = (letters * (times // len(letters))).encode()
+    tracemalloc.start()
+    found = decontamination.matches(text, searched)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found) == set(range(items)) and most < 400 << 20, most >> 20
 
 
 def test_repeated_rows_are_found_each(spark):
@@ -310,18 +352,40 @@ def test_lattice_scores(docs, none):
     pieces, everyone = lattice_lm.vocabulary(path), sorted({w for _, ws in toks for w in ws})
     own, logs, kinds = lattice_lm.Lattice(lattice_lm.vocabulary(path)), lattice_lm.prior(pieces), sorted(c)
     for _ in range(2):
-        logs = lattice_lm.maximised(own.expected(kinds, np.array([c[w] for w in kinds], float), logs), pieces, 0.1)
-    assert math.isclose(np.exp(logs[sorted(pieces.values())]).sum(), 1)
+        logs = lattice_lm.maximised(own.expected(kinds, np.array([c[w] for w in kinds], float), logs), pieces, 0.1, len(train))
+    stop = 1 - np.exp(logs[sorted(pieces.values())]).sum()
+    assert stop > 0 and math.isclose(math.log(stop), lattice_lm.end_log(logs))
     sub = dict(zip(everyone, own.marginal(everyone, logs).tolist(), strict=True))
     total = sum(c.values()) + len(train)
     spare = (sum(n == 1 for n in c.values()) + 1) / (total + 1)
     whole = {w: math.log((1 - spare) * c[w] / total + spare * math.exp(s)) if c[w] else s + math.log(spare) for w, s in sub.items()}
     end = len(train) / total
-    want = Counter((str(i), round((sum(sub[w] for w in ws) + math.log(end)) / math.log(10), 5), round((sum(whole[w] for w in ws) + math.log((1 - spare) * end)) / math.log(10), 5)) for i, ws in toks)
-    assert Counter((str(x["doc_id"]), round(x["lattice_score"], 5), round(x["score"], 5)) for x in got) == want
+    want = Counter((str(i), round((sum(sub[w] for w in ws) + math.log(stop)) / math.log(10), 5), round((sum(whole[w] for w in ws) + math.log((1 - spare) * end)) / math.log(10), 5)) for i, ws in toks)
+    assert Counter((str(x["doc_id"]), round(x["score"], 5), round(x["word_score"], 5)) for x in got) == want
     assert lattice_lm.score(none, path).count() == 0
 
 
+def test_scores_where_all_are_held_out(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    ids = [i for i in range(300) if crc(i, 10) == 0][:5]
+    rows = [(i, "one two", *ROWS[0][2:]) for i in ids] + [(ids[0], None, *ROWS[0][2:])]
+    got = lattice_lm.score(frame(spark, rows), path).collect()
+    key = lambda x: (str(x[0]), *x[1:5], round(x[5], 6))
+    assert Counter(map(key, got)) == Counter(map(key, unigram([r[:2] for r in rows])))
+    assert all(x["base_score"] == 0 and x["train_tokens"] == 0 and x["n_known"] == 0 and x["score"] < 0 for x in got)
+
+
+def test_all_short_texts_have_a_probability_of_one_at_most():
+    """Words of two letters over a tiny vocabulary, with the end."""
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "▁a", "ab", *[f"<0x{b:02X}>" for b in range(256)]])}
+    own = lattice_lm.Lattice(pieces)
+    words_ = ["a", "b", "ab", "ba", "aa", "bb"]
+    logs = lattice_lm.maximised(own.expected(words_, np.ones(6), lattice_lm.prior(pieces)), pieces, 0.1, 3)
+    one = np.exp(own.marginal(words_, logs)).sum()
+    stop = math.exp(lattice_lm.end_log(logs))
+    assert 0 < one < 1 - stop and stop * sum(one**n for n in range(50)) <= 1
+
+
 def test_lattice_sums_all_segmentations():
     score = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -1.5, "▁a": -2.2, "ba": -4.0, "éa": -3.5, **{f"<0x{b:02X}>": -9.0 - b / 1000 for b in range(256)}}
     pieces = {p: i for i, p in enumerate(score)}
