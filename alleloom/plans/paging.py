@@ -5,17 +5,16 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..functions.variants import SPREAD, morton, segment
+from ..functions.variants import morton, segment
 from ..operators import ld
 from ..operators.genotype import in_region
+from . import zorder
+from .zorder import bigmin  # noqa: F401
 
-#: Cells of a region are listed where the page is planned, so a region has so many segments at most.
-SEGMENT_LIMIT = 10_000
 PAIR_ORDER = ("cell", "pos1", "variant1", "pos2", "variant2")
 VARIANT_ORDER = ("cell", "pos", "variant")
 SCORE_ORDER = ("segment", "pos", "variant")
@@ -67,54 +66,69 @@ def page(pairs: DataFrame, size: int, limit: int, after: Cursor | None = None) -
     return keyset(celled(pairs, size), PAIR_ORDER, limit, after)
 
 
-def _morton(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    def spread(x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.int64)
-        for shift, mask in SPREAD:
-            x = (x | (x << shift)) & mask
-        return x
+def segments_of(calls: DataFrame, chrom: str, start: int, stop: int, size: int) -> zorder.Segments:
+    """Carried variants of a region's segments; a small job for each 4096 segments that a walk comes to."""
 
-    return spread(i) | (spread(j) << 1)
+    def read(first: int, last: int) -> dict[int, int]:
+        inside = in_region(calls, chrom, max(start, first * size), min(stop, last * size + size - 1))
+        carried = inside.where("dosage > 0").select("pos", "variant").distinct()
+        return {r["segment"]: r["m"] for r in carried.groupBy(segment(F.col("pos"), size).alias("segment")).agg(F.count("*").alias("m")).collect()}
 
+    return zorder.Segments(start // size, stop // size, read)
 
-def cells_of_page(counts: dict[int, int], limit: int, diagonal: bool = False, after: Cursor | None = None) -> list[tuple[int, int]]:
-    """The cells (i <= j) in Z-order whose pairs fill the next page, from the number of variants in each segment."""
-    seg = np.array(sorted(counts), np.int64)
-    if len(seg) > SEGMENT_LIMIT:
-        raise QueryError(f"the region has over {SEGMENT_LIMIT} segments")
-    m = np.array([counts[s] for s in seg.tolist()], np.int64)
-    a, b = np.triu_indices(len(seg))
-    pairs = np.where(a == b, m[a] * (m[a] - 1) // 2 + (m[a] if diagonal else 0), m[a] * m[b])
-    code = _morton(seg[a], seg[b])
-    order = np.argsort(code)
-    a, b, code, pairs = a[order], b[order], code[order], pairs[order]
-    first = np.searchsorted(code, after.place[0]) if after else 0
-    if after and first < len(code) and code[first] == after.place[0]:
-        pairs[first] = 0  # how many of the cell's pairs are left isn't known
-    last = first + np.searchsorted(np.cumsum(pairs[first:]), limit) + 1
-    return [(int(seg[x]), int(seg[y])) for x, y in zip(a[first:last], b[first:last], strict=True)]
+
+def cells_of_page(counts: dict[int, int] | zorder.Segments, limit: int, diagonal: bool = False, after: Cursor | None = None) -> list[tuple[int, int]]:
+    """The cells (i <= j) in Z-order whose pairs fill the next page, from the number of variants in each segment.
+
+    They are walked to from the cursor, and no further than the page goes: each has a pair, so there are ``limit`` of them at most
+    (and the cursor's own, of whose pairs some may be left).
+    """
+    segments = counts if isinstance(counts, zorder.Segments) else zorder.Segments.of(counts)
+    out, total, given = [], 0, after.place[0] if after else -1
+    for i, j in zorder.walk(segments, given - 1):
+        own = segments[i]
+        pairs = own * segments[j] if i < j else own * (own - 1) // 2 + (own if diagonal else 0)
+        if zorder.code(i, j) == given:
+            out.append((i, j))  # how many of the cell's pairs are left isn't known
+        elif pairs:
+            out.append((i, j))
+            total += pairs
+            if total >= limit:
+                break
+    return out
 
 
 def region_page(calls: DataFrame, n: int, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None, diagonal: bool = False) -> DataFrame:
     """A page of a region's pairs, of which only those in the page's cells are formed.
 
-    One small job counts the variants of each segment (a row for each segment of the region).
+    Small jobs count the variants of the segments that the walk to the page's end comes to, so what the driver holds
+    grows with the page and not with the region.
     """
-    inside = in_region(calls, chrom, start, stop)
-    carried = inside.where("dosage > 0").select("pos", "variant").distinct()
-    counts = {r["segment"]: r["m"] for r in carried.groupBy(segment(F.col("pos"), size).alias("segment")).agg(F.count("*").alias("m")).limit(SEGMENT_LIMIT + 1).collect()}
-    chosen = cells_of_page(counts, limit, diagonal, after)
+    chosen = cells_of_page(segments_of(calls, chrom, start, stop, size), limit, diagonal, after)
     cells = calls.sparkSession.createDataFrame([(chrom, i, j) for i, j in chosen], "chrom string, i long, j long")
     used = sorted({s for c in chosen for s in c})
+    inside = in_region(calls, chrom, start, stop)
     if used:
         inside = inside.where(F.col("pos").between(used[0] * size, used[-1] * size + size - 1))
     if len(used) < 100:
         inside = inside.where(segment(F.col("pos"), size).isin(used))
+    else:
+        held = cells.select(F.explode(F.array("i", "j")).alias("s")).distinct()
+        inside = inside.join(held, segment(F.col("pos"), size) == held["s"], "left_semi")
     return page(ld.region_pairs(inside, n, metric, diagonal, cells=cells, size=size), size, limit, after)
 
 
 def variant_page(calls: DataFrame, n: int, index: str, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None) -> DataFrame:
-    """A page of one variant against a region, by cell, position and name."""
+    """A page of one variant against a region, by cell, position and name.
+
+    A cell's place grows with the other segment, so the order is that of positions: the page is computed from the cursor's
+    position up to the segment in which it is full, and no other part of the region is.
+    """
+    if after and len(after.place) == len(VARIANT_ORDER):
+        start = max(start, int(after.place[1]))
+    if stop > start:
+        segments = segments_of(calls, chrom, start + 1, stop, size)  # the cursor's own position may have been given
+        stop = min(stop, segments.until(limit) * size + size - 1)
     rows = ld.variant(calls, n, index, chrom, start, stop, metric)
     own, other = segment(F.col("index_pos"), size), segment(F.col("pos"), size)
     return keyset(rows.withColumn("cell", morton(F.least(own, other), F.greatest(own, other))), VARIANT_ORDER, limit, after)
@@ -131,28 +145,3 @@ def allowed_cells(positions: DataFrame, size: int) -> DataFrame:
     every = seg.groupBy("chrom").agg(F.collect_set("i").alias("all"))  # a number for each segment
     cells = seg.join(every, "chrom").select("chrom", "i", F.explode("all").alias("j")).where("i <= j")
     return cells.withColumn("cell", morton(F.col("i"), F.col("j")))
-
-
-def bigmin(code: int, low: int, high: int, bits: int = 32) -> int:
-    """The least code over ``code`` within the rectangle from cell ``low`` to ``high``; -1 if none (for parity of tests only)."""
-
-    def split(z: int) -> tuple[int, int]:
-        return tuple(sum(((z >> 2 * b + o) & 1) << b for b in range(bits)) for o in (0, 1))
-
-    (i0, j0), (i1, j1) = split(low), split(high)
-
-    def least(bit: int, prefix: int) -> int | None:
-        """Least code over ``code`` in the rectangle that starts with ``prefix``."""
-        a, b = prefix << bit, (prefix + 1 << bit) - 1
-        (ai, aj), (bi, bj) = split(a), split(b)
-        if b <= code or bi < i0 or bj < j0 or ai > i1 or aj > j1:
-            return None
-        if a > code and ai >= i0 and aj >= j0 and bi <= i1 and bj <= j1:
-            return a
-        if not bit:
-            return None
-        below = least(bit - 1, prefix << 1)
-        return below if below is not None else least(bit - 1, prefix << 1 | 1)
-
-    found = least(high.bit_length(), 0)
-    return -1 if found is None else found
