@@ -1,6 +1,6 @@
 """Correlation of variants: all pairs of a region, or one variant against a region.
 
-Calls are first gathered into one row per variant, as a sparse column: who carries it, who misses.
+Calls are first gathered into sparse columns, a row for a variant and up to ``ROW`` haplotypes (or samples): who carries it, who misses.
 Everything else reads that one aggregate, so its exchange is reused. A pair's sums come from an
 equi-join on the haplotype (or sample), so only shared carriers are ever paired; pairs that
 share nobody come from the variants alone. For regions where many samples carry most variants,
@@ -22,28 +22,44 @@ METRICS = ("r", "rsquare", "rsquare_approx", "cov", "dprime")
 VARIANT = ("chrom", "pos", "variant")
 #: Variants are spread over so many blocks where pairs are formed from variants alone.
 BLOCKS = 16
+#: Haplotypes or samples (about) whose entries of one variant are a row; larger cohorts have several rows a variant.
+ROW = 1 << 16
 #: From this mean share of carriers on, multiplying blocks takes less than joining carriers.
 DENSE = 0.05
 
 
 def columns(calls: DataFrame, n: int, metric: str) -> DataFrame:
-    """One row per variant that someone carries: ``chrom, pos, variant, s, fill, g``.
+    """Variants that someone carries: ``chrom, pos, variant, s, fill, g``, a row for each ``ROW`` of the ``n`` haplotypes or samples.
 
     ``calls``: haplotypes (``sample, hap``) for r, r squared and D', samples with counts for covariances.
     A carried or missing haplotype counts 1; a sample's missing count is the mean over all ``n``. ``s``
-    is the sum of these values, ``fill`` what stands for a missing one, ``g`` the entries.
+    is the sum of these values, ``fill`` what stands for a missing one (both of the whole variant), ``g`` the entries.
     """
     if metric not in METRICS:
         raise QueryError(f"unknown metric {metric}")
-    key = unit(calls)
-    found = calls.groupBy(*VARIANT).agg(F.sum("dosage").cast("double").alias("ac"), F.count_if(F.col("dosage").isNull()).alias("missing"), F.collect_list(F.struct(*key, "dosage")).alias("g"))
+    key, parts = unit(calls), -(-n // ROW)
+    own = ["piece"] if parts > 1 else []
+    if own:
+        calls = calls.withColumn("piece", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    found = calls.groupBy(*VARIANT, *own).agg(F.sum("dosage").cast("double").alias("ac"), F.count_if(F.col("dosage").isNull()).alias("missing"), F.collect_list(F.struct(*key, "dosage")).alias("g"))
+    if own:
+        total = found.groupBy(*VARIANT).agg(F.sum("ac").alias("ac"), F.sum("missing").alias("missing"), F.sum(F.size("g")).alias("entries"))
+        found = found.select(*VARIANT, "g").join(total, list(VARIANT))
+    else:
+        found = found.withColumn("entries", F.size("g"))
     # the size keeps the entries in the aggregate of every reader, so that all read the same exchange
     found = found.where((F.col("ac") > 0) & (F.size("g") > 0))
     fill = F.col("ac") / F.lit(float(n)) if metric == "cov" else F.lit(1e0)
-    s = F.col("ac") + F.col("missing") * fill if metric == "cov" else F.size("g").cast("double")
+    s = F.col("ac") + F.col("missing") * fill if metric == "cov" else F.col("entries").cast("double")
     return found.select(*VARIANT, s.alias("s"), fill.alias("fill"), "g")
 
 
+def variant_sums(cols: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``(keys, chrom, pos, variant, s)``, one row a variant."""
+    rows = cols.select(*keys, *VARIANT, "s")
+    return rows.distinct() if n > ROW else rows
+
+
 def entries(cols: DataFrame, metric: str, *keys: str) -> DataFrame:
     """``(keys, chrom, pos, variant, sample[, hap], x)``."""
     x = F.coalesce("e.dosage", "fill") if metric == "cov" else F.lit(1e0)
@@ -120,7 +136,7 @@ def region_pairs(calls: DataFrame, n: int, metric: str = "rsquare", diagonal: bo
     if groups is not None:
         keys = ("group",)
         cols = cols.join(groups.select("group", *VARIANT).distinct(), list(VARIANT))
-    sums = cols.select(*keys, *VARIANT, "s")
+    sums = variant_sums(cols, n, *keys)
     return _valued(paired(sums, diagonal, keys, cells, size), products(cols, metric, diagonal, keys), metric, n, keys)
 
 
@@ -131,12 +147,12 @@ def index_pairs(calls: DataFrame, index: DataFrame, n: int, metric: str = "rsqua
     it gives no rows.
     """
     cols, own = columns(calls, n, metric), columns(index, n, metric)
-    one = own.select("chrom", F.col("pos").alias("index_pos"), F.col("variant").alias("index_variant"), F.col("s").alias("s1"))
+    one = variant_sums(own, n).select("chrom", F.col("pos").alias("index_pos"), F.col("variant").alias("index_variant"), F.col("s").alias("s1"))
     carriers = entries(own, metric)
     on = ["chrom", *unit(carriers)]
     both = entries(cols, metric).join(carriers.select(*on, F.col("x").alias("x1")), on).groupBy(*VARIANT).agg(F.sum(F.col("x") * F.col("x1")).alias("s12"))
     # one row, that of the index variant
-    out = cols.select(*VARIANT, F.col("s").alias("s2")).join(F.broadcast(one), "chrom").join(both, list(VARIANT), "left")
+    out = variant_sums(cols, n).withColumnRenamed("s", "s2").join(F.broadcast(one), "chrom").join(both, list(VARIANT), "left")
     return out.select("index_variant", "index_pos", *VARIANT, value(metric, n, F.col("s1"), F.col("s2"), F.coalesce("s12", F.lit(0e0))).alias("value"))
 
 
@@ -158,12 +174,32 @@ def _multiply(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chrom": chrom, **names, "part": out[p, q]})
 
 
-def dense_pairs(calls: DataFrame, n: int, metric: str = "rsquare", blocks: int = 4, parts: int = 1, diagonal: bool = False) -> DataFrame:
-    """The same rows as ``region_pairs``, by matrix products of blocks of variants.
+#: Bytes of the two matrices and the product that a task of ``dense_pairs`` holds.
+TILE_BYTES = 64 << 20
+
+
+def tiles(n_variants: int, n: int, limit: int = TILE_BYTES) -> tuple[int, int]:
+    """Blocks of variants and parts of the samples, so that a task's matrices hold ``limit`` bytes at most on average.
+
+    A tile multiplies v variants by v over u samples: 8 (2 v u + v v) bytes. Every part of the samples gives its own sums to add up, so parts are
+    as large as blocks of ``least`` variants leave room for; then blocks are as large as these parts do.
+    """
+    least = 64
+    u = min(max(n, 1), max(1, (limit // 8 - least * least) // (2 * least)))
+    v = max(1, int((u * u + limit / 8) ** 0.5 - u))
+    return max(1, -(-n_variants // v)), max(1, -(-n // u))
+
+
+def dense_pairs(calls: DataFrame, n: int, metric: str = "rsquare", blocks: int | None = None, parts: int | None = None, diagonal: bool = False) -> DataFrame:
+    """The same rows as ``region_pairs``, by matrix products of blocks of variants, each two blocks once.
 
     Variants are dealt into ``blocks`` and samples into ``parts`` by hash; a task multiplies two
-    blocks over one part, so it holds two matrices of (variants / blocks) x (samples / parts) numbers.
+    blocks over one part, so it holds two matrices of (variants / blocks) x (samples / parts) numbers. What isn't given is planned by ``tiles`` from
+    the number of variants, which one small job counts.
     """
+    if blocks is None or parts is None:
+        planned = tiles(calls.select(*VARIANT).distinct().count(), n)
+        blocks, parts = blocks or planned[0], parts or planned[1]
     cols = columns(calls, n, metric)
     rows = entries(cols, metric)
     who = F.xxhash64(*unit(rows))
@@ -182,7 +218,7 @@ def dense_pairs(calls: DataFrame, n: int, metric: str = "rsquare", blocks: int =
     block = [F.pmod(F.xxhash64(f"variant{k}"), F.lit(blocks)) for k in (1, 2)]
     share = F.when(block[0] == block[1], F.col("part") / 2).otherwise(F.col("part"))
     both = turned.groupBy("chrom", "pos1", "variant1", "pos2", "variant2").agg(F.sum(share).alias("s12"))
-    return _valued(paired(cols.select(*VARIANT, "s"), diagonal), both, metric, n)
+    return _valued(paired(variant_sums(cols, n), diagonal), both, metric, n)
 
 
 def carried_share(calls: DataFrame, n: int) -> float:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..errors import QueryError
-from ..operators import genotype, ld, score
+from ..operators import bitset, genotype, ld, score
 from ..sources import files
 from . import paging, requests
 
@@ -44,6 +44,17 @@ class Genotypes:
             return self.calls, self.n_samples
         return (genotype.as_samples(self.calls), self.n_samples) if correlation == "cov" else (self.calls, 2 * self.n_samples)
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """Where each haplotype's bit is; ``cut`` or store it to pack many regions."""
+        return bitset.numbered(self.samples, 2 * self.n_samples)
+
+    def packed_ld(self, chrom: str, start: int, stop: int, correlation: str, diagonal: bool = False) -> DataFrame:
+        """All pairs of a region of common variants, from haplotypes packed into words."""
+        requests.region_request(chrom, start, stop, correlation)
+        bits = bitset.packed(genotype.in_region(self.calls, chrom, start, stop), self.places)
+        return bitset.region_pairs(bits, 2 * self.n_samples, correlation, diagonal)
+
     def region_ld(self, chrom: str, start: int, stop: int, correlation: str, limit: int = requests.PAGE_LIMIT, after: paging.Cursor | None = None, diagonal: bool = False) -> DataFrame:
         """A page of a region's pairs in Z-order; an unknown chromosome or an empty population gives no rows."""
         asked = requests.region_request(chrom, start, stop, correlation, limit)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import variants as V
-from .operators import genotype, ld, phenotypes, score, sumstats
+from .operators import bitset, genotype, ld, phenotypes, score, sumstats
 from .operators.listing import list_variants
 from .plans import paging, render, runner
 from .sources.catalog import Catalog
@@ -150,10 +150,13 @@ _region_query("ld_region_diagonal", "cov", 0, 79, True)
 _region_query("ld_subset_rsquare", "rsquare", 0, 149, False, True)
 
 
-def _haplotype_query(name: str, metric: str, start: int, stop: int) -> None:
+def _haplotype_query(name: str, metric: str, start: int, stop: int, packed: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = genotype.size(samples(spark, sf_dir), haplotypes=True)
-        return _pairs(ld.region(calls(spark, sf_dir, start, stop, haplotypes=True), n, "1", start, stop, metric))
+        everyone = samples(spark, sf_dir)
+        n, some = genotype.size(everyone, haplotypes=True), calls(spark, sf_dir, start, stop, haplotypes=True)
+        if packed:
+            return _pairs(bitset.region_pairs(bitset.packed(some, bitset.numbered(everyone, n)), n, metric))
+        return _pairs(ld.region(some, n, "1", start, stop, metric))
 
     QUERIES[name] = run
     ORACLES[name] = f"WITH {_ld_sql(metric, start, stop, haplotypes=True)} SELECT pos1, pos2, round(value, 8) AS value FROM v"
@@ -161,8 +164,8 @@ def _haplotype_query(name: str, metric: str, start: int, stop: int) -> None:
 
 _haplotype_query("ld_haplotype_rsquare", "rsquare", 0, 299)
 _haplotype_query("ld_haplotype_r", "r", 0, 149)
-_haplotype_query("ld_haplotype_rsquare_approx", "rsquare_approx", 0, 149)
-_haplotype_query("ld_haplotype_dprime", "dprime", 0, 149)
+_haplotype_query("ld_haplotype_rsquare_approx", "rsquare_approx", 0, 149, True)
+_haplotype_query("ld_haplotype_dprime", "dprime", 0, 149, True)
 
 
 def _index_query(name: str, metric: str, index: int, start: int, stop: int) -> None:
@@ -182,7 +185,7 @@ _index_query("ld_variant_cov", "cov", 20, 0, 99)
 
 @query(f"WITH {_ld_sql('rsquare', 0, 149)} SELECT pos1, pos2, round(value, 8) AS value FROM v")
 def ld_region_dense(spark, sf_dir):
-    return _pairs(ld.dense_pairs(calls(spark, sf_dir, 0, 149), _n(samples(spark, sf_dir)), "rsquare", blocks=2, parts=2))
+    return _pairs(ld.dense_pairs(calls(spark, sf_dir, 0, 149), _n(samples(spark, sf_dir)), "rsquare"))
 
 
 @query(f"""WITH {_calls_sql()}, n AS (SELECT ({_ALL})::DOUBLE AS n)
