@@ -65,24 +65,40 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _different(regions: DataFrame) -> DataFrame:
-    """Regions with two sets or more, one of those with the same sets (told by their number and 128 bits of hashes)."""
-    sums = regions.groupBy("region").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")).where("m > 1")
-    return regions.join(sums.groupBy("m", "a", "b").agg(F.min("region").alias("region")).select("region", "m"), "region")
+    """``region, node, n, own, m, weight``: regions with two sets or more, at least one its ``own``; one of those with the same sets.
+
+    Same sets are told by their number and 128 bits of hashes; ``weight`` regions are told to be the same, ``m`` sets are in each.
+    """
+    sums = regions.groupBy("region").agg(F.count("*").alias("m"), F.bool_or("own").alias("some"), F.bit_xor(F.xxhash64("node", "own")).alias("a"), F.bit_xor(F.xxhash64("node", "own", F.lit(1))).alias("b")).where("m > 1 and some")
+    return regions.join(sums.groupBy("m", "a", "b").agg(F.min("region").alias("region"), F.count("*").alias("weight")).drop("a", "b"), "region")
 
 
 def first_regions(nodes: DataFrame) -> DataFrame:
-    """``region, node, n, m``: sets of like size that share a shingle of their prefixes; ``m`` sets in the region.
+    """Regions of sets of like size that share a shingle of their prefixes, as ``_different`` gives them.
 
     Most texts have no shingle in common: their distance is 1, from each other and from any pivot, so pivots alone
     can't part them. Sets within ``NEAR`` always meet in one of these regions. Sizes differ by a quarter at most
-    then, so a region has the sizes of one class and of the next.
+    then, so a region has the sizes of one class, its own, and of the next.
     """
-    each = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    each = nodes.select("node", F.explode("prefix").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-    met = cut(each.join(shared, "token"), "shared-shingles")
+    met = cut(each.join(shared, "token"), "shared-shingles").join(nodes.select("node", "n"), "node")
     level = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("long")
-    placed = met.select("node", "n", "token", F.explode(F.array(level, level - 1)).alias("level"))
-    return _different(placed.select(F.xxhash64("token", "level").alias("region"), "node", "n"))
+    placed = met.select("node", "n", "token", F.inline(F.array(F.struct(level.alias("level"), F.lit(True).alias("own")), F.struct((level - 1).alias("level"), F.lit(False).alias("own")))))
+    return _different(placed.select(F.xxhash64("token", "level").alias("region"), "node", "n", "own"))
+
+
+def close_pairs(regions: DataFrame) -> DataFrame:
+    """``x, p, c``: pairs of sets of small regions whose sizes fit, and in how many of them (told apart by their shingle) they meet."""
+    few = regions.where(F.col("m") <= LEAF)
+    a = few.select("region", "weight", F.col("node").alias("x"), "n", "own")
+    b = few.select("region", F.col("node").alias("p"), F.col("n").alias("np"), F.col("own").alias("own_p"))
+    close = 5 * F.least("n", "np") >= 4 * F.greatest("n", "np")
+    return a.join(b, "region").where("x < p and (own or own_p)").where(close).groupBy("x", "p").agg(F.sum("weight").alias("c"), F.first("n").alias("n"), F.first("np").alias("np"))
+
+
+#: Sets within NEAR have 4/9 of both sizes in common. Beyond the end of the prefix that ends first, at most the rest of that set is; the others are in both prefixes.
+ENOUGH = "c >= ceil(4 * (n + np) / 9) - ceil(4 * greatest(n, np) / 5) + 1"
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -104,7 +120,7 @@ def around_pivots(regions: DataFrame, sets: DataFrame, known: DataFrame | None)
     out = None
     for j in range(PIVOTS):
         chosen = left.where(F.col("nearest") > NEAR).groupBy("region").agg(F.max_by("node", "rank").alias("p"))
-        asked = cut(left.join(chosen, "region"), "pivots")
+        asked = left.join(chosen, "region")
         pairs = asked.where("node <> p").select(F.col("node").alias("x"), "p").distinct()
         new = pairs if known is None else pairs.join(known.select("x", "p"), ["x", "p"], "left_anti")
         new = cut(distances(new, sets), "distances")
@@ -120,7 +136,7 @@ def around_pivots(regions: DataFrame, sets: DataFrame, known: DataFrame | None)
 
 
 def split(at: DataFrame, n: DataFrame) -> DataFrame:
-    """``region, node, n, m``: the regions of ``at(region, node, j, p, d)``'s pivots that may hold links not found yet.
+    """The regions of ``at(region, node, j, p, d)``'s pivots that may hold links not found yet.
 
     A set belongs to its nearest pivot. For x of pivot p and y of a later pivot q within ``NEAR`` of x,
     d(y, p) <= d(x, p) + NEAR <= d(y, q) + 2 NEAR, and d(x, p) is at most p's radius: y comes into p's region by that window.
@@ -134,41 +150,42 @@ def split(at: DataFrame, n: DataFrame) -> DataFrame:
     rows = rows.join(about, ["region", "p"]).where((F.col("later") == 0) | (F.col("d") <= window))
     bars = rows.where(F.col("d") > NEAR).groupBy("region", "p").agg(F.min("d").alias("bar"))
     rows = rows.join(bars, ["region", "p"]).where(F.col("d") >= F.col("bar") - NEAR - SLACK)
-    return _different(rows.select(F.xxhash64("region", "p").alias("region"), "node").join(n, "node"))
+    return _different(rows.select(F.xxhash64("region", "p").alias("region"), "node", (F.col("later") == 0).alias("own")).join(n, "node"))
 
 
 def links(nodes: DataFrame, rows: DataFrame, size: int = 5) -> DataFrame:
     """``u, v``: links whose components are those of all pairs of sets within ``NEAR``.
 
     ``nodes(node, n, prefix, text_key)`` are distinct sets, ``rows(text_key, text)`` hold a text of each. Regions of up to ``LEAF`` sets
-    are compared pair by pair; larger ones are split around pivots, ``ROUNDS`` times. What is left then are sets that no pivot parts, such as
+    are compared pair by pair, if they share enough shingles of their prefixes (a pair that shares some in a larger region meets there as well);
+    larger ones are split around pivots, ``ROUNDS`` times. What is left then are sets that no pivot parts, such as
     copies edited in different ways: they are joined by their differences from a pivot (``jaccard._across``), exactly as well.
     """
     regions = cut(first_regions(nodes), "regions")
-    used = regions.select("node").distinct()
+    leaves = cut(close_pairs(regions).where(ENOUGH).select("x", "p"), "leaf-pairs")
+    large = cut(regions.where(F.col("m") > LEAF).select("region", "node", "n"), "large-regions")
+    used = leaves.select(F.explode(F.array("x", "p")).alias("node")).unionByName(large.select("node")).distinct()
     wanted = nodes.join(used, "node", "left_semi").select("node", "text_key")
 
     def make(batch: pa.RecordBatch) -> dict:
         return {"node": batch["node"], "hashes": pa.array([shingles(t, size).view(np.int64) for t in batch["text"].to_pylist()], pa.list_(pa.int64()))}
 
     sets = cut(arrow_map(rows.join(wanted, "text_key").select("node", "text").dropDuplicates(["node"]), make, "node long, hashes array<long>"), "shingle-sets")
-    sizes = cut(regions.select("node", "n").distinct(), "sizes")
+    sizes = large.select("node", "n").distinct()
+    some = cut(sets.join(sizes, "node", "left_semi"), "large-sets")
     known, pairs = None, None
-    for turn in range(ROUNDS + 1):
-        few = regions.where(F.col("m") <= LEAF)
-        a, b = few.select("region", F.col("node").alias("x"), "n"), few.select("region", F.col("node").alias("p"), F.col("n").alias("np"))
-        close = 5 * F.least("n", "np") >= 4 * F.greatest("n", "np")
-        some = cut(a.join(b, "region").where("x < p").where(close).select("x", "p").distinct(), "leaf-pairs")
-        pairs = some if pairs is None else pairs.unionByName(some)
-        large = regions.where(F.col("m") > LEAF).select("region", "node")
-        if turn < ROUNDS:
-            at, known = around_pivots(large, sets, known)
-            regions = cut(split(at, sizes), "regions")
+    for _ in range(ROUNDS):
+        at, known = around_pivots(large.select("region", "node"), some, known)
+        regions = cut(split(at, sizes), "regions")
+        new = cut(close_pairs(regions).select("x", "p"), "leaf-pairs")
+        pairs = new if pairs is None else pairs.unionByName(new)
+        large = regions.where(F.col("m") > LEAF).select("region", "node", "n")
     company = large.groupBy("node").agg(F.count("*").alias("company"))
     chosen = large.join(company, "node").groupBy("region").agg(F.max_by("node", F.struct("company", "node")).alias("p"))
-    last = cut(_differences(large.join(chosen, "region").where("node <> p").select(F.col("node").alias("x"), "p").distinct(), sets), "differences")
-    across = cut(_across(last.withColumn("nearest", F.lit(True))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")), "across")
-    checked = distances(pairs.unionByName(across).distinct().join(known.select("x", "p"), ["x", "p"], "left_anti"), sets).where("near")
+    last = cut(_differences(large.join(chosen, "region").where("node <> p").select(F.col("node").alias("x"), "p").distinct(), some), "differences")
+    across = _across(last.withColumn("nearest", F.lit(True))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p"))
+    left = cut(pairs.unionByName(across).distinct().join(known.select("x", "p"), ["x", "p"], "left_anti"), "left-pairs")
+    checked = distances(leaves, sets).unionByName(distances(left, some)).where("near")
     found = checked.select("x", "p").unionByName(known.where("near").select("x", "p")).unionByName(last.where(LINKED).select("x", "p"))
     return found.select(F.col("x").alias("u"), F.col("p").alias("v"))
 
@@ -183,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = documents(docs, id_col, text_col).withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
     made = cut(shingle_sets(rows, size), "shingle-prefixes")
     nodes = made.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min("text_key").alias("text_key"))
-    roots = components(links(cut(nodes, "shingle-nodes"), rows.select("text_key", "text"), size))
+    roots = components(links(nodes, rows.select("text_key", "text"), size))
     named = made.select("doc_id", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
