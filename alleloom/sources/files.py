@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 from ..functions.variants import alt_frequency, colons_to_epacts, epacts, leading_number, parse, segment
 from ..operators.genotype import STORED
+from .indexed import block_gzipped, read_lines
 
 #: 0-based columns of the two score file formats.
 SCORE_COLUMNS = {
@@ -144,9 +145,21 @@ def read_sample_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("sample")).where("sample <> ''")
 
 
+def _lines(spark: SparkSession, path: str | list[str], chrom: str | None = None, start: int | None = None, stop: int | None = None, header: bool = False) -> DataFrame:
+    """``path, value``: block-gzipped files by their blocks and index, all others by Spark's reader of text."""
+    paths = [path] if isinstance(path, str) else list(path)
+    packed = [p for p in paths if block_gzipped(p)]
+    plain = [p for p in paths if p not in packed]
+    out = read_lines(spark, packed, chrom, start, stop, header) if packed else None
+    if plain:
+        text = spark.read.text(plain).select(F.input_file_name().alias("path"), "value")
+        out = text if out is None else out.unionByName(text)
+    return out
+
+
 def vcf_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, idx, sample)`` from each file's header line."""
-    head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).select(F.input_file_name().alias("path"), F.split("value", "\t").alias("f"))
+    head = _lines(spark, path, header=True).where(F.col("value").startswith("#CHROM")).select("path", F.split("value", "\t").alias("f"))
     return head.select("path", F.posexplode(F.expr("slice(f, 10, greatest(size(f) - 9, 0))")).alias("idx", "sample"))
 
 
@@ -162,7 +175,7 @@ def same_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _records(spark: SparkSession, path: str | list[str], chrom: str | None, start: int | None, stop: int | None) -> DataFrame:
     """A row for each alternate allele of a record, with the genotypes still as text."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.input_file_name().alias("path"), F.split("value", "\t").alias("f"))
+    lines = _lines(spark, path, chrom, start, stop).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select("path", F.split("value", "\t").alias("f"))
     if chrom is not None:
         lines = lines.where((F.col("f")[0] == chrom) & F.col("f")[1].cast("bigint").between(start, stop))
     rows = lines.select("path", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("bigint").alias("pos"), F.col("f")[3].alias("ref"), F.posexplode(F.split(F.col("f")[4], ",")).alias("k", "alt"), F.expr("slice(f, 10, greatest(size(f) - 9, 0))").alias("g"))
@@ -178,8 +191,9 @@ def read_vcf(spark: SparkSession, path: str | list[str], chrom: str | None = Non
     """Calls of text VCFs (plain or block-gzipped): a row for each carried or missing count, one for each alternate allele.
 
     With ``haplotypes`` a row for each carried or missing allele, with ``hap`` its place in the genotype: correlations
-    other than covariances are over these. Each file's own header names its samples. Read it once and
-    write it with ``write_calls``: a compressed file can't be split.
+    other than covariances are over these. Each file's own header names its samples. Of a block-gzipped file with a
+    tabix index (``<path>.tbi``) a region reads its own blocks only, and without a region it is split into many tasks; another
+    gzip file is read by one task.
     """
     rows = _records(spark, path, chrom, start, stop).select("path", "chrom", "pos", "variant", "k", F.posexplode("g").alias("idx", "g"))
     alleles = F.split(F.split("g", ":")[0], r"[/|]")
