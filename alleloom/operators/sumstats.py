@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions.variants import two_sided_p
+from .intervals import overlaps
 
 
 def covariance_rows(cov: DataFrame) -> DataFrame:
@@ -59,8 +60,8 @@ def block_pairs(scores: DataFrame, covariances: DataFrame) -> DataFrame:
     A score block must meet exactly one covariance file; none or several are an error.
     """
     cov = covariances.select(F.col("path").alias("cov_path"), "chrom", F.col("region_start").alias("a"), F.col("region_mid").alias("b"), F.col("cutoff").alias("cov_cutoff"))
-    here = (scores["chrom"] == cov["chrom"]) & (cov["a"] <= scores["region_mid"]) & (cov["b"] >= scores["region_start"])
-    met = scores.drop("cutoff").join(cov, here, "left").drop(cov["chrom"])
+    here = overlaps(scores.select("path", "chrom", "region_start", "region_mid"), cov, left_bounds=("region_start", "region_mid"), right_bounds=("a", "b"))
+    met = scores.drop("cutoff").join(here.select("path", "cov_path", "cov_cutoff"), "path", "left")
     several = Window.partitionBy("path")
     number = F.row_number().over(Window.partitionBy("chrom").orderBy("region_start", "path")) - 1  # a row for each file
     wrong = F.raise_error(F.concat(F.lit("a score block needs one covariance block, and has "), F.col("m").cast("string"))).cast("string")

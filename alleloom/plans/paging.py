@@ -13,6 +13,7 @@ from ..functions.variants import morton, segment
 from ..operators import ld
 from ..operators.genotype import in_region
 from . import zorder
+from .cellstore import CellStore
 from .zorder import bigmin  # noqa: F401
 
 PAIR_ORDER = ("cell", "pos1", "variant1", "pos2", "variant2")
@@ -98,23 +99,48 @@ def cells_of_page(counts: dict[int, int] | zorder.Segments, limit: int, diagonal
     return out
 
 
-def region_page(calls: DataFrame, n: int, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None, diagonal: bool = False) -> DataFrame:
+def _of_segments(calls: DataFrame, chrom: str, segments: DataFrame, low: int, high: int, size: int) -> DataFrame:
+    inside = in_region(calls, chrom, low * size, high * size + size - 1)
+    return inside.join(segments, segment(F.col("pos"), size) == segments["s"], "left_semi")
+
+
+def _stored_pairs(store: CellStore, named: dict, calls: DataFrame, n: int, cells: DataFrame, low: int, high: int) -> DataFrame:
+    """Whole cells, from the store where it has them."""
+    chrom, size = named["chrom"], named["size"]
+
+    def compute(missing: DataFrame) -> DataFrame:
+        own = _of_segments(calls, chrom, missing.select(F.explode(F.array("i", "j")).alias("s")).distinct(), low, high, size)
+        return ld.region_pairs(own, n, named["metric"], True, cells=missing.withColumn("chrom", F.lit(chrom)), size=size)
+
+    return store.pairs(cells, compute, **named)
+
+
+def region_page(
+    calls: DataFrame, n: int, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None, diagonal: bool = False, store: CellStore | None = None, dataset: str = "", subset: str = "ALL"
+) -> DataFrame:
     """A page of a region's pairs, of which only those in the page's cells are formed.
 
     Small jobs count the variants of the segments that the walk to the page's end comes to, so what the driver holds
-    grows with the page and not with the region.
+    grows with the page and not with the region. With a ``store`` the page's cells are computed whole and kept under the names of the ``dataset`` and
+    ``subset`` of samples, the metric and the size, and read where an earlier page or region has kept them.
     """
     chosen = cells_of_page(segments_of(calls, chrom, start, stop, size), limit, diagonal, after)
     cells = calls.sparkSession.createDataFrame([(chrom, i, j) for i, j in chosen], "chrom string, i long, j long")
     used = sorted({s for c in chosen for s in c})
+    if store is not None and used:
+        named = {"dataset": dataset, "subset": subset, "metric": metric, "chrom": chrom, "size": size}
+        pairs = _stored_pairs(store, named, calls, n, cells.select("i", "j"), used[0], used[-1])
+        pairs = pairs.where(F.col("pos1").between(start, stop) & F.col("pos2").between(start, stop))
+        if not diagonal:
+            pairs = pairs.where("pos1 <> pos2 or variant1 <> variant2")
+        return page(pairs, size, limit, after)
     inside = in_region(calls, chrom, start, stop)
     if used:
         inside = inside.where(F.col("pos").between(used[0] * size, used[-1] * size + size - 1))
     if len(used) < 100:
         inside = inside.where(segment(F.col("pos"), size).isin(used))
     else:
-        held = cells.select(F.explode(F.array("i", "j")).alias("s")).distinct()
-        inside = inside.join(held, segment(F.col("pos"), size) == held["s"], "left_semi")
+        inside = _of_segments(inside, chrom, cells.select(F.explode(F.array("i", "j")).alias("s")).distinct(), used[0], used[-1], size)
     return page(ld.region_pairs(inside, n, metric, diagonal, cells=cells, size=size), size, limit, after)
 
 

@@ -11,6 +11,7 @@ from ..errors import QueryError
 from ..operators import bitset, genotype, ld, score
 from ..sources import files
 from . import paging, requests
+from .cellstore import CellStore
 
 
 @dataclass(frozen=True)
@@ -23,16 +24,23 @@ class Genotypes:
     calls: DataFrame
     samples: DataFrame
     segment: int = requests.SEGMENT_SIZE
+    store: CellStore | None = None
+    dataset: str = ""
+    subset: str = "ALL"
 
     @classmethod
     def open(cls, spark, paths: list[str]) -> Genotypes:
         """Text VCFs of the same samples; others are an error."""
         return cls(files.read_vcf(spark, paths, haplotypes=True), files.same_samples(spark, paths))
 
-    def of(self, population: DataFrame) -> Genotypes:
-        """The dataset restricted to a population; samples that the files lack are passed over."""
+    def kept(self, store: CellStore | None, dataset: str) -> Genotypes:
+        """The same with pages of regions kept in a store under the dataset's name; without a store nothing is kept or read."""
+        return replace(self, store=store, dataset=dataset)
+
+    def of(self, population: DataFrame, name: str | None = None) -> Genotypes:
+        """The dataset restricted to a population; samples that the files lack are passed over. Only results of a named population are kept."""
         some = genotype.of_samples(self.samples, population)
-        return replace(self, calls=genotype.of_samples(self.calls, some), samples=some)
+        return replace(self, calls=genotype.of_samples(self.calls, some), samples=some, store=self.store if name else None, subset=name or "")
 
     @cached_property
     def n_samples(self) -> int:
@@ -59,7 +67,7 @@ class Genotypes:
         """A page of a region's pairs in Z-order; an unknown chromosome or an empty population gives no rows."""
         asked = requests.region_request(chrom, start, stop, correlation, limit)
         calls, n = self._counted(correlation)
-        return paging.region_page(calls, n, chrom, start, stop, correlation, self.segment, asked["limit"], after, diagonal)
+        return paging.region_page(calls, n, chrom, start, stop, correlation, self.segment, asked["limit"], after, diagonal, self.store, self.dataset, self.subset)
 
     def variant_ld(self, variant: str, chrom: str, start: int, stop: int, correlation: str, limit: int = requests.PAGE_LIMIT, after: paging.Cursor | None = None) -> DataFrame:
         """A page of one variant against a region."""

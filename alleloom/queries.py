@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import variants as V
-from .operators import bitset, genotype, ld, phenotypes, score, sumstats
+from .operators import bitset, genotype, intervals, ld, phenotypes, score, sumstats
 from .operators.listing import list_variants
 from .plans import paging, render, runner
 from .sources.catalog import Catalog
@@ -494,10 +494,27 @@ def metastaar_scores(spark, sf_dir):
     return sumstats.block_scores(_block_inputs(spark, sf_dir)[0]).select("pos", F.round("z", 8).alias("z"), F.round("pvalue", 7).alias("pvalue"), F.round("alt_freq", 9).alias("alt_freq"))
 
 
-@query("SELECT 'f' || i AS path, i * 100 AS region_start FROM range(20) t(i) WHERE i * 100 <= 750 AND i * 100 + 149 >= 320")
+def _region_files(spark, sf_dir):
+    """Files of 150 positions, one from each 100th on that has parts."""
+    k = F.floor(F.col("p_partkey") / 100)
+    return _read(spark, sf_dir, "part").select(k.alias("k")).distinct().select(F.concat(F.lit("f"), F.col("k")).alias("path"), F.lit("1").alias("chrom"), (F.col("k") * 100).alias("region_start"), (F.col("k") * 100 + 149).alias("region_mid"))
+
+
+_FILES = "f AS (SELECT DISTINCT 'f' || (p_partkey // 100) AS path, p_partkey // 100 * 100 AS region_start, p_partkey // 100 * 100 + 149 AS region_mid FROM part)"
+
+
+@query(f"WITH {_FILES} SELECT path, region_start FROM f WHERE region_start <= 750 AND region_mid >= 320")
 def interval_overlap_files(spark, sf_dir):
-    m = spark.range(20).select(F.concat(F.lit("f"), F.col("id")).alias("path"), F.lit("1").alias("chrom"), (F.col("id") * 100).alias("region_start"), (F.col("id") * 100 + 149).alias("region_mid"))
-    return sumstats.files_overlapping(m, "1", 320, 750).select("path", "region_start")
+    return sumstats.files_overlapping(_region_files(spark, sf_dir), "1", 320, 750).select("path", "region_start")
+
+
+@query(f"""WITH {_FILES}, g AS (SELECT p_brand || p_size AS grp, min(p_partkey) AS a, max(p_partkey) AS b FROM part GROUP BY grp)
+SELECT grp AS "group", count(*) AS n_files, min(path) AS first_path, max(region_start) AS last_start FROM g JOIN f ON region_start <= b AND region_mid >= a GROUP BY grp""")
+def interval_join_files(spark, sf_dir):
+    """Files that each group's bounds meet: groups from one position to the whole chromosome."""
+    groups = _read(spark, sf_dir, "part").groupBy(F.concat("p_brand", "p_size").alias("group")).agg(F.min("p_partkey").alias("start"), F.max("p_partkey").alias("stop")).withColumn("chrom", F.lit("1"))
+    met = intervals.overlaps(groups, _region_files(spark, sf_dir), right_bounds=("region_start", "region_mid"))
+    return met.groupBy("group").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"), F.max("region_start").alias("last_start"))
 
 
 @query("SELECT DISTINCT l_partkey AS pos, '1:' || l_partkey || '_A/T' AS variant FROM lineitem WHERE l_partkey BETWEEN 40 AND 160")

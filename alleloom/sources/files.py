@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 from ..functions.variants import alt_frequency, colons_to_epacts, epacts, leading_number, parse, segment
 from ..operators.genotype import STORED
+from ..operators.intervals import overlaps
 from .indexed import block_gzipped, read_lines
 
 #: 0-based columns of the two score file formats.
@@ -103,8 +104,8 @@ def mask_of(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
 
 
 def region_groups(groups: DataFrame, variants: DataFrame) -> DataFrame:
-    """Members of groups given as regions: a range join on the chromosome."""
-    return groups.join(variants, "chrom").where(F.col("pos").between(F.col("start"), F.col("stop"))).select("group", "chrom", "start", "stop", "variant", "pos")
+    """Members of groups given as regions; groups and variants meet in bins."""
+    return overlaps(groups.select("group", "chrom", "start", "stop"), variants.select("chrom", "variant", "pos")).select("group", "chrom", "start", "stop", "variant", "pos")
 
 
 def covariance_positions(cov: DataFrame) -> int:
