@@ -50,4 +50,4 @@ def infer_kinds(rows: DataFrame, columns: list[str], line: str) -> DataFrame:
     """``(column, kind)``: each column's most common kind; of equals the one that comes first. One aggregation."""
     long = rows.select(F.col(line).alias("line"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), kind(F.col(c).cast("string")).alias("kind")) for c in columns])))
     counts = long.where("kind is not null").groupBy("column", "kind").agg(F.count("*").alias("n"), F.min("line").alias("first"))
-    return counts.groupBy("column").agg(F.max_by("kind", F.struct("n", -F.col("first"))).alias("kind"))
+    return counts.groupBy("column").agg(F.min_by("kind", F.struct(-F.col("n"), F.col("first"))).alias("kind"))

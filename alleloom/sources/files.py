@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,9 @@ from ..errors import QueryError
 from ..functions.variants import alt_frequency, colons_to_epacts, epacts, leading_number, parse, segment
 from ..operators.genotype import STORED
 from ..operators.intervals import overlaps
+from ..shipping import ship
 from .indexed import block_gzipped, read_lines
+from .stores import at_any_place, exists, first_lines
 
 #: 0-based columns of the two score file formats.
 SCORE_COLUMNS = {
@@ -21,20 +26,31 @@ COV_COLUMNS = {"RVTEST": {"chrom": 0, "pos": 1, "positions": 4, "covs": 5}, "RAR
 
 
 def _fields(spark: SparkSession, path: str | list[str], sep: str = "\t") -> DataFrame:
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    return lines.select(F.split("value", sep).alias("f"))
+    lines = spark.read.text(path).select("value", _line().alias("line")).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    return lines.select(F.split("value", sep).alias("f"), "line")
 
 
 def _pick(columns: dict[str, int]) -> list[Column]:
     return [F.get("f", F.lit(i)).alias(k) for k, i in columns.items()]
 
 
+def _line() -> Column:
+    """The place of a row's line: by the file's path, the place in the file of the task's part, and the row in that part."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
+def _head(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: a file's lines up to its first data row; of a store that only Spark opens, all lines."""
+    lines = first_lines(path, lambda x: x.strip() != "" and not x.startswith("#") and not x.upper().startswith("CHROM"))
+    return spark.read.text(path) if lines is None else spark.createDataFrame([(x,) for x in lines], "value string")
+
+
 def sniff_format(spark: SparkSession, path: str) -> str:
     """RVTEST or RAREMETAL: by the program named in the header, else by the header's column names.
 
-    One pass keeps the lines that can tell; another program, or none and unknown columns, is an error.
+    Only the header is read; another program, or none and unknown columns, is an error.
     """
-    text = spark.read.text(path)
+    text = _head(spark, path)
     program = F.regexp_extract("value", r"^##ProgramName=(\w+)", 1)
     upper = F.upper(F.col("value"))
     head = text.where(F.col("value").startswith("#") | F.upper(F.col("value")).startswith("CHROM"))
@@ -55,7 +71,7 @@ def sniff_format(spark: SparkSession, path: str) -> str:
 
 def header_scalars(spark: SparkSession, path: str) -> DataFrame:
     """One row: ``sigma2`` and ``nsamples`` from the header; samples else from the first data row."""
-    text = spark.read.text(path)
+    text = _head(spark, path)
     found = text.where(F.col("value").startswith("#")).agg(
         F.max(F.regexp_extract("value", r"^## - Sigma2\s*=?\s*(\S+)", 1).try_cast("double")).alias("a"),
         F.max(F.regexp_extract("value", r"^##\s*Sigma_e2_Hat\s*[=\t ]\s*(\S+)", 1).try_cast("double")).alias("b"),
@@ -68,7 +84,7 @@ def header_scalars(spark: SparkSession, path: str) -> DataFrame:
 def read_scores(spark: SparkSession, path: str | list[str], kind: str | None = None) -> DataFrame:
     """``(line, chrom, pos, variant, alt_freq, n, score_stat, sqrt_v, pvalue)``; U that is no number is an error."""
     kind = kind or sniff_format(spark, path if isinstance(path, str) else path[0])
-    rows = _fields(spark, path).select(F.monotonically_increasing_id().alias("line"), *_pick(SCORE_COLUMNS[kind])).where(~F.col("chrom").isin("CHROM"))
+    rows = _fields(spark, path).select("line", *_pick(SCORE_COLUMNS[kind])).where(~F.col("chrom").isin("CHROM"))
     u = leading_number(F.col("u"))
     u = F.when(u.isNull(), F.raise_error(F.concat(F.lit("U_STAT is no number at "), "chrom", F.lit(":"), "pos")).cast("double")).otherwise(u)
     return rows.select(
@@ -118,7 +134,7 @@ def covariance_positions(cov: DataFrame) -> int:
 def read_tab(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A phenotype table with a header: its columns as text and ``line``, in the order of the file; ``#`` and blank lines are skipped."""
     rows = spark.read.csv(path, sep="\t", header=True, inferSchema=False, comment="#", quote="")
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    return rows.select("*", _line().alias("line"))
 
 
 #: Kinds of columns in a pedigree's ``.dat`` file; markers are no phenotypes.
@@ -138,7 +154,7 @@ def dat_columns(spark: SparkSession, dat: str) -> list[tuple[str, str | None]]:
 def read_ped(spark: SparkSession, path: str, dat: str) -> DataFrame:
     """A pedigree file with the columns that its ``.dat`` file names, as text; columns of markers take a place but are left out."""
     columns = [*[(c, "TEXT") for c in PEDIGREE], *dat_columns(spark, dat)]
-    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.split("value", r"\s+").alias("f"), F.monotonically_increasing_id().alias("line"))
+    rows = _fields(spark, path, r"\s+")
     return rows.select(*[F.get("f", F.lit(i)).alias(c) for i, (c, kind) in enumerate(columns) if kind], "line")
 
 
@@ -232,30 +248,47 @@ def read_calls(spark: SparkSession, path: str, haplotypes: bool = False) -> Data
     return spark.read.schema(CALLS.format(hap="hap int, " if haplotypes else "")).parquet(path)
 
 
+def footer(path: str, file) -> dict:
+    """A block file's row of the manifest, from the footer of an open Parquet file."""
+    import pyarrow.parquet as pq
+
+    parquet = pq.ParquetFile(file)
+    meta = {k.decode(): v.decode() for k, v in (parquet.schema_arrow.metadata or {}).items()}
+    number = {k: int(meta[k]) if meta.get(k, "").lstrip("-").isdigit() else None for k in ("pos_start", "pos_mid", "pos_end", "region_start", "region_mid", "region_end", "nrows", "ncols")}
+    sizes = {"nrows": number.pop("nrows") or parquet.metadata.num_rows, "ncols": number.pop("ncols") or parquet.metadata.num_columns}
+    cutoff = meta.get("cov_maf_cutoff", "")
+    return {"path": path, "chrom": meta.get("chrom"), **number, **sizes, "cutoff": float(cutoff) if cutoff else None}
+
+
 def block_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per block file from the key-value metadata in its footer, which Spark's reader doesn't show.
 
-    The footers are read in tasks, over Spark's own reader of binary files, so any store that Spark
-    reads will do. ``nrows`` and ``ncols`` come from the metadata, else from the footer.
+    The footers are read in tasks, by seeking to them, so of a file of any size only its last bytes are read; where the store
+    can't be opened so, whole files come through Spark's own reader. ``nrows`` and ``ncols`` come from the metadata, else from the footer.
     """
-    import io
+    ship(spark)
 
     def footers(batches):
+        import io
+
         import pandas as pd
-        import pyarrow.parquet as pq
 
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                file = pq.ParquetFile(io.BytesIO(content))
-                meta = {k.decode(): v.decode() for k, v in (file.schema_arrow.metadata or {}).items()}
-                number = {k: int(meta[k]) if meta.get(k, "").lstrip("-").isdigit() else None for k in ("pos_start", "pos_mid", "pos_end", "region_start", "region_mid", "region_end", "nrows", "ncols")}
-                sizes = {"nrows": number.pop("nrows") or file.metadata.num_rows, "ncols": number.pop("ncols") or file.metadata.num_columns}
-                cutoff = meta.get("cov_maf_cutoff", "")
-                rows.append({"path": path, "chrom": meta.get("chrom"), **number, **sizes, "cutoff": float(cutoff) if cutoff else None})
+            for row in batch.itertuples():
+                if hasattr(row, "content"):
+                    rows.append(footer(row.path, io.BytesIO(row.content)))
+                else:
+                    with at_any_place(row.path) as file:
+                        rows.append(footer(row.path, file))
             yield pd.DataFrame(rows, columns=MANIFEST_COLUMNS)
 
-    found = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(footers, MANIFEST)
+    if all(exists(p) for p in paths[:1]):
+        named = [p if re.match(r"\w+:/", p) else f"file:{os.path.abspath(p)}" for p in paths]
+        files = spark.createDataFrame([(p,) for p in named], "path string").repartition(max(1, min(len(paths), 200)))
+    else:
+        files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    found = files.mapInPandas(footers, MANIFEST)
     needed = ("chrom", "pos_start", "pos_end", "region_start", "region_mid", "region_end")
     lacking = found.where(" or ".join(f"{c} is null" for c in needed)).select("path").limit(1).collect()
     if lacking:

@@ -23,3 +23,30 @@ def exists(path: str) -> bool:
     except OSError:
         return False
     return True
+
+
+def first_lines(path: str, is_last, limit: int = 1 << 24) -> list[str] | None:
+    """Lines of a text file, gzipped or not, up to the first that ``is_last``; null if the file's store can't be opened here.
+
+    Nothing beyond is read, however long the file; more than ``limit`` bytes without such a line are an error.
+    """
+    import gzip
+    import io
+
+    try:
+        file = at_any_place(path)
+    except (OSError, ValueError):
+        return None
+    with file:
+        packed = file.read(2) == b"\x1f\x8b"
+        file.seek(0)
+        out, size = [], 0
+        for raw in io.BufferedReader(gzip.GzipFile(fileobj=file)) if packed else file:
+            line = raw.decode("utf-8", "replace").rstrip("\r\n")
+            out.append(line)
+            size += len(raw)
+            if is_last(line):
+                break
+            if size > limit:
+                raise ValueError(f"{path} has a header of over {limit} bytes")
+        return out

@@ -117,3 +117,45 @@ def test_other_files_are_not_taken_for_blocks(spark, tmp_path):
         list(bgzf.lines(io.BytesIO(bytes(damaged)), 0))
     with pytest.raises(QueryError):
         list(bgzf.lines(io.BytesIO(b"not a block at all"), 0))
+
+
+def test_headers_and_footers_are_read_without_the_rest(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from alleloom.sources import stores
+
+    path = tmp_path / "big.parquet"
+    meta = {"chrom": "1", "pos_start": "5", "pos_end": "5", "region_start": "1", "region_mid": "50", "region_end": "99"}
+    pq.write_table(pa.table({f"c{k}": np.random.default_rng(k).random(200_000) for k in range(4)}).replace_schema_metadata(meta), path)
+    file = Counting(path)
+    row = files.footer(str(path), file)
+    assert row["nrows"] == 200_000 and row["ncols"] == 4 and row["region_mid"] == 50
+    assert file.taken < 200_000 < path.stat().st_size / 10
+    found = files.block_manifest(spark, [str(path)]).collect()
+    assert [(r["nrows"], r["chrom"]) for r in found] == [(200_000, "1")]
+    monkeypatch.setattr(files, "exists", lambda p: False)
+    assert [(r["nrows"], r["chrom"]) for r in files.block_manifest(spark, [str(path)]).collect()] == [(200_000, "1")]
+    text = tmp_path / "s.assoc"
+    text.write_text("##ProgramName=Rvtests\nCHROM\tPOS\n1\t2\n" + "x\n" * 100_000)
+    last = lambda x: x[:1] not in ("#", "C")
+    assert stores.first_lines(str(text), last) == ["##ProgramName=Rvtests", "CHROM\tPOS", "1\t2"]
+    assert stores.first_lines("none/such", last) is None and files.sniff_format(spark, str(text)) == "RVTEST"
+
+
+def test_lines_keep_the_order_of_files_and_places(spark, tmp_path):
+    import random as rnd
+
+    for name, n in (("a.tab", 5), ("b.tab", 30_000)):  # the second is split, and its parts are larger
+        (tmp_path / name).write_text("id\tv\n" + "".join(f"{name}{k:06d}\t{rnd.randrange(9)}\n" for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = files.read_tab(spark, [str(tmp_path / "b.tab"), str(tmp_path / "a.tab")])
+        assert rows.rdd.getNumPartitions() > 2
+        ids = [r["id"] for r in rows.orderBy("line").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ids == sorted(ids) and len(ids) == 30_005
