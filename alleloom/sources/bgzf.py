@@ -1,4 +1,4 @@
-"""Block-gzipped files (BGZF) read from any block on, and the tabix index of their lines.
+"""Block-gzipped files (BGZF) read from any block on, and the indexes of their records.
 
 A place in such a file is a virtual offset: the block's place in the file, and the byte's place in the block, in the lower 16 bits.
 """
@@ -137,47 +137,84 @@ def _ends_with_newline(file, at: int) -> bool:
 
 
 @dataclass
-class Tabix:
-    """A tabix index: names of sequences, and for each the chunks of its bins and the least offset of each 16 kb."""
+class Index:
+    """An index of records by bins: a tabix index, or one whose bins have other widths (CSI).
+
+    ``names`` of sequences (none in the index of a binary file), for each the chunks of its bins and the least offset of each 16 kb or of each bin;
+    ``levels``: the number of the first bin and the bits of a bin's width.
+    """
 
     names: list[str]
     bins: list[dict[int, list[tuple[int, int]]]]
     linear: list[list[int]]
+    levels: tuple[tuple[int, int], ...] = LEVELS
+    least: list[dict[int, int]] | None = None
 
     @classmethod
-    def parse(cls, data: bytes) -> Tabix:
+    def parse(cls, data: bytes) -> Index:
+        if data[:4] == b"CSI\x01":
+            return cls._parse_csi(data)
         if data[:4] != b"TBI\x01":
-            raise QueryError("not a tabix index")
+            raise QueryError("not an index of a block-gzipped file")
         n, *_, length = struct.unpack_from("<8i", data, 4)
         names = [x.decode() for x in data[36 : 36 + length].split(b"\0")[:n]]
         at, bins, linear = 36 + length, [], []
         for _ in range(n):
-            own: dict[int, list[tuple[int, int]]] = {}
-            count = struct.unpack_from("<i", data, at)[0]
-            at += 4
-            for _ in range(count):
-                number, chunks = struct.unpack_from("<Ii", data, at)
-                flat = struct.unpack_from(f"<{2 * chunks}Q", data, at + 8)
-                own[number] = list(zip(flat[::2], flat[1::2], strict=True))
-                at += 8 + 16 * chunks
+            own, at = cls._bins(data, at, False)
             count = struct.unpack_from("<i", data, at)[0]
             linear.append(list(struct.unpack_from(f"<{count}Q", data, at + 4)))
             at += 4 + 8 * count
-            bins.append(own)
+            bins.append({k: chunks for k, (_, chunks) in own.items()})
         return cls(names, bins, linear)
 
     @classmethod
-    def read(cls, file) -> Tabix:
+    def _parse_csi(cls, data: bytes) -> Index:
+        bits, depth, length = struct.unpack_from("<3i", data, 4)
+        names = [x.decode() for x in data[16 + 28 : 16 + length].split(b"\0") if x] if length > 28 else []
+        n, at = struct.unpack_from("<i", data, 16 + length)[0], 20 + length
+        bins, least = [], []
+        for _ in range(n):
+            own, at = cls._bins(data, at, True)
+            bins.append({k: chunks for k, (_, chunks) in own.items()})
+            least.append({k: low for k, (low, _) in own.items()})
+        levels = tuple((((1 << 3 * k) - 1) // 7, bits + 3 * (depth - k)) for k in range(depth + 1))
+        return cls(names, bins, [[] for _ in bins], levels, least)
+
+    @staticmethod
+    def _bins(data: bytes, at: int, with_least: bool) -> tuple[dict[int, tuple[int, list[tuple[int, int]]]], int]:
+        out: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+        count = struct.unpack_from("<i", data, at)[0]
+        at += 4
+        for _ in range(count):
+            number, low, chunks = struct.unpack_from("<IQi", data, at) if with_least else (lambda x: (x[0], 0, x[1]))(struct.unpack_from("<Ii", data, at))
+            at += 16 if with_least else 8
+            flat = struct.unpack_from(f"<{2 * chunks}Q", data, at)
+            out[number] = (low, list(zip(flat[::2], flat[1::2], strict=True)))
+            at += 16 * chunks
+        return out, at
+
+    @classmethod
+    def read(cls, file) -> Index:
         return cls.parse(b"".join(data for _, _, data in blocks(file, 0)))
 
-    def chunks(self, chrom: str, start: int, stop: int) -> list[tuple[int, int]]:
-        """Virtual offsets between which the records of a region (from 1, both ends included) may be, in order, joined where they meet."""
-        if chrom not in self.names or stop < start:
+    def _low(self, at: int, first: int) -> int:
+        """An offset before which no record reaches to place ``first``."""
+        if self.linear[at]:
+            return self.linear[at][min(first >> LINEAR, len(self.linear[at]) - 1)]
+        held = self.least[at] if self.least else {}
+        return next((held[level + (first >> bits)] for level, bits in reversed(self.levels) if level + (first >> bits) in held), 0)
+
+    def chunks(self, chrom: str | int, start: int, stop: int) -> list[tuple[int, int]]:
+        """Virtual offsets between which the records of a region (from 1, both ends included) may be, in order, joined where they meet.
+
+        ``chrom``: a name, or the sequence's number where the index has no names.
+        """
+        at = chrom if isinstance(chrom, int) else self.names.index(chrom) if chrom in self.names else -1
+        if not 0 <= at < len(self.bins) or stop < start:
             return []
-        at = self.names.index(chrom)
-        first, last = max(0, start - 1), min(max(0, stop - 1), (1 << LEVELS[0][1]) - 1)
-        low = self.linear[at][min(first >> LINEAR, len(self.linear[at]) - 1)] if self.linear[at] else 0
-        found = sorted(c for level, bits in LEVELS for k in range(level + (first >> bits), level + (last >> bits) + 1) for c in self.bins[at].get(k, ()) if c[1] > low)
+        first, last = max(0, start - 1), min(max(0, stop - 1), (1 << self.levels[0][1]) - 1)
+        low = self._low(at, first)
+        found = sorted(c for level, bits in self.levels for k in range(level + (first >> bits), level + (last >> bits) + 1) for c in self.bins[at].get(k, ()) if c[1] > low)
         out: list[tuple[int, int]] = []
         for begin, end in found:
             begin = max(begin, low)
@@ -186,3 +223,11 @@ class Tabix:
             else:
                 out.append((begin, end))
         return out
+
+    def starts(self) -> list[int]:
+        """Virtual offsets at which records begin, in order."""
+        most = max(level + (1 << 3 * k) for k, (level, _) in enumerate(self.levels))
+        return sorted({begin for own in self.bins for k, chunks in own.items() if k < most for begin, _ in chunks})
+
+
+Tabix = Index

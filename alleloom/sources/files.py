@@ -205,11 +205,11 @@ def vcf_variants(spark: SparkSession, path: str | list[str], chrom: str | None =
 
 
 def read_vcf(spark: SparkSession, path: str | list[str], chrom: str | None = None, start: int | None = None, stop: int | None = None, haplotypes: bool = False) -> DataFrame:
-    """Calls of text VCFs (plain or block-gzipped): a row for each carried or missing count, one for each alternate allele.
+    """Calls of VCFs (plain, block-gzipped or binary): a row for each carried or missing count, one for each alternate allele.
 
     With ``haplotypes`` a row for each carried or missing allele, with ``hap`` its place in the genotype: correlations
     other than covariances are over these. Each file's own header names its samples. Of a block-gzipped file with a
-    tabix index (``<path>.tbi``) a region reads its own blocks only, and without a region it is split into many tasks; another
+    tabix or CSI index (``<path>.tbi``, ``<path>.csi``) a region reads its own blocks only, and without a region it is split into many tasks; another
     gzip file is read by one task.
     """
     rows = _records(spark, path, chrom, start, stop).select("path", "chrom", "pos", "variant", "k", F.posexplode("g").alias("idx", "g"))
@@ -229,8 +229,8 @@ CALLS = "pos long, variant string, sample string, {hap}dosage double, chrom stri
 
 
 def open_genotypes(spark: SparkSession, path: str, haplotypes: bool = False) -> DataFrame:
-    """By the file's ending: text VCF, or calls stored by ``write_calls``. Binary formats must be converted first."""
-    if path.endswith((".vcf", ".vcf.gz")):
+    """By the file's ending: VCF as text or binary (BCF), or calls stored by ``write_calls``. SAV files must be converted first."""
+    if path.endswith((".vcf", ".vcf.gz")) or path.endswith(".bcf") and block_gzipped(path):
         return read_vcf(spark, path, haplotypes=haplotypes)
     if path.endswith(".parquet"):
         return read_calls(spark, path, haplotypes)

@@ -1,4 +1,4 @@
-"""A data source of the lines of block-gzipped files: a region reads the blocks that its index names, a whole file is split into many tasks."""
+"""A data source of the lines of block-gzipped files, text or binary (BCF, given as text): a region reads the blocks that its index names, a whole file is split into many tasks."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..shipping import ship
-from . import bgzf
+from . import bcf, bgzf
 from .stores import at_any_place, exists
 
 #: Compressed bytes of a task.
@@ -57,14 +57,37 @@ class LinesReader(DataSourceReader):
         with at_any_place(path) as file:
             if self.header:
                 return [Part(path, 0, 0, "header")]
-            if self.region and exists(f"{path}.tbi"):
-                with at_any_place(f"{path}.tbi") as index:
-                    chunks = bgzf.Tabix.read(index).chunks(*self.region)
-                return [Part(path, a, b, "chunk") for begin, end in chunks for a, b in self._cut(file, begin, end)]
+            if path.endswith(".bcf"):
+                return self._binary_parts(path, file)
+            index = self._index(path)
+            if self.region and index:
+                return [Part(path, a, b, "chunk") for begin, end in index.chunks(*self.region) for a, b in self._cut(file, begin, end)]
             size = file.seek(0, 2)
             size = file.tell() if size is None else size
             return [Part(path, at, min(size, at + self.split), "part") for at in range(0, size, self.split)]
 
+    @staticmethod
+    def _index(path: str) -> bgzf.Index | None:
+        for ending in ("tbi", "csi"):
+            if exists(f"{path}.{ending}"):
+                with at_any_place(f"{path}.{ending}") as file:
+                    return bgzf.Index.read(file)
+        return None
+
+    def _binary_parts(self, path: str, file) -> list[Part]:
+        """Records of a binary file have no marks to be found by, so it is split at those that its index knows, and is one task without."""
+        header, index = bcf.Header.read(file), self._index(path)
+        if header.first is None:
+            return []
+        if self.region and index:
+            number = next((k for k, name in header.contigs.items() if name == self.region[0]), -1)
+            return [Part(path, a, b, "binary") for a, b in index.chunks(number, *self.region[1:])]
+        places = [header.first]
+        for v in index.starts() if index else ():
+            if (v >> 16) - (places[-1] >> 16) >= self.split:
+                places.append(v)
+        return [Part(path, a, b, "binary") for a, b in zip(places, [*places[1:], -1], strict=True)]
+
     def _cut(self, file, begin: int, end: int) -> list[tuple[int, int]]:
         """A long chunk in pieces at block borders; lines are read from a place up to the next one's."""
         if (end >> 16) - (begin >> 16) <= 2 * self.split:
@@ -86,7 +109,9 @@ class LinesReader(DataSourceReader):
                 yield at << 16 | stop + 1
                 return
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a region without a chunk
+            return
         with at_any_place(partition.path) as file:
             held, size = [], 0
             for line in self._lines(file, partition):
@@ -99,7 +124,13 @@ class LinesReader(DataSourceReader):
                 yield self._batch(partition.path, held)
 
     def _lines(self, file, partition: Part) -> Iterator[bytes]:
-        if partition.kind == "part":
+        if partition.kind == "binary":
+            for own, pos, line in bcf.lines(file, bcf.Header.read(file), partition.begin, None if partition.end < 0 else partition.end):
+                if not self.region or own == self.region[0] and self.region[1] <= pos <= self.region[2]:
+                    yield line.encode()
+        elif partition.kind == "header" and partition.path.endswith(".bcf"):
+            yield from (line.encode() for line in bcf.Header.read(file).lines)
+        elif partition.kind == "part":
             yield from bgzf.part(file, partition.begin, partition.end)
         elif partition.kind == "header":
             for _, line in bgzf.lines(file, 0):
@@ -120,7 +151,7 @@ class LinesReader(DataSourceReader):
 
 def block_gzipped(path: str) -> bool:
     """Whether a file is one of BGZF blocks that tasks can open themselves; other gzip files are read by one task each."""
-    if not path.endswith((".gz", ".bgz")):
+    if not path.endswith((".gz", ".bgz", ".bcf")):
         return False
     try:
         with at_any_place(path) as file:
@@ -132,7 +163,7 @@ def block_gzipped(path: str) -> bool:
 def read_lines(spark: SparkSession, paths: list[str], chrom: str | None = None, start: int | None = None, stop: int | None = None, header: bool = False, split: int = SPLIT) -> DataFrame:
     """``path, value``: the lines of block-gzipped files.
 
-    With a region, records of it only: where ``<path>.tbi`` is there, no other block is read than those that it names (one that
+    With a region, records of it only: where ``<path>.tbi`` or ``<path>.csi`` is there, no other block is read than those that it names (one that
     names too few loses records, as with any reader of indexes); else the file is read whole. Files are
     split at block borders into tasks of ``split`` compressed bytes.
     """
