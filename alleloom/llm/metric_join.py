@@ -16,7 +16,7 @@ NEAR = 0.2
 #: Added to every window, so that rounding loses no pair.
 SLACK = 1e-9
 #: Pivots of a region, sets of a region whose pairs are compared at once, and times that regions are split.
-PIVOTS, LEAF, ROUNDS = 3, 8, 2
+PIVOTS, LEAF, ROUNDS = 3, 64, 2
 #: Documents (about) and shingles of the sample that tells which shingles are common. It sets an order of shingles and so the time taken, never the result.
 SAMPLE, COMMON = 20_000, 1 << 18
 

@@ -176,7 +176,7 @@ def crowd(seed=11):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("leaf", [8, 2])
+@pytest.mark.parametrize("leaf", [64, 8, 2])
 def test_join_links_what_all_pairs_link(spark, none, monkeypatch, leaf):
     monkeypatch.setattr(metric_join, "LEAF", leaf)
     for rows in ([(x[0], x[1]) for x in ROWS], crowd()):
