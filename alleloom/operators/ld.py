@@ -190,8 +190,8 @@ def tiles(n_variants: int, n: int, limit: int = TILE_BYTES) -> tuple[int, int]:
     return max(1, -(-n_variants // v)), max(1, -(-n // u))
 
 
-def dense_pairs(calls: DataFrame, n: int, metric: str = "rsquare", blocks: int | None = None, parts: int | None = None, diagonal: bool = False) -> DataFrame:
-    """The same rows as ``region_pairs``, by matrix products of blocks of variants, each two blocks once.
+def dense_pairs(calls: DataFrame, n: int, metric: str = "rsquare", blocks: int | None = None, parts: int | None = None, diagonal: bool = False, cells: DataFrame | None = None, size: int = 1) -> DataFrame:
+    """The same rows as ``region_pairs``, with ``cells`` those of their pairs, by matrix products of blocks of variants, each two blocks once.
 
     Variants are dealt into ``blocks`` and samples into ``parts`` by hash; a task multiplies two
     blocks over one part, so it holds two matrices of (variants / blocks) x (samples / parts) numbers. What isn't given is planned by ``tiles`` from
@@ -205,20 +205,20 @@ def dense_pairs(calls: DataFrame, n: int, metric: str = "rsquare", blocks: int |
     who = F.xxhash64(*unit(rows))
     dealt = rows.select(*VARIANT, who.alias("who"), F.pmod(who, F.lit(parts)).cast("int").alias("piece"), "x").groupBy(*VARIANT, "piece").agg(F.collect_list(F.struct("who", "x")).alias("e"))
     blocked = dealt.select(*VARIANT, "piece", F.pmod(F.xxhash64("variant"), F.lit(blocks)).cast("int").alias("block"), F.col("e.who").alias("units"), F.col("e.x").alias("xs"))
-    cells = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    squares = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def multiply(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         if not ((part["block"] == key[1]).any() and (part["block"] == key[2]).any()):
             return pd.DataFrame(columns=["chrom", "pos1", "variant1", "pos2", "variant2", "part"])
         return _multiply(key, part)
 
-    made = cells.groupBy("chrom", "i", "j", "piece").applyInPandas(multiply, "chrom string, pos1 long, variant1 string, pos2 long, variant2 string, part double")
+    made = squares.groupBy("chrom", "i", "j", "piece").applyInPandas(multiply, "chrom string, pos1 long, variant1 string, pos2 long, variant2 string, part double")
     # blocks are unordered, so a product may come the other way round; a block with itself gives both ways
     turned = made.unionByName(made.select("chrom", F.col("pos2").alias("pos1"), F.col("variant2").alias("variant1"), F.col("pos1").alias("pos2"), F.col("variant1").alias("variant2"), "part")).where(_order(diagonal))
     block = [F.pmod(F.xxhash64(f"variant{k}"), F.lit(blocks)) for k in (1, 2)]
     share = F.when(block[0] == block[1], F.col("part") / 2).otherwise(F.col("part"))
     both = turned.groupBy("chrom", "pos1", "variant1", "pos2", "variant2").agg(F.sum(share).alias("s12"))
-    return _valued(paired(variant_sums(cols, n), diagonal), both, metric, n)
+    return _valued(paired(variant_sums(cols, n), diagonal, (), cells, size), both, metric, n)
 
 
 def carried_share(calls: DataFrame, n: int) -> float:

@@ -116,13 +116,14 @@ def _stored_pairs(store: CellStore, named: dict, calls: DataFrame, n: int, cells
 
 
 def region_page(
-    calls: DataFrame, n: int, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None, diagonal: bool = False, store: CellStore | None = None, dataset: str = "", subset: str = "ALL"
+    calls: DataFrame, n: int, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None, diagonal: bool = False, store: CellStore | None = None, dataset: str = "", subset: str = "ALL", dense: bool | None = False
 ) -> DataFrame:
     """A page of a region's pairs, of which only those in the page's cells are formed.
 
     Small jobs count the variants of the segments that the walk to the page's end comes to, so what the driver holds
     grows with the page and not with the region. With a ``store`` the page's cells are computed whole and kept under the names of the ``dataset`` and
-    ``subset`` of samples, the metric and the size, and read where an earlier page or region has kept them.
+    ``subset`` of samples, the metric and the size, and read where an earlier page or region has kept them. ``dense``: multiply tiles instead of joining
+    carriers; null decides by the page's share of carriers, one small job.
     """
     chosen = cells_of_page(segments_of(calls, chrom, start, stop, size), limit, diagonal, after)
     cells = calls.sparkSession.createDataFrame([(chrom, i, j) for i, j in chosen], "chrom string, i long, j long")
@@ -141,7 +142,10 @@ def region_page(
         inside = inside.where(segment(F.col("pos"), size).isin(used))
     else:
         inside = _of_segments(inside, chrom, cells.select(F.explode(F.array("i", "j")).alias("s")).distinct(), used[0], used[-1], size)
-    return page(ld.region_pairs(inside, n, metric, diagonal, cells=cells, size=size), size, limit, after)
+    if dense is None:
+        dense = ld.carried_share(inside, n) >= ld.DENSE
+    pairs = ld.dense_pairs if dense else ld.region_pairs
+    return page(pairs(inside, n, metric, diagonal=diagonal, cells=cells, size=size), size, limit, after)
 
 
 def variant_page(calls: DataFrame, n: int, index: str, chrom: str, start: int, stop: int, metric: str, size: int, limit: int, after: Cursor | None = None) -> DataFrame:

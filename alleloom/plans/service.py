@@ -67,7 +67,7 @@ class Genotypes:
         """A page of a region's pairs in Z-order; an unknown chromosome or an empty population gives no rows."""
         asked = requests.region_request(chrom, start, stop, correlation, limit)
         calls, n = self._counted(correlation)
-        return paging.region_page(calls, n, chrom, start, stop, correlation, self.segment, asked["limit"], after, diagonal, self.store, self.dataset, self.subset)
+        return paging.region_page(calls, n, chrom, start, stop, correlation, self.segment, asked["limit"], after, diagonal, self.store, self.dataset, self.subset, dense=None)
 
     def variant_ld(self, variant: str, chrom: str, start: int, stop: int, correlation: str, limit: int = requests.PAGE_LIMIT, after: paging.Cursor | None = None) -> DataFrame:
         """A page of one variant against a region."""

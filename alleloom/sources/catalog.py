@@ -14,6 +14,20 @@ from . import files
 
 CORRELATIONS = (("r", "Pearson correlation", "LD"), ("rsquare", "squared correlation", "LD"), ("rsquare_approx", "squared correlation from bit counts", "LD"), ("cov", "covariance", "LD"))
 KINDS = ("genotypes", "phenotypes", "summary_stats", "masks")
+LINKS = ("genotypes", "summary_stats")
+#: What entries of a YAML catalog may say.
+COLUMN_TYPES, GROUP_TYPES, IDENTIFIER_TYPES = ("TEXT", "CATEGORICAL", "INTEGER", "FLOAT"), ("GENE", "REGION"), ("ENSEMBL", "COORDINATES")
+FORMATS = ("RAREMETAL", "RVTEST", "METASTAAR")
+
+
+def expand(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that a path or a pattern names, in order, looked up where Spark reads them; none is an error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(str(f.getPath()) for f in store.globStatus(at) or [])
+    if not found:
+        raise QueryError("a catalog names files that are not there", pattern)
+    return found if any(c in pattern for c in "*?[{") else [pattern]
 
 
 @dataclass
@@ -32,7 +46,7 @@ class Catalog:
         key = (kind, str(entry.get("id", entry.get("name"))))
         if key in self.datasets:
             raise QueryError(f"{kind} has the id {key[1]} twice")
-        for link in ("genotypes", "summary_stats"):
+        for link in LINKS:
             for other in entry.get(link) or [] if kind != link else []:
                 if (link, str(other)) not in self.datasets:
                     raise QueryError(f"{kind} {key[1]} names unknown {link} {other}")
@@ -90,6 +104,99 @@ class Catalog:
             for entry in blocks.get(kind) or []:
                 self.add(kind, entry)
 
+    def register_yaml(self, path: str) -> None:
+        """Registers all that a YAML catalog lists, or nothing: ids, types and files are checked first.
+
+        Patterns are looked up where Spark reads. Genotype datasets get their samples (a list, a file of names, or those that all files name
+        alike) as the subset ALL; phenotypes the kinds of their columns, stated or found, and some sample of a genotype dataset that they name; block files
+        their manifest. Masks and others must say known types.
+        """
+        import yaml
+
+        text = "\n".join(r["value"] for r in self.spark.read.text(path, wholetext=True).collect())  # a catalog
+        listed = yaml.safe_load(text) or {}
+        if unknown := set(listed) - set(KINDS):
+            raise QueryError(f"unknown blocks in a catalog: {', '.join(sorted(map(str, unknown)))}")
+        new = Catalog(self.spark, dict(self.datasets), list(self.subsets), dict(self.blocks))
+        for kind in KINDS:
+            for entry in listed.get(kind) or []:
+                getattr(new, f"_register_{kind}")(entry)
+        self.datasets, self.subsets, self.blocks = new.datasets, new.subsets, new.blocks
+
+    def _paths(self, entry: dict, name: str) -> list[str]:
+        named = entry.get(name)
+        if not named:
+            raise QueryError(f"{entry.get('name')} lacks {name}")
+        return [p for pattern in ([named] if isinstance(named, str) else named) for p in expand(self.spark, pattern)]
+
+    def _register_genotypes(self, entry: dict) -> None:
+        samples = entry.get("samples")
+        if isinstance(samples, str):
+            samples = files.read_sample_list(self.spark, samples)
+        elif samples is not None:
+            samples = self.spark.createDataFrame([(str(x),) for x in samples], "sample string")
+        self.add_genotypes(entry | {"filepath": self._paths(entry, "filepath")}, samples)
+
+    def _register_phenotypes(self, entry: dict) -> None:
+        from ..operators.phenotypes import infer_kinds
+
+        stated = {c: (x or {}).get("type") for c, x in (entry.get("columns") or {}).items()}
+        if wrong := {x for x in stated.values() if x is not None and x not in COLUMN_TYPES}:
+            raise QueryError(f"unknown column types: {', '.join(sorted(map(str, wrong)))}")
+        paths = self._paths(entry, "filepath")
+        if paths[0].endswith(".ped"):
+            rows, first = files.read_ped(self.spark, paths[0], f"{paths[0][:-4]}.dat"), "iid"
+        else:
+            rows = files.read_tab(self.spark, paths)
+            first = rows.columns[0]
+        columns = [c for c in rows.columns if c not in ("line", first)]
+        if lacking := [c for c in stated if c not in rows.columns]:
+            raise QueryError(f"a phenotype file lacks the columns {', '.join(lacking)}", paths[0])
+        found = {r["column"]: r["kind"] for r in infer_kinds(rows, columns, "line").collect()} if columns else {}
+        kinds = {c: stated.get(c) or found.get(c, "TEXT") for c in columns}
+        for other in entry.get("genotypes") or []:
+            if not rows.select(F.col(f"`{first}`").alias("sample")).join(self.samples(self.known("genotypes", other)), "sample", "left_semi").take(1):
+                raise QueryError(f"phenotypes share no sample with genotypes {other}", paths[0])
+        self.add("phenotypes", entry | {"filepath": paths, "kinds": kinds})
+
+    def _register_summary_stats(self, entry: dict) -> None:
+        if entry.get("format") not in (None, *FORMATS):
+            raise QueryError(f"unknown summary statistics format {entry['format']}")
+        scores, covariances = self._paths(entry, "score_path"), self._paths(entry, "cov_path")
+        if entry.get("format") == "METASTAAR":
+            self.add_blocks(entry, scores, covariances)
+        else:
+            kind = entry.get("format") or files.sniff_format(self.spark, scores[0])
+            self.add("summary_stats", entry | {"files": [*scores, *covariances], "format": kind, "scores": scores, "covariances": covariances})
+
+    def _register_masks(self, entry: dict) -> None:
+        for what, known in (("group_type", GROUP_TYPES), ("identifier_type", IDENTIFIER_TYPES)):
+            if entry.get(what) not in known:
+                raise QueryError(f"unknown {what} {entry.get(what)}")
+        self.add("masks", entry | {"filepath": self._paths(entry, "filepath")})
+
+    def register_json(self, path: str) -> None:
+        """Registers the references of a JSON catalog as genotype datasets under their names, with their subsets of samples; all or none."""
+        rows = [r for r in read_json_catalog(self.spark, path).collect() if r["name"] is not None]
+        new = Catalog(self.spark, dict(self.datasets), list(self.subsets), dict(self.blocks))
+        for name in dict.fromkeys(r["name"] for r in rows):
+            own = [r for r in rows if r["name"] == name]
+            named = [p for f in dict.fromkeys(r["file"] for r in own if r["file"]) for p in expand(self.spark, f)]
+            new.add("genotypes", {"id": name, "name": name, "description": own[0]["description"], "genome_build": own[0]["genome_build"], "files": named})
+            for subset, samples in {r["subset"]: r["samples"] for r in own if r["subset"]}.items():
+                new.add_samples(name, subset, samples or [])
+        self.datasets, self.subsets, self.blocks = new.datasets, new.subsets, new.blocks
+
+    def links(self) -> DataFrame:
+        """``(kind, id, other_kind, other)``: which datasets name which."""
+        rows = [(kind, i, link, str(other)) for (kind, i), e in self.datasets.items() for link in LINKS if link != kind for other in e.get(link) or []]
+        return self.spark.createDataFrame(rows, "kind string, id string, other_kind string, other string")
+
+    def linked(self, kind: str, other_kind: str, other: str) -> DataFrame:
+        """The datasets of a kind that go with another dataset."""
+        own = self.links().where((F.col("kind") == kind) & (F.col("other_kind") == other_kind) & (F.col("other") == self.known(other_kind, other)))
+        return self.frame().join(own.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
+
     def frame(self) -> DataFrame:
         rows = [(k, i, e.get("name"), e.get("description"), e.get("genome_build"), e["paths"]) for (k, i), e in self.datasets.items()]
         return self.spark.createDataFrame(rows, "kind string, id string, name string, description string, genome_build string, paths array<string>")
@@ -105,7 +212,7 @@ class Catalog:
     def chromosomes(self, dataset: str) -> DataFrame:
         """``(chrom)`` of a genotype dataset's files."""
         paths = self.datasets["genotypes", self.known("genotypes", dataset)]["paths"]
-        rows = files.vcf_variants(self.spark, paths) if paths[0].endswith((".vcf", ".vcf.gz")) else files.read_calls(self.spark, paths)
+        rows = files.vcf_variants(self.spark, paths) if paths[0].endswith((".vcf", ".vcf.gz", ".bcf")) else files.read_calls(self.spark, paths)
         return rows.select("chrom").distinct()
 
     def samples(self, dataset: str, subset: str = "ALL") -> DataFrame:

@@ -112,3 +112,12 @@ def test_planned_tiles_give_the_pairs(cohort, monkeypatch):
     monkeypatch.setattr(ld.tiles, "__defaults__", (1 << 16,))
     assert ld.tiles(12, 2600)[1] > 1
     same(ld.dense_pairs(calls, 2600, "rsquare", diagonal=True), expected(h, "rsquare", True))
+
+
+def test_dense_pages_are_those_of_the_join(cohort):
+    from alleloom.plans import paging
+
+    h, calls, _ = cohort
+    for after in (None, paging.Cursor((0, 20, "1:20_A/C", 10**9, ""))):
+        got = [[tuple(r) for r in paging.region_page(calls, 2600, "1", 0, 200, "rsquare", 40, 30, after, dense=dense).select("cell", "pos1", "pos2", ld.F.round("value", 9)).collect()] for dense in (False, True, None)]
+        assert got[0] == got[1] == got[2] and len(got[0]) == 30
