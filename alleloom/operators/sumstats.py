@@ -126,13 +126,13 @@ def block_covariance(variants: DataFrame, gtg: DataFrame) -> DataFrame:
 def load_blocks(variants: DataFrame, gtg: DataFrame, chrom: str, start: int, stop: int) -> tuple[DataFrame, DataFrame]:
     """``(scores, pairs)`` of a region from block files: all its pairs, those of distant blocks too.
 
-    ``variants``: of ``cutoff_variants`` over the region's blocks. Pairs are formed from blocks of blocks: a region has few.
+    ``variants``: of ``cutoff_variants`` over the region's blocks. A block meets itself and those after it: places go on from block to block.
     """
     inside = variants.where((F.col("chrom") == chrom) & F.col("pos").between(start, stop))
     a = inside.select("chrom", "block", F.col("pos").alias("pos1"), F.col("variant").alias("variant1"), F.col("idx").alias("idx1"), F.col("local").alias("row"), F.col("gtu").alias("u1"), "offset", "n")
     b = inside.select(F.col("block").alias("block2"), F.col("pos").alias("pos2"), F.col("variant").alias("variant2"), F.col("idx").alias("idx2"), F.col("gtu").alias("u2"))
     blocks = inside.groupBy("chrom").agg(F.collect_set("block").alias("blocks"))  # a number for each block
-    pairs = a.join(F.broadcast(blocks), "chrom").withColumn("block2", F.explode("blocks")).join(b, "block2").where("idx1 <= idx2")
+    pairs = a.join(F.broadcast(blocks), "chrom").withColumn("block2", F.explode(F.expr("filter(blocks, x -> x >= block)"))).join(b, "block2").where("idx1 <= idx2")
     scores = block_scores(inside).withColumn("score_stat", F.col("u"))
     return scores, _block_values(pairs, gtg).select("chrom", "pos1", "variant1", "pos2", "variant2", "value")
 

@@ -7,6 +7,8 @@ balances are a phenotype, brands are genes, and nations populations.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ from .functions import variants as V
 from .operators import bitset, genotype, intervals, ld, phenotypes, score, sumstats
 from .operators.listing import list_variants
 from .plans import paging, render, runner
+from .plans.cellstore import CellStore
+from .sources import files
 from .sources.catalog import Catalog
 from .sources.files import group_bounds, region_groups
 
@@ -602,3 +606,80 @@ def variant_list_blocks(spark, sf_dir):
 @query("SELECT p_partkey AS pos, '1:' || p_partkey || '_A/T' AS variant FROM part WHERE p_partkey BETWEEN 40 AND 160")
 def variant_list_scores(spark, sf_dir):
     return list_variants(_stated_scores(spark, sf_dir), "scores", "1", 40, 160).select("pos", "variant")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, for the files that the queries below write and read."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="alleloom-files-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(lines: DataFrame, name: str, head: list[str]) -> str:
+    """``lines(k, value)`` in the order of ``k`` after a header, as one text file."""
+    spark = lines.sparkSession
+    top = spark.createDataFrame([(-len(head) + i, x) for i, x in enumerate(head)], "k long, value string")
+    path = _folder(spark, name)
+    top.unionByName(lines.select("k", "value")).orderBy("k").coalesce(1).select("value").write.text(path)
+    return path
+
+
+def _vcf(spark, sf_dir, start: int, stop: int) -> str:
+    """A region's calls as a VCF: a line holds a variant's genotypes of all samples, as such files do."""
+    row = samples(spark, sf_dir).agg(F.concat_ws("\t", F.array_sort(F.collect_list("sample"))).alias("names")).first()["names"]  # a header's line
+    ids = F.split(F.lit(row), "\t").cast("array<bigint>")
+    genotype_ = F.when(F.col("dosage").isNull(), "./.").when(F.col("dosage") == 2, "1/1").otherwise("0/1")
+    held = calls(spark, sf_dir, start, stop).groupBy("chrom", "pos").agg(F.map_from_entries(F.collect_list(F.struct("sample", genotype_))).alias("g"))
+    each = F.array_join(F.transform(ids, lambda s: F.coalesce(F.element_at(F.col("g"), s), F.lit("0/0"))), "\t")
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), F.lit("A"), F.lit("T"), *[F.lit(".")] * 3, F.lit("GT"), each)
+    return _written(held.select(F.col("pos").alias("k"), line.alias("value")), "vcf", ["##fileformat=VCFv4.2", f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{row}"])
+
+
+@query(f"WITH {_calls_sql(0, 59)} SELECT '1:' || pos || '_A/T' AS variant, sample::VARCHAR AS sample, dosage FROM c WHERE pos BETWEEN 10 AND 49")
+def vcf_file_calls(spark, sf_dir):
+    """A region's calls from a VCF that was written from the tables."""
+    return files.read_vcf(spark, _vcf(spark, sf_dir, 0, 59), "1", 10, 49).select("variant", "sample", "dosage")
+
+
+@query("SELECT c_custkey::VARCHAR AS sample, (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS idx FROM customer")
+def vcf_file_samples(spark, sf_dir):
+    return files.vcf_samples(spark, _vcf(spark, sf_dir, 0, 1)).select("sample", "idx")
+
+
+@query("""SELECT p_brand AS "group", min(p_partkey) OVER (PARTITION BY p_brand) AS start, max(p_partkey) OVER (PARTITION BY p_brand) AS stop, '1:' || p_partkey || '_A/T' AS variant, p_partkey AS pos
+FROM part QUALIFY min(p_partkey) OVER (PARTITION BY p_brand) <= 20 AND max(p_partkey) OVER (PARTITION BY p_brand) >= 10""")
+def mask_file_members(spark, sf_dir):
+    """Members of the groups that meet a region, from a mask file that was written from the tables."""
+    rows = genes(spark, sf_dir).groupBy("group").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"), F.concat_ws("\t", F.array_sort(F.collect_list("variant"))).alias("members"))
+    path = _written(rows.select(F.col("start").alias("k"), F.concat_ws("\t", "group", F.lit("1"), F.col("start").cast("string"), F.col("stop").cast("string"), "members").alias("value")), "mask", [])
+    return files.read_mask(spark, path, "1", 10, 20).select("group", "start", "stop", "variant", "pos")
+
+
+@query("""SELECT p_partkey AS pos, '1:' || p_partkey || '_A/T' AS variant, CASE WHEN p_partkey % 3 = 0 THEN 0.25::DOUBLE ELSE (p_size / (2e0 * 500)) END AS alt_freq, 500::BIGINT AS n,
+(p_partkey % 7 - 3)::DOUBLE AS score_stat, (p_size / 8e0)::DOUBLE AS sqrt_v, 0.5::DOUBLE AS pvalue FROM part""")
+def score_file_rows(spark, sf_dir):
+    """Scores from a file of one of the two formats that was written from the tables; its format is found from the header."""
+    place = F.col("p_partkey").cast("string")
+    fields = [F.lit("1"), place, F.lit("A"), F.lit("T"), F.lit("500:250:250"), F.when(F.col("p_partkey") % 3 == 0, "0.25").otherwise("NA"), F.col("p_size").cast("string"), *[F.lit("0")] * 5, (F.col("p_partkey") % 7 - 3).cast("string"), (F.col("p_size") / 8).cast("string"), F.lit("0"), F.lit("0.5")]
+    path = _written(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("\t", *fields).alias("value")), "scores", ["##ProgramName=Rvtests", "CHROM\tPOS\tREF\tALT\tN_INFORMATIVE"])
+    return files.read_scores(spark, path).select("pos", "variant", "alt_freq", "n", "score_stat", "sqrt_v", "pvalue")
+
+
+@query("SELECT * FROM (VALUES ('name', 'TEXT'), ('nation', 'INTEGER'), ('balance', 'FLOAT')) t(\"column\", kind) WHERE EXISTS (SELECT 1 FROM customer WHERE c_acctbal <> floor(c_acctbal))")
+def phenotype_file_kinds(spark, sf_dir):
+    """Kinds of the columns of a phenotype table that was written from the customers."""
+    line = F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name", F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 10 == 0, "NA").otherwise(F.col("c_acctbal").cast("string")))
+    path = _written(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), line.alias("value")), "phenotypes", ["id\tname\tnation\tbalance"])
+    return phenotypes.infer_kinds(files.read_tab(spark, path), ["name", "nation", "balance"], "line")
+
+
+@query(f"WITH {_ld_sql('rsquare', 0, 149)} SELECT pos1, pos2, round(value, 8) AS value, {_morton_sql('pos1 // 20', 'pos2 // 20')} AS cell FROM v WHERE pos1 BETWEEN 45 AND 130 AND pos2 BETWEEN 45 AND 130 ORDER BY cell, pos1, pos2 LIMIT 900")
+def ld_page_stored(spark, sf_dir):
+    """A region's page from stored cells, some of which a page of an overlapping region has stored before."""
+    store, rows, n = CellStore(spark, _folder(spark, "cells")), calls(spark, sf_dir, 0, 149), _n(samples(spark, sf_dir))
+    kept = {"store": store, "dataset": "parts", "subset": "ALL"}
+    paging.region_page(rows, n, "1", 0, 70, "rsquare", 20, 500, **kept).count()
+    return paging.region_page(rows, n, "1", 45, 130, "rsquare", 20, 900, **kept).select("pos1", "pos2", F.round("value", 8).alias("value"), "cell")
