@@ -42,6 +42,53 @@ def _odd_powers(base: int, n: int) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 
 
+#: Words of more characters are reached in parts side by side.
+LONG = 4096
+
+
+def _log_sum(terms: np.ndarray, axis: int) -> np.ndarray:
+    most = terms.max(axis=axis)
+    with np.errstate(invalid="ignore"):
+        return np.where(most > -np.inf, most + np.log(np.exp(terms - np.expand_dims(most, axis)).sum(axis=axis)), -np.inf)
+
+
+def _forward_long(steps: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
+    """What reaches each place of one long word, as ``Lattice._forward`` gives it, in steps of the square root of its length.
+
+    What reaches a place depends on the k places before it, k the longest piece, so a part of the word turns the k values before it into the
+    k values at its end. All parts find theirs for each single entry side by side; the word's beginning then goes
+    through them one by one, and all parts, entered by what really reaches them, find their places side by side.
+    """
+    n, k = len(byte), len(steps)
+    size = max(k, int(n**0.5) + 1)
+    parts = -(-n // size)
+    first = np.arange(parts) * size
+    edge = np.full((k, parts * size + k), -np.inf)  # by length and where it starts; the first k places are before the word
+    for length, s in enumerate(steps):
+        edge[length, k : k + len(s)] = s
+    edge[0, k : k + n] = np.logaddexp(edge[0, k : k + n], byte)
+
+    def run(entries: list[np.ndarray], part: np.ndarray, keep: bool) -> list[np.ndarray]:
+        """From the k columns before each row's part, oldest first, to those of its places as well, or to the last k."""
+        held = list(entries)
+        for j in range(1, size + 1):
+            terms = np.stack([held[-length] + edge[length - 1, k + first[part] + j - length] for length in range(1, k + 1)])
+            held.append(_log_sum(terms, 0))
+            if not keep:
+                del held[0]
+        return held
+
+    each = np.repeat(np.arange(parts), k)
+    only = np.tile(np.eye(k, dtype=bool), (parts, 1))
+    turned = np.stack(run([np.where(only[:, e], 0.0, -np.inf) for e in range(k)], each, False), axis=1).reshape(parts, k, k)
+    enters = np.full((parts, k), -np.inf)
+    enters[0, k - 1] = 0.0
+    for p in range(1, parts):
+        enters[p] = _log_sum(enters[p - 1][:, None] + turned[p - 1], 0)
+    reached = np.stack(run([enters[:, e] for e in range(k)], np.arange(parts), True)[k:], axis=1).reshape(1, -1)[:, :n]
+    return np.concatenate((np.zeros((1, 1)), reached), axis=1)
+
+
 class Lattice:
     """All ways to write words in pieces, for many words of one length at a time.
 
@@ -110,16 +157,15 @@ class Lattice:
         return which, [self.bytes[list(chr(c).encode("utf-8", "replace"))] for c in chars.tolist()]
 
     def _forward(self, steps: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
-        """Log of what reaches each place: the log-sum-exp over the edges that end there."""
+        """Log of what reaches each place: the log-sum-exp over the edges that end there. Long words go by ``_forward_long``."""
         rows, n = byte.shape
+        if n > LONG:
+            return np.concatenate([_forward_long([s[i] for s in steps], byte[i]) for i in range(rows)])
         reach = np.full((rows, n + 1), -np.inf)
         reach[:, 0] = 0.0
         for j in range(1, n + 1):
             terms = [reach[:, j - k] + steps[k - 1][:, j - k] for k in range(1, min(len(steps), j) + 1)]
-            terms = np.stack([*terms, reach[:, j - 1] + byte[:, j - 1]])
-            most = terms.max(axis=0)
-            with np.errstate(invalid="ignore"):
-                reach[:, j] = np.where(most > -np.inf, most + np.log(np.exp(terms - most).sum(axis=0)), -np.inf)
+            reach[:, j] = _log_sum(np.stack([*terms, reach[:, j - 1] + byte[:, j - 1]]), 0)
         return reach
 
     def _scored(self, codes: np.ndarray, logs: np.ndarray):

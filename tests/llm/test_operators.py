@@ -365,6 +365,29 @@ def test_lattice_scores(docs, none):
     assert lattice_lm.score(none, path).count() == 0
 
 
+def test_long_words_are_reached_in_parts(monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    own, r = lattice_lm.Lattice(lattice_lm.vocabulary(path)), random.Random(4)
+    logs = lattice_lm.prior(lattice_lm.vocabulary(path))
+    some = ["".join(r.choice("abcdeinrst東é") for _ in range(n)) for n in (40, 97, 400, 401, 1500)] + ["a" * 700]
+    counts = np.arange(1.0, 7.0)
+    want = own.marginal(some, logs), own.expected(some, counts, logs)
+    monkeypatch.setattr(lattice_lm, "LONG", 30)
+    assert own.marginal(some, logs) == pytest.approx(want[0], abs=1e-6)
+    assert own.expected(some, counts, logs) == pytest.approx(want[1], abs=1e-6)
+
+
+def test_a_very_long_word_takes_seconds():
+    import time
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    own, r = lattice_lm.Lattice(lattice_lm.vocabulary(path)), random.Random(4)
+    word = "".join(r.choice("abcdeinrst") for _ in range(200_000))
+    began = time.process_time()
+    assert own.marginal([word], lattice_lm.prior(lattice_lm.vocabulary(path)))[0] < -100_000
+    assert time.process_time() - began < 60
+
+
 def test_scores_where_all_are_held_out(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     ids = [i for i in range(300) if crc(i, 10) == 0][:5]
