@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,10 +44,19 @@ def masked(masks: list[tuple[str, DataFrame]]) -> DataFrame:
     return rows
 
 
-def _answer(scores: DataFrame, groups: DataFrame, filters: list[dict], pairs_of, sigma2: float | None, nsamples: int | None) -> Answer:
+def _stored(rows: DataFrame, root: str | None, name: str) -> DataFrame:
+    """The rows as a table under a shared folder, if one is given."""
+    if root is None:
+        return rows
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _answer(scores: DataFrame, groups: DataFrame, filters: list[dict], pairs_of, sigma2: float | None, nsamples: int | None, root: str | None = None) -> Answer:
     """``pairs_of``: from groups of surviving variants (``group`` as one key) to pairs."""
     key = F.to_json(F.struct(*GROUP))
-    members = score.filtered(scores.join(groups, ["chrom", "pos", "variant"]), filters).withColumn("key", key)
+    members = _stored(score.filtered(scores.join(groups, ["chrom", "pos", "variant"]), filters).withColumn("key", key), root, "members")
     pairs = pairs_of(members.select(F.col("key").alias("group"), "chrom", "pos", "variant").distinct())
     names = members.select("key", *GROUP, "mask_place").distinct()
     pairs = pairs.withColumnRenamed("group", "key").join(names, "key").drop("key")
@@ -54,20 +64,23 @@ def _answer(scores: DataFrame, groups: DataFrame, filters: list[dict], pairs_of,
     return Answer(score.response_variants(members), members.drop("key"), pairs, means, sigma2, nsamples)
 
 
-def compute(calls: DataFrame, samples: DataFrame, phenotype: DataFrame, groups: DataFrame, filters: list[dict] | None = None, subset: DataFrame | None = None) -> Answer:
+def compute(calls: DataFrame, samples: DataFrame, phenotype: DataFrame, groups: DataFrame, filters: list[dict] | None = None, subset: DataFrame | None = None, root: str | None = None) -> Answer:
     """From counts of ``samples`` and ``phenotype(sample, y)``; ``groups`` of ``masked``.
 
     Only samples count that the genotypes hold, that have a finite phenotype and that are of the subset; variants that
     none of them carries fall out. Scores and covariances are over the same samples. One small job takes their number
-    and the phenotype's variance.
+    and the phenotype's variance. Each part of the answer is computed when it is used; with ``root``, a folder that executors share, the samples, the
+    groups' calls and the surviving variants are written there first, so that each file is read once, however many parts are used.
     """
     have = score.complete(of_samples(phenotype, samples)).dropDuplicates(["sample"])
-    have = of_samples(have, subset)
+    have = _stored(of_samples(have, subset), root, "samples")
+    groups = _stored(groups, root, "groups")
     m = score.moments(have).first()
     if not m["nsamples"]:
         raise QueryError("no sample has both genotypes and a phenotype")
     own = of_samples(calls.join(groups.select("chrom", "pos", "variant").distinct(), ["chrom", "pos", "variant"], "left_semi"), have)
-    return _answer(score.score_statistics(own, have), groups, filters or [], lambda g: score.group_covariance(own, g, m["nsamples"], m["sigma2"]), m["sigma2"], m["nsamples"])
+    own = _stored(own, root, "calls")
+    return _answer(score.score_statistics(own, have), groups, filters or [], lambda g: score.group_covariance(own, g, m["nsamples"], m["sigma2"]), m["sigma2"], m["nsamples"], root)
 
 
 def _within(pairs: DataFrame, groups: DataFrame) -> DataFrame:

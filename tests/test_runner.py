@@ -215,3 +215,15 @@ def test_variant_and_score_shapes(spark, cohort):
         render._one_page(rows, score.F.struct("pos"), 5).collect()
     with pytest.raises(QueryError):
         paging.score_page(stats, 30, 4, paging.Cursor((1,)))
+
+
+def test_stored_parts_read_each_file_once(spark, cohort, tmp_path):
+    _, _, calls, samples, phenotype = cohort
+    masks = runner.masked([("first", genes(spark, B=range(0, 6), A=[3, 8, 9])), ("second", genes(spark, A=[0, 1]))])
+    plain, kept = runner.compute(calls, samples, phenotype, masks), runner.compute(calls, samples, phenotype, masks, root=str(tmp_path))
+    for name in ("variants", "members", "pairs", "groups"):
+        a, b = getattr(plain, name), getattr(kept, name)
+        key = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(sorted(df.columns)).collect())
+        assert key(a) == key(b) != []
+        plan = b._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" not in plan and "LogicalRDD" not in plan and "Relation [" in plan
