@@ -16,7 +16,7 @@ NEAR = 0.2
 #: Added to every window, so that rounding loses no pair.
 SLACK = 1e-9
 #: Pivots of a region, sets of a region whose pairs are compared at once, and times that regions are split.
-PIVOTS, LEAF, ROUNDS = 3, 64, 2
+PIVOTS, LEAF, ROUNDS = 2, 64, 2
 #: Documents (about) and shingles of the sample that tells which shingles are common. It sets an order of shingles and so the time taken, never the result.
 SAMPLE, COMMON = 20_000, 1 << 18
 
@@ -30,7 +30,9 @@ def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
         return {"token": pa.array(np.concatenate([np.zeros(0, np.uint64), *[shingles(t, size) for t in batch["text"].to_pylist()]]).view(np.int64))}
 
     often = arrow_map(some, make, "token long").groupBy("token").agg(F.count("*").alias("times")).where("times > 3").orderBy(F.desc("times"), "token").limit(COMMON)
-    return np.array([r["token"] for r in often.collect()][::-1], np.int64).view(np.uint64)
+    found = often.toArrow()
+    token = found["token"].to_numpy()
+    return token[np.lexsort((-token, found["times"].to_numpy()))].view(np.uint64)
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
