@@ -19,6 +19,8 @@ WHOLE = 20
 TABLE_BITS = 22
 #: Bytes of a text that are searched at a time, and occurrences of its q-grams in segments that are listed at a time.
 STRETCH, HITS = 1 << 19, 1 << 18
+#: Comparisons of one text that are remembered.
+SEEN = 1 << 16
 
 
 def normal(text: bytes | None) -> bytes:
@@ -125,6 +127,8 @@ def candidates(data: np.ndarray, index: Index, done: np.ndarray) -> Iterator[tup
         todo = [(at, place, 0, len(index.m))] if len(at) else []
         while todo:
             at, place, low, high = todo.pop()
+            if done[low:high].all():
+                continue
             begin = np.searchsorted(index.place, place * len(index.m) + low) if low else index.first[place]
             n = (np.searchsorted(index.place, place * len(index.m) + high) if high < len(index.m) else index.first[place + 1]) - begin
             total, span = int(n.sum()), int(at[-1] - at[0])
@@ -212,12 +216,20 @@ def _segments(raw: bytes, data: np.ndarray, index: Index) -> dict[int, int]:
     """The least edits of each segment found; a segment without edits isn't looked for any further."""
     best: dict[int, int] = {}
     done = np.zeros(len(index.m), bool)
+    seen: set[tuple] = set()  # segments with the bytes that they were compared with: repetitive texts have the same ones again and again
     for segs, diagonals in candidates(data, index, done):
         left: dict[int, list[tuple[int, int]]] = {}
         for seg, diagonal in zip(segs.tolist(), diagonals.tolist(), strict=True):
             k, m = int(index.k[seg]), int(index.m[seg])
             if done[seg]:
                 continue
+            low = diagonal - k
+            same = seg, min(low, 0), raw[max(0, low - 1) : max(0, diagonal + 3 * k + m + 2)]
+            if same in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(same)
             if m < WHOLE:
                 cost = standing(raw, index.text[seg].tobytes(), diagonal, k)
                 if cost <= k:
