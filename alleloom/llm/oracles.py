@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .licenses import SHINGLE, TEMPLATES
+from .license_texts import TEMPLATES
+from .licenses import SHINGLE
 from .quality_rules import POLICIES, RULES
 
 W = r"[^\x20\x09-\x0D]+"
@@ -29,7 +30,8 @@ l AS (SELECT *, ({' + '.join(f'(CASE WHEN {c} THEN {1 << i} ELSE 0 END)' for i,
 """
 _V1 = POLICIES["v1"]
 _BITS = ", ".join(f"('{k}', {1 << i})" for i, (k, _) in enumerate(RULES) if _V1 >> i & 1)
-_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+_QUOTED = {k: v.replace("'", "''") for k, v in TEMPLATES.items()}
+_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in _QUOTED.items())
 
 ORACLES: dict[str, str] = {
     "op1_rule_ledger": f"""WITH {_LEDGER}

@@ -279,6 +279,34 @@ def test_license_scan(spark, none):
     assert licenses.scan(none).count() == 0 and licenses.scan(frame(spark, ROWS), {}).count() == 0
 
 
+def test_edited_licenses_are_found_whichever_way_sides_meet(spark, monkeypatch):
+    """Copies of every template with words replaced, put in or left out, among its own words, against all templates."""
+    r = random.Random(3)
+    fill = [w for v in licenses.TEMPLATES.values() for w in v.split()]
+    texts = []
+    for v in licenses.TEMPLATES.values():
+        for _ in range(12):
+            ws = v.split()
+            for _ in range(r.randint(0, max(1, len(ws) // 20))):
+                at = r.randrange(len(ws))
+                ws[at : at + r.randint(0, 1)] = r.choice([[], ["zzz"], [r.choice(fill)]])
+            texts.append((len(texts), " ".join([*(r.choice(["foo", "the", "of"]) for _ in range(r.randint(0, 60))), *ws, "tail words"])))
+    want = Counter()
+    for i, x in texts:
+        want.update({(i, *k): n for k, n in licensed(x).items()})
+    df = frame(spark, [(i, x, *ROWS[0][2:]) for i, x in texts])
+    assert rows_of(licenses.scan(df), "doc_id", "license", "n_found", "n_shingles") == want and sum(want.values()) > len(licenses.TEMPLATES) * 6
+    monkeypatch.setattr(licenses, "BROADCAST_CHARACTERS", 0)
+    assert rows_of(licenses.scan(df), "doc_id", "license", "n_found", "n_shingles") == want
+
+
+def test_a_long_text_of_licenses_and_one_of_other_words(spark):
+    whole = " ".join(licenses.TEMPLATES.values())
+    df = frame(spark, [(1, whole * 100, *ROWS[0][2:]), (2, "word " * 300_000 + whole, *ROWS[0][2:]), (3, "the software " * 50_000, *ROWS[0][2:])])
+    got = rows_of(licenses.scan(df), "doc_id", "license")
+    assert got == Counter({(i, k): 1 for i in (1, 2) for k in licenses.TEMPLATES})
+
+
 def test_trees_learn_and_score_every_row(spark, docs, none):
     held = QUERIES["op6_boosted_trees"](spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", "quality").collect()
     good, bad = [x["score"] for x in held if x["quality"] == 1], [x["score"] for x in held if x["quality"] == 0]
