@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, shared_path
 from .ranking import each_copy, ranked, ring_key
+from .token_output import read_lengths, write_shards
 
 
 def boundaries(histogram: Sequence[tuple[int, int]], buckets: int) -> list[int]:
@@ -93,3 +94,17 @@ def pack(rows: DataFrame, buckets: int = 8, batch_tokens: int = 65_536, id_col:
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``pack`` by word counts; only ids and counts leave the scan."""
     return pack(docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_count(F.col(f"`{text_col}`").cast("string")).alias("n_tokens")), **how)
+
+
+def pack_shards(spark, path: str, **how) -> DataFrame:
+    """``pack`` of the documents in token files (``token_output.write_shards``) by their numbers of ids, end included.
+
+    Rows without an id or a text are in the files too, so they are packed like others. No files' rows: no rows.
+    """
+    return pack(read_lengths(spark, path), **how)
+
+
+def pack_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Writes the documents' token files to the shared folder, then packs by what these hold."""
+    path = write_shards(docs, shared_path(docs.sparkSession, "token-shards"), tokenizer, id_col=id_col, text_col=text_col)
+    return pack_shards(docs.sparkSession, path, **how)

@@ -63,6 +63,11 @@ def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by token ids, which the token files list."""
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -88,6 +93,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_rule_ledger, op1_rule_ablations, op2_repair_tokens, op3_simhash_pigeonring, op4_qgram_decontamination, op5_license_minhash, op6_boosted_trees, op7_lattice_likelihood, op8_bounded_ring, op9_length_buckets, op10_bwt_repeats, op11_maxscore_search, op12_filter_audit, op13_jaccard_metric_join, pipeline)
+    for f in (op1_rule_ledger, op1_rule_ablations, op2_repair_tokens, op3_simhash_pigeonring, op4_qgram_decontamination, op5_license_minhash, op6_boosted_trees, op7_lattice_likelihood, op8_bounded_ring, op9_length_buckets, op9_token_buckets, op10_bwt_repeats, op11_maxscore_search, op12_filter_audit, op13_jaccard_metric_join, pipeline)
 }
 ORACLE_SQL = ORACLES

@@ -318,11 +318,23 @@ def read_shards(spark, path: str) -> DataFrame:
 
     shards = spark.read.schema("part int, number int, n_tokens long, data binary").parquet(path)
     rows = arrow_map(shards.select("part", "number", "data"), make, "part int, number int, doc_id long, before long, n_tokens long, ids_crc32 long")
-    # one short row for each shard, a million tokens or so
-    starts = shards.select("part", "number", (F.sum("n_tokens").over(Window.orderBy("part", "number")) - F.col("n_tokens")).alias("first"))
+    # sums of parts are added up first, so no task holds a row for each shard of all parts
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+    own = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")
+    starts = shards.select("part", "number", own.alias("own")).join(parts, "part").select("part", "number", (F.col("own") + F.col("earlier")).alias("first"))
     return rows.join(starts, ["part", "number"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_lengths(spark, path: str) -> DataFrame:
+    """``doc_id, n_tokens`` of every document, from the shards' own lists; no id is decoded."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        shards = [Shard(data.as_py()) for data in batch["data"]]
+        return {"doc_id": pa.array([d for s in shards for d in s.doc_ids], pa.int64()), "n_tokens": pa.array(np.concatenate([np.diff(s.ends, prepend=0) for s in shards]), pa.int64())}
+
+    return arrow_map(spark.read.schema("data binary").parquet(path), make, "doc_id long, n_tokens long")
+
+
 def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Writes the shards (to the shared folder unless ``path`` is given) and reads them back."""
     return read_shards(docs.sparkSession, write_shards(docs, path or shared_path(docs.sparkSession, "token-shards"), tokenizer, id_col=id_col, text_col=text_col))

@@ -1,6 +1,7 @@
 """Operators against brute force on a table with nulls, empty and long texts, copies, repeated rows and clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -582,6 +583,44 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def least_padding(lengths, buckets) -> int:
+    """By trying every choice of bounds."""
+    every = sorted(set(lengths))
+    tops = [(*c, every[-1]) for c in itertools.combinations(every[:-1], min(buckets, len(every)) - 1)]
+    return min(sum(min(b for b in t if b >= x) - x for x in lengths) for t in tops)
+
+
+def test_packing_by_token_ids(docs, none):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder = Tokenizer.from_file(path)
+    lengths = [(i, len(encoder.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in IDS_TEXTS]
+    got = packing.pack_tokens(docs, path, buckets=3, batch_tokens=500).collect()
+    assert Counter((x["doc_id"], x["n_tokens"]) for x in got) == Counter(lengths)
+    assert sum(x["padding"] for x in got) == least_padding([n for _, n in lengths], 3)
+    for (_, _, bound), n in Counter((x["bucket"], x["batch"], x["boundary"]) for x in got).items():
+        assert n == 1 or n * bound <= 500
+    assert len({(x["bucket"], x["batch"], x["place"]) for x in got}) == len(got)
+    assert packing.pack_tokens(none, path).count() == 0
+
+
+def test_token_starts_over_many_shards(spark, tmp_path):
+    """Shards of a few ids: many a part, over several parts."""
+    rows = [(i, f"word{i} " * (i % 7), *ROWS[0][2:]) for i in range(300)]
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        path = token_output.write_shards(frame(spark, rows), str(tmp_path / "shards"), tokenizer_path("word_bpe_49k.json"), shard_tokens=20)
+    finally:
+        spark.conf.unset(merge)
+    got = token_output.read_shards(spark, path).orderBy("doc_id").collect()
+    assert spark.read.parquet(path).count() > 50 and spark.read.parquet(path).select("part").distinct().count() > 1
+    assert [x["doc_id"] for x in got] == list(range(300))
+    assert [x["start"] for x in got] == list(itertools.accumulate([x["n_tokens"] for x in got], initial=0))[:-1]
+    assert rows_of(token_output.read_lengths(spark, path), "doc_id", "n_tokens") == Counter((x["doc_id"], x["n_tokens"]) for x in got)
+
+
 @pytest.mark.parametrize("limit", [1, 1024])
 def test_repeats_are_cut(spark, none, limit):
     want = [(i, *w[:4]) for (i, _), w in zip(IDS_TEXTS, cut_repeats([t for _, t in IDS_TEXTS]), strict=True)]
