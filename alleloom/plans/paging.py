@@ -16,6 +16,8 @@ from . import zorder
 from .cellstore import CellStore
 from .zorder import bigmin  # noqa: F401
 
+#: Segments (about) of a block that cells are made from.
+CELL_BLOCK = 1024
 PAIR_ORDER = ("cell", "pos1", "variant1", "pos2", "variant2")
 VARIANT_ORDER = ("cell", "pos", "variant")
 SCORE_ORDER = ("segment", "pos", "variant")
@@ -170,8 +172,16 @@ def score_page(scores: DataFrame, size: int, limit: int, after: Cursor | None =
 
 
 def allowed_cells(positions: DataFrame, size: int) -> DataFrame:
-    """Cells (i <= j) between segments that have listed positions; one row for each."""
+    """Cells (i <= j) between segments that have listed positions; one row for each.
+
+    A chromosome's segments are dealt into blocks, and a segment meets each block in a row that the block's cells are made from.
+    """
     seg = positions.select("chrom", segment(F.col("pos"), size).alias("i")).distinct()
-    every = seg.groupBy("chrom").agg(F.collect_set("i").alias("all"))  # a number for each segment
-    cells = seg.join(every, "chrom").select("chrom", "i", F.explode("all").alias("j")).where("i <= j")
+    sizes = seg.groupBy("chrom").agg(F.ceil(F.count("*") / F.lit(CELL_BLOCK)).cast("int").alias("blocks"))
+    counted = seg.join(sizes, "chrom")
+    blocks = counted.groupBy("chrom", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list("i").alias("all"))
+    each = counted.select("chrom", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # a number of partitions of its own: sizes of rows say nothing of the cells that they make
+    each = each.repartition(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "block")
+    cells = each.join(blocks, ["chrom", "block"]).select("chrom", "i", F.explode("all").alias("j")).where("i <= j")
     return cells.withColumn("cell", morton(F.col("i"), F.col("j")))
