@@ -213,6 +213,7 @@ def read_vcf(spark: SparkSession, path: str | list[str], chrom: str | None = Non
     gzip file is read by one task.
     """
     rows = _records(spark, path, chrom, start, stop).select("path", "chrom", "pos", "variant", "k", F.posexplode("g").alias("idx", "g"))
+    rows = rows.where(~F.col("g").isin(*CARRIES_NONE))  # nearly all of a file, told without taking it apart
     alleles = F.split(F.split("g", ":")[0], r"[/|]")
     own = (F.col("k") + 1).cast("string")
     if haplotypes:
@@ -225,6 +226,8 @@ def read_vcf(spark: SparkSession, path: str | list[str], chrom: str | None = Non
     return named.select("chrom", "pos", "variant", "sample", *(["hap"] if haplotypes else []), "dosage")
 
 
+#: Genotypes that give no row.
+CARRIES_NONE = ("0/0", "0|0", "0")
 CALLS = "pos long, variant string, sample string, {hap}dosage double, chrom string, segment long"
 
 
