@@ -126,8 +126,8 @@ def region_groups(groups: DataFrame, variants: DataFrame) -> DataFrame:
 
 def covariance_positions(cov: DataFrame) -> int:
     """How many different positions covariances name."""
-    listed = cov.select("chrom", F.explode(F.split("positions", ",")).alias("pos")).withColumn("pos", F.col("pos").try_cast("bigint"))
-    both = listed.unionByName(cov.select("chrom", "pos"))
+    named = F.concat(F.array("pos"), F.transform(F.coalesce(F.split("positions", ","), F.array()), lambda p: p.try_cast("bigint")))
+    both = cov.select("chrom", F.explode(F.array_distinct(named)).alias("pos"))  # one reading of the rows
     return both.dropna().distinct().count()
 
 
