@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +40,44 @@ MARK = re.compile(rb"[.,!?;:*$%&#](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8
 APART = (b"<|", b"\xcc", b"\xcd")
 
 
+def spaced(text: bytes) -> bytes:
+    """The text in small letters and with punctuation set apart where that leaves the ids alone."""
+    if any(x in text for x in APART):
+        return text
+    return MARK.sub(rb" \g<0>", text.lower())
+
+
+def _table(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+#: ``MARK`` by tables: marks, small ASCII letters, second bytes of small and capital letters of U+00C0 to U+00FF.
+MARKS = _table(*[(c, c) for c in b".,!?;:*$%&#"])
+LETTERS = _table((ord("a"), ord("z")))
+SECOND = _table((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+
+
+def all_spaced(texts: list[bytes]) -> pa.LargeStringArray:
+    """``spaced`` of many texts, found over all their bytes at once."""
+    apart = [any(x in t for x in APART) for t in texts]
+    flat = np.frombuffer(b"  " + b"\n".join([t if a else t.lower() for t, a in zip(texts, apart, strict=True)]) + b"\n", np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) + 2  # a line end stands behind each text
+    at = np.flatnonzero(MARKS[flat])
+    before = flat[at - 1]
+    at = at[LETTERS[before] | (SECOND[before] & (flat[at - 2] == 0xC3))]
+    if any(apart):
+        at = at[~np.array(apart)[np.searchsorted(ends, at, side="right")]]
+    out = np.insert(flat, at, ord(" "))
+    offsets = np.concatenate(([2], ends)) + np.searchsorted(at, np.concatenate(([2], ends)))
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out))
+
+
 def words_of(text: bytes) -> list[bytes]:
     """The text's words, in small letters and without punctuation behind them where that leaves the ids alone."""
-    if any(x in text for x in APART):
-        return text.split()
-    return MARK.sub(rb" \g<0>", text.lower()).split()
+    return spaced(text).split()
 
 
 #: Texts that tell whether a tokenizer is of the kind that ``WordIds`` needs.
@@ -67,21 +101,44 @@ class WordIds:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         for text in PROBES:
-            words = words_of(text.encode())
-            if b"".join(map(self.of([words]).__getitem__, words)) != np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes():
+            if self.flat([text.encode()])[0].tolist() != _tokenizer(path).encode(text, add_special_tokens=False).ids:
                 raise ValueError(f"the tokenizer {path} doesn't encode a text as its words")
 
     def of(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """Ids of just these texts' words: looked up once each, then from a small table."""
-        known, distinct = self.ids, set().union(*texts)
-        if len(known) > self.limit:
-            known.clear()
+        """Ids of the words of texts."""
+        distinct = list(set().union(*texts))
+        return dict(zip(distinct, self._learned(distinct), strict=True))
+
+    def flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids, one after the other, and how many there are up to each text's end.
+
+        Arrow splits the texts and numbers their words, so that Python looks up each different word once.
+        """
+        split = pc.ascii_split_whitespace(all_spaced(texts))
+        numbered = split.flatten().dictionary_encode()
+        distinct = numbered.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        own = self._learned(distinct)
+        flat, sizes = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        which = numbered.indices.to_numpy()
+        n = sizes[which]
+        after = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - after + n, n) + np.arange(after[-1] if len(after) else 0)]
+        return ids, np.concatenate(([0], after))[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+
+    def _learned(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of different words, each looked up once; new ones are encoded together."""
+        if len(self.ids) > self.limit:
+            self.ids.clear()
+        own = list(map(self.ids.get, distinct))
+        new = [i for i, x in enumerate(own) if x is None]
         letters, odd = [], []
-        for w in distinct.difference(known):
+        for w in map(distinct.__getitem__, new):
             (letters if w.isalpha() or not w.isascii() and (t := w.decode("utf-8", "replace")).isalpha() and max(t) < "\u0100" else odd).append(w)
         self._encode(odd)
         self._encode_runs(letters)
-        return dict(zip(distinct, map(known.__getitem__, distinct), strict=True))
+        for i in new:
+            own[i] = self.ids[distinct[i]]
+        return own
 
     def _encode(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 10_000):
@@ -262,22 +319,22 @@ def _encode(path: str, end_id: int, shard_tokens: int):
 
         memo, base = word_ids(path), _tokenizer(path).get_vocab_size()
         part, number = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         ids, ends, docs, held = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             data = pack_shard(flat, np.array(ends, np.int64), docs, base)
             return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "n_tokens": [held], "data": [data]}, schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_tokens", pa.int64()), ("data", pa.binary())]))
 
         for batch in batches:
             for piece in pieces(batch, 6 << 20):
-                words = [words_of(t or b"") for t in piece["text"].to_pylist()]
-                ids_of = memo.of(words)
-                for doc, ws in zip(piece["doc_id"].to_pylist(), words, strict=True):
-                    own = b"".join(map(ids_of.__getitem__, ws)) + end
-                    ids.append(own)
-                    held += len(own) // 4
+                flat, stops = memo.flat([t or b"" for t in piece["text"].to_pylist()])
+                begin = 0
+                for doc, stop in zip(piece["doc_id"].to_pylist(), stops.tolist(), strict=True):
+                    ids += (flat[begin:stop], end)
+                    held += stop - begin + 1
+                    begin = stop
                     ends.append(held)
                     docs.append(doc)
                     if held >= shard_tokens:

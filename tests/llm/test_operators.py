@@ -675,3 +675,23 @@ def test_equal_rows_gather_their_spans_once(spark):
 def test_held_out_parts(docs):
     got = {x["doc_id"]: x["p"] for x in docs.select("doc_id", classifier.training_part(docs["doc_id"]).alias("p")).collect()}
     assert got == {i: crc(i, 5) for i, _ in IDS_TEXTS}
+
+
+def test_texts_are_encoded_by_their_words_together():
+    """op2: ids of many texts at once are the tokenizer's own, with marks, odd bytes, blank texts and more words than are kept."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, memo = Tokenizer.from_file(path), token_output.WordIds(path, limit=20)
+    texts = ["", "a.", ".b", " \t\n", "É.é.A. x.Y!", "x<|A.b", "y.", "é. É.x", "\x0b\x0cend\r\n", "日本語 текст. 😀", *[f"wörd{i}. and{i}, it's" for i in range(60)], "last."]
+    for size in (1, 7, len(texts)):
+        for at in range(0, len(texts), size):
+            part = texts[at : at + size]
+            ids, stops = memo.flat([x.encode() for x in part])
+            assert [x.tolist() for x in np.split(ids, stops)[:-1]] == [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
+    raw = [x.encode() for x in texts] + [b"\xff. \xc3", b"\xa9.a", b"."]
+    assert [x.split() for x in token_output.all_spaced(raw).view(pa.large_binary()).to_pylist()] == [token_output.words_of(x) for x in raw]
+    assert [x.tolist() for x in memo.flat([])] == [[], []]
