@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, documents
@@ -19,6 +19,8 @@ SLACK = 1e-9
 PIVOTS, LEAF, ROUNDS = 2, 64, 2
 #: Documents (about) and shingles of the sample that tells which shingles are common. It sets an order of shingles and so the time taken, never the result.
 SAMPLE, COMMON = 20_000, 1 << 18
+#: Of a set of n: shingles of the prefix that are left out (no more than a set 4/5 as large has beyond what it needs), and those beyond the prefix.
+LEFT_OUT, BEYOND = "(cast(ceil(4 * {n} / 5) as bigint) div 10)", "(cast(ceil(4 * {n} / 5) as bigint) - 1 - {n} div 10)"
 
 
 def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
@@ -36,15 +38,16 @@ def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, common ones last: two sets within ``NEAR`` share at least one of these.
+    """The first shingles of a set, common ones last: two sets within ``NEAR`` share at least 1 + n / 10 of these, n the smaller size.
 
-    The intersection has 4/5 of the larger set at least, so 4 n / 5 of n shingles, and one of the n - 4 n / 5 + 1 first is among them.
+    The intersection has 4/5 of the larger set at least, so 4 n / 5 of n shingles, and one of the n - 4 n / 5 + 1 first is among them; n / 10 more
+    are for ``first_regions`` to leave out.
     """
     at = np.searchsorted(common, hashes)
     at[at == len(common)] = 0
     known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
     order = np.concatenate((hashes[~known], hashes[known][np.argsort(rank[at[known]], kind="stable")]))
-    return order[: len(hashes) - (4 * len(hashes) + 4) // 5 + 1]
+    return order[: len(hashes) - (4 * len(hashes) + 4) // 5 + 1 + len(hashes) // 10]
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -81,10 +84,16 @@ def first_regions(nodes: DataFrame) -> DataFrame:
     Most texts have no shingle in common: their distance is 1, from each other and from any pivot, so pivots alone
     can't part them. Sets within ``NEAR`` always meet in one of these regions. Sizes differ by a quarter at most
     then, so a region has the sizes of one class, its own, and of the next.
+
+    The sample doesn't tell how common the rarer shingles are, and the larger the table, the more of them have many sets. So each set leaves out
+    the ``LEFT_OUT`` shingles of its prefix that are in most prefixes. Sets within ``NEAR`` share more than either leaves out, and of these the one
+    in fewest prefixes has as many behind it: both keep it.
     """
     each = nodes.select("node", F.explode("prefix").alias("token"))
-    shared = each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
+    shared = each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
     met = cut(each.join(shared, "token"), "shared-shingles").join(nodes.select("node", "n"), "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.desc("token")))
+    met = met.withColumn("place", place).where(F.col("place") > F.expr(LEFT_OUT.format(n="n")))
     level = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("long")
     placed = met.select("node", "n", "token", F.inline(F.array(F.struct(level.alias("level"), F.lit(True).alias("own")), F.struct((level - 1).alias("level"), F.lit(False).alias("own")))))
     return _different(placed.select(F.xxhash64("token", "level").alias("region"), "node", "n", "own"))
@@ -99,8 +108,9 @@ def close_pairs(regions: DataFrame) -> DataFrame:
     return a.join(b, "region").where("x < p and (own or own_p)").where(close).groupBy("x", "p").agg(F.sum("weight").alias("c"), F.first("n").alias("n"), F.first("np").alias("np"))
 
 
-#: Sets within NEAR have 4/9 of both sizes in common. Beyond the end of the prefix that ends first, at most the rest of that set is; the others are in both prefixes.
-ENOUGH = "c >= ceil(4 * (n + np) / 9) - ceil(4 * greatest(n, np) / 5) + 1"
+#: Sets within NEAR have 4/9 of both sizes in common. Beyond the end of the prefix that ends first, at most the rest of that set is; the others are in both
+#: prefixes. What a set leaves out of them are those in most prefixes, so both together leave out no more than one of them does.
+ENOUGH = f"c >= ceil(4 * (n + np) / 9) - greatest({BEYOND.format(n='n')}, {BEYOND.format(n='np')}) - greatest({LEFT_OUT.format(n='n')}, {LEFT_OUT.format(n='np')})"
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:

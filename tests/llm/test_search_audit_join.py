@@ -198,3 +198,30 @@ def test_prefixes_of_linked_sets_meet():
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if len(b) and 5 * both >= 4 * either:
             assert len(np.intersect1d(metric_join.prefix(a, common, rank), metric_join.prefix(b, common, rank)))
+
+
+def test_shingles_left_out_lose_no_link_and_chance_ones_make_no_pairs(spark):
+    """op13: of any order of shingles and any counts, linked sets keep enough in common; sets that share a few common shingles make no region."""
+    r = np.random.default_rng(8)
+    none = np.zeros(0, np.uint64)
+    for n in [*range(1, 30), 60, 117, 200]:
+        for _ in range(6):
+            pool = np.sort(r.choice(1 << 40, 3 * n + 3, replace=False).astype(np.uint64))
+            a = pool[np.sort(r.permutation(len(pool))[:n])]
+            gone = int(r.integers(0, n // 5 + 1))
+            b = np.sort(np.concatenate((r.permutation(a)[: n - gone], np.setdiff1d(pool, a)[: int(r.integers(0, max(1, n // 5)))])))
+            both = len(np.intersect1d(a, b))
+            if 5 * both < 4 * len(np.union1d(a, b)):
+                continue
+            times = dict(zip(pool.tolist(), r.integers(2, 9, len(pool)).tolist(), strict=True))
+            kept = []
+            for s in (a, b):
+                left = -(-4 * len(s) // 5) // 10
+                kept.append(set(sorted(metric_join.prefix(s, none, none).tolist(), key=lambda t: (-times[t], -t))[left:]))
+            beyond, left = ([f(len(s)) for s in (a, b)] for f in (lambda k: -(-4 * k // 5) - 1 - k // 10, lambda k: -(-4 * k // 5) // 10))
+            assert len(kept[0] & kept[1]) >= max(1, -(-4 * (len(a) + len(b)) // 9) - max(beyond) - max(left))
+            sizes = spark.range(1).selectExpr(f"{len(a)}L n", f"{len(b)}L np", f"{len(kept[0] & kept[1])}L c") if n in (1, 7, 117) else None
+            assert sizes is None or sizes.where(metric_join.ENOUGH).count() == 1
+    rows = [(i, 100, [*range(5), *range(1000 * (i + 1), 1000 * (i + 1) + 26)]) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "node long, n long, prefix array<long>")
+    assert metric_join.first_regions(nodes).count() == 0
