@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: pigeonring chains of SimHashes and MinHash bands, then the exact similarity."""
+"""Near-duplicates by the Jaccard similarity of word shingles: pigeonring chains of SimHashes and MinHash bands, then the exact similarity.
+
+What chains and bands miss by chance is found by a prefix join of the sets that may link beyond their component: no pair at the similarity is left out.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import arrow_map, cut, documents
+from .common import arrow_map, cut, documents, drop_tables, noted
 from .components import components
 
 #: A pair at similarity s shares a band's key with probability s^ROWS, so it is met with 1 - (1 - s^ROWS)^BANDS: 0.9994 at 0.8.
@@ -119,7 +122,7 @@ def links(nodes: DataFrame, rows: DataFrame, shingle: int = 5) -> DataFrame:
     by the pigeonring chains of their fingerprints or in a band's bucket, and are verified exactly. In a
     bucket every set is compared with pivots, those with most company first, then one among the sets
     that none of the pivots links to; the pairs that remain are those of ``_across``. So a bucket's work grows
-    with its members, and no pair in it that links is lost.
+    with its members, and no pair in it that links is lost. Pairs that meet nowhere are left to ``near_duplicates``.
     """
     banded = nodes.select("node", "n", F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
@@ -169,12 +172,14 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """One row per input row: ``doc_id, text_key, component``; texts of one component link at similarity 0.8 or more.
+    """One row per input row: ``doc_id, text_key, component``; components of all pairs of texts with similarity 0.8 or more.
 
     Sets of shingles are compared: A-Z is lower-cased, fewer words than a shingle are one shingle, and
     texts without words are copies of each other. Equal sets are one node, so copies never make pairs.
     ``text_key`` is ``xxhash64`` of the text as a string. No documents give no rows.
     """
+    from .metric_join import links_across  # which is made of this module's parts
+
     rows = documents(docs, id_col, text_col).withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -190,5 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     made = cut(arrow_map(rows, make, "doc_id long, text_key long, node long, n long, keys array<long>, fp long"), "minhashes")
     nodes = cut(made.groupBy("node").agg(F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min("text_key").alias("text_key")), "shingle-nodes")
-    roots = links(nodes, rows.select("text_key", "text"), shingle)
-    return made.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("component"))
+    with noted() as used:
+        roots = cut(links(nodes, rows.select("text_key", "text"), shingle), "roots")
+    drop_tables(docs.sparkSession, used[:-1])
+    out = made.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("component"))
+    more = links_across(rows, nodes.select("node", "text_key"), roots, shingle)
+    if more is None:
+        return out
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    more = more.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    merged = components(more).select(F.col("node").alias("component"), F.col("root").alias("whole"))
+    return out.join(merged, "component", "left").select("doc_id", "text_key", F.coalesce("whole", "component").alias("component"))

@@ -50,9 +50,9 @@ def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarr
     return order[: len(hashes) - (4 * len(hashes) + 4) // 5 + 1 + len(hashes) // 10]
 
 
-def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """``doc_id, text_key, node, n, prefix`` of ``rows(doc_id, text_key, text)``; ``node`` names the set, null for a text without words."""
-    often = common_shingles(rows, size)
+def shingle_sets(rows: DataFrame, size: int, often: np.ndarray | None = None) -> DataFrame:
+    """``doc_id, text_key, node, n, prefix`` of ``rows(doc_id, text_key, text)``; ``node`` names the set, null for a text without words. ``often``: common shingles, if known."""
+    often = common_shingles(rows, size) if often is None else often
     order = np.argsort(often)
     sent = rows.sparkSession.sparkContext.broadcast((often[order], order))
 
@@ -202,6 +202,39 @@ def links(nodes: DataFrame, rows: DataFrame, size: int = 5) -> DataFrame:
     return found.select(F.col("x").alias("u"), F.col("p").alias("v"))
 
 
+def open_sets(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node``: of ``sets(node, n, prefix)`` those that may link with one of another component of ``roots(node, root)``; a set not in it is one by itself.
+
+    Sets within ``NEAR`` share over ``LEFT_OUT`` shingles of their prefixes (see ``prefix``). If they are of two components, so is each of these
+    shingles; sets with no more such shingles are done. Copies share theirs within one component, others share few.
+    """
+
+    def several(rows: DataFrame, what: str) -> DataFrame:
+        here = Window.partitionBy("token")
+        rows = rows.select("*", F.min(what).over(here).alias("low"), F.max(what).over(here).alias("high"))
+        return rows.where("low < high").drop("low", "high")
+
+    each = sets.where("n > 0").select("node", "n", F.explode("prefix").alias("token"))
+    met = cut(several(each, "node"), "shared-prefixes")
+    met = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared = several(met, "root").select("node", "n", "token").distinct().groupBy("node", "n").agg(F.count("*").alias("c"))
+    return shared.where(F.col("c") > F.expr(LEFT_OUT.format(n="n"))).select("node")
+
+
+def links_across(rows: DataFrame, nodes: DataFrame, roots: DataFrame, size: int = 5) -> DataFrame | None:
+    """``u, v``: links that make one component of all that ``roots(node, root)`` keep apart though sets of theirs are within ``NEAR``; null if no set may have one.
+
+    ``rows(doc_id, text_key, text)`` are all texts, ``nodes(node, text_key)`` name one of each set. Only ``open_sets`` are joined, exactly.
+    """
+    often = common_shingles(rows, size)
+    left = cut(open_sets(shingle_sets(rows, size, often), roots).join(nodes, "node").select("text_key").distinct(), "open-sets")
+    if left.isEmpty():
+        return None
+    some = rows.join(left, "text_key", "left_semi")
+    made = shingle_sets(some, size, often).groupBy("node").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min("text_key").alias("text_key"))
+    return links(cut(made, "open-prefixes"), some.select("text_key", "text"), size)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``, the least id that links reach.
 
